@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from vellumite.llm import exact_dedup, quality_rules, sharding
+from vellumite.llm import byte_bpe, exact_dedup, language_id, packing, quality_rules, sharding, simhash
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_language_id": language_id.op4_language_id,
     "op5_sharding": sharding.op5_sharding,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op8_simhash": simhash.op8_simhash,
+    "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
 
 ORACLES = {
