@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellumite.llm import byte_bpe, exact_dedup, language_id, packing, quality_rules, sharding, simhash
+from vellumite.llm import byte_bpe, exact_dedup, language_id, packing, quality_rules, sharding, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
@@ -10,7 +10,9 @@ QUERIES = {
     "op4_language_id": language_id.op4_language_id,
     "op5_sharding": sharding.op5_sharding,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_simhash": simhash.op8_simhash,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
 
