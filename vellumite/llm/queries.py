@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vellumite.llm import byte_bpe, exact_dedup, language_id, packing, quality_rules, sharding, simhash, suffix_dedup, toxicity
+from vellumite.llm import byte_bpe, exact_dedup, gated_lm, language_id, packing, quality_rules, sharding, simhash, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_gated_lm": gated_lm.op1_gated_lm,
     "op2_packing": packing.op2_packing,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_language_id": language_id.op4_language_id,
