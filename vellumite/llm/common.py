@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,8 +43,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stable(docs: DataFrame) -> DataFrame:
+    """docs itself if it only scans files or local rows, so that each reading finds the same rows in the same splits; else written once."""
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    return written(docs, "input") if any(x in plan for x in ("Exchange", "InMemory", "ExistingRDD")) else docs
+
+
 def with_row(docs: DataFrame) -> DataFrame:
-    """Add a row identity that depends only on how the input is split, so that repeated rows stay apart."""
+    """Add a row identity that depends only on how the (stable) input is split, so that repeated rows stay apart."""
     return docs.withColumn(ROW, F.monotonically_increasing_id())
 
 
@@ -56,3 +62,27 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 def crc_bucket(doc_id: Column, n: int) -> Column:
     """crc32(doc_id as text) mod n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
+
+
+class Store:
+    """A bounded map in two generations: what was used since the last turn is kept when the older half goes."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def known(self, keys: Iterable[str]) -> tuple[dict, list[str]]:
+        """Values of the keys that are here, and the other keys."""
+        found, missing = {}, []
+        for k in keys:
+            if (v := self.new.get(k)) is None:
+                if (v := self.old.get(k)) is None:
+                    missing.append(k)
+                    continue
+                self.new[k] = v
+            found[k] = v
+        return found, missing
+
+    def put(self, values: dict) -> None:
+        self.new.update(values)
+        if len(self.new) > self.limit:
+            self.old, self.new = self.new, {}

@@ -28,7 +28,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, most_steps: int = 100) -> DataFrame:
-    """(node, component) for every node of the edge table (a, b), the component being its smallest node."""
+    """(node, component) for every node of the edge table (a, b) that has a neighbour, the component being its smallest node."""
     now = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
 
     def state(df: DataFrame) -> tuple:
@@ -45,4 +45,5 @@ def components(edges: DataFrame, most_steps: int = 100) -> DataFrame:
         before = after
     else:
         raise RuntimeError("the components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

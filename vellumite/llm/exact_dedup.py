@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumite.llm.common import NULL_ID, ROW, map_arrow, with_row, written
+from vellumite.llm.common import NULL_ID, ROW, map_arrow, stable, with_row, written
 from vellumite.tables import table
 
 SPACES = re.compile(rb"[\x20\x09-\x0D]+")
@@ -215,7 +215,7 @@ def exact_dedup(docs: DataFrame, budget: int = 96 << 20, bits: int = 4) -> DataF
 
     budget: bytes of contents that a task's table may hold before it deals them out to 2**bits files.
     """
-    rows = with_row(docs.select("doc_id", "text"))
+    rows = with_row(stable(docs.select("doc_id", "text")))
     local = written(map_arrow(rows, _within_split(budget, bits), f"doc_id long, {ROW} long, rep long, n long, h long, content binary"), "exact_dedup")
     first = local.where("content IS NOT NULL").select("h", "content", "doc_id", "rep", "n").repartition("h")
     final = map_arrow(first, _across_splits(budget, bits), "rep long, keep_id long, keep_row long, group_size long, text_sha256 string")
@@ -227,6 +227,7 @@ def exact_dedup(docs: DataFrame, budget: int = 96 << 20, bits: int = 4) -> DataF
 
 def without_copies(docs: DataFrame, budget: int = 96 << 20, bits: int = 4) -> DataFrame:
     """The rows that stay, with all their columns."""
+    docs = stable(docs)
     stay = exact_dedup(docs, budget, bits).where("kept").select(ROW)
     return with_row(docs).join(stay, ROW, "left_semi").drop(ROW)
 

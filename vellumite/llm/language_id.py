@@ -152,16 +152,16 @@ def learn(docs: DataFrame, dims: int = DIMS, per_language: int = PER_LANGUAGE) -
     return {k: (v / np.linalg.norm(v)).astype(np.float32) for k, v in sorted(found.items()) if np.linalg.norm(v)}
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dims: int = DIMS, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns, lang_pred and score (the cosine, not below 0)."""
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dims: int = DIMS, carry: tuple[str, ...] = ("doc_id",), out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The carried columns, the language and the score (the cosine, not below 0) under the names in out."""
     names, matrix = list(prototypes), np.stack(list(prototypes.values())) if prototypes else np.zeros((0, dims), np.float32)
-    rows = docs.select(*carry, F.col("text").alias("_text"))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema if f.name != "_text"}
+    rows = docs.select(*carry, F.col("text").alias("_vellumite_text"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema if f.name != "_vellumite_text"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs, scores = [], []
-            for text in b.column("_text").to_pylist():
+            for text in b.column("_vellumite_text").to_pylist():
                 v = bundled(text, dims) if names else None
                 if v is None:
                     langs.append(UNDETERMINED)
@@ -171,9 +171,9 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dims: int = DIMS
                     i = int(cosines.argmax())
                     langs.append(names[i])
                     scores.append(min(1.0, max(0.0, float(cosines[i]))))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kinds), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*kinds, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kinds), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*kinds, *out])
 
-    return map_arrow(rows, run, ", ".join(f"`{k}` {t}" for k, t in kinds.items()) + ", lang_pred string, score double")
+    return map_arrow(rows, run, ", ".join(f"`{k}` {t}" for k, t in kinds.items()) + f", {out[0]} string, {out[1]} double")
 
 
 def language_id(docs: DataFrame, dims: int = DIMS, per_language: int = PER_LANGUAGE) -> DataFrame:
@@ -182,11 +182,11 @@ def language_id(docs: DataFrame, dims: int = DIMS, per_language: int = PER_LANGU
     return found.select("doc_id", (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-def in_known_language(docs: DataFrame, min_score: float = 0.2, dims: int = DIMS, per_language: int = PER_LANGUAGE) -> DataFrame:
+def in_known_language(docs: DataFrame, min_score: float = 0.02, dims: int = DIMS, per_language: int = PER_LANGUAGE) -> DataFrame:
     """The rows, with all their columns, whose text has a language and is at least min_score close to it."""
-    own = tuple(docs.columns)
-    found = predict(docs, learn(docs, dims, per_language), dims, own)
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select(*own)
+    own, names = tuple(docs.columns), ("_vellumite_lang", "_vellumite_score")
+    found = predict(docs, learn(docs, dims, per_language), dims, own, names)
+    return found.where((F.col(names[0]) != UNDETERMINED) & (F.col(names[1]) >= min_score)).select(*own)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

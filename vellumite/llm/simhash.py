@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumite.llm.common import NULL_ID, ROW, map_arrow, with_row, written
+from vellumite.llm.common import NULL_ID, ROW, map_arrow, stable, with_row, written
 from vellumite.llm.components import components
 from vellumite.tables import table
 
@@ -133,16 +133,13 @@ def _forest(max_bits: int):
             members = np.concatenate(parts)
             if len(members) < 2:
                 return []
-            if len(members) <= 64:  # one look at all pairs, by the lower bound first
+            if len(members) <= 64:  # the lower bound first, then bits
                 shape = embedded(members)
-                near = manhattan_small(shape) & (np.bitwise_count(members[:, None] ^ members[None, :]) <= max_bits)
-                if near.sum() == len(members):
+                near = manhattan(shape[:, None], shape[None, :]) <= max_bits
+                if near.sum() == len(members):  # each only to itself
                     return []
             return linked(members, max_bits)
 
-        def manhattan_small(shape: np.ndarray) -> np.ndarray:
-            return manhattan(shape[:, None], shape[None, :]) <= max_bits
-
         def out(links: list[tuple[int, int]]) -> pa.RecordBatch:
             both = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(both.min(1)), pa.array(both.max(1))], ["a", "b"])
@@ -194,8 +191,9 @@ def simhash_groups(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS
     )
 
 
-def one_of_each(docs: DataFrame, words: int = 5, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows, with all their columns, that have the smallest doc_id of their group; wordless texts aside, one a group."""
+def one_of_each(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows, with all their columns, that come first (by doc_id, then in split order) in their group."""
+    docs = stable(docs)
     stay = simhash_groups(docs, words, max_bits).where(F.col(ROW) == F.col("first_row")).select(ROW)
     return with_row(docs).join(stay, ROW, "left_semi").drop(ROW)
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellumite.llm.common import ROW, map_arrow, with_row, written
+from vellumite.llm.common import ROW, map_arrow, stable, with_row, written
 from vellumite.tables import table
 
 LENGTH = 400
@@ -199,9 +199,9 @@ def _runs(flags: np.ndarray) -> tuple[list[int], list[int]]:
     return edges[0::2].tolist(), (edges[1::2] - 1).tolist()
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_bytes: int = 3 << 20, most_bytes: int = 12 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_bytes: int = 2 << 20, most_bytes: int = 12 << 20) -> DataFrame:
     """doc_id, row identity, text and spans (array of begin, end) of every row; spans may overlap and are not in order."""
-    rows = with_row(docs.select("doc_id", "text"))
+    rows = with_row(stable(docs.select("doc_id", "text")))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -302,10 +302,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     A text of which nothing is left goes, unless it was empty or null before; n_chars follows the text.
     """
-    cut = suffix_dedup(docs, length).where("n_removed > 0").select(ROW, F.decode(F.col("kept"), F.lit("UTF-8")).alias("_left"))
-    df = with_row(docs).join(cut, ROW, "left").where("_left IS NULL OR _left <> ''").withColumn("text", F.coalesce("_left", "text"))
+    docs = stable(docs)
+    cut = suffix_dedup(docs, length).where("n_removed > 0").select(ROW, F.make_valid_utf8(F.col("kept").cast("string")).alias("_vellumite_left"))
+    df = with_row(docs).join(cut, ROW, "left").where("_vellumite_left IS NULL OR _vellumite_left <> ''").withColumn("text", F.coalesce("_vellumite_left", "text"))
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.col("_left").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        df = df.withColumn("n_chars", F.when(F.col("_vellumite_left").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return df.select(*docs.columns)
 
 
