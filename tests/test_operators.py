@@ -47,9 +47,11 @@ def test_packed_blocks(spark):
 
 
 def test_pagination(spark):
-    data = [("d", 0, 500, False, False, "a"), ("d", 1, 700, False, True, "a"), ("d", 2, 900, False, True, "a"), ("d", 3, 10, True, False, "a"), ("d", 4, 10, False, False, "b"), ("d", 5, 3000, False, False, "b")]
-    df = spark.createDataFrame(data, "doc string, i int, size int, is_title boolean, is_heading boolean, layout string")
-    assert [r.reading_page for r in ordered.paginated(df, ["doc"], "i").orderBy("i").collect()] == [0, 0, 1, 2, 3, 4]
+    data = [(900, False, False, "a"), (700, False, True, "a"), (400, False, True, "a"), (10, True, False, "a"), (990, False, False, "b"), (600, False, False, "b"), (1, False, False, "b")]
+    df = spark.createDataFrame([("d", i, *x) for i, x in enumerate(data)], "doc string, i int, size int, is_title boolean, is_heading boolean, layout string")
+    pages = lambda **kw: [r.reading_page for r in ordered.paginated(df, ["doc"], "i", **kw).orderBy("i").collect()]
+    assert pages() == [0, 0, 1, 2, 2, 3, 3]
+    assert pages(split_on_layout=True) == [0, 0, 1, 2, 3, 3, 4]
 
 
 def test_page_selection_out_of_range(spark):
@@ -72,6 +74,21 @@ def test_markdown_is_lossless():
     assert [k for _, k, _, _, _ in found] == ["heading", "blank", "paragraph", "list_item", "list_item", "table", "blockquote", "code_block", "hr", "html_block", "blank"]
 
 
+def test_text_clean_ups(spark):
+    from vellumite.functions import blocks as B
+    from vellumite.functions import text as T
+
+    page = "A hyphen-\nated  word\n 12 \n\n\n\nend\n```\ncode\n```\n| a | b |\n> quote\n[CARD]"
+    df = spark.createDataFrame([(page, "my_file - The Title.v2 z-library")], "t string, f string")
+    got = df.select(B.context_text(F.col("t"), F.lit("single")), B.header_title(F.col("f")), B.first_content_line(F.col("t")), B.safe_stem(F.lit("a b/ü.md")), B.colour_of(F.array(F.lit(0.0), F.lit(1.0), F.lit(1.0), F.lit(0.0)))).first()
+    assert tuple(got) == ("A hyphenated word\n\nend\n\nquote", "The Title", "A hyphen-", "a_b_.md", "#ff0000")
+    lines = spark.createDataFrame([("# **B** ## x",), ("1. a\n2) b\ntext",), ("a\tb\nc\td\ne",), ("42",)], "t string").select(
+        B.normal_heading(F.col("t")), B.is_list_like(F.col("t")), B.is_table_like(F.col("t")), B.is_fixed(F.col("t"), F.lit("footer"))
+    )
+    assert [tuple(r) for r in lines.collect()] == [("# B x", False, False, False), ("1. a\n2) b\ntext", True, False, False), ("a\tb\nc\td\ne", False, True, False), ("42", False, False, True)]
+    assert spark.range(1).select(T.size_text(F.lit(3 << 20)), T.duration_text(F.lit(3725))).first()[:] == ("3.0 MB", "1h 2m")
+
+
 def test_images_and_tables(spark):
     df = spark.createDataFrame([("a [IMAGE]x[/IMAGE] b", "| :--- | ---: |"), ("c", "| a | b |")], "t string, line string")
     assert [r[0] for r in df.select(segments.without_images(F.col("t"))).collect()] == ["a  b", "c"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,7 +42,7 @@ def column_order(df: DataFrame, page_width: float) -> DataFrame:
 
 def weighted_size(df: DataFrame, *keys: str) -> DataFrame:
     """Mean font size weighted by text length; 11 where there is no text."""
-    n = F.length("text")
+    n = F.length(F.trim("text"))
     return df.groupBy(*keys).agg(F.coalesce(F.try_divide(F.sum(F.col("font_size") * n), F.sum(n)), F.lit(11.0)).alias("font_size"))
 
 
@@ -52,13 +52,6 @@ def dominant_font(df: DataFrame, *keys: str) -> DataFrame:
     return sums.groupBy(*keys).agg(F.max_by("font", F.struct("n", -F.col("first"))).alias("font"))
 
 
-def table_like(c: Column, least: int = 3, share: float = 0.6) -> Column:
-    """Of at least three lines with text, are enough cut by tabs or three blanks?"""
-    lines = F.filter(F.split(c, "\n"), lambda x: F.trim(x) != "")
-    cut = F.filter(lines, lambda x: x.contains("\t") | x.rlike(" {3,}"))
-    return (F.size(lines) >= least) & (F.size(cut) >= share * F.size(lines))
-
-
 def merged_layout(base: DataFrame, semantic: DataFrame) -> DataFrame:
     """page_index, layout: a specialised base layout stands, else an ordinary semantic one, else the base."""
     df = base.select("page_index", F.col("layout").alias("b")).join(semantic.select("page_index", F.col("layout").alias("s")), "page_index", "full_outer")

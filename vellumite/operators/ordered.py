@@ -104,17 +104,17 @@ def packed_blocks(df: DataFrame, keys: Sequence[str], order: str, kind: str, siz
     return fold_groups(df.select(*keys, order, kind, size), keys, [order], fold, f"{kinds}, grp long")
 
 
-def paginated(df: DataFrame, keys: Sequence[str], order: str, most: int = 1800, least: int = 600, overflow: int = 400) -> DataFrame:
-    """Reading pages of blocks with columns size, is_title, is_heading, layout: a title, a heading on a page that is full enough, too much text or another layout starts a page."""
+def paginated(df: DataFrame, keys: Sequence[str], order: str, least: int = 1000, most: int = 1500, split_on_layout: bool = False) -> DataFrame:
+    """Reading pages of blocks (size, is_title, is_heading, layout): a title starts a page, and once a page is full enough a heading or a block too many does."""
 
     def fold(g: pd.DataFrame) -> pd.DataFrame:
-        out, page, filled, layout = [], 0, 0, None
+        out, page, filled, empty, layout = [], 0, 0, True, None
         for row in g.itertuples():
-            new = filled and (row.is_title or (row.is_heading and filled >= least) or filled + row.size > most + overflow or row.layout != layout)
-            if new:
-                page, filled = page + 1, 0
-            layout = row.layout
-            filled += row.size
+            full = filled >= least and (row.is_heading or filled + row.size > most)
+            if not empty and (row.is_title or full or (split_on_layout and row.layout != layout)):
+                page, filled, empty = page + 1, 0, True
+            layout = row.layout if empty else layout
+            filled, empty = filled + row.size, False
             out.append(page)
         return g[[*keys, order]].assign(reading_page=out)
 

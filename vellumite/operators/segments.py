@@ -41,16 +41,35 @@ def marker_ids(expected: Column, found: Column) -> Column:
 
 
 def marked(df: DataFrame, name: str) -> DataFrame:
-    """The contents between [NAME] and [/NAME]: id, pos, body."""
-    body = F.regexp_extract_all("text", F.lit(f"(?s)\\[{name}\\](.*?)\\[/{name}\\]"), F.lit(1))
+    """The contents between lines that begin with [NAME] and [/NAME]: id, pos, body."""
+    body = F.regexp_extract_all("text", F.lit(f"(?ms)^\\[{name}\\]\\s*(.*?)^\\[/{name}\\]"), F.lit(1))
     return df.select("id", F.posexplode(body).alias("pos", "body")).withColumn("body", T.stripped(F.col("body")))
 
 
-def headings(df: DataFrame) -> DataFrame:
-    """Lines that are Markdown headings: id, line, level, title."""
-    lines = df.select("id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    lines = lines.where(F.col("t").rlike("^#{1,6}[ \\t]+\\S"))
-    return lines.select("id", "line", F.length(F.regexp_extract("t", "^(#+)", 1)).alias("level"), T.stripped(F.regexp_extract("t", "^#+[ \\t]+(.*)$", 1)).alias("title"))
+def headings(df: DataFrame, deepest: int = 4) -> DataFrame:
+    """Lines that are headings: id, line, level, title."""
+    lines = df.select("id", F.posexplode(F.split("text", "\n")).alias("line", "t")).withColumn("t", T.stripped(F.col("t")))
+    lines = lines.where(F.col("t").rlike(f"^#{{1,{deepest}}}[ \\t]+\\S"))
+    return lines.select("id", "line", F.length(F.regexp_extract("t", "^(#+)", 1)).alias("level"), T.squeezed(F.regexp_extract("t", "^#+[ \\t]+(.*)$", 1)).alias("title"))
+
+
+def rule_references(df: DataFrame, most: int = 12) -> DataFrame:
+    """Sentences that speak of rules, each once a text and the first of them only: id, pos, excerpt."""
+    parts = F.transform(F.split(T.some(F.col("text")), "(?<=[。.!?！？])\\s+|\\n+"), T.squeezed)
+    rows = df.select("id", F.posexplode(parts).alias("pos", "s")).where(F.col("s").rlike("(?i)\\b\\d+d\\d+\\b|\\bSAN\\b|\\bHP\\b|\\bWP\\b|检定|技能|损失|roll|test"))
+    rows = rows.withColumn("r", F.row_number().over(W.partitionBy("id", F.lower("s")).orderBy("pos"))).where("r = 1")
+    rows = rows.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("pos"))).where(F.col("r") <= most)
+    return rows.select("id", "pos", T.excerpt(F.col("s"), 180).alias("excerpt"))
+
+
+def module_structure(df: DataFrame) -> DataFrame:
+    """Headings, marked blocks and rule references of texts in one relation: id, kind, name."""
+    from vellumite.functions.blocks import first_content_line
+
+    named = lambda d, kind: d.select("id", F.lit(kind).alias("kind"), F.coalesce(F.nullif(first_content_line(F.col("body")), F.lit("")), F.lit(kind)).alias("name"))
+    heads = headings(df).select("id", F.lit("标题").alias("kind"), F.col("title").alias("name"))
+    refs = rule_references(df).select("id", F.lit("规则").alias("kind"), F.col("excerpt").alias("name"))
+    return heads.unionByName(named(marked(df, "STAT_BLOCK"), "数据块")).unionByName(named(marked(df, "CARD"), "卡片")).unionByName(refs)
 
 
 def without_images(c: Column) -> Column:

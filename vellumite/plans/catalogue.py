@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vellumite.functions import blocks as B
 from vellumite.functions import geometry as G
 from vellumite.functions import text as T
 from vellumite.operators import layout, ordered, orders, quality, rules, segments, state, terms
@@ -428,18 +429,49 @@ def block_parse(spark, sf_dir):
 
 
 @query(with_("cards") + """
-SELECT id, (generate_subscripts(b, 1) - 1)::INT AS pos, trim(unnest(b)) AS body FROM (SELECT id, regexp_extract_all(text, '(?s)\\[CARD\\](.*?)\\[/CARD\\]', 1) AS b FROM cards)""")
+SELECT id, (generate_subscripts(b, 1) - 1)::INT AS pos, trim(unnest(b), ' ' || chr(10)) AS body FROM (SELECT id, regexp_extract_all(text, '(?ms)^\\[CARD\\]\\s*(.*?)^\\[/CARD\\]', 1) AS b FROM cards)""")
 def marked_blocks(spark, sf_dir):
     return segments.marked(given(spark, "cards"), "CARD")
 
 
 @query(with_("marks") + """,
-l AS (SELECT id, (generate_subscripts(t, 1) - 1)::INT AS line, unnest(t) AS t FROM (SELECT id, string_split(text, chr(10)) AS t FROM marks))
-SELECT id, line, length(regexp_extract(t, '^(#+)', 1))::INT AS level, trim(regexp_extract(t, '^#+[ \\t]+(.*)$', 1)) AS title FROM l WHERE regexp_matches(t, '^#{1,6}[ \\t]+\\S')""")
+l AS (SELECT id, (generate_subscripts(t, 1) - 1)::INT AS line, trim(unnest(t)) AS t FROM (SELECT id, string_split(text, chr(10)) AS t FROM marks))
+SELECT id, line, length(regexp_extract(t, '^(#+)', 1))::INT AS level, regexp_replace(trim(regexp_extract(t, '^#+[ \\t]+(.*)$', 1)), ' +', ' ', 'g') AS title FROM l WHERE regexp_matches(t, '^#{1,4}[ \\t]+\\S')""")
 def heading_lines(spark, sf_dir):
     return segments.headings(given(spark, "marks"))
 
 
+@query("SELECT * FROM (VALUES (1, '卡片', 'one'), (1, '卡片', 'two'), (3, '数据块', 'STR 10'), (3, '规则', 'Roll 1d6.'), (3, '规则', 'Lose SAN!')) AS t(id, kind, name)")
+def module_structure(spark, sf_dir):
+    return segments.module_structure(given(spark, "cards"))
+
+
+@query("""SELECT * FROM (VALUES (1, true, true, false, false, false, false, false), (2, false, true, false, false, false, false, false), (3, false, true, false, false, false, false, false), (4, false, true, true, false, false, false, false),
+ (5, false, true, false, true, false, false, false), (6, false, true, true, false, true, false, false), (7, false, true, false, false, true, true, false), (8, false, false, false, false, false, false, true),
+ (9, false, false, false, false, false, false, false), (10, false, true, false, false, false, false, false), (11, false, false, true, false, false, false, false), (12, false, false, false, false, false, false, false),
+ (13, false, false, false, false, false, false, true), (14, false, false, false, false, false, false, false), (15, false, false, false, false, false, false, false)) AS t(id, heading, structural, plain_heading, soft_subheading, table_row, separator, stats)""")
+def line_kinds(spark, sf_dir):
+    c = F.col("line")
+    return given(spark, "line_kinds").select(
+        "id", B.is_heading(c).alias("heading"), B.is_structural(c).alias("structural"), B.is_plain_heading(c).alias("plain_heading"), B.is_soft_subheading(c).alias("soft_subheading"),
+        B.is_table_row(c).alias("table_row"), B.is_table_separator(c).alias("separator"), B.is_stat_block(c).alias("stats"),
+    )
+
+
+@query("""SELECT doc_id, len(regexp_extract_all(text, '(?m)^[ \\t]*$')) >= 0 AS seen, length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^#{1,6}\\s*', '', 'g'), '(?m)^\\s*[-*+]\\s+', '', 'g'),
+ '\\*(\\*?)([^*\\n]+?)\\*(\\*?)', '\\2', 'g'), '[ \\t\\r\\n]+', '', 'g'))::INT AS n FROM documents WHERE NOT contains(text, '*')""")
+def visible_lengths(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("*"))).select("doc_id", F.lit(True).alias("seen"), B.visible_length(F.col("text")).alias("n"))
+
+
+@query("""SELECT doc_id, sha256('{"model": "m", "prompt_version": "1", "system_prompt": "s", "user_prompt": "' || replace(replace(text, '"', '\\"'), chr(10), '\\n') || '"}') AS key,
+ sha256('{"block_id":"' || doc_id || '","source_hash":"' || sha256(text) || '","target_signature":"t"}') AS targeted FROM documents""")
+def cache_keys(spark, sf_dir):
+    one = lambda x: F.lit(x)
+    c = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", B.cache_key(one("m"), one("1"), one("s"), c).alias("key"), B.targeted_key(F.col("doc_id").cast("string"), c, one("t")).alias("targeted"))
+
+
 @query(with_("specs") + """,
 p AS (SELECT id, unnest(list_filter(regexp_split_to_array(spec, '[, ，、]+'), lambda x: x <> '')) AS part FROM specs),
 e AS (SELECT id, string_split(part, '-')[1]::INT AS a, string_split(part, '-')[-1]::INT AS b FROM p)
@@ -536,7 +568,7 @@ def column_order(spark, sf_dir):
 
 
 @query(with_("spans") + """
-SELECT line, CASE WHEN sum(length(text)) > 0 THEN round((sum(font_size * length(text)) / sum(length(text)))::DOUBLE, 6) ELSE 11.0 END AS font_size FROM spans GROUP BY line""")
+SELECT line, CASE WHEN sum(length(text)) > 0 THEN round((sum(font_size * length(trim(text))) / sum(length(trim(text))))::DOUBLE, 6) ELSE 11.0 END AS font_size FROM spans GROUP BY line""")
 def weighted_size(spark, sf_dir):
     return layout.weighted_size(given(spark, "spans"), "line").select("line", F.round(F.col("font_size").cast("double"), 6).alias("font_size"))
 

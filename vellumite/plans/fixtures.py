@@ -23,13 +23,23 @@ FIXTURES = {
     "answers(id, response)": """(1, 'intro [BLOCK 0]
 first
 [/BLOCK 0] [BLOCK 1] second [/BLOCK 1]'), (2, '[BLOCK 3] a [/BLOCK 3][BLOCK 3] b [/BLOCK 3] [BLOCK 4] open'), (3, 'nothing')""",
-    "cards(id, text)": """(1, 'a [CARD] one [/CARD] b [CARD]two
-lines[/CARD]'), (2, 'none'), (3, '[STAT_BLOCK]x[/STAT_BLOCK]')""",
+    "cards(id, text)": """(1, 'a
+[CARD] one
+[/CARD] b
+[CARD]two
+lines
+[/CARD]'), (2, 'none [CARD]x[/CARD]'), (3, '[STAT_BLOCK]
+STR 10
+[/STAT_BLOCK]
+Roll 1d6. Lose SAN! Roll 1d6. Nothing')""",
     "marks(id, text)": """(1, '# A
 text
-## B c
+ ## B  c
 #no
-###### Deep'), (2, 'plain')""",
+##### Deep
+#### Four'), (2, 'plain')""",
+    "line_kinds(id, line)": """(1, '# **Bold** ## title'), (2, '[CARD]'), (3, '- item one'), (4, 'Short Head'), (5, '这里有什么人吗？'), (6, '| a | b |'), (7, '> | --- | :---: |'), (8, 'STR 10 CON 11 HP 12'),
+        (9, 'An ordinary sentence, with punctuation.'), (10, ''), (11, 'CONTENTS // CONTENTS'), (12, 'Yellow Card number two'), (13, '技能：隐匿 STR 12'), (14, '12 STR 标题'), (15, '42')""",
     "specs(id, spec, total)": "(1, '8, 12-15', 20), (2, '5-3 3', 9), (3, '1，2、4', 4)",
     "state(id, value)": "(1, 'a'), (2, 'b'), (3, 'c')",
     "changes(id, value)": "(2, 'B'), (4, 'D')",

@@ -33,10 +33,11 @@ def glossary(lines: DataFrame) -> DataFrame:
     df = kept.select(F.col("line").alias("ord"), F.transform(cells, lambda x: F.trim(x)).alias("c")).where(F.size("c") >= 2)
     df = df.select("ord", F.col("c")[0].alias("target"), F.col("c")[1].alias("term")).where("target <> '' AND term <> ''")
     w = W.partitionBy("term").orderBy("ord")
-    df = df.withColumn("first", F.first("target").over(w)).withColumn("r", F.row_number().over(w))
+    whole = W.partitionBy("term")
+    df = df.withColumn("least", F.min("target").over(whole)).withColumn("most", F.max("target").over(whole)).withColumn("r", F.row_number().over(w))
     broken = F.raise_error(F.concat(F.lit("damaged target of "), F.col("term")))
-    twice = F.raise_error(F.concat(F.lit("two targets of "), F.col("term"), F.lit(": "), F.col("first"), F.lit(", "), F.col("target")))
-    checked = F.when(F.col("target").contains("?"), broken).when(F.col("target") != F.col("first"), twice).otherwise(F.col("target"))
+    twice = F.raise_error(F.concat(F.lit("two targets of "), F.col("term"), F.lit(": "), F.col("least"), F.lit(", "), F.col("most")))
+    checked = F.when(F.col("target").contains("?"), broken).when(F.col("least") != F.col("most"), twice).otherwise(F.col("target"))
     return df.select("ord", checked.alias("target"), "term", "r").where("r = 1").drop("r")
 
 
