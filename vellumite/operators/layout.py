@@ -56,5 +56,5 @@ def merged_layout(base: DataFrame, semantic: DataFrame) -> DataFrame:
     """page_index, layout: a specialised base layout stands, else an ordinary semantic one, else the base."""
     df = base.select("page_index", F.col("layout").alias("b")).join(semantic.select("page_index", F.col("layout").alias("s")), "page_index", "full_outer")
     special = F.col("b").isin("toc", "art", "handout", "credits", "document", "character")
-    ordinary = F.col("s").isin("single", "columns", "three_columns")
-    return df.select("page_index", F.when(special, F.col("b")).when(ordinary, F.col("s")).otherwise(F.coalesce("b", "s")).alias("layout"))
+    ordinary = F.col("s").isin("single", "columns", "three_columns", "art")
+    return df.select("page_index", F.when(special, F.col("b")).when(ordinary, F.col("s")).otherwise(F.coalesce("b", F.lit("columns"))).alias("layout"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vellumite.functions import blocks as B
 from vellumite.functions import geometry as G
 from vellumite.functions import text as T
-from vellumite.operators import layout, ordered, orders, quality, rules, segments, state, terms
+from vellumite.operators import layout, ordered, orders, pages, quality, rules, segments, state, terms
 from vellumite.plans.fixtures import given, with_
 from vellumite.tables import table
 
@@ -588,7 +588,7 @@ def uncovered_regions(spark, sf_dir):
 
 
 @query(with_("base_layout", "semantic_layout") + """
-SELECT page_index, CASE WHEN b.layout IN ('toc', 'art', 'handout', 'credits', 'document', 'character') THEN b.layout WHEN s.layout IN ('single', 'columns', 'three_columns') THEN s.layout ELSE coalesce(b.layout, s.layout) END AS layout
+SELECT page_index, CASE WHEN b.layout IN ('toc', 'art', 'handout', 'credits', 'document', 'character') THEN b.layout WHEN s.layout IN ('single', 'columns', 'three_columns', 'art') THEN s.layout ELSE coalesce(b.layout, 'columns') END AS layout
 FROM base_layout b FULL JOIN semantic_layout s USING (page_index)""")
 def layout_merge(spark, sf_dir):
     return layout.merged_layout(given(spark, "base_layout"), given(spark, "semantic_layout"))
@@ -608,3 +608,49 @@ def category_histogram(spark, sf_dir):
 def line_pitch(spark, sf_dir):
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber")
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.coalesce(F.col("l_linenumber") - F.lag("l_linenumber").over(w), F.lit(0)).cast("int").alias("pitch"))
+
+
+@query("SELECT * FROM (VALUES (0, 'art', 'art'), (1, 'cover', 'single'), (2, 'columns', 'columns'), (3, 'mixed', 'columns'), (4, 'single', 'single'), (5, 'single', 'single')) AS t(page, page_type, layout)")
+def page_types(spark, sf_dir):
+    df = pages.page_types(given(spark, "regions"), given(spark, "sheets"))
+    return df.select("page", "page_type", pages.layout_label(F.col("page_type"), F.lit(2)).alias("layout"))
+
+
+@query("SELECT * FROM (VALUES (1, 'header', 0), (2, 'footer', 0), (3, 'subtitle', 2), (4, 'title', 1), (5, 'footnote', 0), (6, 'list', 0), (7, 'body_column', 4), (8, 'body_column', 0)) AS t(id, role, level)")
+def region_roles(spark, sf_dir):
+    c = F.col
+    role = pages.region_role(c("y0"), c("y1"), F.lit(1000.0), c("size"), F.lit(10.0), c("accent"), c("text"))
+    return given(spark, "roles").select("id", role.alias("role"), F.coalesce(pages.heading_level(c("text"), c("size"), F.lit(10.0), c("bold"), c("accent")), F.lit(0)).alias("level"))
+
+
+@query(with_("roles") + "SELECT id, CASE WHEN id % 4 = 0 THEN 'fixed_art' WHEN id % 4 = 1 THEN 'full_width_hero' WHEN id % 3 < 2 THEN 'single_source_flow' WHEN bold THEN 'line_track_columns' ELSE 'source_columns' END AS template FROM roles")
+def templates(spark, sf_dir):
+    kind = F.when(F.col("id") % 4 == 0, "cover").otherwise("columns")
+    return given(spark, "roles").select("id", pages.template(kind, F.col("id") % 4 == 1, F.col("id") % 3, F.col("bold")).alias("template"))
+
+
+@query("""
+SELECT l_orderkey, median(d)::DOUBLE AS pitch FROM (SELECT l_orderkey, (l_quantity - lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_quantity)) AS d FROM lineitem) WHERE d > 3 AND d < 40 GROUP BY l_orderkey""")
+def median_advance(spark, sf_dir):
+    return pages.line_pitch(table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").alias("y0")), "l_orderkey")
+
+
+@query("SELECT * FROM (VALUES (0, 0, 45.8, 401.9, 530.0, 443.6, 3), (0, 1, 45.8, 500.0, 200.0, 510.0, 1), (0, 2, 45.8, 511.0, 200.0, 540.0, 1)) AS t(page, grp, x0, y0, x1, y1, n)")
+def merged_regions(spark, sf_dir):
+    df = pages.merged_regions(given(spark, "flowing"))
+    return df.select("page", "grp", *(F.round(c, 1).alias(c) for c in ("x0", "y0", "x1", "y1")), "n")
+
+
+@query("""
+WITH b AS (SELECT user_id, list_sort(list(value))[count(value) // 2 + 1] AS body FROM events GROUP BY user_id)
+SELECT e.user_id AS doc, e.event_id AS pos, CASE WHEN value / body >= 2 THEN 1 WHEN value / body >= 1.6 THEN 2 ELSE 3 END AS level FROM events e JOIN b ON b.user_id = e.user_id WHERE value / body >= 1.3""")
+def chapter_levels(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    df = e.select(F.col("user_id").alias("doc"), F.lit(0).alias("page"), F.col("event_id").alias("pos"), F.col("event_type").alias("text"), F.col("value").alias("size"))
+    return pages.chapters(df).select("doc", "pos", "level")
+
+
+@query("SELECT conv_id AS page, arg_min(role, turn) AS title FROM conversations GROUP BY conv_id")
+def best_headings(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return pages.best_headings(c.select(F.col("conv_id").alias("page"), F.col("role").alias("title"), F.lit(1).alias("level"), F.col("turn").alias("pos")))

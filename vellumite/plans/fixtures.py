@@ -60,6 +60,15 @@ text
     "base_layout(page_index, layout)": "(0, 'toc'), (1, 'single'), (2, 'columns'), (3, 'art'), (4, 'single')",
     "semantic_layout(page_index, layout)": "(0, 'single'), (1, 'columns'), (2, 'cover'), (5, 'single')",
     "labels_seen(id, label)": "(1, 'IV'), (2, 'xii'), (3, 'MCMXCIV'), (4, 'iii')",
+    "sheets(page, width, height, image_coverage)": "(0, 600.0, 800.0, 0.6), (1, 600.0, 800.0, 0.0), (2, 600.0, 800.0, 0.0), (3, 600.0, 800.0, 0.0), (4, 600.0, 800.0, 0.0), (5, 600.0, 800.0, 0.1)",
+    "regions(page, x0, y0, x1, y1)": """(0, 0.0, 0.0, 50.0, 10.0), (1, 200.0, 100.0, 400.0, 150.0), (1, 210.0, 300.0, 390.0, 320.0), (2, 20.0, 100.0, 280.0, 500.0), (2, 320.0, 100.0, 580.0, 500.0),
+        (3, 20.0, 20.0, 580.0, 60.0), (3, 20.0, 100.0, 280.0, 200.0), (3, 20.0, 220.0, 280.0, 300.0), (3, 320.0, 100.0, 580.0, 300.0), (4, 20.0, 20.0, 580.0, 100.0), (4, 20.0, 120.0, 580.0, 200.0),
+        (4, 20.0, 220.0, 580.0, 300.0), (4, 20.0, 320.0, 580.0, 400.0)""",
+    "roles(id, y0, y1, size, bold, accent, text)": """(1, 50.0, 100.0, 10.0, false, false, 'Running'), (2, 950.0, 960.0, 8.0, false, false, '12'), (3, 300.0, 320.0, 14.0, false, true, 'Red heading'), (4, 300.0, 340.0, 26.0, false, false, 'Big'),
+        (5, 850.0, 860.0, 8.0, false, false, 'a note.'), (6, 300.0, 400.0, 10.0, false, false, '- one
+- two'), (7, 300.0, 320.0, 12.0, true, false, 'Bold line'), (8, 300.0, 400.0, 10.0, false, false, 'A body line.')""",
+    "flowing(page, pos, size, pitch, x0, y0, x1, y1)": """(0, 1, 9.0, 15.0, 45.8, 401.9, 515.8, 413.6), (0, 2, 9.0, 15.0, 54.3, 416.9, 524.3, 428.6), (0, 3, 9.0, 15.0, 60.0, 431.9, 530.0, 443.6), (0, 4, 9.0, 15.0, 45.8, 500.0, 200.0, 510.0),
+        (0, 5, 14.0, 15.0, 45.8, 511.0, 200.0, 540.0)""",
     "leaks(id, source, translation)": """(1, 'WARNING: stay', 'WARNING: 留下'), (2, 'a', '翻译规则如下：好'), (3, 'a', 'かな'), (4, 'a', '他说【……】走了'), (5, 'a', '[ Damaged ]'), (6, 'STR: 1', 'STR: 1'),
         (7, 'a', '严格遵循术语表，保持上下文'), (8, 'a', '严格遵循术语表'), (9, 'a', '好的'), (10, 'a', '')""",
     "exact_labels(id, text)": "(1, ' | Armor: '), (2, 'armor'), (3, 'Weapon'), (4, 'Green：')",
