@@ -68,10 +68,11 @@ def test_blocks(spark):
 
 
 def test_markdown_is_lossless():
+    assert [k for _, k, *_ in segments.markdown_rows("---\na: 1\n---\n![x](y)\n---")] == ["front_matter", "image", "hr"]
     text = "# T\n\npara one\npara two\n- a\n  more\n- b\n| x | y |\n| --- | --- |\n> q\n```\ncode\n\n```\n---\n<div>\nz\n</div>\n"
     found = segments.markdown_rows(text)
     assert "\n".join(c for _, _, c, _, _ in found) == text
-    assert [k for _, k, _, _, _ in found] == ["heading", "blank", "paragraph", "list_item", "list_item", "table", "blockquote", "code_block", "hr", "html_block", "blank"]
+    assert [k for _, k, _, _, _ in found] == ["heading", "empty_line", "paragraph", "list_item", "list_item", "table", "blockquote", "code_block", "hr", "html_block", "empty_line"]
 
 
 def test_text_clean_ups(spark):

@@ -100,6 +100,10 @@ def is_prose(c: Column, least: int = 30) -> Column:
 
 _HEADING = re.compile(r"^(#{1,6})\s+(.*)$")
 _LIST = re.compile(r"^(\s*)([-*+]|\d+[.)])\s+(.*)$")
+_IMAGE = re.compile(r"^!\[[^\]]*\]\([^)]+\)\s*$")
+#: Tags that open a block.
+_TAGS = "div table pre p ul ol dl fieldset form h1 h2 h3 h4 h5 h6 hr blockquote address article aside details figcaption figure footer header hgroup main nav section summary".split()
+_HTML = re.compile(r"^<(" + "|".join(_TAGS) + r")\b", re.IGNORECASE)
 _RULE = re.compile(r"^\s*([-*_])(?:\s*\1){2,}\s*$")
 
 
@@ -120,8 +124,19 @@ def markdown_rows(text: str) -> list[tuple[int, str, str, int, int]]:
     while i < len(lines):
         line = lines[i]
         if not line.strip():
-            last = run(i, lambda x: not x.strip())
-            put("blank", i, last)
+            last = i
+            put("empty_line", i, i)
+        elif i == 0 and line.rstrip() == "---":
+            last = i + 1
+            while last < len(lines) and lines[last].strip() and lines[last].rstrip() != "---":
+                last += 1
+            last = min(last, len(lines) - 1)
+            if last > i and not lines[last].strip():
+                last -= 1
+            put("front_matter", i, last)
+        elif _IMAGE.match(line):
+            last = i
+            put("image", i, i)
         elif line.lstrip().startswith(("```", "~~~")):
             mark, last = line.lstrip()[:3], i + 1
             while last < len(lines) and not lines[last].lstrip().startswith(mark):
@@ -143,11 +158,11 @@ def markdown_rows(text: str) -> list[tuple[int, str, str, int, int]]:
         elif _LIST.match(line):
             last = run(i, lambda x: x.startswith(("  ", "\t")) and x.strip() and not _LIST.match(x))
             put("list_item", i, last)
-        elif line.lstrip().startswith("<"):
+        elif _HTML.match(line):
             last = run(i, lambda x: x.strip())
             put("html_block", i, last)
         else:
-            stop = lambda x: not x.strip() or _HEADING.match(x) or _LIST.match(x) or x.lstrip().startswith(("|", ">", "```", "~~~", "<"))
+            stop = lambda x: not x.strip() or any(p.match(x) for p in (_HEADING, _LIST, _RULE, _IMAGE, _HTML)) or x.lstrip().startswith(("|", ">", "```", "~~~"))
             last = run(i, lambda x: not stop(x))
             put("paragraph", i, last)
         i = last + 1

@@ -100,18 +100,46 @@ def failure_runs(events: DataFrame, key: str, order: Sequence[str], failed: Colu
     return runs.select(key, "first", "n", F.floor(F.col("n") / threshold).cast("bigint").alias("trips"))
 
 
-def split_retry(blocks: list[int], translate, depth: int = 0, most: int = 3) -> tuple[dict[int, str], list[int]]:
-    """Translate a group; if nothing of it comes back, halve it and try again down to a depth: (done, failed)."""
+def split_retry(blocks: list[int], translate, depth: int = 0, most: int = 10) -> tuple[dict[int, str], list[int]]:
+    """Translate a group; what is missing from a partial answer is tried again, a group without any answer in halves, down to a depth: (done, failed)."""
+    if not blocks or depth > most:
+        return {}, list(blocks)
     done = translate(blocks)
     rest = [b for b in blocks if b not in done]
-    if not rest or depth > most:
+    if not rest or len(blocks) == 1:
         return done, rest
-    if len(blocks) == 1:
-        return done, rest
-    if len(rest) < len(blocks):  # partial success: only the rest is tried again
+    if len(rest) < len(blocks):
         more, failed = split_retry(rest, translate, depth + 1, most)
         return done | more, failed
     half = len(blocks) // 2
     a, fa = split_retry(blocks[:half], translate, depth + 1, most)
     b, fb = split_retry(blocks[half:], translate, depth + 1, most)
     return a | b, fa + fb
+
+
+def loaded(progress: DataFrame, fingerprint: DataFrame) -> DataFrame:
+    """Rows of stored progress, none of them if any key of the fingerprint (key, value) differs from the stored metadata (columns meta, id, text)."""
+    want = fingerprint.agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("want"))
+    one = want.first()["want"] or {}
+    same = F.lit(True)
+    for k, v in sorted(one.items()):
+        same = same & F.col("meta")[k].eqNullSafe(F.lit(v))
+    return progress.where(same).drop("meta")
+
+
+def cleared(state: DataFrame, cache: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """State without the pages, and the cache without entries that hold a cleared page's text."""
+    gone = state.join(pages.select("page_index").distinct(), "page_index", "left_semi")
+    return deleted(state, pages, ["page_index"]), cache.join(gone.select(F.col("text").alias("value")).distinct(), "value", "left_anti")
+
+
+def cached_answers(requests: DataFrame, cache: DataFrame) -> DataFrame:
+    """Requests (id, key) with the cached value (key, value) if there is one that is usable: id, value."""
+    good = cache.where((T.stripped(F.col("value")) != "") & ~T.prompt_leak(F.col("value")) & ~T.has_kana(F.col("value")))
+    return requests.join(good.select("key", "value"), "key").select("id", "value")
+
+
+def progress_summary(pages: DataFrame, done: DataFrame, failed: DataFrame) -> DataFrame:
+    """One row: pages, completed, failed, and pages with text."""
+    df = pages.join(done.select("page_index", F.lit(1).alias("d")).distinct(), "page_index", "left").join(failed.select("page_index", F.lit(1).alias("f")).distinct(), "page_index", "left")
+    return df.agg(F.count("*").alias("n"), F.count("d").alias("n_done"), F.count("f").alias("n_failed"), F.count_if(T.stripped(F.col("text")) != "").alias("n_text"))
