@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vellumite.functions import blocks as B
 from vellumite.functions import geometry as G
 from vellumite.functions import text as T
-from vellumite.operators import layout, ordered, orders, pages, quality, rules, segments, state, terms
+from vellumite.operators import layout, ordered, orders, pages, quality, review, rules, segments, state, terms
 from vellumite.plans.fixtures import given, with_
 from vellumite.tables import table
 
@@ -654,3 +654,67 @@ def chapter_levels(spark, sf_dir):
 def best_headings(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     return pages.best_headings(c.select(F.col("conv_id").alias("page"), F.col("role").alias("title"), F.lit(1).alias("level"), F.col("turn").alias("pos")))
+
+
+@query(with_("terms_now", "decisions") + """
+SELECT term, coalesce(d.target, g.target) AS target FROM terms_now g FULL JOIN (SELECT * FROM decisions WHERE action <> 'ignore') d USING (term)""")
+def glossary_review(spark, sf_dir):
+    return review.reviewed(given(spark, "terms_now"), given(spark, "decisions"))
+
+
+@query(with_("terms_now", "decisions") + "SELECT term, target FROM terms_now WHERE term NOT IN (SELECT term FROM decisions) UNION ALL SELECT term, target FROM decisions")
+def glossary_overlay(spark, sf_dir):
+    return review.overlaid(given(spark, "terms_now"), given(spark, "decisions").select("term", "target"))
+
+
+@query(with_("owners_expected", "owners") + """, f AS (SELECT block_id, count(*) AS n, min(page) AS p FROM owners GROUP BY block_id),
+w AS (SELECT CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'multiple' WHEN p <> page THEN 'wrong page' END AS problem, e.block_id FROM owners_expected e LEFT JOIN f ON f.block_id = e.block_id)
+SELECT problem, block_id FROM w WHERE problem IS NOT NULL""")
+def render_ownership(spark, sf_dir):
+    return review.ownership(given(spark, "owners_expected"), given(spark, "owners"))
+
+
+@query("SELECT * FROM (VALUES (1, 'iii-v, 1-2, 4'), (2, 'A1, A2, x')) AS t(doc, ranges)")
+def labelled_ranges(spark, sf_dir):
+    return review.labelled_ranges(given(spark, "page_labels"), ["doc"])
+
+
+@query(with_("overprinted") + """, g AS (SELECT *, sum(CASE WHEN text IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY pos) AS g FROM (SELECT *, lag(text) OVER (PARTITION BY id ORDER BY pos) AS p FROM overprinted))
+SELECT id, pos FROM g QUALIFY row_number() OVER (PARTITION BY id, g ORDER BY luminance DESC, pos DESC) = 1""")
+def overprint_dedupe(spark, sf_dir):
+    return review.kept_overprints(given(spark, "overprinted"))
+
+
+@query(with_("diary") + """, d AS (SELECT *, regexp_matches(text, '^\\d{1,2} [A-Z][a-z]+ \\d{4}$') AS d FROM diary), e AS (SELECT *, sum(d::INT) OVER (PARTITION BY id ORDER BY pos) AS entry FROM d)
+SELECT id, entry::BIGINT AS entry, max(text) FILTER (d) AS date, coalesce(string_agg(text, ' ' ORDER BY pos) FILTER (NOT d), '') AS text FROM e WHERE entry > 0 GROUP BY id, entry""")
+def date_groups(spark, sf_dir):
+    return review.date_groups(given(spark, "diary"), F.col("text").rlike("^\\d{1,2} [A-Z][a-z]+ \\d{4}$"))
+
+
+@query(with_("runs") + """
+SELECT run, coalesce(cached_tokens / nullif(input_tokens, 0), 0)::DOUBLE AS cache_hit_rate, round(coalesce(cost_usd / nullif(translated_pages, 0), 0)::DOUBLE, 9) AS cost_per_page, printf('$%.3f', cost_usd::DOUBLE) AS cost FROM runs""")
+def run_effect(spark, sf_dir):
+    df = given(spark, "runs").withColumn("cost_usd", F.col("cost_usd").cast("double"))
+    cost = df.select("run", review.cost_text(F.col("cost_usd")).alias("cost"))
+    return review.run_effect(df).withColumn("cost_per_page", F.round(F.coalesce("cost_per_page", F.lit(0.0)), 9)).join(cost, "run")
+
+
+@query("SELECT * FROM (VALUES (1, 'a<b>b</b><bi>c</bi>'), (2, 'xy')) AS t(id, text)")
+def run_markers(spark, sf_dir):
+    return review.marked_runs(given(spark, "styled"))
+
+
+@query("SELECT * FROM (VALUES (1, ''), (2, 'open strong'), (3, 'unpaired em'), (4, 'tag u')) AS t(id, error)")
+def emphasis_errors(spark, sf_dir):
+    return review.checked_emphasis(given(spark, "tagged"))
+
+
+@query("SELECT doc_id, lang, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) <= 12")
+def longest_by_source(spark, sf_dir):
+    return orders.capped(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"), ["source"], [F.desc("n_chars"), F.col("doc_id")], 12).drop("n_chars")
+
+
+@query("""
+SELECT page_id, greatest(0, 2000000000 - page_id * 86400)::DOUBLE / 86400 AS age FROM pages""")
+def ages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", review.age_days((F.col("page_id") * 86_400).cast("double"), F.lit(2_000_000_000.0)).alias("age"))

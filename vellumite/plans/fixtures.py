@@ -69,6 +69,16 @@ text
 - two'), (7, 300.0, 320.0, 12.0, true, false, 'Bold line'), (8, 300.0, 400.0, 10.0, false, false, 'A body line.')""",
     "flowing(page, pos, size, pitch, x0, y0, x1, y1)": """(0, 1, 9.0, 15.0, 45.8, 401.9, 515.8, 413.6), (0, 2, 9.0, 15.0, 54.3, 416.9, 524.3, 428.6), (0, 3, 9.0, 15.0, 60.0, 431.9, 530.0, 443.6), (0, 4, 9.0, 15.0, 45.8, 500.0, 200.0, 510.0),
         (0, 5, 14.0, 15.0, 45.8, 511.0, 200.0, 540.0)""",
+    "decisions(term, target, action)": "('Agent', '干员', 'update'), ('Raven', '渡鸦', 'add'), ('agent', '?', 'ignore')",
+    "terms_now(term, target)": "('Agent', '特工'), ('agent', '探员'), ('Green', '绿色')",
+    "owners_expected(block_id, page)": "('a', 0), ('b', 0), ('c', 1), ('d', 1)",
+    "owners(block_id, page)": "('a', 0), ('b', 0), ('b', 0), ('c', 0)",
+    "page_labels(doc, page, label)": "(1, 0, 'iii'), (1, 1, 'iv'), (1, 2, 'v'), (1, 3, '1'), (1, 4, '2'), (1, 5, '4'), (2, 0, 'A1'), (2, 2, 'A2'), (2, 3, 'x')",
+    "overprinted(id, pos, text, luminance)": "(1, 0, 'a', 10.0), (1, 1, 'a', 90.0), (1, 2, 'a', 90.0), (1, 3, 'b', 1.0), (1, 4, 'a', 0.0)",
+    "diary(id, pos, text)": "(1, 0, 'before'), (1, 1, '1 May 1925'), (1, 2, 'they'), (1, 3, 'came'), (1, 4, '2 May 1925')",
+    "runs(run, input_tokens, cached_tokens, cost_usd, translated_pages)": "('r', 1000, 250, 0.6, 3), ('z', 0, 0, 0.0, 0)",
+    "styled(id, pos, text, bold, italic)": "(1, 0, 'a', NULL, NULL), (1, 1, 'b', true, NULL), (1, 2, 'c', true, true), (2, 0, 'x', true, NULL), (2, 1, 'y', true, NULL)",
+    "tagged(id, text)": "(1, 'a <strong>b <em>c</em></strong>'), (2, '<strong>x'), (3, '</em>'), (4, '<u>x</u>')",
     "leaks(id, source, translation)": """(1, 'WARNING: stay', 'WARNING: 留下'), (2, 'a', '翻译规则如下：好'), (3, 'a', 'かな'), (4, 'a', '他说【……】走了'), (5, 'a', '[ Damaged ]'), (6, 'STR: 1', 'STR: 1'),
         (7, 'a', '严格遵循术语表，保持上下文'), (8, 'a', '严格遵循术语表'), (9, 'a', '好的'), (10, 'a', '')""",
     "exact_labels(id, text)": "(1, ' | Armor: '), (2, 'armor'), (3, 'Weapon'), (4, 'Green：')",
