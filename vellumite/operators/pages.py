@@ -89,10 +89,51 @@ def best_headings(df: DataFrame) -> DataFrame:
 
 
 def chapters(lines: DataFrame) -> DataFrame:
-    """Lines (doc, page, pos, text, size) whose size is 1.3 times the document's upper median and more: level 1 from 2 times on, 2 from 1.6, else 3."""
+    """Headings of documents by size against the upper median: 1 from 1.8 times on, 2 from 1.4, 3 from 1.3; bold capitals are 2 from 1.1 on.
+
+    lines: doc, page, pos, text, size, bold, caps. Gives doc, page, pos, title, level.
+    """
     body = lines.groupBy("doc").agg(F.expr("element_at(array_sort(collect_list(size)), cast(count(size) div 2 + 1 as int))").alias("body"))
-    df = lines.join(body, "doc").withColumn("ratio", F.col("size") / F.col("body")).where("ratio >= 1.3")
-    return df.select("doc", "page", "pos", F.col("text").alias("title"), F.when(F.col("ratio") >= 2, 1).when(F.col("ratio") >= 1.6, 2).otherwise(3).alias("level"))
+    ratio = F.col("size") / F.col("body")
+    level = F.when(ratio >= 1.8, 1).when(ratio >= 1.4, 2).when(ratio >= 1.3, 3).when(F.col("bold") & F.col("caps") & (ratio >= 1.1), 2)
+    return lines.join(body, "doc").select("doc", "page", "pos", F.col("text").alias("title"), level.alias("level")).where("level IS NOT NULL")
+
+
+def contents(headings: DataFrame) -> DataFrame:
+    """doc, text: an indented Markdown list of each document's headings."""
+    line = F.concat(F.repeat(F.lit("  "), F.col("level") - 1), F.lit("- ["), F.col("title"), F.lit("](#page-"), (F.col("page") + 1).cast("string"), F.lit(")"))
+    parts = F.array_sort(F.collect_list(F.struct("page", "pos", line.alias("t"))))
+    return headings.groupBy("doc").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias("text"))
+
+
+def is_title_card(text: Column, size: Column, median: Column, x0: Column, y0: Column, x1: Column, width: Column, height: Column) -> Column:
+    """A short line of twice the median size that stands centred near the top, or begins at the left of the top band."""
+    s = T.stripped(F.regexp_replace(T.stripped(text), "^#\\s*", ""))
+    fits = (s != "") & (F.length(s) <= 120) & ~s.rlike("[.!?。！？]$") & (size >= median * 2.0)
+    centred = (F.abs((x0 + x1) / 2 - width / 2) <= width * 0.16) & (x0 <= width * 0.42) & (x1 >= width * 0.58)
+    return fits & (((y0 < height * 0.22) & centred) | ((y0 < height * 0.13) & (x0 <= width * 0.20) & (x1 >= width * 0.50)))
+
+
+def body_fonts(blocks: DataFrame) -> DataFrame:
+    """page, font: fonts of narrow blocks (page, width, page_width, n_lines, fonts) of three lines and more that have three tenths of the most lines."""
+    df = blocks.where((F.col("width") <= F.col("page_width") * 0.55) & (F.col("n_lines") >= 3)).select("page", "n_lines", F.explode("fonts").alias("font"))
+    n = df.groupBy("page", "font").agg(F.sum("n_lines").alias("n"))
+    return n.withColumn("most", F.max("n").over(W.partitionBy("page"))).where(F.col("n") >= F.col("most") * 0.3).select("page", "font")
+
+
+def background(drawings: DataFrame, pages: DataFrame) -> DataFrame:
+    """page, colour: the first fill (page, seq, colour, box) that covers nine tenths of the page and is not white, else null."""
+    d = drawings.join(pages.select("page", "width", "height"), "page")
+    area = F.abs((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+    hit = d.where(F.col("colour").isNotNull() & (F.col("colour") != "#ffffff") & (area >= F.col("width") * F.col("height") * 0.9))
+    return pages.select("page").join(hit.groupBy("page").agg(F.min_by("colour", "seq").alias("colour")), "page", "left")
+
+
+def role_notes(blocks: DataFrame) -> DataFrame:
+    """page, roles: how many blocks of each role a page has, as "body=3, title=1"."""
+    n = blocks.groupBy("page", "role").count()
+    parts = F.array_sort(F.collect_list(F.concat("role", F.lit("="), F.col("count").cast("string"))))
+    return n.groupBy("page").agg(F.array_join(parts, ", ").alias("roles"))
 
 
 def line_pitch(lines: DataFrame, *keys: str, least: float = 3.0, most: float = 40.0) -> DataFrame:

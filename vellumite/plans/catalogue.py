@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vellumite.functions import blocks as B
 from vellumite.functions import geometry as G
 from vellumite.functions import text as T
-from vellumite.operators import layout, ordered, orders, pages, quality, review, rules, segments, state, terms
+from vellumite.operators import documents, layout, ordered, orders, pages, quality, review, rules, segments, state, terms
 from vellumite.plans.fixtures import given, with_
 from vellumite.tables import table
 
@@ -642,14 +642,29 @@ def merged_regions(spark, sf_dir):
 
 
 @query("""
-WITH b AS (SELECT user_id, list_sort(list(value))[count(value) // 2 + 1] AS body FROM events GROUP BY user_id)
-SELECT e.user_id AS doc, e.event_id AS pos, CASE WHEN value / body >= 2 THEN 1 WHEN value / body >= 1.6 THEN 2 ELSE 3 END AS level FROM events e JOIN b ON b.user_id = e.user_id WHERE value / body >= 1.3""")
+WITH b AS (SELECT user_id, list_sort(list(value))[count(value) // 2 + 1] AS body FROM events GROUP BY user_id),
+l AS (SELECT e.user_id AS doc, e.event_id AS pos, CASE WHEN value / body >= 1.8 THEN 1 WHEN value / body >= 1.4 THEN 2 WHEN value / body >= 1.3 THEN 3 WHEN event_type = 'click' AND value / body >= 1.1 THEN 2 END AS level
+      FROM events e JOIN b ON b.user_id = e.user_id)
+SELECT * FROM l WHERE level IS NOT NULL""")
 def chapter_levels(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    df = e.select(F.col("user_id").alias("doc"), F.lit(0).alias("page"), F.col("event_id").alias("pos"), F.col("event_type").alias("text"), F.col("value").alias("size"))
+    bold = (F.col("event_type") == "click").alias("bold")
+    df = e.select(F.col("user_id").alias("doc"), F.lit(0).alias("page"), F.col("event_id").alias("pos"), F.col("event_type").alias("text"), F.col("value").alias("size"), bold, F.lit(True).alias("caps"))
     return pages.chapters(df).select("doc", "pos", "level")
 
 
+@query("SELECT conv_id AS doc, string_agg(repeat('  ', turn % 3) || '- [' || role || '](#page-' || (turn + 1) || ')', chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def contents_list(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    heads = c.select(F.col("conv_id").alias("doc"), F.col("turn").cast("int").alias("page"), F.lit(0).alias("pos"), F.col("role").alias("title"), (F.col("turn") % 3 + 1).cast("int").alias("level"))
+    return pages.contents(heads)
+
+
+@query("""WITH n AS (SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY ALL) SELECT conv_id AS page, string_agg(role || '=' || n, ', ' ORDER BY role) AS roles FROM n GROUP BY conv_id""")
+def role_notes(spark, sf_dir):
+    return pages.role_notes(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page"), "role"))
+
+
 @query("SELECT conv_id AS page, arg_min(role, turn) AS title FROM conversations GROUP BY conv_id")
 def best_headings(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
@@ -718,3 +733,15 @@ def longest_by_source(spark, sf_dir):
 SELECT page_id, greatest(0, 2000000000 - page_id * 86400)::DOUBLE / 86400 AS age FROM pages""")
 def ages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", review.age_days((F.col("page_id") * 86_400).cast("double"), F.lit(2_000_000_000.0)).alias("age"))
+
+
+@query()
+def marker_chunks(spark, sf_dir):
+    df = documents.chunks(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return df.groupBy("id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query()
+def joined_headings(spark, sf_dir):
+    df = documents.with_joined_headings(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return df.select("id", F.length("text").alias("n_chars"))
