@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumite.llm.common import map_arrow
+from vellumite.llm.common import Store, map_arrow
 from vellumite.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -70,13 +70,13 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class BpeCodec:
     """Encodes pieces of bytes to ids and back, distinct pieces at a time."""
 
-    def __init__(self, path: str, pattern: str, limit: int = 150_000, long_bytes: int = 192, chunk: int = 30_000) -> None:
+    def __init__(self, path: str, pattern: str, limit: int = 350_000, long_bytes: int = 192, chunk: int = 30_000) -> None:
         import duckdb
         import regex
 
         self.ranks = load_ranks(path)
         self.pattern = regex.compile(pattern)
-        self.limit, self.long_bytes, self.chunk = limit, long_bytes, chunk
+        self.long_bytes, self.chunk = long_bytes, chunk
         self.bytes_of = {r: t for t, r in self.ranks.items()}
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         left, right, merged = [], [], []
@@ -94,8 +94,7 @@ class BpeCodec:
             self.db.register("given", data)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
-        self.pieces: dict[str, tuple[str, bytes]] = {}
-        self.parts: dict[str, tuple[str, bytes]] = {}
+        self.pieces, self.parts = Store(limit), Store(max(1, limit // 3))
 
     def _contract(self, words: list[bytes]) -> Iterator[tuple[int, str, bytes]]:
         lengths = np.array([len(w) for w in words], np.int64)
@@ -142,43 +141,38 @@ class BpeCodec:
         ids = [t for t in toks if t is not None]
         return ",".join(map(str, ids)), b"".join(self.bytes_of[t] for t in ids)
 
-    def _learn(self, pieces: Iterable[str]) -> None:
-        """Put the pieces into the store."""
+    def _made(self, pieces: Iterable[str]) -> dict[str, tuple[str, bytes]]:
+        """(ids joined by commas, decoded bytes) of each piece."""
+        made: dict[str, tuple[str, bytes]] = {}
         rest: list[str] = []
         for p in pieces:
             raw = p.encode()
             if (r := self.ranks.get(raw)) is not None:
-                self.pieces[p] = (str(r), self.bytes_of[r])
+                made[p] = (str(r), self.bytes_of[r])
             elif len(raw) > self.long_bytes:
-                self.pieces[p] = self._heap(raw)
+                made[p] = self._heap(raw)
             else:
                 rest.append(p)
         for i in range(0, len(rest), self.chunk):
             some = rest[i : i + self.chunk]
             for k, ids, raw in self._contract([p.encode() for p in some]):
-                self.pieces[some[k]] = (ids, raw)
+                made[some[k]] = (ids, raw)
+        return made
 
     def encode(self, texts: list[str | None]) -> list[tuple[str, bytes]]:
         """(ids joined by commas, decoded bytes) of every text."""
         found = [_PARTS.findall(t or "") for t in texts]
-        new = {p for x in found for p in x if p not in self.parts}
-        if len(self.parts) + len(new) > self.limit:
-            self.parts.clear()
-            new = {p for x in found for p in x}
+        parts, new = self.parts.known({p for x in found for p in x})
         split = {p: self.pattern.findall(p) for p in new}
-        unknown = {q for x in split.values() for q in x if q not in self.pieces}
-        if len(self.pieces) + len(unknown) > self.limit:
-            self.pieces.clear()
-            unknown = {q for x in split.values() for q in x}
-        self._learn(unknown)
-        for p, x in split.items():
-            got = [self.pieces[q] for q in x]
-            self.parts[p] = got[0] if len(got) == 1 else (",".join([g[0] for g in got]), b"".join([g[1] for g in got]))
-        out = []
-        for x in found:
-            got = [self.parts[p] for p in x]
-            out.append((",".join([g[0] for g in got]), b"".join([g[1] for g in got])))
-        return out
+        pieces, unknown = self.pieces.known({q for x in split.values() for q in x})
+        made = self._made(unknown)
+        self.pieces.put(made)
+        pieces |= made
+        join = lambda got: got[0] if len(got) == 1 else (",".join([g[0] for g in got]), b"".join([g[1] for g in got]))
+        fresh = {p: join([pieces[q] for q in x]) for p, x in split.items()}
+        self.parts.put(fresh)
+        parts |= fresh
+        return [join([parts[p] for p in x]) for x in found]
 
 
 _CODECS: dict[tuple[str, str], BpeCodec] = {}
