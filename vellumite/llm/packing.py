@@ -17,6 +17,8 @@ there; rows that repeat a doc_id are packed one by one; an empty table gives no
 
 from __future__ import annotations
 
+import os
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -26,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumite.llm.common import map_arrow
+from vellumite.llm.common import Store, map_arrow
 from vellumite.tables import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -60,27 +62,25 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class PartEncoder:
     """Ids of a text as little-endian unsigned 32-bit bytes, part by part."""
 
-    BLANKS = str.maketrans("\t\n\r", "   ")
-
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 350_000) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {"": b""}
-        self.limit = limit
+        self.store = Store(limit)
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        parts = [(t or "").translate(self.BLANKS).split(" ") if t and not t.isascii() else (t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list({p for x in parts for p in x if p not in self.known})
-        if len(self.known) + len(new) > self.limit:
-            self.known = {"": b""}
-            new = list({p for x in parts for p in x if p})
+        parts = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        known, new = self.store.known({p for x in parts for p in x})
+        fresh = {}
         for i in range(0, len(new), 4096):
             some = new[i : i + 4096]
             for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
+                fresh[p] = array("I", e.ids).tobytes()
+        self.store.put(fresh)
+        known |= fresh
+        get = known.__getitem__
         return [b"".join(map(get, x)) for x in parts]
 
 
