@@ -70,22 +70,19 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return map_arrow(with_row(docs.select("doc_id", "text")), run, f"doc_id long, {ROW} long, fp long")
 
 
-#: A half's counts are kept as two-bit fields of a long: segment i of the half at bits 2i and 2i + 1.
-_ODD = 0x5555555555555555
+#: The low bit of every segment.
+_LOW = 0x5555555555555555
 
 
 def embedded(fp: np.ndarray) -> np.ndarray:
-    """All 32 counts of a fingerprint, as two-bit fields of one unsigned long."""
-    return (fp & np.uint64(_ODD)) + ((fp >> np.uint64(1)) & np.uint64(_ODD))
+    """The 32 counts of a fingerprint as one unsigned long, each in unary (00, 01, 11), so that the bits in which two embeddings differ are their Manhattan distance."""
+    above = fp >> np.uint64(1)
+    return ((fp | above) & np.uint64(_LOW)) | ((fp & above & np.uint64(_LOW)) << np.uint64(1))
 
 
 def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distance of two embeddings."""
-    total = np.zeros(np.broadcast(a, b).shape, np.int64)
-    for i in range(32):
-        x, y = (a >> np.uint64(2 * i)) & np.uint64(3), (b >> np.uint64(2 * i)) & np.uint64(3)
-        total += np.abs(x.astype(np.int64) - y.astype(np.int64))
-    return total
+    return np.bitwise_count(a ^ b)
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,8 +98,9 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cells.append(part | tag)
             owners.append(fp)
             for i in range(16):
-                up = ((part >> (2 * i)) & 3) < 2
-                cells.append((part[up] + (1 << (2 * i))) | tag)
+                count = (part >> (2 * i)) & 3
+                up = count < 3
+                cells.append((part[up] | ((count[up] + 1) << (2 * i))) | tag)  # 00 to 01, 01 to 11 (as 01 | 10)
                 owners.append(fp[up])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)), pa.array(np.concatenate(owners).view(np.int64))], ["cell", "fp"])
 
@@ -124,46 +122,42 @@ def linked(members: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int
     return found
 
 
+def cell_links(cell: np.ndarray, fp: np.ndarray, max_bits: int = MAX_BITS, small: int = 8) -> np.ndarray:
+    """Links (rows of two, the smaller first) that connect what is linked inside each of some whole cells, given in order.
+
+    Cells of up to `small` members are looked at side by side; each larger one gets a spanning forest of its own.
+    """
+    starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(starts, len(cell)))
+    shape, few = embedded(fp), np.repeat(sizes <= small, sizes)
+    found = [np.empty((0, 2), np.uint64)]
+    for step in range(1, min(small, int(sizes.max(initial=1)))):
+        i = np.flatnonzero((cell[step:] == cell[:-step]) & few[:-step])
+        i = i[manhattan(shape[i], shape[i + step]) <= max_bits]  # the lower bound first
+        i = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= max_bits]
+        found.append(np.stack([fp[i], fp[i + step]], 1))
+    for s, n in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
+        if forest := linked(fp[s : s + n], max_bits):
+            found.append(np.array(forest, np.uint64))
+    both = np.concatenate(found).view(np.int64)
+    return np.unique(np.stack([both.min(1, initial=np.iinfo(np.int64).max), both.max(1, initial=np.iinfo(np.int64).min)], 1), axis=0)
+
+
 def _forest(max_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_cell: int | None = None
-        held: list[np.ndarray] = []
-
-        def solve(parts: list[np.ndarray]) -> list[tuple[int, int]]:
-            members = np.concatenate(parts)
-            if len(members) < 2:
-                return []
-            if len(members) <= 64:  # the lower bound first, then bits
-                shape = embedded(members)
-                near = manhattan(shape[:, None], shape[None, :]) <= max_bits
-                if near.sum() == len(members):  # each only to itself
-                    return []
-            return linked(members, max_bits)
-
-        def out(links: list[tuple[int, int]]) -> pa.RecordBatch:
-            both = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(both.min(1)), pa.array(both.max(1))], ["a", "b"])
-
-        links: list[tuple[int, int]] = []
+        cell, fp = np.empty(0, np.int64), np.empty(0, np.uint64)
+
+        def out(n: int) -> pa.RecordBatch:
+            links = cell_links(cell[:n], fp[:n], max_bits)
+            return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
+
         for b in batches:
-            cell, fp = b.column("cell").to_numpy(), b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            if not len(cell):
-                continue
-            edges = np.flatnonzero(np.diff(cell)) + 1
-            bounds = [0, *edges.tolist(), len(cell)]
-            for s, e in zip(bounds, bounds[1:], strict=False):
-                if held_cell is not None and cell[s] == held_cell:
-                    held.append(fp[s:e])
-                    continue
-                if held:
-                    links += solve(held)
-                held_cell, held = cell[s], [fp[s:e]]
-            if len(links) > 50_000:
-                yield out(links)
-                links = []
-        if held:
-            links += solve(held)
-        yield out(links)
+            cell = np.concatenate([cell, b.column("cell").to_numpy()])
+            fp = np.concatenate([fp, b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)])
+            if len(cell) > 200_000 and (whole := int(np.searchsorted(cell, cell[-1]))):
+                yield out(whole)  # the last cell may go on
+                cell, fp = cell[whole:], fp[whole:]
+        yield out(len(cell))
 
     return run
 
