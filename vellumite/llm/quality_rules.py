@@ -49,64 +49,78 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a.cast("double") / b.cast("double")).otherwise(F.lit(0.0))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts that rules are made of, in a chain of projections over the scan."""
-    strip = f"trim(BOTH '{SPACE_CHARS}' FROM coalesce(text, ''))"
-    df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.expr(strip).alias("body"))
-    words = F.when(F.length("body") == 0, F.array().cast("array<string>")).otherwise(F.split("body", f"{SPACE_CLASS}+"))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, SPACE_CHARS, "") != "")
-    df = df.select("doc_id", "text", words.alias("words"), lines.alias("lines"))
-    df = df.select("*", F.size("words").alias("n"))
-    # Positions of 3-word windows with a hash; equal hashes end up side by side.
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body with value bound to a variable, so that it is evaluated once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _twins(arr: Column, *keys: str) -> Callable[[Column, Column], Column]:
+    """Does an element of a sorted array agree with a neighbour in the keys?"""
+
+    def same(x: Column, other: Column) -> Column:
+        hit = F.lit(True)
+        for k in keys:
+            hit = hit & F.coalesce(x[k] == other[k], F.lit(False))
+        return hit
+
+    return lambda x, i: same(x, F.get(arr, i - 1)) | same(x, F.get(arr, i + 1))
+
+
+def _repeat_words(words: Column, n: Column) -> Column:
+    """Words in 3-word windows that occur twice or more."""
     hashes = F.transform(
-        F.sequence(F.lit(0), F.col("n") - 3),
-        lambda i: F.struct(F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("i")),
+        F.sequence(F.lit(0), n - 3),
+        lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")),
     )
     none = F.array().cast("array<struct<h:bigint,i:int>>")
-    df = df.select("*", F.when(F.col("n") >= 4, F.sort_array(hashes)).otherwise(none).alias("s"))
-
-    def twins(arr: str, *keys: str) -> Callable[[Column, Column], Column]:
-        def same(x: Column, other: Column) -> Column:
-            hit = F.coalesce(x[keys[0]] == other[keys[0]], F.lit(False))
-            for k in keys[1:]:
-                hit = hit & F.coalesce(x[k] == other[k], F.lit(False))
-            return hit
-
-        return lambda x, i: same(x, F.get(arr, i - 1)) | same(x, F.get(arr, i + 1))
-
-    df = df.select("doc_id", "text", "words", "lines", "n", F.filter("s", twins("s", "h")).alias("c"))
-    # Among windows with equal hashes, compare the words themselves.
-    exact = F.sort_array(
-        F.transform(
-            "c",
-            lambda x: F.struct(
-                x["h"].alias("h"),
-                F.concat_ws(" ", F.get("words", x["i"]), F.get("words", x["i"] + 1), F.get("words", x["i"] + 2)).alias("t"),
-                x["i"].alias("i"),
-            ),
-        )
+    spelled = lambda x: F.struct(
+        x["h"].alias("h"), F.concat_ws(" ", F.get(words, x["i"]), F.get(words, x["i"] + 1), F.get(words, x["i"] + 2)).alias("t"), x["i"].alias("i")
     )
-    df = df.select("doc_id", "text", "words", "lines", "n", exact.alias("e"))
-    found = F.sort_array(F.transform(F.filter("e", twins("e", "h", "t")), lambda x: x["i"]))
-    covered = F.aggregate(
-        found,
+    # Windows with equal hashes end up side by side; among those, the words themselves are compared.
+    alike = _let(F.when(n >= 4, F.sort_array(hashes)).otherwise(none), lambda s: F.filter(s, _twins(s, "h")))
+    equal = _let(F.sort_array(F.transform(alike, spelled)), lambda e: F.filter(e, _twins(e, "h", "t")))
+    return F.aggregate(
+        F.sort_array(F.transform(equal, lambda x: x["i"])),
         F.struct(F.lit(-3).alias("last"), F.lit(0).cast("bigint").alias("total")),
         lambda a, p: F.struct(p.alias("last"), (a["total"] + F.least(F.lit(3), p - a["last"])).alias("total")),
         lambda a: a["total"],
     )
-    return df.select(
-        "doc_id",
-        F.col("n").cast("bigint").alias("n_words"),
-        F.length(F.translate("text", SPACE_CHARS, "")).cast("bigint").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("bigint").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
-        covered.alias("n_repeat_words"),
-        F.size("lines").cast("bigint").alias("n_lines"),
-        F.size(F.filter("words", lambda w: w.isin(STOP_WORDS))).cast("bigint").alias("n_stop"),
-        F.aggregate("words", F.lit(0), lambda a, w: F.greatest(a, F.length(w))).cast("bigint").alias("max_word_chars"),
+
+
+def _counts(text: Column) -> Column:
+    body = F.regexp_replace(text, f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+    words = _let(body, lambda b: F.when(F.length(b) == 0, F.array().cast("array<string>")).otherwise(F.split(b, f"{SPACE_CLASS}+")))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACE_CHARS, "") != "")
+
+    def of_words(w: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("bigint").alias("n_words"),
+            _let(F.size(w), lambda n: _repeat_words(w, n)).alias("n_repeat_words"),
+            F.size(F.filter(w, lambda x: x.isin(STOP_WORDS))).cast("bigint").alias("n_stop"),
+            F.aggregate(w, F.lit(0), lambda a, x: F.greatest(a, F.length(x))).cast("bigint").alias("max_word_chars"),
+        )
+
+    def of_lines(v: Column) -> Column:
+        return F.struct(F.size(v).cast("bigint").alias("n_lines"), (F.size(v) - F.size(F.array_distinct(v))).cast("bigint").alias("n_dup_lines"))
+
+    return F.struct(
+        F.length(F.translate(text, SPACE_CHARS, "")).cast("bigint").alias("word_chars"),
+        (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("bigint").alias("n_symbols"),
+        _let(words, of_words).alias("w"),
+        _let(lines, of_lines).alias("l"),
     )
 
 
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id and the counts that rules are made of, from one projection over the scan.
+
+    The row number in the projection keeps the optimiser from copying it into filters that stand above.
+    """
+    row = F.struct(F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    df = docs.select("doc_id", _let(row, lambda r: F.struct(r["row"].alias("row"), _counts(r["text"]).alias("c"))).alias("m"))
+    return df.select("doc_id", "m.c.w.*", "m.c.l.*", "m.c.word_chars", "m.c.n_symbols")
+
+
 def metrics() -> dict[str, Column]:
     return {
         "n_words": F.col("n_words").cast("double"),
