@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumite.llm.common import NULL_ID, ROW, map_arrow, stable, with_row, written
+from vellumite.llm.common import NULL_ID, ROW, discard, map_arrow, stable, with_row, written
 from vellumite.tables import table
 
 SPACES = re.compile(rb"[\x20\x09-\x0D]+")
@@ -210,25 +210,33 @@ def _across_splits(budget: int, bits: int):
     return run
 
 
-def exact_dedup(docs: DataFrame, budget: int = 96 << 20, bits: int = 4) -> DataFrame:
-    """One row per input row: doc_id, row identity, keep_id, group_size, kept, text_sha256.
-
-    budget: bytes of contents that a task's table may hold before it deals them out to 2**bits files.
-    """
+def _grouped(docs: DataFrame, budget: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """The written members of each split, and the result that is read from them."""
     rows = with_row(stable(docs.select("doc_id", "text")))
     local = written(map_arrow(rows, _within_split(budget, bits), f"doc_id long, {ROW} long, rep long, n long, h long, content binary"), "exact_dedup")
     first = local.where("content IS NOT NULL").select("h", "content", "doc_id", "rep", "n").repartition("h")
     final = map_arrow(first, _across_splits(budget, bits), "rep long, keep_id long, keep_row long, group_size long, text_sha256 string")
     null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
-    return local.select("doc_id", ROW, "rep").join(final, "rep").select(
+    found = local.select("doc_id", ROW, "rep").join(final, "rep").select(
         null("doc_id"), ROW, null("keep_id"), "group_size", (F.col(ROW) == F.col("keep_row")).alias("kept"), "text_sha256"
     )
+    return local, found
+
+
+def exact_dedup(docs: DataFrame, budget: int = 96 << 20, bits: int = 4) -> DataFrame:
+    """One row per input row: doc_id, row identity, keep_id, group_size, kept, text_sha256.
+
+    budget: bytes of contents that a task's table may hold before it deals them out to 2**bits files.
+    """
+    return _grouped(docs, budget, bits)[1]
 
 
 def without_copies(docs: DataFrame, budget: int = 96 << 20, bits: int = 4) -> DataFrame:
     """The rows that stay, with all their columns."""
     docs = stable(docs)
-    stay = exact_dedup(docs, budget, bits).where("kept").select(ROW)
+    local, found = _grouped(docs, budget, bits)
+    stay = written(found.where("kept").select(ROW), "kept")
+    discard(local)
     return with_row(docs).join(stay, ROW, "left_semi").drop(ROW)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellumite.llm.common import ROW, map_arrow, stable, with_row, written
+from vellumite.llm.common import ROW, discard, map_arrow, stable, with_row, written
 from vellumite.tables import table
 
 LENGTH = 400
@@ -199,9 +199,8 @@ def _runs(flags: np.ndarray) -> tuple[list[int], list[int]]:
     return edges[0::2].tolist(), (edges[1::2] - 1).tolist()
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_bytes: int = 2 << 20, most_bytes: int = 12 << 20) -> DataFrame:
-    """doc_id, row identity, text and spans (array of begin, end) of every row; spans may overlap and are not in order."""
-    rows = with_row(stable(docs.select("doc_id", "text")))
+def _spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_bytes: int = 2 << 20, most_bytes: int = 12 << 20) -> tuple[DataFrame, list[DataFrame]]:
+    """Row identity and spans (array of begin, end; they may overlap and are not in order) of rows that have any, and the written tables they are read from."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -261,7 +260,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
         ROW, F.explode(F.arrays_zip("begins", "stops")).alias("s"), "a"
     )
     spans = spans.select(ROW, F.struct((F.col("a") + F.col("s.begins")).alias("begin"), (F.col("a") + F.col("s.stops") + length).alias("end")).alias("s"))
-    return rows.join(spans.groupBy(ROW).agg(F.collect_list("s").alias("spans")), ROW, "left")
+    return spans.groupBy(ROW).agg(F.collect_list("s").alias("spans")), [context, marked]
 
 
 def _kept(text: bytes, spans: list[dict] | None) -> tuple[list[bytes], int]:
@@ -294,7 +293,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 ["doc_id", ROW, "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    return map_arrow(repeated_spans(docs, length), cut, f"doc_id long, {ROW} long, n_bytes long, n_removed long, n_spans long, kept binary")
+    rows = with_row(stable(docs.select("doc_id", "text")))
+    found = rows.join(_spans(rows, length)[0], ROW, "left")
+    return map_arrow(found, cut, f"doc_id long, {ROW} long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -303,11 +304,27 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A text of which nothing is left goes, unless it was empty or null before; n_chars follows the text.
     """
     docs = stable(docs)
-    cut = suffix_dedup(docs, length).where("n_removed > 0").select(ROW, F.make_valid_utf8(F.col("kept").cast("string")).alias("_vellumite_left"))
-    df = with_row(docs).join(cut, ROW, "left").where("_vellumite_left IS NULL OR _vellumite_left <> ''").withColumn("text", F.coalesce("_vellumite_left", "text"))
-    if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.col("_vellumite_left").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return df.select(*docs.columns)
+    found, parts = _spans(with_row(docs.select("doc_id", "text")), length)
+    spans = written(found.withColumnRenamed("spans", "_vellumite_spans"), "spans")
+    discard(*parts)
+    own = docs.columns
+    df = with_row(docs).join(spans, ROW, "left")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = b.column("_vellumite_spans").to_pylist()
+            texts, left = b.column("text").to_pylist(), []
+            for t, s in zip(texts, spans, strict=True):
+                left.append(t if not s else b"".join(_kept(t.encode(), s)[0]).decode("utf-8", "replace"))
+            stay = pa.array([not s or bool(x) for x, s in zip(left, spans, strict=True)])
+            cols = [pa.array(left, b.column(c).type) if c == "text" else b.column(c) for c in own]
+            if "n_chars" in own:
+                sizes = [n if not s else len(x) for n, x, s in zip(b.column("n_chars").to_pylist(), left, spans, strict=True)]
+                cols[own.index("n_chars")] = pa.array(sizes, b.column("n_chars").type)
+            yield pa.RecordBatch.from_arrays(cols, own).filter(stay)
+
+    return map_arrow(df, cut, kinds)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
