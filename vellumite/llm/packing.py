@@ -18,6 +18,7 @@ there; rows that repeat a doc_id are packed one by one; an empty table gives no
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -59,10 +60,26 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: A full stop or comma between a letter or digit and white space is a token of its own.
+_STOP = re.compile(r"[.,](?=[ \n])(?<=[a-z0-9\xe0-\xf6\xf8-\xff].)")
+
+
+def _parts(text: str | None) -> list[str]:
+    """Parts of a text between blanks, in few spellings where that cannot change an id: Latin-1 text in lower case, which the vocabulary's normaliser makes of it anyway, with stops apart."""
+    if not text:
+        return []
+    try:
+        text.encode("latin-1")
+        text = _STOP.sub(r" \g<0>", text.lower())
+    except UnicodeEncodeError:
+        pass
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+
 class PartEncoder:
     """Ids of a text as little-endian unsigned 32-bit bytes, part by part."""
 
-    def __init__(self, path: str, limit: int = 350_000) -> None:
+    def __init__(self, path: str, limit: int = 550_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -71,7 +88,7 @@ class PartEncoder:
         self.store = Store(limit)
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        parts = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        parts = [_parts(t) for t in texts]
         known, new = self.store.known({p for x in parts for p in x})
         fresh = {}
         for i in range(0, len(new), 4096):
