@@ -55,7 +55,7 @@ def discard(*tables: DataFrame) -> None:
 def stable(docs: DataFrame) -> DataFrame:
     """docs itself if it only scans files or local rows, so that each reading finds the same rows in the same splits; else written once."""
     plan = docs._jdf.queryExecution().executedPlan().toString()
-    return written(docs, "input") if any(x in plan for x in ("Exchange", "InMemory", "ExistingRDD")) else docs
+    return written(docs, "input") if any(x in plan for x in ("Exchange", "InMemoryTableScan", "ExistingRDD")) else docs
 
 
 def with_row(docs: DataFrame) -> DataFrame:
