@@ -15,6 +15,12 @@ fingerprints are never lost; components come from the forest.
 Defined results: a null or wordless text has fingerprint zero, linked like any other; fewer than three words give one
 shingle of all of them; a null doc_id counts as larger than every other and stays null; repeated rows are listed one
 by one; an empty table gives no rows.
+
+one_of_each, the pipeline's stage, has no contract of its own and links more: besides fingerprints within 3 bits, all
+texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Candidates share one of 32 bands of
+five minimum hashes each (a pair at 0.8 shares one with probability 0.999997, a closer one more surely); each
+candidate pair is checked by its whole sets. Of a band's cell, each text is first held against the cell's smallest;
+what these links leave in different components is then held against each other, pair by pair.
 """
 
 from __future__ import annotations
@@ -27,13 +33,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumite.llm.common import NULL_ID, ROW, map_arrow, stable, with_row, written
+from vellumite.llm.common import NULL_ID, ROW, discard, map_arrow, stable, with_row, written
 from vellumite.llm.components import components
 from vellumite.tables import table
 
 WORDS = 3
 MAX_BITS = 3
 SEED = 42
+SHINGLE = 5
+SIMILAR = (4, 5)  # a similarity of 4/5
+BANDS, BAND_ROWS = 32, 5
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -185,10 +194,120 @@ def simhash_groups(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS
     )
 
 
+def shingles(text: bytes | None, words: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles; of all its words where they are fewer, none without words."""
+    parts = (text or b"").translate(_LOWER).split()
+    if not parts:
+        return np.empty(0, np.uint64)
+    body = b" ".join(parts)
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    starts = [0, *ends[: max(0, len(parts) - words)].tolist()]
+    stops = (ends - 1)[min(words, len(parts)) - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(body[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64))
+
+
+_FLIPS, _FACTORS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 32, (2, BANDS * BAND_ROWS, 1), np.uint32)
+_FACTORS |= np.uint32(1)
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """One long for each band: the hash of its minimum hashes and its number; none for an empty set."""
+    if not len(found):
+        return np.empty(0, np.int64)
+    low = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint32).max, np.uint32)
+    values = (found >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(values), 1024):
+        some = values[i : i + 1024] ^ _FLIPS
+        some *= _FACTORS
+        np.minimum(low, some.min(1), out=low)
+    rows = low.reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Have two sets of shingles, as sorted arrays, a similarity of at least SIMILAR?"""
+    n, of = SIMILAR
+    if min(len(a), len(b)) * of < n * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * of >= n * (len(a) + len(b) - both)
+
+
+def _sketches(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, row identity, fingerprint, node (hash of the set of shingles) and bands of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text").cast(pa.binary()).to_pylist()
+            sets = [shingles(t) for t in texts]
+            fps = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
+            nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+            cells = pa.array([bands(x) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column(ROW), pa.array(fps), pa.array(nodes), cells], ["doc_id", ROW, "fp", "node", "cells"])
+
+    return map_arrow(with_row(docs.select("doc_id", "text")), run, f"doc_id long, {ROW} long, fp long, node long, cells array<bigint>")
+
+
+def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = b.column("sa").to_pylist(), b.column("sb").to_pylist()
+            keep = [similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y, strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("set").alias(f"s{k}"))
+    return map_arrow(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb"), run, "a long, b long")
+
+
+def similar_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all nodes of similar sets that share a band; docs are the rows that were sketched."""
+    nodes = rows.groupBy("node").agg(F.min(ROW).alias(ROW), F.first("cells").alias("cells"))
+    spread = nodes.select("node", ROW, F.explode("cells").alias("cell"))
+    shared = spread.join(spread.groupBy("cell").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"), "cell")
+    cells = written(shared.select("cell", "node", "least", ROW), "cells")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingles(t).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(found, pa.binary())], ["node", "set"])
+
+    texts = with_row(docs.select("text")).join(cells.select(ROW, "node").distinct(), ROW).select("node", "text")
+    sets = written(map_arrow(texts, run, "node long, set binary"), "sets")
+    tried = written(cells.where("least <> node").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    first = written(_checked(tried, sets), "links")
+    named = cells.select("cell", "node").join(components(first), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = written(named, "named")
+    apart = named.groupBy("cell").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("cell")
+    open_ = named.join(apart, "cell")
+    other = open_.select("cell", F.col("node").alias("b"), F.col("component").alias("other"))
+    rest = open_.withColumnRenamed("node", "a").join(other, "cell").where("a < b and component <> other").select("a", "b").distinct()
+    links = written(first.union(_checked(rest.join(tried, ["a", "b"], "left_anti"), sets)), "links")
+    discard(cells, sets, tried, first, named)
+    return links
+
+
 def one_of_each(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows, with all their columns, that come first (by doc_id, then in split order) in their group."""
+    """The rows, with all their columns, that come first (by doc_id, then in split order) in their group.
+
+    Rows are linked by fingerprints within max_bits or by similar sets of five-word shingles.
+    """
+    if max_bits > 3:
+        raise ValueError("the grid joins halves within distance 1, which is exact up to 3 bits")
     docs = stable(docs)
-    stay = simhash_groups(docs, words, max_bits).where(F.col(ROW) == F.col("first_row")).select(ROW)
+    rows = written(_sketches(docs, words), "sketches")
+    one = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.col(ROW).alias("row"))
+    kinds = written(rows.groupBy("node", "fp").agg(F.min(one).alias("first")), "nodes")
+    stands = kinds.groupBy("fp").agg(F.min("node").alias("stand"))  # a fingerprint's links go to one of its nodes
+    by_bits = near_links(stands.select("fp"), max_bits)
+    for k in ("a", "b"):
+        by_bits = by_bits.join(stands.select(F.col("fp").alias(k), F.col("stand").alias(f"n{k}")), k)
+    same = kinds.join(stands, "fp").select(F.col("node").alias("a"), F.col("stand").alias("b"))
+    links = similar_links(docs, rows).union(by_bits.select(F.col("na").alias("a"), F.col("nb").alias("b"))).union(same)
+    joined = kinds.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    stay = joined.groupBy("component").agg(F.min("first").alias("least")).select(F.col("least.row").alias(ROW))
     return with_row(docs).join(stay, ROW, "left_semi").drop(ROW)
 
 
