@@ -20,25 +20,54 @@ NO_NAMES = (
 NAME_PATTERN = r"\b(?:[A-Z][A-Za-z''.-]+)(?:\s+(?:of|the|and|&|[A-Z][A-Za-z''.-]+))*\b"
 
 
+WORD = "[\\p{L}\\p{N}]+"
+
+
+def _blanks(text: Column) -> Column:
+    """The text with every run of white space as one blank."""
+    return F.regexp_replace(text, "[\\s\\p{Z}]+", " ")
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
+
+
 def surfaces(glossary: DataFrame, forms: bool = True) -> DataFrame:
-    """Lower-case surfaces of the dictionary's terms: surface, n_words, ord, term, target, kind (exact or plural)."""
-    low = F.lower("term")
+    """Lower-case surfaces of the dictionary's terms: surface, n_words, ord, term, target, kind (exact or plural), and the signs before its first word (lead) and after its last (tail); those without a word are left out."""
+    low = F.lower(F.trim(_blanks(F.col("term"))))
     exact = F.array(F.struct(low.alias("surface"), F.lit("exact").alias("kind")))
     more = F.transform(T.variants(low), lambda x: F.struct(x.alias("surface"), F.lit("plural").alias("kind")))
     df = glossary.select("ord", "term", "target", F.explode(F.concat(exact, more) if forms else exact).alias("s"))
-    return df.select("s.surface", F.size(F.split("s.surface", " ")).alias("n_words"), "ord", "term", "target", "s.kind")
-
-
-def matches(texts: DataFrame, glossary: DataFrame, longest: int = 4, forms: bool = True) -> DataFrame:
-    """All occurrences at word borders: id, start (word), n_words, term, target, kind; texts has id and text, words being runs of letters and digits."""
-    found = F.regexp_extract_all(T.some(F.col("text")), F.lit("([\\p{L}\\p{N}]+)"), F.lit(1))
-    words = texts.select("id", found.alias("w")).select("id", "w", F.posexplode("w").alias("start", "first"))
-    sized = [F.struct(F.lit(n).alias("n_words"), F.lower(F.array_join(F.slice("w", F.col("start") + 1, n), " ")).alias("surface"), F.array_join(F.slice("w", F.col("start") + 1, n), " ").alias("written")) for n in range(1, longest + 1)]
-    grams = words.where(F.size("w") > 0).select("id", "start", F.size("w").alias("of"), F.explode(F.array(*sized)).alias("g")).where("start + g.n_words <= of")
-    grams = grams.select("id", "start", "g.*")
-    hit = grams.join(surfaces(glossary, forms), ["surface", "n_words"])
+    around = F.split("s.surface", WORD, -1)
+    df = df.select("s.surface", F.size(_words(F.col("s.surface"))).alias("n_words"), "ord", "term", "target", "s.kind", around[0].alias("lead"), F.element_at(around, -1).alias("tail"))
+    return df.where("n_words > 0")
+
+
+def matches(texts: DataFrame, glossary: DataFrame, longest: int | None = None, forms: bool = True) -> DataFrame:
+    """All occurrences at word borders: id, start (word), n_words, term, target, kind; texts has id and text, words being runs of letters and digits.
+
+    Sequences have the lengths of the dictionary's surfaces (up to longest, if given). A surface is found where it
+    is written in the text sign by sign, but for case and the width of white space.
+    """
+    known = surfaces(glossary, forms).withColumn("core", F.expr("substring(surface, length(lead) + 1, length(surface) - length(lead) - length(tail))"))
+    known = known.where(F.col("n_words") <= longest) if longest else known
+    text = T.some(F.col("text"))
+    gaps = F.transform(F.split(text, WORD, -1), _blanks)  # one more than words
+    words = texts.select("id", _words(text).alias("w"), gaps.alias("gaps")).where(F.size("w") > 0)
+    words = words.crossJoin(F.broadcast(known.agg(F.array_sort(F.collect_set("n_words")).alias("sizes"))))  # one row
+    pieces = F.zip_with("w", F.slice("gaps", 2, F.size("w")), lambda x, y: F.concat(x, y))
+    words = words.select("id", "w", "gaps", "sizes", pieces.alias("pieces")).select("id", "w", "gaps", "sizes", "pieces", F.posexplode("w").alias("start", "first"))
+    grams = words.select("id", "w", "gaps", "pieces", "start", F.explode("sizes").alias("n_words")).where(F.col("start") + F.col("n_words") <= F.size("w"))
+    end = F.col("start") + F.col("n_words")
+    core = F.concat(F.array_join(F.slice("pieces", F.col("start") + 1, F.col("n_words") - 1), ""), F.element_at("w", end))
+    grams = grams.select("id", "start", "n_words", core.alias("written"), F.element_at("gaps", F.col("start") + 1).alias("before"), F.element_at("gaps", end + 1).alias("after"), (F.col("start") == 0).alias("opens"), (end == F.size("w")).alias("ends"))
+    hit = grams.withColumn("core", F.lower("written")).join(known, ["core", "n_words"])
+    # Signs of the surface itself stand at its words, and no letter or digit right beside them.
+    beside = lambda sign, gap, edge, at: (F.col(sign) == "") | (at(F.col(gap), F.col(sign)) & (F.col(edge) | (F.col(gap) != F.col(sign))))
+    hit = hit.where(beside("lead", "before", "opens", F.endswith) & beside("tail", "after", "ends", F.startswith))
     # Of terms with one surface the one written as in the text wins, then the first.
-    best = W.partitionBy("id", "start", "n_words").orderBy((F.col("kind") != "exact").cast("int"), (F.col("written") != F.col("term")).cast("int"), "ord")
+    as_written = F.concat("lead", "written", "tail") != F.trim(_blanks(F.col("term")))
+    best = W.partitionBy("id", "start", "n_words").orderBy((F.col("kind") != "exact").cast("int"), F.desc(F.length("surface")), as_written.cast("int"), "ord")
     return hit.withColumn("r", F.row_number().over(best)).where("r = 1").select("id", "start", "n_words", "term", "target", "kind")
 
 
