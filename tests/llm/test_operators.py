@@ -112,7 +112,6 @@ def test_packing_rough(rough, rough_rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
     want = [(str(i), t.encode(x or "", add_special_tokens=False).ids + [2]) for i, x, *_ in rough_rows]
     check_packed(packing.pack_documents(rough).collect(), want)
 

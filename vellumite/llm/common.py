@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,19 +22,19 @@ NULL_ID = (1 << 63) - 1
 ROW = "_vellumite_row"
 
 
-def arrow_limits(spark: SparkSession, rows: int = 2000, megabytes: int = 16) -> None:
-    """Bound the Arrow batches handed to Python, so that very long texts do not make huge batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see (spark.checkpoint.dir); a temporary one only where none is set, as in local tests."""
+    """The folder that all executors see (spark.checkpoint.dir); a temporary one only where none is set and all runs in one process, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="vellumite_")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _local_dir()
+
+
+@cache
+def _local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="vellumite_")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -52,10 +54,18 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Leaves of plans that give the same rows in the same splits each time they are read.
+_STEADY = re.compile(r"^(FileScan|LocalTableScan|Range)\b")
+_LEAF = re.compile(r"^[\s:+|\-*()\d]*")
+
+
 def stable(docs: DataFrame) -> DataFrame:
-    """docs itself if it only scans files or local rows, so that each reading finds the same rows in the same splits; else written once."""
-    plan = docs._jdf.queryExecution().executedPlan().toString()
-    return written(docs, "input") if any(x in plan for x in ("Exchange", "InMemoryTableScan", "ExistingRDD")) else docs
+    """docs itself if it only filters and projects files or local rows, so that each reading finds the same rows in the same splits; else written once."""
+    rows = docs._jdf.queryExecution().sparkPlan().toString().splitlines()
+    nodes = [_LEAF.sub("", x) for x in rows if x.strip()]
+    simple = all(re.match(r"(Project|Filter|ColumnarToRow)\b", x) or _STEADY.match(x) for x in nodes) and sum(bool(_STEADY.match(x)) for x in nodes) == 1
+    draws = any(re.search(r"\b(rand|randn|uuid|shuffle)\(", x) for x in nodes)
+    return docs if simple and not draws else written(docs, "input")
 
 
 def with_row(docs: DataFrame) -> DataFrame:
@@ -63,9 +73,27 @@ def with_row(docs: DataFrame) -> DataFrame:
     return docs.withColumn(ROW, F.monotonically_increasing_id())
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    arrow_limits(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+def _bounded(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of few rows or, unless a single row is larger, bytes."""
+    if batch.num_rows <= rows and batch.nbytes <= size or batch.num_rows < 2:
+        yield batch
+        return
+    half = batch.num_rows // 2
+    for part in (batch.slice(0, half), batch.slice(half)):
+        yield from _bounded(part, rows, size)
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 2500, size: int = 16 << 20) -> DataFrame:
+    """mapInArrow whose function sees batches of bounded size; where the session does not bound those that it hands to Python, it gets bounds."""
+    conf = df.sparkSession.conf
+    for k, v in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        if conf.get(f"spark.sql.execution.arrow.{k}", None) is None:
+            conf.set(f"spark.sql.execution.arrow.{k}", str(v))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(part for b in batches for part in _bounded(b, rows, size))
+
+    return df.mapInArrow(run, schema)
 
 
 def crc_bucket(doc_id: Column, n: int) -> Column:
@@ -74,10 +102,13 @@ def crc_bucket(doc_id: Column, n: int) -> Column:
 
 
 class Store:
-    """A bounded map in two generations: what was used since the last turn is kept when the older half goes."""
+    """A bounded map in two generations: what was used since the last turn is kept when the older half goes.
+
+    limit: entries of a generation; keys of over `longest` characters are not kept, so that bytes are bounded too.
+    """
 
-    def __init__(self, limit: int) -> None:
-        self.limit, self.new, self.old = limit, {}, {}
+    def __init__(self, limit: int, longest: int = 64) -> None:
+        self.limit, self.longest, self.new, self.old = limit, longest, {}, {}
 
     def known(self, keys: Iterable[str]) -> tuple[dict, list[str]]:
         """Values of the keys that are here, and the other keys."""
@@ -92,6 +123,6 @@ class Store:
         return found, missing
 
     def put(self, values: dict) -> None:
-        self.new.update(values)
+        self.new.update(values if max(map(len, values), default=0) <= self.longest else {k: v for k, v in values.items() if len(k) <= self.longest})
         if len(self.new) > self.limit:
             self.old, self.new = self.new, {}

@@ -9,7 +9,11 @@ nothing is shuffled and memory does not grow with the input; a window ends with
 
 Tokens come from the `tokenizers` library. A text is encoded by its parts between blanks: the vocabulary's
 pre-tokenizer never joins characters over white space, so the ids of the parts, one after another, are those of the
-whole text; parts that were seen before come from a bounded store.
+whole text; parts that were seen before come from a bounded store. Parts of lower-case letters alone skip the
+vocabulary's normaliser and pattern, which leave them as they are. A text that may name a special token is encoded whole.
+
+Instruction data has a column of parts, each with its text and whether its tokens bear loss; an example's ids are
+those of its parts one after another, and the end id bears loss like the last part.
 
 Defined results: a null text counts as empty and has only the end id; a sequence's id is its split and its number
 there; rows that repeat a doc_id are packed one by one; an empty table gives no rows.
@@ -17,6 +21,7 @@ there; rows that repeat a doc_id are packed one by one; an empty table gives no
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -60,22 +65,27 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-#: A full stop or comma between a letter or digit and white space is a token of its own.
-_STOP = re.compile(r"[.,](?=[ \n])(?<=[a-z0-9\xe0-\xf6\xf8-\xff].)")
+#: Punctuation behind a letter is a token of its own.
+_BORDER = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff])(?=[!-@\[-`{-~])")
 
 
 def _parts(text: str | None) -> list[str]:
-    """Parts of a text between blanks, in few spellings where that cannot change an id: Latin-1 text in lower case, which the vocabulary's normaliser makes of it anyway, with stops apart."""
+    """Parts of a text between blanks, in few spellings where that cannot change an id: Latin-1 text in lower case, which the vocabulary's normaliser makes of it anyway, with punctuation behind words apart."""
     if not text:
         return []
     try:
         text.encode("latin-1")
-        text = _STOP.sub(r" \g<0>", text.lower())
+        text = _BORDER.sub(" ", text.lower())
     except UnicodeEncodeError:
         pass
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
+def _plain(part: str) -> bool:
+    """Does the vocabulary's pattern take the part as one token, as it is?"""
+    return part.isalpha() and part.islower() and max(part) <= "\xff"
+
+
 class PartEncoder:
     """Ids of a text as little-endian unsigned 32-bit bytes, part by part."""
 
@@ -84,21 +94,41 @@ class PartEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = "<|" if all(t["content"].startswith("<|") for t in spec["added_tokens"]) else ""
+        bytes_only = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        spec |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, bytes_only]}}
+        self.words = Tokenizer.from_str(json.dumps(spec))
         self.store = Store(limit)
 
+    def _encode_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        e = self.words.encode(" ".join(words), add_special_tokens=False)
+        ids, owner = np.array(e.ids, "<u4"), np.array(e.word_ids, np.int64)
+        raw, cuts = ids.tobytes(), [*np.flatnonzero(np.append(True, owner[1:] != owner[:-1])).tolist(), len(ids)]
+        for i, w in enumerate(words):
+            yield w, raw[4 * cuts[i] : 4 * cuts[i + 1]]
+
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        parts = [_parts(t) for t in texts]
+        whole = {i: t for i, t in enumerate(texts) if t and self.special in t}
+        parts = [() if i in whole else _parts(t) for i, t in enumerate(texts)]
         known, new = self.store.known({p for x in parts for p in x})
-        fresh = {}
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
+        plain = [p for p in new if _plain(p)]
+        other = [p for p in new if not _plain(p)]
+        fresh: dict[str, bytes] = {}
+        for i in range(0, len(plain), 4096):
+            fresh.update(self._encode_words(plain[i : i + 4096]))
+        for i in range(0, len(other), 4096):
+            some = other[i : i + 4096]
             for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 fresh[p] = array("I", e.ids).tobytes()
         self.store.put(fresh)
         known |= fresh
         get = known.__getitem__
-        return [b"".join(map(get, x)) for x in parts]
+        made = [b"".join(map(get, x)) for x in parts]
+        for i, t in whole.items():
+            made[i] = array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes()
+        return made
 
 
 def packed(tokens: Sequence[int], loss: Sequence[Sequence[int] | None], limits: Limits = Limits(), min_cut: int = 16) -> list[Piece]:
@@ -172,23 +202,43 @@ _ENCODERS: dict[str, PartEncoder] = {}
 _OUT = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, limits: Limits = Limits(), min_cut: int = 16, window: int = 4000, path: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, limits: Limits = Limits(), min_cut: int = 16, window: int = 4000, path: str | None = None, parts: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
-    window: how many examples are packed together at most.
+    window: how many examples are packed together at most. parts: a column, array of struct (text, loss), that is
+    packed in place of text, so that limits.loss counts only tokens of parts with loss; a null array or part has no
+    tokens, a null loss is none.
     """
     path = path or tokenizer_path()
     names = [x.split()[0] for x in _OUT.split(", ")]
     kinds = [pa.binary() if n == "ids" else pa.int64() for n in names]
     end = np.array([END_ID], "<u4").tobytes()
 
+    def examples(b: pa.RecordBatch, encoder: PartEncoder) -> tuple[list[bytes], list]:
+        """Ids of each row, and its cumulative number of loss-bearing tokens or None."""
+        if parts is None:
+            made = [x + end for x in encoder.encode(b.column("text").to_pylist())]
+            return made, [None] * len(made)
+        rows = [[p or {"text": None, "loss": False} for p in x or ()] for x in b.column("text").to_pylist()]
+        flat = iter(encoder.encode([p["text"] for x in rows for p in x]))
+        made, bearing = [], []
+        for x in rows:
+            ids, loss = [], []
+            for p in x:
+                ids.append(next(flat))
+                loss.append(np.full(len(ids[-1]) // 4, bool(p["loss"])))
+            loss.append(np.full(1, bool(x and x[-1]["loss"])))
+            made.append(b"".join(ids) + end)
+            bearing.append(np.concatenate([[0], np.cumsum(np.concatenate(loss))]))
+        return made, bearing
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, PartEncoder(path))
         first = TaskContext.get().partitionId() << 32
 
-        def flushed(ids: list, held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        def flushed(ids: list, held: list[bytes], bearing: list) -> Iterator[pa.RecordBatch]:
             nonlocal first
-            pieces = packed([len(x) // 4 for x in held], [None] * len(held), limits, min_cut)
+            pieces = packed([len(x) // 4 for x in held], bearing, limits, min_cut)
             for i in range(0, len(pieces), 4000):
                 some = pieces[i : i + 4000]
                 cols = ([ids[p.example] for p in some], [p.start for p in some], [p.length for p in some], [held[p.example][4 * p.start : 4 * (p.start + p.length)] for p in some],
@@ -198,21 +248,34 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), min_cut: int = 16
 
         ids: list = []
         held: list[bytes] = []
+        bearing: list = []
         size = 0
         for b in batches:
+            made, loss = examples(b, encoder)
             ids += b.column("doc_id").to_pylist()
-            made = [x + end for x in encoder.encode(b.column("text").to_pylist())]
             held += made
+            bearing += loss
             size += sum(map(len, made))
             while len(held) >= window or size > 64 << 20:
                 n = min(window, len(held))
-                yield from flushed(ids[:n], held[:n])
-                ids, held = ids[n:], held[n:]
+                yield from flushed(ids[:n], held[:n], bearing[:n])
+                ids, held, bearing = ids[n:], held[n:], bearing[n:]
                 size = sum(map(len, held))
         if held:
-            yield from flushed(ids, held)
+            yield from flushed(ids, held, bearing)
+
+    return map_arrow(docs.select("doc_id", F.col(parts or "text").alias("text")), run, _OUT)
+
 
-    return map_arrow(docs.select("doc_id", "text"), run, _OUT)
+def pack_conversations(turns: DataFrame, limits: Limits = Limits(), role: str = "assistant", **options) -> DataFrame:
+    """Each conversation (conv_id, turn, role, text) as one example, in the order of turns, with loss on the turns of a role.
+
+    A conversation's turns meet in one task; conversations never do. Rows of one turn come in the order of their role and text.
+    """
+    own = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    df = turns.groupBy(F.col("conv_id").cast("long").alias("doc_id")).agg(own.alias("turns"))
+    each = F.transform("turns", lambda t: F.struct(t["text"].alias("text"), F.coalesce(t["role"] == role, F.lit(False)).alias("loss")))
+    return pack_documents(df.select("doc_id", each.alias("parts")), limits, parts="parts", **options)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
