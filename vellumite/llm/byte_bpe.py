@@ -7,8 +7,9 @@ words leave the recursion as they finish. The final rows are joined with the voc
 position to ids and to bytes. The recursion sees a bounded number of distinct words at a time; what it found stays
 in a store of bounded size in the worker, from which texts are put together. Texts themselves never move.
 
-The recursion of a word takes one round a merge, which for a run of thousands of bytes without a boundary would be
-quadratic: words of over long_bytes bytes are merged with a heap instead, by the same rule.
+The recursion of a word takes one round a merge and keeps the rows of all rounds, so its cost and memory grow with
+the square of the word's bytes: a query gets words of at most `rows` rows over all rounds, and words of over
+long_bytes bytes (very long ones, runs of base64 or of Han characters) are merged with a heap instead, by the same rule.
 
 Defined results: a null text counts as empty (no tokens, the hash of nothing); a piece that is itself a token is
 that token; repeated rows are encoded one by one; an empty table gives no rows.
@@ -70,13 +71,13 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class BpeCodec:
     """Encodes pieces of bytes to ids and back, distinct pieces at a time."""
 
-    def __init__(self, path: str, pattern: str, limit: int = 350_000, long_bytes: int = 192, chunk: int = 30_000) -> None:
+    def __init__(self, path: str, pattern: str, limit: int = 350_000, long_bytes: int = 64, rows: int = 2_500_000) -> None:
         import duckdb
         import regex
 
         self.ranks = load_ranks(path)
         self.pattern = regex.compile(pattern)
-        self.long_bytes, self.chunk = long_bytes, chunk
+        self.long_bytes, self.rows = long_bytes, rows
         self.bytes_of = {r: t for t, r in self.ranks.items()}
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         left, right, merged = [], [], []
@@ -153,10 +154,16 @@ class BpeCodec:
                 made[p] = self._heap(raw)
             else:
                 rest.append(p)
-        for i in range(0, len(rest), self.chunk):
-            some = rest[i : i + self.chunk]
-            for k, ids, raw in self._contract([p.encode() for p in some]):
-                made[some[k]] = (ids, raw)
+        words = [p.encode() for p in rest]
+        # A word of n bytes has at most n + (n - 1) + ... + 1 rows, and as many when it is done.
+        cost = np.cumsum([len(w) * (len(w) + 3) // 2 for w in words])
+        i = 0
+        while i < len(rest):
+            before = cost[i - 1] if i else 0
+            j = max(i + 1, int(np.searchsorted(cost, before + self.rows, side="right")))
+            for k, ids, raw in self._contract(words[i:j]):
+                made[rest[i + k]] = (ids, raw)
+            i = j
         return made
 
     def encode(self, texts: list[str | None]) -> list[tuple[str, bytes]]:

@@ -88,7 +88,7 @@ def _repeat_words(words: Column, n: Column) -> Column:
 
 
 def _counts(text: Column) -> Column:
-    body = F.regexp_replace(text, f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+    body = F.btrim(text, F.lit(SPACE_CHARS))
     words = _let(body, lambda b: F.when(F.length(b) == 0, F.array().cast("array<string>")).otherwise(F.split(b, f"{SPACE_CLASS}+")))
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACE_CHARS, "") != "")
 
