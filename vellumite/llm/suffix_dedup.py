@@ -205,13 +205,14 @@ def _spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_bytes:
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts = b.column(ROW).to_pylist(), [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
-            got = [(ids[i], a, z, p - a, h, *divmod(xxhash.xxh3_128_intdigest(texts[i][a : z + length]), 1 << 64)) for i, a, z, p, h in _all_contexts(texts, length, gram)]
-            cols = list(zip(*got, strict=True)) or [()] * 7
-            hashes = [np.array(c, np.uint64).view(np.int64) for c in cols[5:]]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), *map(pa.array, hashes)], [ROW, "a", "z", "p", "mark", "d1", "d2"])
-
-    context = written(map_arrow(rows.select(ROW, "text"), found, f"{ROW} long, a long, z long, p long, mark long, d1 long, d2 long"), "contexts")
-    key = ["mark", "d1", "d2"]
+            got = [(ids[i], a, z, p - a, h, xxhash.xxh3_64_intdigest(texts[i][a : z + length])) for i, a, z, p, h in _all_contexts(texts, length, gram)]
+            cols = list(zip(*got, strict=True)) or [()] * 6
+            digest = np.array(cols[5], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(digest)], [ROW, "a", "z", "p", "mark", "digest"])
+
+    # A context is known by its minimiser's 64-bit hash and by its own.
+    context = written(map_arrow(rows.select(ROW, "text"), found, f"{ROW} long, a long, z long, p long, mark long, digest long"), "contexts")
+    key = ["mark", "digest"]
     distinct = context.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct(ROW, "a", "z", "p")).alias("one"))
     marked = distinct.withColumn("kinds", F.count("*").over(W.partitionBy("mark"))).where("kinds > 1 OR n > 1")
     marked = written(marked.select(*key, "n", "kinds", "one.*"), "marks")
@@ -226,15 +227,15 @@ def _spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_bytes:
         size = group_size = 0
 
         def out(items: list[tuple]) -> pa.RecordBatch:
-            bodies = [x[5] for x in items]
+            bodies = [x[4] for x in items]
             alone = sum(map(len, bodies)) > most_bytes and len({x[0] for x in items}) == 1
-            flags = repeated_by_place(bodies, [x[4] for x in items], length) if alone else repeated(bodies, length) if items else []
+            flags = repeated_by_place(bodies, [x[3] for x in items], length) if alone else repeated(bodies, length) if items else []
             begins, stops = [], []
             for x, f in zip(items, flags, strict=True):
-                a, z = _runs(np.ones(len(f), bool) if x[3] > 1 else f)
+                a, z = _runs(np.ones(len(f), bool) if x[2] > 1 else f)
                 begins.append(a)
                 stops.append(z)
-            keys = [pa.array([x[i] for x in items], pa.int64()) for i in range(3)]
+            keys = [pa.array([x[i] for x in items], pa.int64()) for i in range(2)]
             return pa.RecordBatch.from_arrays([*keys, pa.array(begins, pa.list_(pa.int32())), pa.array(stops, pa.list_(pa.int32()))], [*key, "begins", "stops"])
 
         for b in batches:
@@ -248,13 +249,13 @@ def _spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_bytes:
                     size += group_size
                     group, group_size = [], 0
                 group.append(x)
-                group_size += len(x[5])
+                group_size += len(x[4])
         if size + group_size > batch_bytes and held:
             yield out(held)
             held = []
         yield out(held + group)
 
-    solved = map_arrow(edge, solve, "mark long, d1 long, d2 long, begins array<int>, stops array<int>")
+    solved = map_arrow(edge, solve, "mark long, digest long, begins array<int>, stops array<int>")
     whole = marked.where("kinds = 1").select(*key, F.array(F.lit(0)).alias("begins"), F.array((F.col("z") - F.col("a")).cast("int")).alias("stops"))
     spans = context.join(solved.where("size(begins) > 0").union(whole), key).select(
         ROW, F.explode(F.arrays_zip("begins", "stops")).alias("s"), "a"
@@ -298,13 +299,13 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return map_arrow(found, cut, f"doc_id long, {ROW} long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """The rows, with all their columns, with repeated passages cut out of the text; characters that a cut broke become U+FFFD.
 
     A text of which nothing is left goes, unless it was empty or null before; n_chars follows the text.
     """
     docs = stable(docs)
-    found, parts = _spans(with_row(docs.select("doc_id", "text")), length)
+    found, parts = _spans(with_row(docs.select("doc_id", "text")), length, gram)
     spans = written(found.withColumnRenamed("spans", "_vellumite_spans"), "spans")
     discard(*parts)
     own = docs.columns
@@ -328,4 +329,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    found = suffix_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
