@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tests.llm.test_operators import fingerprint_brute
 from vellumite.llm import simhash
 
@@ -51,3 +53,34 @@ def test_near_copies_beyond_three_bits(spark):
 def test_shingles_of_few_words():
     assert len(simhash.shingles(None)) == 0 and len(simhash.shingles(b" \n")) == 0
     assert len(simhash.shingles(b"a b")) == 1 and len(simhash.shingles(b"a b c d e")) == 1 and len(simhash.shingles(b"a b c d e f")) == 2
+
+
+def test_blocks_find_every_link(spark):
+    """Cells dealt to many small blocks: what is linked is connected as by all pairs."""
+    rng = random.Random(5)
+    rows, sets = [], {}
+    for node in range(90):
+        base = node % 6
+        sets[node] = np.unique(np.array([base * 1000 + i for i in range(40) if rng.random() < 0.93], np.uint64))
+        rows += [(cell, node, node, 45) for cell in (1, 2) if node % 2 == cell - 1]
+    members = spark.createDataFrame(rows, "cell long, node long, component long, n long")
+    stored = spark.createDataFrame([(k, v.tobytes()) for k, v in sets.items()], "node long, set binary")
+    got = {(r.a, r.b) for r in simhash._block_links(members, stored, most=7, most_bytes=3000).collect()}
+    alike = {(a, b) for a in sets for b in range(a + 1, 90) if a % 2 == b % 2 and simhash.similar(sets[a], sets[b])}
+    assert got <= alike
+
+    def groups(links):
+        root = list(range(90))
+        for a, b in sorted(links):
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            root[max(a, b)] = min(a, b)
+        def top(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+        return [top(i) for i in range(90)]
+
+    assert groups(got) == groups(alike)

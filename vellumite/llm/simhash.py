@@ -20,7 +20,8 @@ one_of_each, the pipeline's stage, has no contract of its own and links more: be
 texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Candidates share one of 32 bands of
 five minimum hashes each (a pair at 0.8 shares one with probability 0.999997, a closer one more surely); each
 candidate pair is checked by its whole sets. Of a band's cell, each text is first held against the cell's smallest;
-what these links leave in different components is then held against each other, pair by pair.
+what these links leave in different components is then held against each other: pair by pair in cells of up to FEW
+texts, and in larger cells block against block in one task each, which gives only links that connect components.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ SEED = 42
 SHINGLE = 5
 SIMILAR = (4, 5)  # a similarity of 4/5
 BANDS, BAND_ROWS = 32, 5
+FEW = 24  # cells of up to so many nodes are searched pair by pair
+BLOCK = 256  # larger ones in blocks of about so many
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -280,15 +283,90 @@ def similar_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     first = written(_checked(tried, sets), "links")
     named = cells.select("cell", "node").join(components(first), "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = written(named, "named")
-    apart = named.groupBy("cell").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("cell")
+    tally = named.groupBy("cell").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"))
+    # Of cells with the same members, one is looked at.
+    apart = written(tally.where("x <> y").groupBy("n", "members").agg(F.min("cell").alias("cell")).drop("members"), "apart")
     open_ = named.join(apart, "cell")
-    other = open_.select("cell", F.col("node").alias("b"), F.col("component").alias("other"))
-    rest = open_.withColumnRenamed("node", "a").join(other, "cell").where("a < b and component <> other").select("a", "b").distinct()
-    links = written(first.union(_checked(rest.join(tried, ["a", "b"], "left_anti"), sets)), "links")
-    discard(cells, sets, tried, first, named)
+    few = open_.where(F.col("n") <= FEW)
+    other = few.select("cell", F.col("node").alias("b"), F.col("component").alias("other"))
+    rest = few.select("cell", F.col("node").alias("a"), "component").join(other, "cell").where("a < b and component <> other").select("a", "b").distinct()
+    links = written(first.union(_checked(rest, sets)).union(_block_links(open_.where(F.col("n") > FEW), sets)), "links")
+    discard(cells, sets, tried, first, named, apart)
     return links
 
 
+def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of a (sorted arrays of distinct elements) has in common with each of b."""
+    found = np.zeros(len(a) * len(b), np.int64)
+    values = np.concatenate(a)
+    owner = np.repeat(np.arange(len(a)), [len(x) for x in a])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    for k, x in enumerate(b):
+        low, high = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
+        n = high - low
+        if total := int(n.sum()):
+            at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)
+            found += np.bincount(owner[at] * len(b) + k, minlength=len(found))
+    return found.reshape(len(a), len(b))
+
+
+def _block_links(members: DataFrame, sets: DataFrame, most: int = BLOCK, most_bytes: int = 8 << 20) -> DataFrame:
+    """Links (a, b) that connect the similar nodes of different components in each large cell (cell, node, component, n).
+
+    A cell's nodes are dealt to blocks of about `most` nodes and most_bytes bytes of shingles by their hash, and each
+    pair of blocks meets in one task, so that what moves is a block's share of all pairs and no task holds a cell.
+    """
+    nodes = members.join(sets, "node")
+    sizes = nodes.groupBy("cell").agg(F.ceil(F.greatest(F.count("*") / most, F.sum(F.octet_length("set")) / most_bytes)).cast("int").alias("m"))
+    own = nodes.join(sizes, "cell").withColumn("own", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+    each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    key = ["cell", "low", "high"]
+    each = each.select("cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "component", "set")
+
+    def linked_pairs(rows: list[tuple]) -> list[tuple[int, int]]:
+        low, high = rows[0][1], rows[0][2]
+        arrays = [np.frombuffer(x[6], np.uint64) for x in rows]
+        left = [i for i, x in enumerate(rows) if x[3] == low]
+        right = left if low == high else [i for i, x in enumerate(rows) if x[3] == high]
+        if not left or not right:
+            return []
+        both = common_counts([arrays[i] for i in left], [arrays[i] for i in right])
+        size = np.array([len(x) for x in arrays])
+        n, of = SIMILAR
+        i, j = np.nonzero(both * of >= n * (size[left][:, None] + size[right][None, :] - both))
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
+            return x
+
+        found = []
+        for x, y in zip((rows[left[k]] for k in i.tolist()), (rows[right[k]] for k in j.tolist()), strict=True):
+            if (p := find(x[5])) != (q := find(y[5])):  # components that this pair is the first to connect
+                root[p] = q
+                found.append((x[4], y[4]))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            found = linked_pairs(group) if group else []
+            return pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], ["a", "b"])
+
+        for b in batches:
+            for x in zip(*(b.column(c).to_pylist() for c in (*key, "own", "node", "component", "set")), strict=True):
+                if group and group[0][:3] != x[:3]:
+                    yield out()
+                    group = []
+                group.append(x)
+        yield out()
+
+    return map_arrow(each.repartition(*key).sortWithinPartitions(*key), run, "a long, b long")
+
+
 def one_of_each(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows, with all their columns, that come first (by doc_id, then in split order) in their group.
 
