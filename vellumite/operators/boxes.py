@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellumite.functions import text as T
-from vellumite.operators.ordered import fold_groups
 
 #: Titles that run along the margins of the pages.
 RUNNING_TITLES = ("DELTA GREEN", "PISCES", "THE MILLENNIUM", "THE NEW AGE", "THE LABYRINTH")
@@ -73,19 +71,18 @@ def column_clusters(boxes: DataFrame, page: str, gap: float = 0.13, widest: floa
     """
     narrow = boxes.where(F.col("x1") - F.col("x0") <= F.col("page_width") * widest)
     narrow = narrow.withColumn("n", F.count("*").over(W.partitionBy(page))).where(F.col("n") >= least)
-    rows = narrow.select(page, "id", centre(F.col("x0"), F.col("x1")).alias("c"), (F.col("page_width") * gap).alias("far"))
-
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        out, number, total, n = [], 0, 0.0, 0
-        for c, far in zip(g["c"], g["far"], strict=True):
-            if n and abs(c - total / n) >= far:
-                number, total, n = number + 1, 0.0, 0
-            total, n = total + c, n + 1
-            out.append(number)
-        return g[[page, "id"]].assign(cluster=out)
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(page, "id").schema)
-    return fold_groups(rows, [page], ["c", "id"], fold, f"{kinds}, cluster int")
+    item = F.struct(centre(F.col("x0"), F.col("x1")).alias("c"), F.col("id"), (F.col("page_width") * gap).alias("far"))
+    kind = f"array<struct<id:{boxes.schema['id'].dataType.simpleString()},cluster:int>>"
+    begin = F.struct(F.lit(0).alias("number"), F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.array().cast(kind).alias("out"))
+
+    def fold(a: Column, x: Column) -> Column:
+        new = (a["n"] > 0) & (F.abs(x["c"] - a["total"] / a["n"]) >= x["far"])
+        number = F.when(new, a["number"] + 1).otherwise(a["number"])
+        total, n = F.when(new, x["c"]).otherwise(a["total"] + x["c"]), F.when(new, 1).otherwise(a["n"] + 1)
+        return F.struct(number.alias("number"), total.alias("total"), n.alias("n"), F.array_append(a["out"], F.struct(x["id"].alias("id"), number.alias("cluster"))).alias("out"))
+
+    pages = narrow.groupBy(page).agg(F.array_sort(F.collect_list(item)).alias("i"))
+    return pages.select(page, F.explode(F.aggregate("i", begin, fold, lambda a: a["out"])).alias("x")).select(page, "x.*")
 
 
 def line_style(spans: DataFrame, *keys: str) -> DataFrame:

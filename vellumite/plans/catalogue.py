@@ -212,7 +212,12 @@ def rate_window_upper_bound(spark, sf_dir):
     return state.calls_in_window(table(spark, sf_dir, "events"), "user_id", 3600).select("event_id", "in_window")
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS r FROM events),
+f AS (SELECT user_id, event_id, r, [t] AS taken, true AS ok, 0::DOUBLE AS wait FROM e WHERE r = 1
+  UNION ALL SELECT user_id, event_id, r, CASE WHEN len(k) < 3 THEN list_append(k, t) ELSE k END, len(k) < 3, CASE WHEN len(k) < 3 THEN 0 ELSE greatest(0, k[1] + 86400 - t) END
+  FROM (SELECT e.*, list_filter(f.taken, lambda x: x > e.t - 86400) AS k FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1))
+SELECT user_id, event_id, ok, wait FROM f""")
 def rate_limit_admission(spark, sf_dir):
     return state.admitted(table(spark, sf_dir, "events"), "user_id", "event_id", 3, 86_400)
 
@@ -267,13 +272,24 @@ def durations(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", T.duration_text(F.col("o_custkey")).alias("took"))
 
 
-@query()
+_SIZED = "d AS (SELECT source, doc_id, lang = 'de' AS head, length(text) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents)"
+
+
+@query(f"""
+WITH RECURSIVE {_SIZED}, f AS (SELECT source, doc_id, r, 0::BIGINT AS grp, CASE WHEN head THEN 0 ELSE size END AS filled, NOT head AS loose FROM d WHERE r = 1
+  UNION ALL SELECT d.source, d.doc_id, d.r, CASE WHEN head OR NOT loose OR filled + size > 3000 THEN grp + 1 ELSE grp END, CASE WHEN head THEN 0 WHEN NOT loose OR filled + size > 3000 THEN size ELSE filled + size END, NOT head
+  FROM f JOIN d ON d.source IS NOT DISTINCT FROM f.source AND d.r = f.r + 1)
+SELECT source, doc_id, grp FROM f""")
 def pack_blocks(spark, sf_dir):
     df = table(spark, sf_dir, "documents").select("source", "doc_id", F.when(F.col("lang") == "de", "heading").otherwise("paragraph").alias("kind"), F.length("text").alias("size"))
     return ordered.packed_blocks(df, ["source"], "doc_id", "kind", "size")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_SIZED}, f AS (SELECT source, doc_id, r, 0::BIGINT AS reading_page, size AS filled FROM d WHERE r = 1
+  UNION ALL SELECT d.source, d.doc_id, d.r, CASE WHEN filled >= 1000 AND (head OR filled + size > 1500) THEN reading_page + 1 ELSE reading_page END, CASE WHEN filled >= 1000 AND (head OR filled + size > 1500) THEN size ELSE filled + size END
+  FROM f JOIN d ON d.source IS NOT DISTINCT FROM f.source AND d.r = f.r + 1)
+SELECT source, doc_id, reading_page FROM f""")
 def paginate(spark, sf_dir):
     df = table(spark, sf_dir, "documents").select("source", "doc_id", F.length("text").alias("size"), F.lit(False).alias("is_title"), (F.col("lang") == "de").alias("is_heading"), F.col("lang").alias("layout"))
     return ordered.paginated(df, ["source"], "doc_id")
@@ -423,7 +439,9 @@ def soft_wrap_merge(spark, sf_dir):
     return ordered.joined_lines(given(spark, "lines"), ["page_index"], "line_no", "line", F.col("structural")).select("page_index", F.col("block").cast("int").alias("block"), "text")
 
 
-@query()
+@query(with_("answers") + r"""
+, n AS (SELECT id, response, unnest(range(0, 10)) AS k FROM answers), b AS (SELECT id, k::INT AS block, regexp_extract(response, '(?s)\[BLOCK ' || k || '\]\s*(.*?)\s*\[/BLOCK ' || k || '\]', 1) AS text FROM n)
+SELECT id, block, text FROM b WHERE text <> ''""")
 def block_parse(spark, sf_dir):
     return segments.parsed_blocks(given(spark, "answers"))
 
