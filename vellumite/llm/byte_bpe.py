@@ -5,7 +5,8 @@ rows (word, position, token, previous position, previous token). One recursive q
 table, finds each word's leftmost pair of minimum rank and contracts it, until no pair of the word can be merged;
 words leave the recursion as they finish. The final rows are joined with the vocabulary and aggregated in order of
 position to ids and to bytes. The recursion sees a bounded number of distinct words at a time; what it found stays
-in a store of bounded size in the worker, from which texts are put together. Texts themselves never move.
+in a store of bounded size in the worker, from which texts are put together. Texts themselves never move. A text
+whose blanks all stand alone is split at them, and its ids and bytes are gathered, in Arrow; others part by part.
 
 The recursion of a word takes one round a merge and keeps the rows of all rounds, so its cost and memory grow with
 the square of the word's bytes: a query gets words of at most `rows` rows over all rounds, and words of over
@@ -25,6 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from vellumite.llm.common import Store, map_arrow
@@ -36,6 +38,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 _WS = "\t-\r \x85\xa0  -     　"
 #: No piece of the pattern reaches over the borders of these parts.
 _PARTS = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+#: A blank that need not be the border of a part.
+_RUN = f" [{_WS}]| \\z"
 
 _CONTRACT = """
 WITH RECURSIVE tokens(wid, pos, tok, ppos, ptok, code, done) AS (
@@ -68,6 +72,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def _joined(got: list[tuple[str, bytes]]) -> tuple[str, bytes]:
+    return got[0] if len(got) == 1 else (",".join([g[0] for g in got]), b"".join([g[1] for g in got]))
+
+
 class BpeCodec:
     """Encodes pieces of bytes to ids and back, distinct pieces at a time."""
 
@@ -95,7 +103,7 @@ class BpeCodec:
             self.db.register("given", data)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
-        self.pieces, self.parts = Store(limit), Store(max(1, limit // 3))
+        self.pieces, self.parts = Store(limit), Store(max(1, limit * 6 // 7))
 
     def _contract(self, words: list[bytes]) -> Iterator[tuple[int, str, bytes]]:
         lengths = np.array([len(w) for w in words], np.int64)
@@ -166,20 +174,56 @@ class BpeCodec:
             i = j
         return made
 
-    def encode(self, texts: list[str | None]) -> list[tuple[str, bytes]]:
-        """(ids joined by commas, decoded bytes) of every text."""
-        found = [_PARTS.findall(t or "") for t in texts]
-        parts, new = self.parts.known({p for x in found for p in x})
+    def _of_parts(self, parts: Iterable[str]) -> dict[str, tuple[str, bytes]]:
+        """(ids joined by commas, decoded bytes) of each part; a part may hold several pieces."""
+        found, new = self.parts.known(parts)
         split = {p: self.pattern.findall(p) for p in new}
         pieces, unknown = self.pieces.known({q for x in split.values() for q in x})
         made = self._made(unknown)
         self.pieces.put(made)
         pieces |= made
-        join = lambda got: got[0] if len(got) == 1 else (",".join([g[0] for g in got]), b"".join([g[1] for g in got]))
-        fresh = {p: join([pieces[q] for q in x]) for p, x in split.items()}
+        fresh = {p: _joined([pieces[q] for q in x]) for p, x in split.items()}
         self.parts.put(fresh)
-        parts |= fresh
-        return [join([parts[p] for p in x]) for x in found]
+        return found | fresh
+
+    def _by_blanks(self, texts: pa.Array) -> list[tuple[str, bytes]]:
+        """encode() for texts whose every blank is followed by something else than white space: each blank is a border."""
+        lists = pc.split_pattern(texts, " ")
+        at = lists.offsets.to_numpy()
+        coded = lists.values.dictionary_encode()
+        place = coded.indices.to_numpy().astype(np.int64)
+        first = place[at[:-1]]
+        # A part begins with its blank, save each text's first one.
+        names = coded.dictionary.to_pylist()
+        opening, first = np.unique(first, return_inverse=True)
+        place[at[:-1]] = len(names) + first
+        used = np.zeros(len(names) + len(opening), bool)
+        used[place] = True
+        keys = [" " + p for p in names] + [names[i] for i in opening]
+        got = self._of_parts({k for k, u in zip(keys, used.tolist(), strict=True) if u})
+        table = [got.get(k, ("", b"")) for k in keys]
+        made = []
+        for values in ([i + "," if i else "" for i, _ in table], [raw for _, raw in table]):
+            row = pa.array(values, pa.large_string() if isinstance(values[0], str) else pa.large_binary()).take(pa.array(place))
+            ends = np.frombuffer(row.buffers()[1], np.int64)[at].tolist()
+            data = memoryview(row.buffers()[2] or b"")
+            made.append([data[i:j] for i, j in zip(ends, ends[1:], strict=False)])
+        return [(str(ids[:-1], "ascii"), bytes(raw)) for ids, raw in zip(*made, strict=True)]
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[tuple[str, bytes]]:
+        """(ids joined by commas, decoded bytes) of every text."""
+        rows = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        runs = pc.match_substring_regex(rows, _RUN).to_numpy(zero_copy_only=False).astype(bool)
+        out: list[tuple[str, bytes]] = [("", b"")] * len(rows)
+        plain, other = np.flatnonzero(~runs), np.flatnonzero(runs)
+        if len(plain):
+            for i, x in zip(plain.tolist(), self._by_blanks(rows.take(pa.array(plain))), strict=True):
+                out[i] = x
+        found = [_PARTS.findall(t) for t in rows.take(pa.array(other)).to_pylist()]
+        parts = self._of_parts({p for x in found for p in x})
+        for i, x in zip(other.tolist(), found, strict=True):
+            out[i] = _joined([parts[p] for p in x])
+        return out
 
 
 _CODECS: dict[tuple[str, str], BpeCodec] = {}
@@ -194,7 +238,7 @@ def byte_bpe(docs: DataFrame, path: str | None = None, pattern: str | None = Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _CODECS.get((path, pattern)) or _CODECS.setdefault((path, pattern), BpeCodec(path, pattern))
         for b in batches:
-            made = codec.encode(b.column("text").to_pylist())
+            made = codec.encode(b.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id"),
@@ -205,7 +249,7 @@ def byte_bpe(docs: DataFrame, path: str | None = None, pattern: str | None = Non
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", 5000, 32 << 20)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
