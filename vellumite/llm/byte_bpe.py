@@ -229,6 +229,11 @@ class BpeCodec:
 _CODECS: dict[tuple[str, str], BpeCodec] = {}
 
 
+def codec_of(path: str, pattern: str) -> BpeCodec:
+    """The worker's codec with its stores; a function of the module, so that tasks share it (what a closure names itself is copied into each task)."""
+    return _CODECS.get((path, pattern)) or _CODECS.setdefault((path, pattern), BpeCodec(path, pattern))
+
+
 def byte_bpe(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids (joined by commas) and decoded bytes as their SHA-256 digests."""
     import public_tokenizers
@@ -236,7 +241,7 @@ def byte_bpe(docs: DataFrame, path: str | None = None, pattern: str | None = Non
     path, pattern = path or vocabulary_path(), pattern or public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _CODECS.get((path, pattern)) or _CODECS.setdefault((path, pattern), BpeCodec(path, pattern))
+        codec = codec_of(path, pattern)
         for b in batches:
             made = codec.encode(b.column("text"))
             yield pa.RecordBatch.from_arrays(
