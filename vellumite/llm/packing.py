@@ -199,6 +199,12 @@ def packed(tokens: Sequence[int], loss: Sequence[Sequence[int] | None], limits:
 
 _ENCODERS: dict[str, PartEncoder] = {}
 
+
+def encoder_of(path: str) -> PartEncoder:
+    """The worker's encoder with its store; a function of the module, so that tasks share it (what a closure names itself is copied into each task)."""
+    return _ENCODERS.get(path) or _ENCODERS.setdefault(path, PartEncoder(path))
+
+
 _OUT = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -233,7 +239,7 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), min_cut: int = 16
         return made, bearing
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, PartEncoder(path))
+        encoder = encoder_of(path)
         first = TaskContext.get().partitionId() << 32
 
         def flushed(ids: list, held: list[bytes], bearing: list) -> Iterator[pa.RecordBatch]:
