@@ -329,17 +329,27 @@ def test_refinement_against_sorting():
     assert [f.tolist() for f in suffix_dedup.repeated(pieces, 40)] == want
 
 
-def test_one_minimiser_with_very_many_contexts():
+@pytest.mark.parametrize("crowd", [1, 3, 12])
+def test_one_minimiser_with_very_many_contexts(spark, crowd):
     rng = np.random.default_rng(1)
-    core = b"Z" * 8
-    pieces = [rng.integers(97, 99, 30).astype(np.uint8).tobytes() + core + rng.integers(97, 99, 30).astype(np.uint8).tobytes() for _ in range(60)]
-    pieces = [p[k % 5 :] for k, p in enumerate(pieces)]
-    places = [p.index(core) for p in pieces]
-    seen = Counter(p[i : i + 20] for p, z in zip(pieces, places) for i in range(len(p) - 19) if i <= z <= i + 12)
-    for f, p, z in zip(suffix_dedup.repeated_by_place(pieces, places, 20), pieces, places):
-        for i in range(len(p) - 19):
-            if i <= z <= i + 12:
-                assert f[i] == (seen[p[i : i + 20]] > 1)
+    word = lambda n: "".join(chr(c) for c in rng.integers(97, 123, n))
+    passage, shorter = word(700), word(390)
+    few = [word(60) for _ in range(4)]
+    texts = [word(500) + passage[k % 3 :] + word(450) for k in range(20)]
+    texts += [word(200) + few[k % 4] + shorter + few[k % 3] + word(300) for k in range(40)]
+    texts += texts[:5] + [passage, "", None, "ab" * 600]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3, "doc_id")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.suffix_dedup(df, crowd=crowd).collect()}
+    assert got == dict(enumerate(passages_brute([(t or "").encode() for t in texts], 400)))
+
+
+def test_parts_of_a_context():
+    body = bytes(np.random.default_rng(3).integers(97, 123, 150).astype(np.uint8))
+    for width in (1, 16):
+        found = list(suffix_dedup.parts(body, 70, width, 60))
+        assert sorted(s for a, z, *_ in found for s in range(a, z + 1)) == list(range(len(body) - 59))
+        for a, z, core, piece in found:
+            assert piece == body[a : z + 60] and all(core.split(b" ", 1)[1] in body[s : s + 60] for s in range(a, z + 1))
 
 
 def test_long_texts_in_segments(monkeypatch):

@@ -9,7 +9,10 @@ different contexts, their bytes come to one task, and the suffixes at their star
 bucket-pointer refinement: buckets of 8-grams first, then every bucket of more than one is sorted by the bucket
 pointers at a later offset; refined pointers are written back and used by the next refinements, which doubles the
 sorted depth each time. Starts left in one bucket are equal strings. A context of which there are several copies is
-repeated at each of its starts as it is.
+repeated at each of its starts as it is. A minimiser with more than CROWD contexts never comes to one task: its contexts
+are cut by the place of the minimiser in their strings, 16 places together, and dealt anew by the bytes that all strings
+of such a block share; equal parts are counted together, few different ones sorted, and where there still are more than
+CROWD, they are cut into single strings, which are equal or in groups of their own.
 
 Defined results: a null text counts as empty; texts shorter than `length` bytes keep everything; rows that repeat a
 doc_id are different places, so that what they share goes from all of them; cuts are made at bytes, whole characters
@@ -25,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellumite.llm.common import ROW, discard, map_arrow, stable, with_row, written
@@ -33,6 +35,9 @@ from vellumite.tables import table
 
 LENGTH = 400
 GRAM = 64
+#: Contexts of one minimiser that one task sorts; where there are more, they are cut into blocks of WIDTHS places.
+CROWD = 4096
+WIDTHS = (16, 1)
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SEGMENT = 1 << 19
@@ -176,50 +181,30 @@ def repeated(pieces: Sequence[bytes], length: int = LENGTH) -> list[np.ndarray]:
     return [flags[e - s : e - length + 1] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
 
-def repeated_by_place(pieces: Sequence[bytes], places: Sequence[int], length: int = LENGTH) -> list[np.ndarray]:
-    """The same for one minimiser with very many contexts: equal strings have it at one place, so each place is sorted on its own.
-
-    places: where the minimiser is in each context.
-    """
-    flags = [np.zeros(len(p) - length + 1, bool) for p in pieces]
-    span = range(min(-p for p in places), max(len(x) - length - p for x, p in zip(pieces, places, strict=True)) + 1)
-    for d in span:
-        own = [i for i, (x, p) in enumerate(zip(pieces, places, strict=True)) if 0 <= p + d <= len(x) - length]
-        if len(own) > 1:
-            strings = np.frombuffer(b"".join(pieces[i][places[i] + d : places[i] + d + length] for i in own), f"V{length}")
-            _, inverse, counts = np.unique(strings, return_inverse=True, return_counts=True)
-            for i, twice in zip(own, (counts[inverse] > 1).tolist(), strict=True):
-                flags[i][places[i] + d] = twice
-    return flags
-
-
 def _runs(flags: np.ndarray) -> tuple[list[int], list[int]]:
     """First and last index of each run of true."""
     edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
     return edges[0::2].tolist(), (edges[1::2] - 1).tolist()
 
 
-def _spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_bytes: int = 2 << 20, most_bytes: int = 12 << 20) -> tuple[DataFrame, list[DataFrame]]:
-    """Row identity and spans (array of begin, end; they may overlap and are not in order) of rows that have any, and the written tables they are read from."""
+def _tallied(found: DataFrame) -> DataFrame:
+    """Contexts (mark, digest, row identity, a, z, p) counted: n equal ones, kinds of one minimiser; only those that may hold a repeated string."""
+    distinct = written(found.groupBy("mark", "digest").agg(F.count("*").alias("n"), F.min(F.struct(ROW, "a", "z", "p")).alias("one")), "distinct")
+    several = distinct.groupBy("mark").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    both = distinct.join(several, "mark", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1)))
+    marked = written(both.where("kinds > 1 OR n > 1").select("mark", "digest", "n", "kinds", "one.*"), "marks")
+    discard(distinct)
+    return marked
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, texts = b.column(ROW).to_pylist(), [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
-            got = [(ids[i], a, z, p - a, h, xxhash.xxh3_64_intdigest(texts[i][a : z + length])) for i, a, z, p, h in _all_contexts(texts, length, gram)]
-            cols = list(zip(*got, strict=True)) or [()] * 6
-            digest = np.array(cols[5], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(digest)], [ROW, "a", "z", "p", "mark", "digest"])
 
-    # A context is known by its minimiser's 64-bit hash and by its own.
-    context = written(map_arrow(rows.select(ROW, "text"), found, f"{ROW} long, a long, z long, p long, mark long, digest long"), "contexts")
-    key = ["mark", "digest"]
-    distinct = context.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct(ROW, "a", "z", "p")).alias("one"))
-    marked = distinct.withColumn("kinds", F.count("*").over(W.partitionBy("mark"))).where("kinds > 1 OR n > 1")
-    marked = written(marked.select(*key, "n", "kinds", "one.*"), "marks")
-
-    edge = marked.where("kinds > 1").join(rows, ROW)
+def _bodies(marked: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """The contexts with the bytes they span."""
     body = F.substring(F.col("text").cast("binary"), (F.col("a") + 1).cast("int"), (F.col("z") - F.col("a") + length).cast("int"))
-    edge = edge.select(*key, "n", "p", "doc_id", body.alias("body")).repartition("mark").sortWithinPartitions("mark")
+    return marked.join(rows.select(ROW, "text"), ROW).withColumn("body", body).drop("text")
+
+
+def _solved(edge: DataFrame, length: int, batch_bytes: int) -> DataFrame:
+    """mark, digest, begins, stops: runs of repeated starts of contexts, whose minimisers have few contexts each."""
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # whole groups of one mark
@@ -227,19 +212,17 @@ def _spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_bytes:
         size = group_size = 0
 
         def out(items: list[tuple]) -> pa.RecordBatch:
-            bodies = [x[4] for x in items]
-            alone = sum(map(len, bodies)) > most_bytes and len({x[0] for x in items}) == 1
-            flags = repeated_by_place(bodies, [x[3] for x in items], length) if alone else repeated(bodies, length) if items else []
+            flags = repeated([x[3] for x in items], length) if items else []
             begins, stops = [], []
             for x, f in zip(items, flags, strict=True):
                 a, z = _runs(np.ones(len(f), bool) if x[2] > 1 else f)
                 begins.append(a)
                 stops.append(z)
             keys = [pa.array([x[i] for x in items], pa.int64()) for i in range(2)]
-            return pa.RecordBatch.from_arrays([*keys, pa.array(begins, pa.list_(pa.int32())), pa.array(stops, pa.list_(pa.int32()))], [*key, "begins", "stops"])
+            return pa.RecordBatch.from_arrays([*keys, pa.array(begins, pa.list_(pa.int32())), pa.array(stops, pa.list_(pa.int32()))], ["mark", "digest", "begins", "stops"])
 
         for b in batches:
-            cols = (b.column(c).to_pylist() for c in (*key, "n", "p", "body"))
+            cols = (b.column(c).to_pylist() for c in ("mark", "digest", "n", "body"))
             for x in zip(*cols, strict=True):
                 if group and group[0][0] != x[0]:
                     if size + group_size > batch_bytes and held:
@@ -249,19 +232,78 @@ def _spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, batch_bytes:
                     size += group_size
                     group, group_size = [], 0
                 group.append(x)
-                group_size += len(x[4])
+                group_size += len(x[3])
         if size + group_size > batch_bytes and held:
             yield out(held)
             held = []
         yield out(held + group)
 
-    solved = map_arrow(edge, solve, "mark long, digest long, begins array<int>, stops array<int>")
-    whole = marked.where("kinds = 1").select(*key, F.array(F.lit(0)).alias("begins"), F.array((F.col("z") - F.col("a")).cast("int")).alias("stops"))
-    spans = context.join(solved.where("size(begins) > 0").union(whole), key).select(
-        ROW, F.explode(F.arrays_zip("begins", "stops")).alias("s"), "a"
-    )
+    dealt = edge.select("mark", "digest", "n", "body").repartition("mark").sortWithinPartitions("mark")
+    return map_arrow(dealt, solve, "mark long, digest long, begins array<int>, stops array<int>").where("size(begins) > 0")
+
+
+def parts(body: bytes, p: int, width: int, length: int = LENGTH) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """A context cut by the place of the minimiser (p) in its strings, `width` places together: first and last start, block and what all strings of the block share, bytes.
+
+    Equal strings have the minimiser at one place, so they are in one block and share its core.
+    """
+    last = len(body) - length
+    for k in range((p - last) // width, p // width + 1):
+        first, final = max(0, p - (k + 1) * width + 1), min(last, p - k * width)
+        core = b"%d " % k + body[p - k * width : p - (k + 1) * width + 1 + length]
+        yield first, final, core, body[first : final + length]
+
+
+def _repeats(marked: DataFrame, rows: DataFrame, length: int, crowd: int, batch_bytes: int, widths: Sequence[int] = WIDTHS) -> tuple[DataFrame, list[DataFrame]]:
+    """mark, digest, begins, stops: runs of repeated starts of the contexts, which may be in several rows; and the written tables."""
+    key = ["mark", "digest"]
+    whole = marked.where((F.col("kinds") == 1) | (F.col("kinds") > crowd) & (F.col("n") > 1))
+    whole = whole.select(*key, F.array(F.lit(0)).alias("begins"), F.array((F.col("z") - F.col("a")).cast("int")).alias("stops"))
+    found = whole.union(_solved(_bodies(marked.where(F.col("kinds").between(2, crowd)), rows, length), length, batch_bytes))
+    crowded = marked.where(F.col("kinds") > crowd)
+    if not widths or crowded.isEmpty():
+        return found, [marked]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["mark", "digest", "shift", "mark2", "digest2", ROW, "a", "z", "p"]
+        for b in batches:
+            got = []
+            for mark, digest, row, a, p, body in zip(*(b.column(c).to_pylist() for c in (*key, ROW, "a", "p", "body")), strict=True):
+                for first, final, core, piece in parts(body, p, widths[0], length):
+                    group = xxhash.xxh3_64_intdigest(core, mark & 0xFFFFFFFFFFFFFFFF)
+                    got.append((mark, digest, first, _signed(group), _signed(xxhash.xxh3_64_intdigest(piece, p - first)), row, a + first, a + final, p - first))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*got, strict=True) if got else [()] * len(names))], names)
+
+    kinds = f"mark long, digest long, shift long, mark2 long, digest2 long, {ROW} long, a long, z long, p long"
+    split = written(map_arrow(_bodies(crowded, rows, length), cut, kinds), "parts")
+    inner = _tallied(split.select(F.col("mark2").alias("mark"), F.col("digest2").alias("digest"), ROW, "a", "z", "p"))
+    deeper, tables = _repeats(inner, rows, length, crowd, batch_bytes, widths[1:])
+    moved = [F.transform(c, lambda x: x + F.col("shift").cast("int")).alias(c) for c in ("begins", "stops")]
+    back = split.select(*key, "shift", "mark2", "digest2").join(deeper.toDF("mark2", "digest2", "begins", "stops"), ["mark2", "digest2"])
+    return found.union(back.select(*key, *moved)), [marked, split, *tables]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, batch_bytes: int = 2 << 20) -> tuple[DataFrame, list[DataFrame]]:
+    """Row identity and spans (array of begin, end; they may overlap and are not in order) of rows that have any, and the written tables they are read from."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts = b.column(ROW).to_pylist(), [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
+            got = [(ids[i], a, z, p - a, h, xxhash.xxh3_64_intdigest(texts[i][a : z + length])) for i, a, z, p, h in _all_contexts(texts, length, gram)]
+            cols = list(zip(*got, strict=True)) or [()] * 6
+            digest = np.array(cols[5], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(digest)], [ROW, "a", "z", "p", "mark", "digest"])
+
+    # A context is known by its minimiser's 64-bit hash and by its own.
+    context = written(map_arrow(rows.select(ROW, "text"), found, f"{ROW} long, a long, z long, p long, mark long, digest long"), "contexts")
+    repeats, tables = _repeats(_tallied(context), rows, length, crowd, batch_bytes)
+    spans = context.join(repeats, ["mark", "digest"]).select(ROW, F.explode(F.arrays_zip("begins", "stops")).alias("s"), "a")
     spans = spans.select(ROW, F.struct((F.col("a") + F.col("s.begins")).alias("begin"), (F.col("a") + F.col("s.stops") + length).alias("end")).alias("s"))
-    return spans.groupBy(ROW).agg(F.collect_list("s").alias("spans")), [context, marked]
+    return spans.groupBy(ROW).agg(F.collect_list("s").alias("spans")), [context, *tables]
 
 
 def _kept(text: bytes, spans: list[dict] | None) -> tuple[list[bytes], int]:
@@ -277,7 +319,7 @@ def _kept(text: bytes, spans: list[dict] | None) -> tuple[list[bytes], int]:
     return parts, runs
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
     """One row per document: doc_id, row identity, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +337,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             )
 
     rows = with_row(stable(docs.select("doc_id", "text")))
-    found = rows.join(_spans(rows, length)[0], ROW, "left")
+    found = rows.join(_spans(rows, length, crowd=crowd)[0], ROW, "left")
     return map_arrow(found, cut, f"doc_id long, {ROW} long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
