@@ -188,11 +188,17 @@ def _runs(flags: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def _tallied(found: DataFrame) -> DataFrame:
-    """Contexts (mark, digest, row identity, a, z, p) counted: n equal ones, kinds of one minimiser; only those that may hold a repeated string."""
-    distinct = written(found.groupBy("mark", "digest").agg(F.count("*").alias("n"), F.min(F.struct(ROW, "a", "z", "p")).alias("one")), "distinct")
+    """Contexts (mark, digest, row identity, at) counted: n equal ones, kinds of one minimiser; only those that may hold a repeated string.
+
+    at: first start, starts after it and place of the minimiser in one long, so that rows stay small; returned as a, z, p.
+    """
+    one = [F.first(c).alias(c) for c in (ROW, "at")]  # both of the same row, whichever of the equal ones it is
+    distinct = written(found.groupBy("mark", "digest").agg(F.count("*").alias("n"), *one), "distinct")
     several = distinct.groupBy("mark").agg(F.count("*").alias("kinds")).where("kinds > 1")
     both = distinct.join(several, "mark", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1)))
-    marked = written(both.where("kinds > 1 OR n > 1").select("mark", "digest", "n", "kinds", "one.*"), "marks")
+    a = F.shiftright("at", 32)
+    place = [a.alias("a"), (a + F.shiftright("at", 16).bitwiseAND(0xFFFF)).alias("z"), F.col("at").bitwiseAND(0xFFFF).alias("p")]
+    marked = written(both.where("kinds > 1 OR n > 1").select("mark", "digest", "n", "kinds", ROW, *place), "marks")
     discard(distinct)
     return marked
 
@@ -265,43 +271,50 @@ def _repeats(marked: DataFrame, rows: DataFrame, length: int, crowd: int, batch_
         return found, [marked]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["mark", "digest", "shift", "mark2", "digest2", ROW, "a", "z", "p"]
+        names = ["mark", "digest", "shift", "mark2", "digest2", ROW, "at"]
         for b in batches:
             got = []
             for mark, digest, row, a, p, body in zip(*(b.column(c).to_pylist() for c in (*key, ROW, "a", "p", "body")), strict=True):
                 for first, final, core, piece in parts(body, p, widths[0], length):
                     group = xxhash.xxh3_64_intdigest(core, mark & 0xFFFFFFFFFFFFFFFF)
-                    got.append((mark, digest, first, _signed(group), _signed(xxhash.xxh3_64_intdigest(piece, p - first)), row, a + first, a + final, p - first))
+                    got.append((mark, digest, first, _signed(group), _signed(xxhash.xxh3_64_intdigest(piece, p - first)), row, _at(a + first, a + final, p - first)))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*got, strict=True) if got else [()] * len(names))], names)
 
-    kinds = f"mark long, digest long, shift long, mark2 long, digest2 long, {ROW} long, a long, z long, p long"
+    kinds = f"mark long, digest long, shift long, mark2 long, digest2 long, {ROW} long, at long"
     split = written(map_arrow(_bodies(crowded, rows, length), cut, kinds), "parts")
-    inner = _tallied(split.select(F.col("mark2").alias("mark"), F.col("digest2").alias("digest"), ROW, "a", "z", "p"))
+    inner = _tallied(split.select(F.col("mark2").alias("mark"), F.col("digest2").alias("digest"), ROW, "at"))
     deeper, tables = _repeats(inner, rows, length, crowd, batch_bytes, widths[1:])
     moved = [F.transform(c, lambda x: x + F.col("shift").cast("int")).alias(c) for c in ("begins", "stops")]
     back = split.select(*key, "shift", "mark2", "digest2").join(deeper.toDF("mark2", "digest2", "begins", "stops"), ["mark2", "digest2"])
     return found.union(back.select(*key, *moved)), [marked, split, *tables]
 
 
+def _at(a: int, z: int, p: int) -> int:
+    """First start, starts after it and the minimiser's place after the first start, in one long."""
+    return a << 32 | (z - a) << 16 | p
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
 def _spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, batch_bytes: int = 2 << 20) -> tuple[DataFrame, list[DataFrame]]:
     """Row identity and spans (array of begin, end; they may overlap and are not in order) of rows that have any, and the written tables they are read from."""
+    if length > 0xFFFF:
+        raise ValueError("lengths of up to 65535 bytes")
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts = b.column(ROW).to_pylist(), [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
-            got = [(ids[i], a, z, p - a, h, xxhash.xxh3_64_intdigest(texts[i][a : z + length])) for i, a, z, p, h in _all_contexts(texts, length, gram)]
-            cols = list(zip(*got, strict=True)) or [()] * 6
-            digest = np.array(cols[5], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(digest)], [ROW, "a", "z", "p", "mark", "digest"])
+            got = [(ids[i], _at(a, z, p - a), h, xxhash.xxh3_64_intdigest(texts[i][a : z + length])) for i, a, z, p, h in _all_contexts(texts, length, gram)]
+            cols = list(zip(*got, strict=True)) or [()] * 4
+            digest = np.array(cols[3], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(digest)], [ROW, "at", "mark", "digest"])
 
     # A context is known by its minimiser's 64-bit hash and by its own.
-    context = written(map_arrow(rows.select(ROW, "text"), found, f"{ROW} long, a long, z long, p long, mark long, digest long"), "contexts")
+    context = written(map_arrow(rows.select(ROW, "text"), found, f"{ROW} long, at long, mark long, digest long"), "contexts")
     repeats, tables = _repeats(_tallied(context), rows, length, crowd, batch_bytes)
-    spans = context.join(repeats, ["mark", "digest"]).select(ROW, F.explode(F.arrays_zip("begins", "stops")).alias("s"), "a")
+    spans = context.join(repeats, ["mark", "digest"]).select(ROW, F.explode(F.arrays_zip("begins", "stops")).alias("s"), F.shiftright("at", 32).alias("a"))
     spans = spans.select(ROW, F.struct((F.col("a") + F.col("s.begins")).alias("begin"), (F.col("a") + F.col("s.stops") + length).alias("end")).alias("s"))
     return spans.groupBy(ROW).agg(F.collect_list("s").alias("spans")), [context, *tables]
 
