@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumite.llm.common import Store, map_arrow
+from vellumite.llm.common import Store, kept, map_arrow
 from vellumite.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -226,12 +226,9 @@ class BpeCodec:
         return out
 
 
-_CODECS: dict[tuple[str, str], BpeCodec] = {}
-
-
 def codec_of(path: str, pattern: str) -> BpeCodec:
     """The worker's codec with its stores; a function of the module, so that tasks share it (what a closure names itself is copied into each task)."""
-    return _CODECS.get((path, pattern)) or _CODECS.setdefault((path, pattern), BpeCodec(path, pattern))
+    return kept((BpeCodec, path, pattern), lambda: BpeCodec(path, pattern))
 
 
 def byte_bpe(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -254,7 +251,7 @@ def byte_bpe(docs: DataFrame, path: str | None = None, pattern: str | None = Non
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", 5000, 32 << 20)
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", 5000, 32 << 20, keeps=True)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from functools import cache
 
 import pyarrow as pa
@@ -83,14 +83,35 @@ def _bounded(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordB
         yield from _bounded(part, rows, size)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 2500, size: int = 16 << 20) -> DataFrame:
-    """mapInArrow whose function sees batches of bounded size; where the session does not bound those that it hands to Python, it gets bounds."""
+_KEPT: dict[Hashable, object] = {}
+
+
+def kept(key: Hashable, make: Callable[[], object]) -> object:
+    """The worker's object of this key, made by its first task and shared by later ones; objects of other keys go."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release() -> None:
+    """Let go of what earlier tasks of other stages left in this worker."""
+    _KEPT.clear()
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 2500, size: int = 16 << 20, keeps: bool = False) -> DataFrame:
+    """mapInArrow whose function sees batches of bounded size; where the session does not bound those that it hands to Python, it gets bounds.
+
+    keeps: the function uses `kept`; any other one starts by freeing what a worker kept.
+    """
     conf = df.sparkSession.conf
     for k, v in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
         if conf.get(f"spark.sql.execution.arrow.{k}", None) is None:
             conf.set(f"spark.sql.execution.arrow.{k}", str(v))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            release()
         return fn(part for b in batches for part in _bounded(b, rows, size))
 
     return df.mapInArrow(run, schema)

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumite.llm.common import Store, map_arrow
+from vellumite.llm.common import Store, kept, map_arrow
 from vellumite.tables import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -197,12 +197,9 @@ def packed(tokens: Sequence[int], loss: Sequence[Sequence[int] | None], limits:
     return pieces
 
 
-_ENCODERS: dict[str, PartEncoder] = {}
-
-
 def encoder_of(path: str) -> PartEncoder:
     """The worker's encoder with its store; a function of the module, so that tasks share it (what a closure names itself is copied into each task)."""
-    return _ENCODERS.get(path) or _ENCODERS.setdefault(path, PartEncoder(path))
+    return kept((PartEncoder, path), lambda: PartEncoder(path))
 
 
 _OUT = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -270,7 +267,7 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), min_cut: int = 16
         if held:
             yield from flushed(ids, held, bearing)
 
-    return map_arrow(docs.select("doc_id", F.col(parts or "text").alias("text")), run, _OUT)
+    return map_arrow(docs.select("doc_id", F.col(parts or "text").alias("text")), run, _OUT, keeps=True)
 
 
 def pack_conversations(turns: DataFrame, limits: Limits = Limits(), role: str = "assistant", **options) -> DataFrame:
