@@ -97,7 +97,7 @@ def page_cover(spark, sf_dir):
 
 @query("""
 SELECT o_custkey AS doc, min(w) AS width, min(h) AS height, CASE WHEN count(DISTINCT (w, h)) > 1 THEN 'pages of several sizes' END AS error
-FROM (SELECT o_custkey, 600.0 + 10 * (o_orderkey % 2) AS w, 800.0::DOUBLE AS h FROM orders) GROUP BY o_custkey""")
+FROM (SELECT o_custkey, (600.0 + 10 * (o_orderkey % 2))::DOUBLE AS w, 800.0::DOUBLE AS h FROM orders) GROUP BY o_custkey""")
 def document_sizes(spark, sf_dir):
     df = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), (600.0 + 10 * (F.col("o_orderkey") % 2)).alias("page_width"), F.lit(800.0).alias("page_height"))
     return boxes.one_size(df, "doc")
