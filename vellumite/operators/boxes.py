@@ -105,3 +105,21 @@ def one_size(pages: DataFrame, key: str) -> DataFrame:
     """key, width, height of documents; pages of different sizes are an error in the column `error`."""
     sizes = F.countDistinct("page_width", "page_height")
     return pages.groupBy(key).agg(F.min("page_width").alias("width"), F.min("page_height").alias("height"), F.when(sizes > 1, F.lit("pages of several sizes")).alias("error"))
+
+
+def painted_style(spans: DataFrame, *keys: str, order: str = "span_no") -> DataFrame:
+    """keys, size, bold, italic, colour of lines from their spans with text (text, font_size, flags, color as a number).
+
+    The size is the mean weighted by the visible length, to two decimals (halves to even); bold and italic hold if one span has
+    the flag; the colour is the first that is not black. Lines without text are 11 points and plain black; a missing
+    size counts as 11, missing flags and colours as 0.
+    """
+    shown = T.stripped(T.some(F.col("text")))
+    weight = F.when(shown != "", F.length(shown))
+    size = F.coalesce(F.col("font_size"), F.lit(11.0)).cast("double")
+    flag = lambda bit: F.coalesce(F.bool_or(F.when(shown != "", F.coalesce(F.col("flags"), F.lit(0)).bitwiseAND(F.lit(bit)) != 0)), F.lit(False))
+    hue = F.coalesce(F.col("color"), F.lit(0)).bitwiseAND(F.lit(0xFFFFFF))
+    first = F.min_by(F.when((shown != "") & (hue != 0), hue), F.when((shown != "") & (hue != 0), F.col(order)))
+    colour = F.concat(F.lit("#"), F.lpad(F.lower(F.hex(F.coalesce(first, F.lit(0)))), 6, "0"))
+    mean = F.bround(F.sum(size * weight) / F.sum(weight), 2)
+    return spans.groupBy(*keys).agg(F.coalesce(mean, F.lit(11.0)).alias("size"), flag(16).alias("bold"), flag(2).alias("italic"), colour.alias("colour"))

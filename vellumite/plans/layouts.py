@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellumite.operators import segmentation
+from vellumite.operators import boxes, identity, merging, reading, segmentation
 from vellumite.plans.catalogue import query
 from vellumite.tables import table
 
@@ -64,3 +64,222 @@ SELECT region, segment, first(font_role) AS font_role, first(role) AS role, min(
   greatest(0.0::DOUBLE, arg_min(x0, line_no) - min(body_x0)) AS first_indent, round(median(step) FILTER (step > 0), 3) AS line_height FROM j GROUP BY region, segment""")
 def region_paragraphs(spark, sf_dir):
     return segmentation.paragraphs(_lines(spark, sf_dir), "region")
+
+
+#: Rows of a page (a part) by number, with what the boxes, spans and images below are made of.
+_ROWS = "r AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) AS line_no FROM lineitem)"
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = W.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice")
+    return table(spark, sf_dir, "lineitem").withColumn("line_no", F.row_number().over(order).cast("bigint")).withColumn("page", F.col("l_partkey"))
+
+
+def _merging(source: str, tolerance: int) -> str:
+    """Boxes of each page as a list: every box becomes the common box of all that touch it, until nothing changes."""
+    common = ", ".join(f"'{c}': {'least' if c[1] == '0' else 'greatest'}(a.{c}, c.{c})" for c in ("x0", "y0", "x1", "y1"))
+    near = " AND ".join(f"r.{c}1 >= o.{c}0 - {tolerance} AND o.{c}1 >= r.{c}0 - {tolerance}" for c in "xy")
+    return f"""
+    s AS (SELECT page, list_sort(list(DISTINCT {{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}})) AS l, NULL::STRUCT(x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)[] AS before FROM {source} GROUP BY page
+      UNION ALL SELECT page, list_sort(list_distinct(list_transform(l, lambda r: list_reduce(list_filter(l, lambda o: {near}), lambda a, c: {{{common}}})))), l FROM s WHERE before IS NULL OR before <> l),
+    m AS (SELECT page, unnest(l, recursive := true) FROM s WHERE before = l)"""
+
+
+_MARKS = f"""{_ROWS}, b AS (SELECT l_partkey AS page, (l_orderkey * 37 % 560)::DOUBLE AS x0, (l_orderkey * 53 % 760)::DOUBLE AS y0, (l_orderkey * 37 % 560)::DOUBLE + l_quantity AS x1, (l_orderkey * 53 % 760)::DOUBLE + l_suppkey % 20 AS y1 FROM r)"""
+
+
+@query(f"""
+WITH RECURSIVE {_MARKS}, {_merging("b", 8)}
+SELECT m.page, m.x0, m.y0, m.x1, m.y1, count(*) AS n FROM m JOIN b ON b.page = m.page AND b.x0 >= m.x0 AND b.y0 >= m.y0 AND b.x1 <= m.x1 AND b.y1 <= m.y1 GROUP BY ALL""")
+def merged_marks(spark, sf_dir):
+    k = F.col("l_orderkey")
+    x0, y0 = (k * 37 % 560).cast("double"), (k * 53 % 760).cast("double")
+    boxes_ = _rows(spark, sf_dir).select("page", x0.alias("x0"), y0.alias("y0"), (x0 + F.col("l_quantity")).alias("x1"), (y0 + F.col("l_suppkey") % 20).alias("y1"))
+    return merging.merged_boxes(boxes_, "page")
+
+
+@query(f"""
+WITH RECURSIVE {_ROWS},
+p AS (SELECT l_partkey AS page, l_linestatus, l_linenumber, l_quantity AS q, (l_orderkey * 37 % 400)::DOUBLE AS x0, (l_orderkey * 53 % 600)::DOUBLE AS y0, l_suppkey FROM r),
+f AS (SELECT DISTINCT page, x0, y0, x0 + q * 5 AS x1, y0 + q * 3 AS y1 FROM p WHERE l_linenumber <= 2 AND (q * 15 * q BETWEEN 480000.0 * CASE WHEN l_linestatus = 'F' THEN 0.015 ELSE 0.02 END AND 480000.0 * 0.78)
+  AND q * 5 >= 600 * CASE WHEN l_linestatus = 'F' THEN 0.2 ELSE 0.22 END AND q * 3 >= 800 * CASE WHEN l_linestatus = 'F' THEN 0.05 ELSE 0.06 END),
+k AS (SELECT page, x0, y0, x0 + 60 + q AS x1, y0 + 20 AS y1, 1 + l_suppkey % 4 AS n, l_suppkey % 7 = 0 AS t, l_suppkey % 3 = 0 AS c, l_suppkey % 2 = 0 AS mono, l_suppkey % 11 = 0 AS l FROM p WHERE l_linenumber > 2),
+h AS (SELECT f.page, f.x0, f.y0, f.x1, f.y1, coalesce(sum(n) FILTER (t), 0) AS t, coalesce(sum(n) FILTER (mono), 0) AS mono, bool_or(c) AS c, bool_or(l) AS l
+  FROM f JOIN k ON k.page = f.page AND k.x0 >= f.x0 - 8 AND k.y0 >= f.y0 - 8 AND k.x1 <= f.x1 + 8 AND k.y1 <= f.y1 + 8 GROUP BY ALL),
+b AS (SELECT page, x0, y0, x1, y1 FROM h WHERE NOT (t > 0 AND t >= greatest(2, mono * 0.6)) AND (c OR l OR mono >= 4)), {_merging("b", 14)}
+SELECT m.page, m.x0, m.y0, m.x1, m.y1, count(*) AS n FROM m JOIN b ON b.page = m.page AND b.x0 >= m.x0 AND b.y0 >= m.y0 AND b.x1 <= m.x1 AND b.y1 <= m.y1 GROUP BY ALL""")
+def card_frames(spark, sf_dir):
+    k, q, s = F.col("l_orderkey"), F.col("l_quantity"), F.col("l_suppkey")
+    df = _rows(spark, sf_dir).withColumn("x0", (k * 37 % 400).cast("double")).withColumn("y0", (k * 53 % 600).cast("double"))
+    kind = F.when(F.col("l_linestatus") == "F", "drawing").otherwise("image")
+    shapes = df.where("l_linenumber <= 2").select("page", F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"), kind.alias("kind"), "x0", "y0", (F.col("x0") + q * 5).alias("x1"), (F.col("y0") + q * 3).alias("y1"))
+    blocks = df.where("l_linenumber > 2").select(
+        "page", "x0", "y0", (F.col("x0") + 60 + q).alias("x1"), (F.col("y0") + 20).alias("y1"), (s % 4 + 1).alias("n_lines"),
+        (s % 7 == 0).alias("is_table"), (s % 3 == 0).alias("is_card"), (s % 2 == 0).alias("is_monospace"), (s % 11 == 0).alias("has_label"),
+    )
+    return merging.card_regions(shapes, blocks, "page")
+
+
+_ORIGINS = "CASE WHEN l_suppkey % 9 > 0 THEN [{'x': l_suppkey % 5 + 0.5002, 'y': l_quantity % 4}, {'x': l_suppkey % 5 + 0.4998, 'y': l_quantity % 4}, {'x': l_quantity, 'y': l_linenumber + 0.25}, {'x': l_linenumber, 'y': 0.0}] END"
+
+
+@query(f"""
+WITH {_ROWS}, o AS (SELECT l_partkey AS page, line_no, l_linestatus AS side, l_returnflag AS font, l_linenumber // 2 AS flags, {_ORIGINS} AS o FROM r),
+u AS (SELECT DISTINCT page, line_no, side, font, round(p.x, 3) AS x, round(p.y, 3) AS y FROM (SELECT *, unnest(o) AS p FROM o)),
+m AS (SELECT a.page, a.line_no AS span, b.line_no AS trace, count(*) AS n_shared FROM u a JOIN u b USING (page, font, x, y) JOIN o p ON p.page = a.page AND p.line_no = a.line_no JOIN o q ON q.page = b.page AND q.line_no = b.line_no
+  WHERE a.side = 'F' AND b.side = 'O' AND p.flags // 2 = q.flags // 2 GROUP BY ALL)
+SELECT o.page, o.line_no AS span, trace, coalesce(n_shared, 0) AS n_shared, CASE WHEN o.o IS NULL THEN 'no glyph origins' WHEN trace IS NULL THEN 'no matching trace' END AS error
+FROM o LEFT JOIN m ON m.page = o.page AND m.span = o.line_no WHERE side = 'F'""")
+def glyph_traces(spark, sf_dir):
+    s, q, n = F.col("l_suppkey"), F.col("l_quantity"), F.col("l_linenumber")
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    origins = F.when(s % 9 > 0, F.array(at(s % 5 + 0.5002, q % 4), at(s % 5 + 0.4998, q % 4), at(q, n + 0.25), at(n, F.lit(0.0))))
+    df = _rows(spark, sf_dir).select("page", "line_no", "l_linestatus", F.col("l_returnflag").alias("font"), F.floor(n / 2).cast("int").alias("flags"), origins.alias("origins"))
+    return identity.trace_matches(df.where("l_linestatus = 'F'").withColumnRenamed("line_no", "span"), df.where("l_linestatus = 'O'").withColumnRenamed("line_no", "trace"), "page")
+
+
+@query(f"""
+WITH {_ROWS}, i AS (SELECT l_partkey AS page, line_no, l_linestatus AS side, [l_tax, 0.0, 0.0, 1.0] AS transform, (l_quantity % 2)::INT AS width, CASE WHEN l_linenumber > 2 THEN 9 END AS height,
+  md5((l_linenumber % 3)::VARCHAR) AS digest, CASE WHEN l_suppkey % 5 > 0 THEN md5((l_suppkey % 4)::VARCHAR) END AS source, l_linenumber AS xref, l_returnflag AS meta FROM r),
+k AS (SELECT DISTINCT l_partkey AS page, md5((l_suppkey % 4)::VARCHAR) AS source, l_linenumber AS xref FROM lineitem WHERE l_returnflag = 'A' AND l_suppkey % 4 < 2),
+c AS (SELECT a.page, a.line_no AS block, b.* EXCLUDE (page, source) FROM i a JOIN i b ON b.page = a.page AND b.transform = a.transform AND b.width = a.width AND b.height IS NOT DISTINCT FROM a.height
+  WHERE a.side = 'F' AND b.side = 'O' AND CASE WHEN EXISTS (SELECT 1 FROM k WHERE k.page = a.page AND k.source = a.source) THEN EXISTS (SELECT 1 FROM k WHERE k.page = a.page AND k.source = a.source AND k.xref = b.xref) ELSE b.digest = a.digest END),
+n AS (SELECT page, block, min(line_no) AS info, count(DISTINCT (xref, digest, meta)) AS kinds FROM c GROUP BY page, block)
+SELECT i.page, i.line_no AS block, CASE WHEN kinds = 1 THEN info END AS info, CASE WHEN info IS NULL THEN 'no record' WHEN kinds > 1 THEN 'conflicting records' END AS error FROM i LEFT JOIN n ON n.page = i.page AND n.block = i.line_no WHERE side = 'F'""")
+def image_records(spark, sf_dir):
+    s, n = F.col("l_suppkey"), F.col("l_linenumber")
+    digest = lambda c: F.md5(c.cast("string").cast("binary"))
+    base = _rows(spark, sf_dir)
+    df = base.select(
+        "page", "line_no", "l_linestatus", F.array(F.col("l_tax"), F.lit(0.0), F.lit(0.0), F.lit(1.0)).alias("transform"), (F.col("l_quantity") % 2).cast("int").alias("width"), F.when(n > 2, 9).alias("height"),
+        digest(n % 3).alias("digest"), F.when(s % 5 > 0, digest(s % 4)).alias("source_digest"), n.alias("xref"), F.col("l_returnflag").alias("meta"),
+    )
+    references = base.where((F.col("l_returnflag") == "A") & (s % 4 < 2)).select("page", digest(s % 4).alias("source_digest"), n.alias("xref"))
+    return identity.image_matches(df.where("l_linestatus = 'F'").withColumnRenamed("line_no", "block"), df.where("l_linestatus = 'O'").withColumnRenamed("line_no", "info"), references, "page", ["meta"])
+
+
+@query(f"""
+WITH {_ROWS}, s AS (SELECT l_orderkey AS line, l_partkey, line_no, CASE WHEN l_suppkey % 6 = 0 THEN ' ' ELSE repeat('x', 1 + l_linenumber) || ' ' END AS text, CASE WHEN l_suppkey % 8 > 0 THEN l_quantity / 4 END AS size, l_linenumber AS flags,
+  CASE WHEN l_suppkey % 5 < 4 THEN (l_suppkey % 5) * 65793 END AS color FROM r),
+t AS (SELECT *, length(trim(text)) AS w FROM s WHERE trim(text) <> ''),
+g AS (SELECT line, round_even((sum(coalesce(size, 11) * w) / sum(w))::DECIMAL(18, 9), 2)::DOUBLE AS size, bool_or(flags & 16 > 0) AS bold, bool_or(flags & 2 > 0) AS italic, arg_min(color, (l_partkey, line_no)) FILTER (color > 0) AS c FROM t GROUP BY line)
+SELECT line, coalesce(size, 11) AS size, coalesce(bold, false) AS bold, coalesce(italic, false) AS italic, '#' || lpad(printf('%x', coalesce(c, 0)), 6, '0') AS colour FROM (SELECT DISTINCT line FROM s) LEFT JOIN g USING (line)""")
+def painted_styles(spark, sf_dir):
+    s, n = F.col("l_suppkey"), F.col("l_linenumber")
+    spans = _rows(spark, sf_dir).select(
+        F.col("l_orderkey").alias("line"), F.struct("l_partkey", "line_no").alias("span_no"), F.when(s % 6 == 0, " ").otherwise(F.concat(F.repeat(F.lit("x"), n + 1), F.lit(" "))).alias("text"),
+        F.when(s % 8 > 0, F.col("l_quantity") / 4).alias("font_size"), n.alias("flags"), F.when(s % 5 < 4, (s % 5 * 65793).cast("int")).alias("color"),
+    )
+    return boxes.painted_style(spans, "line")
+
+
+#: Blocks of a page: parts divisible by three have three columns, the next ones two, the others one; some are wide, some are titles or images.
+_BLOCKS = f"""{_ROWS},
+b0 AS (SELECT l_partkey AS page, line_no AS id, l_partkey % 3 AS kind, l_orderkey AS k, l_suppkey AS s, l_linenumber AS n, l_quantity AS q FROM r),
+b AS (SELECT page, id, 600.0::DOUBLE AS page_width, 800.0::DOUBLE AS page_height, 10.0::DOUBLE AS median_size, x0, (k * 53 + s * 29) % 760 + 0.0::DOUBLE AS y0, x0 + w AS x1, (k * 53 + s * 29) % 760 + 8 + q AS y1,
+    CASE WHEN k % 7 = 0 THEN 13.0 WHEN k % 5 = 0 THEN 24.0 ELSE 10.0 END::DOUBLE AS font_size, 1 + n % 5 AS n_lines, s % 17 <> 0 AS is_text,
+    CASE s % 5 WHEN 0 THEN 'a small start' WHEN 1 THEN 'Ends here.' WHEN 2 THEN 'Breaks off, and' WHEN 3 THEN ' 12 more ' ELSE 'Contents of CARDS' END AS text
+  FROM (SELECT *, CASE WHEN k % 13 = 0 THEN 20 WHEN kind = 0 THEN 20 + 200 * (s % 3) WHEN kind = 1 THEN 30 + 290 * (s % 2) ELSE 30 END + 0.0::DOUBLE AS x0, CASE WHEN k % 13 = 0 THEN 500 WHEN kind = 0 THEN 120 + q WHEN kind = 1 THEN 200 + q ELSE 330 + q END AS w FROM b0))"""
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, s, n, q = (F.col(f"l_{c}") for c in ("orderkey", "suppkey", "linenumber", "quantity"))
+    kind, wide = F.col("l_partkey") % 3, F.col("l_orderkey") % 13 == 0
+    x0 = F.when(wide, 20).when(kind == 0, s % 3 * 200 + 20).when(kind == 1, s % 2 * 290 + 30).otherwise(30).cast("double")
+    w = F.when(wide, 500.0).when(kind == 0, q + 120).when(kind == 1, q + 200).otherwise(q + 330)
+    y0 = ((k * 53 + s * 29) % 760).cast("double")
+    text = F.when(s % 5 == 0, "a small start").when(s % 5 == 1, "Ends here.").when(s % 5 == 2, "Breaks off, and").when(s % 5 == 3, " 12 more ").otherwise("Contents of CARDS")
+    return _rows(spark, sf_dir).select(
+        "page", F.col("line_no").alias("id"), F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"), F.lit(10.0).alias("median_size"), x0.alias("x0"), y0.alias("y0"), (x0 + w).alias("x1"), (y0 + 8 + q).alias("y1"),
+        F.when(k % 7 == 0, 13.0).when(k % 5 == 0, 24.0).otherwise(10.0).alias("font_size"), (n % 5 + 1).alias("n_lines"), (s % 17 != 0).alias("is_text"), text.alias("text"),
+    )
+
+
+def _clusters(name: str, source: str, key: str, widest: float) -> str:
+    """Narrow boxes of source by their centres, cluster by cluster, where a key has three of them."""
+    far = "abs(n.c - total / k) >= 78"
+    return f"""
+    {name}_n AS (SELECT {key}, id, (x0 + x1) / 2 AS c, count(*) OVER (PARTITION BY {key}) AS n, row_number() OVER (PARTITION BY {key} ORDER BY (x0 + x1) / 2, id) AS r FROM {source} WHERE x1 - x0 <= 600 * {widest}::DOUBLE),
+    {name} AS (SELECT {key}, id, r, 0 AS cluster, c AS total, 1 AS k FROM {name}_n WHERE r = 1 AND n >= 3
+      UNION ALL SELECT n.{key}, n.id, n.r, cluster + ({far})::INT, CASE WHEN {far} THEN n.c ELSE total + n.c END, CASE WHEN {far} THEN 1 ELSE k + 1 END FROM {name} f JOIN {name}_n n ON n.{key} = f.{key} AND n.r = f.r + 1)"""
+
+
+_TITLE = """trim(text) <> '' AND NOT regexp_matches(trim(text), '[.!?。！？]$') AND font_size >= 20 AND (y0 < 176 AND abs((x0 + x1) / 2 - 300) <= 96 AND x0 <= 252 AND x1 >= 348 OR y0 < 104 AND x0 <= 120 AND x1 >= 300)"""
+_THREE = f"""
+u AS (SELECT * FROM b WHERE is_text AND NOT ({_TITLE})), {_clusters("c3", "u", "page", 0.46)},
+three AS (SELECT page FROM (SELECT page, cluster, sum(n_lines) AS lines, avg((x0 + x1) / 2) AS c FROM c3 JOIN u USING (page, id) GROUP BY ALL) WHERE lines >= 3 GROUP BY page HAVING count(*) >= 3 AND max(c) - min(c) >= 600 * 0.42::DOUBLE)"""
+
+
+@query(f"WITH RECURSIVE {_BLOCKS}, {_THREE} SELECT page FROM three")
+def three_column_pages(spark, sf_dir):
+    return reading.three_columns(_blocks(spark, sf_dir).where("is_text"), "page")
+
+
+@query(f"""
+WITH RECURSIVE {_BLOCKS}, {_THREE},
+f AS (SELECT b.*, is_text AND ({_TITLE}) AS title_card, t.page IS NOT NULL AS many, regexp_matches(regexp_extract(text, '[A-Za-z]'), '[a-z]') AS low, regexp_matches(trim(text), '[.!?]$') AS ends, font_size >= 12.5 AND NOT regexp_matches(trim(text), '[.!?]$') AS heading
+  FROM b LEFT JOIN three t ON t.page = b.page),
+g AS (SELECT *, is_text AND x1 - x0 <= 360 AND NOT title_card AS narrow, (x0 + x1) / 2 < 300 AS at_left FROM f),
+t AS (SELECT page, NOT bool_or(many) AND bool_or(narrow AND at_left) AND bool_or(narrow AND NOT at_left) AS two FROM g GROUP BY page),
+h AS (SELECT g.*, two, sum(CASE WHEN narrow THEN 0 ELSE 2 END) OVER (PARTITION BY g.page ORDER BY y0, x0, id) - (NOT narrow)::INT AS section FROM g JOIN t ON t.page = g.page WHERE is_text OR NOT two),
+p AS (SELECT *, page || '/' || section AS part FROM h WHERE many AND narrow), {_clusters("cm", "p", "part", 0.52)},
+cn AS (SELECT part, id, cluster, max(cluster) OVER (PARTITION BY part) AS top FROM cm),
+k AS (SELECT *, row_number() OVER (PARTITION BY page, section, narrow AND at_left, narrow AND NOT at_left ORDER BY y0, x0, id) AS k FROM h WHERE two),
+gate AS (SELECT a.page, a.section, a.k, z.y0 AS y FROM k a JOIN k z ON z.page = a.page AND z.section = a.section AND z.k = a.k + 1 WHERE a.narrow AND a.at_left AND z.narrow AND z.at_left AND z.heading AND NOT a.ends),
+r2 AS (SELECT a.*, NOT EXISTS (SELECT 1 FROM k o WHERE o.page = a.page AND o.section = a.section AND o.narrow AND NOT o.at_left AND o.k <= a.k AND NOT o.low) AS goes_on FROM k a WHERE narrow AND NOT at_left),
+pull AS (SELECT r2.page, r2.id, min(gate.k) AS g FROM r2 JOIN gate ON gate.page = r2.page AND gate.section = r2.section AND gate.y > r2.y0 WHERE goes_on GROUP BY ALL),
+o AS (SELECT k.page, k.id, section, CASE WHEN narrow AND NOT at_left THEN coalesce(g, 1000000) ELSE k.k END AS a, (narrow AND NOT at_left)::INT AS b, k.k AS c, title_card FROM k LEFT JOIN pull ON pull.page = k.page AND pull.id = k.id
+  UNION ALL SELECT h.page, h.id, section, CASE WHEN top >= 2 THEN cluster ELSE 1000000 END, 0, row_number() OVER (PARTITION BY h.page, section ORDER BY y0, x0, h.id), title_card FROM h LEFT JOIN cn ON cn.part = h.page || '/' || section AND cn.id = h.id WHERE many
+  UNION ALL SELECT page, id, 0, 0, 0, row_number() OVER (PARTITION BY page ORDER BY y0, x0, id), title_card FROM h WHERE NOT many AND NOT two)
+SELECT page, id, row_number() OVER (PARTITION BY page ORDER BY section, a, b, c) - 1 AS place, title_card FROM o""")
+def reading_order(spark, sf_dir):
+    return reading.reading_order(_blocks(spark, sf_dir), "page").withColumn("place", F.col("place").cast("bigint"))
+
+
+@query("""
+WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, turn % 7 = 3 AS tab, turn % 2 = 0 AND conv_id % 3 = 0 AS title,
+  trim(CASE WHEN conv_id % 3 = 0 AND turn % 2 = 0 THEN '# ' ELSE '' END || CASE conv_id % 4 WHEN 1 THEN lower(text) WHEN 2 THEN '## ' || text ELSE text END || CASE (conv_id + turn) % 5 WHEN 0 THEN '-' WHEN 1 THEN ',' ELSE '' END) AS text FROM (SELECT conv_id, turn, substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 40) AS text FROM conversations)),
+f AS (SELECT conv_id, i, []::VARCHAR[] AS done, text AS now, title, tab FROM t WHERE i = 1
+  UNION ALL SELECT conv_id, i, CASE WHEN now <> '' AND act = 'apart' THEN list_append(done, now) ELSE done END,
+    CASE WHEN act = 'apart' THEN text WHEN act = 'none' THEN now WHEN act = 'cards' THEN '# ' || concat_ws(' ', nullif(trim(regexp_replace(now, '^#\\s*', '')), ''), nullif(trim(regexp_replace(text, '^#\\s*', '')), ''))
+      WHEN act = 'heads' THEN regexp_extract(now, '^(#{1,4})\\s', 1) || ' ' || trim(regexp_extract(now, '^#{1,4}\\s+(.+)$', 1)) || ' ' || trim(regexp_extract(text, '^#{1,4}\\s+(.+)$', 1))
+      WHEN now LIKE '%-' THEN rtrim(left(now, length(now) - 1)) || text ELSE now || ' ' || text END,
+    CASE WHEN act = 'apart' THEN new_title WHEN act = 'none' THEN title ELSE title AND new_title END, CASE WHEN act = 'apart' THEN new_tab ELSE tab END
+  FROM (SELECT f.conv_id, t.i, done, now, f.title, f.tab, t.text, t.title AS new_title, t.tab AS new_tab, CASE WHEN t.text = '' THEN 'none' WHEN now = '' OR f.tab OR t.tab THEN 'apart' WHEN f.title AND t.title THEN 'cards'
+      WHEN regexp_extract(now, '^(#{1,4})\\s+.+$', 1) <> '' AND regexp_extract(now, '^(#{1,4})\\s+.+$', 1) = regexp_extract(t.text, '^(#{1,4})\\s+.+$', 1) AND NOT regexp_matches(now, '[.!?。！？；;]\\s*$') THEN 'heads'
+      WHEN NOT regexp_matches(now, '^#{1,4}\\s+') AND (regexp_matches(now, '[,:;-]$') OR regexp_matches(regexp_extract(t.text, '[A-Za-z]'), '[a-z]')) THEN 'on' ELSE 'apart' END AS act FROM f JOIN t ON t.conv_id = f.conv_id AND t.i = f.i + 1))
+SELECT conv_id, len(p) AS n, array_to_string(p, chr(10)) AS text FROM (SELECT conv_id, arg_max(CASE WHEN now = '' THEN done ELSE list_append(done, now) END, i) AS p FROM f GROUP BY conv_id)""")
+def stitched_blocks(spark, sf_dir):
+    k, t = F.col("conv_id"), F.col("turn")
+    text = F.substring(F.regexp_replace("text", "\\s+", " "), 1, 40)
+    text = F.concat(F.when((k % 3 == 0) & (t % 2 == 0), "# ").otherwise(""), F.when(k % 4 == 1, F.lower(text)).when(k % 4 == 2, F.concat(F.lit("## "), text)).otherwise(text), F.when((k + t) % 5 == 0, "-").when((k + t) % 5 == 1, ",").otherwise(""))
+    items = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("text"), ((t % 2 == 0) & (k % 3 == 0)).alias("title_card"), F.when(t % 7 == 3, "table").otherwise("normal").alias("kind"))
+    df = reading.stitched(items, "conv_id", "turn")
+    return df.select("conv_id", F.size("paragraphs").cast("bigint").alias("n"), F.array_join("paragraphs", "\n").alias("text"))
+
+
+@query(f"""
+WITH RECURSIVE {_BLOCKS}, w AS (SELECT *, CASE id % 4 WHEN 0 THEN ['VT323'] WHEN 1 THEN ['Sabon', 'x'] WHEN 2 THEN [''] END AS fonts FROM (SELECT * REPLACE (CASE WHEN id % 6 = 0 AND page % 11 = 0 THEN 'CONTENTS' WHEN id = 3 AND page % 8 = 0 THEN 'Player Aid: ' || text WHEN page % 7 = 0 THEN 'Birth Records ' || text WHEN page % 13 = 0 THEN 'x. ....... 12 ....... 34 ....... 56' ELSE repeat(text || ' ', 1 + ((page + id) % 9)::INT) END AS text) FROM b)),
+g AS (SELECT page, 600.0::DOUBLE AS width, 800.0::DOUBLE AS height, page % 16 AS draws, page % 6 AS images FROM (SELECT DISTINCT l_partkey AS page FROM lineitem)),
+top AS (SELECT page, bool_or(bare IN ('contents', 'index') OR text LIKE '%//%' AND bare LIKE 'contents%' OR bare LIKE 'contents%' AND bare LIKE '%contents' AND length(bare) <= 64) AS contents
+  FROM (SELECT page, text, lower(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS bare, row_number() OVER (PARTITION BY page ORDER BY y0, x0, id) AS k FROM w) WHERE k <= 3 GROUP BY page),
+c AS (SELECT *, x1 - x0 AS wide, (x0 + x1) / 2 AS mid, trim(text) AS t, lower(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS bare, x1 - x0 >= 432 AND x0 <= 120 AND x1 >= 480 AS across, list_contains(fonts, 'VT323') AS mono FROM w
+  WHERE NOT (trim(text) = '' OR regexp_full_match(trim(text), '\\d{{1,4}}') OR (y0 > 736 AND length(trim(text)) <= 80))),
+u AS (SELECT * FROM c WHERE NOT ({_TITLE})), {_clusters("c3", "u", "page", 0.46)},
+three AS (SELECT page FROM (SELECT page, cluster, sum(n_lines) AS lines, avg((x0 + x1) / 2) AS c FROM c3 JOIN u USING (page, id) GROUP BY ALL) WHERE lines >= 3 GROUP BY page HAVING count(*) >= 3 AND max(c) - min(c) >= 600 * 0.42::DOUBLE),
+n AS (SELECT page, count(*) AS n, bool_or(bare IN ('contents', 'index') OR length(text) - length(replace(text, '.', '')) >= 20 AND len(regexp_extract_all(text, '\\.{{4,}}\\s*\\d{{1,3}}')) >= 3) AS listed, arg_min(t, (y0, x0, id)) AS top, count(*) FILTER (mono AND regexp_matches(text, '(?i)\\b(SUBJECT|Records?|Stories?|Profile)\\b')) AS handouts,
+  sum(length(t)) AS chars, count(*) FILTER (length(t) <= 60) AS short, count(*) FILTER (n_lines = 1) AS ones, count(*) FILTER (NOT across AND wide <= 372 AND mid < 300) AS l, count(*) FILTER (NOT across AND wide <= 372 AND mid >= 300) AS r, sum(y1 - y0) AS tall, coalesce(sum(y1 - y0) FILTER (across), 0) AS full_,
+  bool_or(n_lines >= 3) AS body, bool_or(wide <= 330 AND n_lines >= 3 AND len(list_filter(fonts, lambda f: f <> '')) > 0) AS font, bool_or(list_contains(fonts, 'Sabon')) AS serif FROM c GROUP BY page),
+d AS (SELECT g.*, n.* EXCLUDE (page), coalesce(contents, false) AS contents, t.page IS NOT NULL AS three, l > 0 AND r > 0 AS two, full_ / greatest(tall, 1) AS share FROM g LEFT JOIN n ON n.page = g.page LEFT JOIN top ON top.page = g.page LEFT JOIN three t ON t.page = g.page)
+SELECT page, CASE WHEN contents THEN 'toc' WHEN n IS NULL THEN CASE WHEN draws >= 8 OR images >= 1 THEN 'art' ELSE 'columns' END WHEN listed THEN 'toc' WHEN handouts >= 3 OR regexp_matches(top, '(?i)^\\s*Player Aid\\b') THEN 'handout'
+  WHEN chars <= 500 AND (images >= 4 OR draws >= 8 OR n <= 4) THEN 'art' WHEN chars BETWEEN 700 AND 2600 AND ones / n >= 0.5 AND short / n >= 0.85 AND draws <= 10 THEN 'credits' WHEN chars BETWEEN 900 AND 2400 AND n <= 28 AND draws >= 12 AND images >= 4 THEN 'document'
+  WHEN chars >= 1200 AND draws >= 8 AND ones / n >= 0.45 AND short / n >= 0.35 AND NOT two THEN 'character' WHEN three AND share < 0.45 THEN 'three_columns' WHEN two AND share < 0.45 THEN 'columns' WHEN NOT coalesce(font, false) AND n >= 3 AND NOT two AND body THEN 'single'
+  WHEN n >= 15 AND ones >= n * 0.7 AND NOT two THEN 'single' WHEN NOT coalesce(serif, false) AND body AND n >= 3 AND NOT two THEN 'single' WHEN share >= 0.45 THEN 'single' WHEN three THEN 'three_columns' WHEN two THEN 'columns' WHEN n <= 3 AND full_ > 144 THEN 'single' ELSE 'columns' END AS layout FROM d""")
+def page_layouts(spark, sf_dir):
+    b = _blocks(spark, sf_dir)
+    p, i, t = F.col("page"), F.col("id"), F.col("text")
+    text = F.when((i % 6 == 0) & (p % 11 == 0), "CONTENTS").when((i == 3) & (p % 8 == 0), F.concat(F.lit("Player Aid: "), t)).when(p % 7 == 0, F.concat(F.lit("Birth Records "), t))
+    text = text.when(p % 13 == 0, "x. ....... 12 ....... 34 ....... 56").otherwise(F.repeat(F.concat(t, F.lit(" ")), ((p + i) % 9 + 1).cast("int")))
+    fonts = F.when(i % 4 == 0, F.array(F.lit("VT323"))).when(i % 4 == 1, F.array(F.lit("Sabon"), F.lit("x"))).when(i % 4 == 2, F.array(F.lit("")))
+    sheets = b.select("page").distinct().select("page", F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), (p % 16).alias("n_drawings"), (p % 6).alias("n_images"))
+    return reading.page_layouts(b.withColumn("text", text).withColumn("fonts", fonts), sheets, "page")
