@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellumite.operators import boxes, identity, merging, reading, segmentation
+from vellumite.operators import boxes, collectors, identity, merging, reading, segmentation, tables
 from vellumite.plans.catalogue import query
 from vellumite.tables import table
 
@@ -283,3 +283,146 @@ def page_layouts(spark, sf_dir):
     fonts = F.when(i % 4 == 0, F.array(F.lit("VT323"))).when(i % 4 == 1, F.array(F.lit("Sabon"), F.lit("x"))).when(i % 4 == 2, F.array(F.lit("")))
     sheets = b.select("page").distinct().select("page", F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), (p % 16).alias("n_drawings"), (p % 6).alias("n_images"))
     return reading.page_layouts(b.withColumn("text", text).withColumn("fonts", fonts), sheets, "page")
+
+
+#: Decorations of large pages (suppliers): a third of the pages has bands, a third black lines, a third shaded cells.
+_DECORATIONS = """
+d AS (SELECT l_suppkey AS page, CASE WHEN l_suppkey % 3 = 2 THEN 'rect' ELSE 'line' END AS kind, 18 + l_quantity AS n_commands, l_linenumber < 6 AS only_lines, CASE WHEN l_suppkey % 3 = 1 OR l_linenumber = 7 THEN '#000000' END AS stroke,
+    CASE WHEN l_suppkey % 3 = 2 AND l_linenumber < 4 THEN '#D1D2D4' END AS fill, 100.0::DOUBLE + l_partkey % 200 AS x0, 200.0::DOUBLE + l_orderkey % 150 AS y0, 100.0::DOUBLE + l_partkey % 200 + l_quantity * 4 AS x1, 205.0::DOUBLE + l_orderkey % 150 + l_linenumber * 3 AS y1 FROM lineitem),
+line AS (SELECT * FROM d WHERE kind = 'line' AND stroke = '#000000' AND (x1 - x0 >= 8 OR y1 - y0 >= 8)),
+band AS (SELECT page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM d WHERE kind = 'line' AND n_commands >= 24 AND only_lines AND stroke IS NULL AND fill IS NULL GROUP BY page HAVING count(*) >= 28 AND max(x1) - min(x0) >= 300 AND max(y1) - min(y0) BETWEEN 20 AND 400),
+grid AS (SELECT b.page, least(b.x0, min(l.x0)) AS gx0, b.y0 AS gy0, greatest(b.x1, max(l.x1)) AS gx1, greatest(b.y1, max(l.y1)) AS gy1 FROM band b LEFT JOIN line l ON l.page = b.page AND l.x1 >= b.x0 - 4 AND l.x0 <= b.x1 + 4 AND l.y0 <= b.y1 + 40 AND l.y1 >= b.y0 - 4 GROUP BY b.page, b.x0, b.y0, b.x1, b.y1)"""
+
+
+def _decorations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, n = F.col("l_suppkey"), F.col("l_linenumber")
+    x0, y0 = F.col("l_partkey") % 200 + 100.0, F.col("l_orderkey") % 150 + 200.0
+    return table(spark, sf_dir, "lineitem").select(
+        s.alias("page"), F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"), F.when(s % 3 == 2, "rect").otherwise("line").alias("kind"), (F.col("l_quantity") + 18).alias("n_commands"), (n < 6).alias("only_lines"),
+        F.when((s % 3 == 1) | (n == 7), "#000000").alias("stroke"), F.when((s % 3 == 2) & (n < 4), "#D1D2D4").alias("fill"), x0.alias("x0"), y0.alias("y0"), (x0 + F.col("l_quantity") * 4).alias("x1"), (y0 + 5 + n * 3).alias("y1"),
+    )
+
+
+@query(f"WITH {_DECORATIONS} SELECT * FROM grid")
+def table_grids(spark, sf_dir):
+    return tables.grid_bounds(_decorations(spark, sf_dir), "page")
+
+
+@query(f"""
+WITH {_DECORATIONS}, cell AS (SELECT * FROM d WHERE kind = 'rect' AND fill = '#D1D2D4' AND x1 - x0 >= 20 AND y1 - y0 BETWEEN 8 AND 32),
+g AS (SELECT * FROM grid UNION ALL SELECT page, min(x0), min(y0), max(x1), max(y1) FROM line WHERE page NOT IN (SELECT page FROM grid) GROUP BY page HAVING count(*) >= 80
+  UNION ALL SELECT page, min(x0), min(y0), max(x1), max(y1) FROM cell WHERE page NOT IN (SELECT page FROM grid) AND page NOT IN (SELECT page FROM line GROUP BY page HAVING count(*) >= 80) GROUP BY page HAVING count(*) >= 6),
+r AS (SELECT l_suppkey AS page, l_orderkey * 10 + l_linenumber AS id, (l_orderkey * 37 % 560)::DOUBLE + 10 AS x, (l_orderkey * 53 % 760)::DOUBLE + 5 AS y FROM lineitem)
+SELECT r.page, id, coalesce(x BETWEEN gx0 - 4 AND gx1 + 4 AND y BETWEEN gy0 - 4 AND gy1 + 4, false) AS inside FROM r LEFT JOIN g ON g.page = r.page""")
+def regions_in_grids(spark, sf_dir):
+    k = F.col("l_orderkey")
+    x0, y0 = (k * 37 % 560).cast("double"), (k * 53 % 760).cast("double")
+    regions = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), (k * 10 + F.col("l_linenumber")).alias("id"), x0.alias("x0"), y0.alias("y0"), (x0 + 20).alias("x1"), (y0 + 10).alias("y1"))
+    return tables.in_grid(regions, _decorations(spark, sf_dir), "page")
+
+
+@query(f"""
+WITH {_ROWS}, b AS (SELECT l_partkey AS page, line_no AS pos, 'r' || ((line_no + l_partkey) // 3) AS region, l_suppkey % 9 > 0 AS tab, ' c' || l_linenumber || ' ' AS text, 50.0::DOUBLE + 120 * (l_orderkey % 3) AS x0, line_no * 10.0::DOUBLE AS y0, 50.0::DOUBLE + 120 * (l_orderkey % 3) + l_quantity * 4 AS x1, line_no * 10.0::DOUBLE + 9 AS y1 FROM r),
+p AS (SELECT *, sum(flip) OVER (PARTITION BY page ORDER BY pos) AS part FROM (SELECT *, (tab IS DISTINCT FROM lag(tab) OVER (PARTITION BY page ORDER BY pos))::INT AS flip FROM b)),
+s AS (SELECT *, min(pos) OVER l AS first, count(*) OVER l AS size FROM p WINDOW l AS (PARTITION BY page, part, region)),
+m AS (SELECT *, max(size) OVER (PARTITION BY page, part) AS most FROM s),
+a AS (SELECT *, min(first) FILTER (size = most) OVER (PARTITION BY page, part) AS anchor FROM m),
+h AS (SELECT page, part, (x0 + x1) / 2 AS c, row_number() OVER (PARTITION BY page, part ORDER BY x0, pos) - 1 AS i, x0, x1 FROM a WHERE tab AND most >= 2 AND first = anchor),
+t AS (SELECT page, part, min(x0) AS tx0, max(x1) AS tx1 FROM h GROUP BY ALL),
+n AS (SELECT a.page, a.part, a.pos, arg_min(i, (abs(h.c - (a.x0 + a.x1) / 2), i)) AS col FROM a JOIN h ON h.page = a.page AND h.part = a.part WHERE a.tab AND most >= 2 AND first >= anchor GROUP BY ALL),
+c AS (SELECT a.*, col, col IS NOT NULL AND size = 1 AND x1 - x0 >= (tx1 - tx0) * 0.5 AS wide FROM a LEFT JOIN n ON n.page = a.page AND n.part = a.part AND n.pos = a.pos LEFT JOIN t ON t.page = a.page AND t.part = a.part),
+l AS (SELECT page, part, first, bool_or(wide) AS w, bool_or(col = 0) AND NOT bool_or(wide) AS st FROM c WHERE col IS NOT NULL GROUP BY ALL),
+r2 AS (SELECT *, sum((w OR st)::INT) OVER (PARTITION BY page, part ORDER BY first) AS row FROM l),
+r3 AS (SELECT *, first_value(w) OVER (PARTITION BY page, part, row ORDER BY first) AS closed FROM r2),
+k AS (SELECT c.*, row, CASE WHEN col IS NULL THEN 'plain' WHEN wide THEN 'wide' WHEN closed THEN 'error' ELSE 'cell' END AS kind FROM c LEFT JOIN r3 ON r3.page = c.page AND r3.part = c.part AND r3.first = c.first),
+o AS (SELECT *, CASE WHEN tab AND most >= 2 THEN first ELSE pos END AS oa, CASE WHEN tab AND most >= 2 THEN x0 ELSE 0 END AS ob FROM k),
+g AS (SELECT page, part, kind, CASE WHEN kind = 'cell' THEN row ELSE -1 END AS row, CASE WHEN kind = 'cell' THEN col ELSE pos END AS key, min((oa, ob, pos)) AS o, arg_min(region, (oa, ob, pos)) AS region, min(col) AS col, count(*) AS n,
+  CASE WHEN count(*) > 1 THEN string_agg(trim(text), ' ' ORDER BY oa, ob, pos) ELSE first(text) END AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM o GROUP BY ALL),
+f AS (SELECT *, CASE WHEN kind = 'cell' THEN min(o) OVER (PARTITION BY page, part, kind, row) ELSE o END AS top, CASE WHEN kind = 'cell' THEN first_value(region) OVER (PARTITION BY page, part, kind, row ORDER BY o) ELSE region END AS reg FROM g)
+SELECT page, row_number() OVER (PARTITION BY page ORDER BY part, top, coalesce(CASE WHEN kind <> 'plain' THEN col END, -1), o) - 1 AS place, kind, reg AS region, CASE WHEN kind = 'cell' THEN col END AS col, n, text, x0, y0, x1, y1 FROM f""")
+def assembled_cells(spark, sf_dir):
+    k = F.col("l_orderkey")
+    x0, y0 = k % 3 * 120 + 50.0, F.col("line_no") * 10.0
+    blocks = _rows(spark, sf_dir).select(
+        "page", F.col("line_no").alias("pos"), F.concat(F.lit("r"), F.floor((F.col("line_no") + F.col("page")) / 3).cast("string")).alias("region"), F.when(F.col("l_suppkey") % 9 > 0, "table").otherwise("body").alias("role"),
+        F.concat(F.lit(" c"), F.col("l_linenumber").cast("string"), F.lit(" ")).alias("text"), x0.alias("x0"), y0.alias("y0"), (x0 + F.col("l_quantity") * 4).alias("x1"), (y0 + 9).alias("y1"),
+    )
+    return tables.assembled_cells(blocks, "page").withColumn("place", F.col("place").cast("bigint")).withColumn("col", F.col("col").cast("bigint"))
+
+
+#: Words of blocks (parts): lines of three or four, the first ones of some blocks are titles or rules.
+_WORDS = f"""{_ROWS}, w AS (SELECT l_partkey AS block, line_no // (3 + l_partkey % 2) AS line_no, line_no AS word_no, 30.0::DOUBLE + 60 * (line_no % (3 + l_partkey % 2)) + l_suppkey % 50 AS x, (line_no // (3 + l_partkey % 2)) * 16.0::DOUBLE + l_linenumber % 4 AS y, 52.0::DOUBLE + 60 * (line_no % (3 + l_partkey % 2)) AS x1,
+    CASE WHEN line_no // (3 + l_partkey % 2) = 2 AND l_partkey % 4 = 0 THEN '---' WHEN line_no // (3 + l_partkey % 2) = 1 AND l_partkey % 5 = 0 THEN '>>' || l_returnflag WHEN l_suppkey % 8 = 0 THEN '|' ELSE '| w' || l_linenumber || ' ' END AS text FROM r)"""
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, p, s = F.col("line_no"), F.col("page"), F.col("l_suppkey")
+    wide = p % 2 + 3
+    line = F.floor(i / wide)
+    text = F.when((line == 2) & (p % 4 == 0), "---").when((line == 1) & (p % 5 == 0), F.concat(F.lit(">>"), "l_returnflag")).when(s % 8 == 0, "|").otherwise(F.concat(F.lit("| w"), F.col("l_linenumber").cast("string"), F.lit(" ")))
+    at = i % wide * 60
+    return _rows(spark, sf_dir).select(p.alias("block"), line.alias("line_no"), i.alias("word_no"), (at + 30.0 + s % 50).alias("x"), (line * 16.0 + F.col("l_linenumber") % 4).alias("y"), (at + 52.0).alias("x1"), text.alias("text"))
+
+
+@query(f"""
+WITH RECURSIVE {_WORDS}, li AS (SELECT block, line_no, trim(string_agg(text, ' ' ORDER BY x, word_no)) AS line FROM w GROUP BY ALL),
+l2 AS (SELECT * FROM li WHERE NOT regexp_full_match(line, '[_+\\-\\s|]+')),
+ti AS (SELECT block, arg_min(line, line_no) AS title, min(line_no) AS tl FROM l2 WHERE line LIKE '>>%' GROUP BY block),
+v AS (SELECT w.*, title FROM w JOIN l2 USING (block, line_no) LEFT JOIN ti USING (block) WHERE tl IS NULL OR w.line_no <> tl),
+sx AS (SELECT block, x, row_number() OVER (PARTITION BY block ORDER BY x) AS r, count(*) OVER (PARTITION BY block) AS n FROM v), sy AS (SELECT block, y, row_number() OVER (PARTITION BY block ORDER BY y) AS r FROM v),
+fx AS (SELECT block, r, n, [x] AS c FROM sx WHERE r = 1 UNION ALL SELECT sx.block, sx.r, sx.n, CASE WHEN abs(x - c[-1]) > 34 THEN list_append(c, x) ELSE list_append(c[:-2], (c[-1] + x) / 2) END FROM fx JOIN sx ON sx.block = fx.block AND sx.r = fx.r + 1),
+fy AS (SELECT block, r, y AS top, 1 AS k FROM sy WHERE r = 1 UNION ALL SELECT sy.block, sy.r, CASE WHEN y - top > 14 THEN y ELSE top END, k + (y - top > 14)::INT FROM fy JOIN sy ON sy.block = fy.block AND sy.r = fy.r + 1),
+cx AS (SELECT block, c FROM fx WHERE r = n AND n >= 4 AND len(c) >= 2), ry AS (SELECT block, k, min(top) AS top FROM fy GROUP BY ALL),
+p AS (SELECT v.*, c, (SELECT max(k) FROM ry WHERE ry.block = v.block AND ry.top <= v.y) AS row, list_position(list_transform(c, lambda q: abs(q - v.x)), list_min(list_transform(c, lambda q: abs(q - v.x)))) AS col, trim(regexp_replace(text, '^[| ]+|[| ]+$', '', 'g')) AS t FROM v JOIN cx ON cx.block = v.block),
+ce AS (SELECT block, title, c, row, col, string_agg(t, ' ' ORDER BY x, y, line_no, word_no) AS cell FROM p WHERE t <> '' GROUP BY ALL),
+mo AS (SELECT block, title, c, row, map_from_entries(list({{'k': col, 'v': cell}})) AS m FROM ce GROUP BY ALL),
+ro AS (SELECT block, title, len(c) AS n, row_number() OVER (PARTITION BY block ORDER BY row) AS r, '| ' || array_to_string(list_transform(range(1, len(c) + 1), lambda i: coalesce(m[i], '')), ' | ') || ' |' AS line FROM mo)
+SELECT block, title, count(*) AS n_rows, n AS n_columns, coalesce(title || chr(10) || chr(10), '') || arg_min(line, r) || chr(10) || '| ' || array_to_string(list_transform(range(n), lambda i: '---'), ' | ') || ' |' || chr(10) || string_agg(line, chr(10) ORDER BY r) FILTER (r > 1) AS markdown
+FROM ro GROUP BY block, title, n HAVING count(*) >= 2""")
+def aligned_tables(spark, sf_dir):
+    df = tables.aligned_tables(_words(spark, sf_dir), "block")
+    return df.withColumn("n_rows", F.col("n_rows").cast("bigint")).withColumn("n_columns", F.col("n_columns").cast("bigint"))
+
+
+@query(f"""
+WITH RECURSIVE {_WORDS}, g AS (SELECT *, x - lag(x1) OVER (PARTITION BY block, line_no ORDER BY x, word_no) >= 24 AS gap FROM w),
+l AS (SELECT block, line_no, sum(length(text)) + count(*) - 1 AS long, max(length(text)) AS widest FROM g GROUP BY ALL HAVING count(*) >= 3 AND count(*) FILTER (gap) >= 2),
+b AS (SELECT block, count(*) FILTER (long <= 120 AND widest <= 48) AS compact FROM l GROUP BY block HAVING count(*) >= 2),
+i AS (SELECT w.block, w.line_no, x, row_number() OVER (PARTITION BY w.block ORDER BY w.line_no, x, word_no) AS r FROM w JOIN l ON l.block = w.block AND l.line_no = w.line_no JOIN b ON b.block = w.block),
+f AS (SELECT block, r, [{{'c': x, 'row': line_no, 'hits': 1}}] AS a FROM i WHERE r = 1
+  UNION ALL SELECT block, r, CASE WHEN len(h) = 0 THEN list_append(a, {{'c': x, 'row': line_no, 'hits': 1}}) ELSE list_transform(a, lambda k, j: CASE WHEN j = h[1] THEN {{'c': (k.c + x) / 2, 'row': line_no, 'hits': k.hits + (k.row <> line_no)::INT}} ELSE k END) END
+  FROM (SELECT i.block, i.r, i.x, i.line_no, a, list_filter(range(1, len(a) + 1), lambda j: abs(i.x - a[j].c) <= 18) AS h FROM f JOIN i ON i.block = f.block AND i.r = f.r + 1)),
+e AS (SELECT block, len(list_filter(arg_max(a, r), lambda k: k.hits >= 2)) AS stable FROM f GROUP BY block)
+SELECT block, stable, compact, stable >= 3 AND compact >= 2 AS grid FROM e JOIN b USING (block)""")
+def aligned_grids(spark, sf_dir):
+    return tables.aligned_grids(_words(spark, sf_dir), "block").withColumn("stable", F.col("stable").cast("bigint"))
+
+
+_TABLE_LINES = f"{_ROWS}, t AS (SELECT l_partkey AS id, line_no, ['| a | b' || l_linenumber || ' |', '| --- | :---: |', 'text', '> | x | y', '|---|', '  | | ', '> --- | ---'][1 + (l_suppkey * 3 + l_orderkey) % 7] AS line FROM r)"
+_IS_ROW, _IS_RULE = "(len(c) >= 2 AND len(list_filter(c, lambda x: x <> '')) > 0)", "(len(c) > 0 AND len(list_filter(c, lambda x: NOT regexp_full_match(x, ':?-{3,}:?'))) = 0)"
+
+
+@query(f"""
+WITH RECURSIVE {_TABLE_LINES}, s AS (SELECT id, line_no, trim(line) AS line, trim(regexp_replace(trim(line), '^(?:>\\s*)+', '')) AS bare FROM t),
+c AS (SELECT id, line_no, line, CASE WHEN contains(bare, '|') THEN list_transform(string_split(trim(bare, '|'), '|'), lambda x: trim(x)) ELSE [] END AS c FROM s),
+k AS (SELECT id, line_no, line, {_IS_ROW} AS is_row, {_IS_RULE} AS is_rule FROM c),
+f AS (SELECT id, line_no, 0 AS "table", false AS open, CASE WHEN is_row THEN line_no END AS head, NULL::BIGINT AS opened FROM k WHERE line_no = 1
+  UNION ALL SELECT k.id, k.line_no, "table" + (NOT open AND head IS NOT NULL AND is_rule)::INT, open AND is_row OR NOT open AND head IS NOT NULL AND is_rule,
+    CASE WHEN open AND is_row OR NOT open AND head IS NOT NULL AND is_rule THEN NULL WHEN is_row THEN k.line_no END, CASE WHEN NOT open AND head IS NOT NULL AND is_rule THEN head END FROM f JOIN k ON k.id = f.id AND k.line_no = f.line_no + 1)
+SELECT f.id, "table", k.line_no, k.line FROM f JOIN k ON k.id = f.id AND (k.line_no = f.line_no OR k.line_no = f.opened) WHERE open""")
+def strict_tables(spark, sf_dir):
+    kinds = F.array(F.concat(F.lit("| a | b"), F.col("l_linenumber").cast("string"), F.lit(" |")), *(F.lit(x) for x in ("| --- | :---: |", "text", "> | x | y", "|---|", "  | | ", "> --- | ---")))
+    line = F.get(kinds, ((F.col("l_suppkey") * 3 + F.col("l_orderkey")) % 7).cast("int"))
+    return collectors.strict_tables(_rows(spark, sf_dir).select(F.col("page").alias("id"), "line_no", line.alias("line")))
+
+
+@query(f"""
+WITH RECURSIVE {_ROWS}, t AS (SELECT l_partkey AS id, line_no, ['## 目标档案', '**甲。乙**：话', '年龄：4', '', '职业:x', '**丙**：岛屿', 'text', '目标档案', '注记：z'][1 + (l_suppkey * 5 + l_orderkey) % 9] AS line FROM r),
+k AS (SELECT *, regexp_replace(line, '^#{{1,6}}\\s*', '') = '目标档案' AS head, line = '' AS blank, regexp_matches(line, '^\\*\\*[^*]+\\*\\*[。.:：]') AND NOT contains(line, '岛屿') OR regexp_matches(line, '^(年龄|职业|外貌特征|军衔|直系亲属|注记|犯罪记录|其他关系)[：:]') AS entry FROM t),
+f AS (SELECT id, line_no, head::INT AS dossier, head AS open FROM k WHERE line_no = 1
+  UNION ALL SELECT k.id, k.line_no, dossier + (head AND NOT (open AND (blank OR entry)))::INT, open AND (blank OR entry) OR head FROM f JOIN k ON k.id = f.id AND k.line_no = f.line_no + 1)
+SELECT f.id, dossier, f.line_no, CASE WHEN head THEN '目标档案' ELSE line END AS line FROM f JOIN k ON k.id = f.id AND k.line_no = f.line_no WHERE open AND NOT blank""")
+def dossiers(spark, sf_dir):
+    kinds = F.array(*(F.lit(x) for x in ("## 目标档案", "**甲。乙**：话", "年龄：4", "", "职业:x", "**丙**：岛屿", "text", "目标档案", "注记：z")))
+    line = F.get(kinds, ((F.col("l_suppkey") * 5 + F.col("l_orderkey")) % 9).cast("int"))
+    return collectors.dossiers(_rows(spark, sf_dir).select(F.col("page").alias("id"), "line_no", line.alias("line")))
