@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellumite.operators import boxes, collectors, identity, merging, reading, segmentation, tables
+from vellumite.operators import boxes, cards, collectors, identity, merging, reading, segmentation, tables
 from vellumite.plans.catalogue import query
 from vellumite.tables import table
 
@@ -426,3 +426,95 @@ def dossiers(spark, sf_dir):
     kinds = F.array(*(F.lit(x) for x in ("## 目标档案", "**甲。乙**：话", "年龄：4", "", "职业:x", "**丙**：岛屿", "text", "目标档案", "注记：z")))
     line = F.get(kinds, ((F.col("l_suppkey") * 5 + F.col("l_orderkey")) % 9).cast("int"))
     return collectors.dossiers(_rows(spark, sf_dir).select(F.col("page").alias("id"), "line_no", line.alias("line")))
+
+
+_STAT_TEXTS = ("STR 10 CON 11", "DEX 3 INT 4 HP 9", "Armor: 2", "Attack: bite, Athletics 5", "OLD ONE", "He waits.", "skills: none, CHA 3", "more words")
+_LABELS, _NUMBERS = "|".join(cards.STAT_LABELS), "|".join(cards.STAT_NUMBERS)
+_N_LABELS, _N_NUMBERS = f"len(regexp_extract_all({{0}}, '(?im)^\\s*(?:{_LABELS})\\s*:'))", f"len(regexp_extract_all({{0}}, '(?i)\\b(?:{_NUMBERS})\\s*[+-]?\\d+\\b'))"
+
+#: Blocks of pages (parts) in two columns, some wide, with characters' data and other texts.
+_CARDS = f"""{_ROWS},
+b0 AS (SELECT l_partkey AS page, line_no AS id, l_orderkey AS k, l_suppkey AS s, 1 + l_linenumber % 4 AS n_lines, l_quantity AS q, {list(_STAT_TEXTS)}[1 + l_suppkey % 8] AS text FROM r),
+b1 AS (SELECT *, CASE WHEN k % 13 = 0 THEN 20 ELSE 30 + 290 * (s % 2) END + 0.0::DOUBLE AS x0, (k * 53 + s * 29) % 760 + 0.0::DOUBLE AS y0, CASE WHEN k % 13 = 0 THEN 520 ELSE 210 + 290 * (s % 2) END + q AS x1, (k * 53 + s * 29) % 760 + 30 + q AS y1,
+  s % 11 = 0 AS is_card, s % 13 = 0 AS has_label, s % 2 = 0 AS mono, s % 7 = 0 AS is_table, s % 3 = 0 AS other, {_N_LABELS.format("text")} + {_N_NUMBERS.format("text")} > 0 AS is_stat, n_lines <= 2 AND text = upper(text) AS title FROM b0),
+b AS (SELECT *, NOT title AND (mono OR n_lines <= 3) AS goes_on FROM b1)"""
+
+
+def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, s, q, n = (F.col(f"l_{c}") for c in ("orderkey", "suppkey", "quantity", "linenumber"))
+    text = F.get(F.array(*(F.lit(x) for x in _STAT_TEXTS)), (s % 8).cast("int"))
+    wide, x, y = k % 13 == 0, s % 2 * 290, ((k * 53 + s * 29) % 760).cast("double")
+    lines, mono = n % 4 + 1, s % 2 == 0
+    title = cards.is_stat_title(text, lines, F.lit(10.0), F.lit(10.0))
+    return _rows(spark, sf_dir).select(
+        "page", F.col("line_no").alias("id"), F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"), F.when(wide, 20.0).otherwise(x + 30.0).alias("x0"), y.alias("y0"), (F.when(wide, 520.0).otherwise(x + 210.0) + q).alias("x1"), (y + 30 + q).alias("y1"),
+        text.alias("text"), lines.alias("n_lines"), (s % 11 == 0).alias("is_card"), (s % 13 == 0).alias("has_label"), mono.alias("is_monospace"), (s % 7 == 0).alias("is_table"), (s % 3 == 0).alias("is_other_font"),
+        (cards.stat_labels(text) + cards.stat_numbers(text) > 0).alias("is_stat"), title.alias("is_stat_title"), (~title & (mono | (lines <= 3))).alias("goes_on"),
+    )
+
+
+def _band_sql(source: str) -> str:
+    fits = "abs(n.y0 - u.y1) <= 64 AND (least(n.x1, u.x1) - greatest(n.x0, u.x0)) / greatest(least(n.x1 - n.x0, u.x1 - u.x0), 1) >= 0.35"
+    return f"""
+    bn AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y0, x0, id) AS r FROM {source}),
+    bf AS (SELECT page, r, [{{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'ids': [id]}}] AS gl FROM bn WHERE r = 1
+      UNION ALL SELECT page, r, CASE WHEN len(h) = 0 THEN list_append(gs, {{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'ids': [id]}})
+        ELSE list_transform(gs, lambda u, i: CASE WHEN i = h[1] THEN {{'x0': least(u.x0, x0), 'y0': least(u.y0, y0), 'x1': greatest(u.x1, x1), 'y1': greatest(u.y1, y1), 'ids': list_append(u.ids, id)}} ELSE u END) END
+      FROM (SELECT n.*, f.gl AS gs, list_filter(list_transform(f.gl, lambda u, i: CASE WHEN {fits} THEN i END), lambda i: i IS NOT NULL) AS h FROM bf f JOIN bn n ON n.page = f.page AND n.r = f.r + 1)),
+    bands AS (SELECT page, band, unnest(ids) AS id FROM (SELECT page, unnest(list_transform(gl, lambda x, i: {{'band': i - 1, 'ids': x.ids}}), recursive := true) FROM (SELECT page, arg_max(gl, r) AS gl FROM bf GROUP BY page)))"""
+
+
+def _stat_sql(source: str) -> str:
+    hits = " + ".join(f"regexp_matches(upper(t), '\\b{a}\\s*\\d+')::INT" for a in ("STR", "CON", "DEX", "INT", "POW", "CHA"))
+    stat = f"(({hits}) >= 4 OR ({hits}) >= 2 AND regexp_matches(upper(t), '\\b(?:HP|WP|SAN)\\s*\\d+') OR ({hits}) >= 1 AND regexp_matches(t, '(?i)(?:SKILLS|ATTACKS|ARMOR|DISORDER)\\s*:') OR {_N_LABELS.format('t')} >= 2 OR {_N_LABELS.format('t')} >= 1 AND {_N_NUMBERS.format('t')} >= 2)"
+    one = "(least(s.x1, b.x1) - greatest(s.x0, b.x0)) / greatest(least(s.x1 - s.x0, b.x1 - b.x0), 1) >= 0.2 OR ((s.x0 + s.x1) / 2 < 300) = ((b.x0 + b.x1) / 2 < 300) AND abs((s.x0 + s.x1) / 2 - (b.x0 + b.x1) / 2) <= 132"
+    return f"""
+    sa AS (SELECT page, list({{'id': id, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'text': text, 'up': is_stat OR title, 'on': is_stat OR goes_on}} ORDER BY y0, x0, id) AS a FROM {source} GROUP BY page),
+    sc AS (SELECT page, id, row_number() OVER (PARTITION BY page ORDER BY y0, x0, id) AS r FROM {source} WHERE is_stat),
+    sf AS (SELECT page, 0::BIGINT AS r, []::BIGINT[] AS taken, []::BIGINT[][] AS gs FROM sa
+      UNION ALL SELECT page, r, CASE WHEN ok THEN taken || ids ELSE taken END, CASE WHEN ok THEN list_append(gs, ids) ELSE gs END
+      FROM (SELECT *, NOT list_contains(taken, id) AND {stat} AS ok FROM (SELECT *, list_transform(g, lambda b: b.id) AS ids, array_to_string(list_transform(g, lambda b: b.text), chr(10)) AS t
+      FROM (SELECT *, c[coalesce(list_max(list_filter(list_transform(c, lambda b, i: CASE WHEN i < k AND NOT (b.up AND c[i + 1].y0 - b.y1 <= 36) THEN i END), lambda i: i IS NOT NULL)), 0) + 1:coalesce(list_min(list_filter(list_transform(c, lambda b, i: CASE WHEN i > k AND NOT (b.on AND b.y0 - c[i - 1].y1 <= 36) THEN i END), lambda i: i IS NOT NULL)), len(c) + 1) - 1] AS g
+      FROM (SELECT *, list_position(list_transform(c, lambda b: b.id), id) AS k
+      FROM (SELECT q.page, q.r, q.id, taken, gs, list_filter(a, lambda b: NOT list_contains(taken, b.id) AND ({one})) AS c
+      FROM (SELECT sc.page, sc.r, sc.id, taken, gs, a, list_filter(a, lambda b: b.id = sc.id)[1] AS s FROM sf JOIN sc ON sc.page = sf.page AND sc.r = sf.r + 1 JOIN sa ON sa.page = sc.page) q)))))),
+    stats AS (SELECT page, grp, unnest(ids) AS id FROM (SELECT page, unnest(list_transform(gs, lambda x, i: {{'grp': i - 1, 'ids': x}}), recursive := true) FROM (SELECT page, arg_max(gs, r) AS gs FROM sf GROUP BY page)))"""
+
+
+def _side_sql(source: str) -> str:
+    return f"""
+    o AS (SELECT *, (x0 + x1) / 2 AS m, x1 - x0 > 372 OR abs((x0 + x1) / 2 - 300) <= 96 AND x0 <= 252 AND x1 >= 348 AS full_ FROM {source} WHERE other AND NOT is_table),
+    v AS (SELECT a.*, CASE WHEN a.full_ OR EXISTS (SELECT 1 FROM o z WHERE z.page = a.page AND z.full_ AND z.id <> a.id AND a.x0 >= 72 AND a.x1 <= 552 AND NOT (a.y1 < z.y0 - 24 OR z.y1 < a.y0 - 24)) THEN 2 WHEN m < 300 THEN 0 ELSE 1 END AS side FROM o a),
+    e AS (SELECT *, lag(x0) OVER d AS px0, lag(x1) OVER d AS px1, lag(y1) OVER d AS py1 FROM v WINDOW d AS (PARTITION BY page, side ORDER BY y0, x0, id)),
+    j AS (SELECT *, sum((NOT coalesce(y0 - py1 < 24 AND ((least(x1, px1) - greatest(x0, px0)) / greatest(least(x1 - x0, px1 - px0), 1) >= 0.2 OR (m < 300) = ((px0 + px1) / 2 < 300) AND abs(m - (px0 + px1) / 2) <= 132), false))::INT) OVER (PARTITION BY page, side ORDER BY y0, x0, id) * 3 + side AS grp FROM e),
+    w AS (SELECT page, grp FROM j GROUP BY ALL HAVING sum(n_lines) >= 4 AND (max(x1) - min(x0) BETWEEN 180 AND 312 OR max(x1) - min(x0) >= 390 AND sum(n_lines) >= 6)),
+    sides AS (SELECT j.page, id, j.grp FROM j JOIN w ON w.page = j.page AND w.grp = j.grp)"""
+
+
+@query(f"WITH RECURSIVE {_CARDS}, {_band_sql('b')} SELECT page, id, band FROM bands")
+def card_bands(spark, sf_dir):
+    return cards.banded(_cards(spark, sf_dir), "page").withColumn("band", F.col("band").cast("bigint"))
+
+
+@query(f"WITH RECURSIVE {_CARDS}, {_stat_sql('b')} SELECT page, id, grp FROM stats")
+def stat_groups(spark, sf_dir):
+    return cards.stat_groups(_cards(spark, sf_dir), "page").withColumn("grp", F.col("grp").cast("bigint"))
+
+
+@query(f"WITH {_CARDS}, {_side_sql('b')} SELECT page, id, grp::BIGINT AS grp FROM sides")
+def font_sidebars(spark, sf_dir):
+    return cards.sidebars(_cards(spark, sf_dir), "page")
+
+
+@query(f"""
+WITH RECURSIVE {_CARDS}, p AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y0, x0, x1, y1) - 1 AS card FROM (SELECT l_partkey AS page, 10.0::DOUBLE + l_suppkey % 2 * 300 AS x0, 20.0::DOUBLE + line_no * 100 AS y0, 290.0::DOUBLE + l_suppkey % 2 * 300 AS x1, 20.0::DOUBLE + line_no * 100 + 80 + l_quantity AS y1 FROM r WHERE line_no <= 5)),
+h AS (SELECT b.page, b.id, min(card) AS card FROM b JOIN p ON p.page = b.page AND b.x0 >= p.x0 - 8 AND b.y0 >= p.y0 - 8 AND b.x1 <= p.x1 + 8 AND b.y1 <= p.y1 + 8 GROUP BY ALL),
+y AS (SELECT h.page, card FROM h JOIN b ON b.page = h.page AND b.id = h.id GROUP BY ALL HAVING (sum(n_lines) >= 2 OR bool_or(has_label)) AND (bool_or(is_card) OR bool_or(has_label) OR coalesce(sum(n_lines) FILTER (mono), 0) >= 4)),
+one AS (SELECT h.* FROM h JOIN y ON y.page = h.page AND y.card = h.card),
+b2 AS (SELECT * FROM b ANTI JOIN one USING (page, id)), b3 AS (SELECT * FROM b2 WHERE is_card), {_band_sql('b3')},
+b4 AS (SELECT * FROM b2 ANTI JOIN bands USING (page, id)), {_stat_sql('b4')}, b5 AS (SELECT * FROM b4 ANTI JOIN stats USING (page, id)), {_side_sql('b5')}
+SELECT page, id, 1 AS card_pass, card::BIGINT AS card FROM one UNION ALL SELECT page, id, 2, band FROM bands UNION ALL SELECT page, id, 3, grp FROM stats UNION ALL SELECT page, id, 4, grp::BIGINT FROM sides""")
+def card_blocks(spark, sf_dir):
+    y, half = F.col("line_no") * 100 + 20.0, F.col("l_suppkey") % 2 * 300
+    regions = _rows(spark, sf_dir).where("line_no <= 5").select("page", (half + 10.0).alias("x0"), y.alias("y0"), (half + 290.0).alias("x1"), (y + 80 + F.col("l_quantity")).alias("y1"))
+    return cards.card_blocks(_cards(spark, sf_dir), regions, "page").withColumn("card", F.col("card").cast("bigint"))
