@@ -12,7 +12,7 @@ from vellumite.functions import blocks as B
 from vellumite.functions import geometry as G
 from vellumite.functions import text as T
 from vellumite.operators import documents, layout, ordered, orders, pages, quality, review, rules, segments, state, terms
-from vellumite.plans.fixtures import given, with_
+from vellumite.plans.derived import given, with_
 from vellumite.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -301,16 +301,16 @@ def markdown_blocks(spark, sf_dir):
     return df.groupBy("id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("n_chars"))
 
 
-# Over literal relations
+# Over relations derived from the tables
 
 
-def _joined(spark: SparkSession) -> DataFrame:
-    return quality.joined_pages(given(spark, "pages"), given(spark, "translations"), given(spark, "failures"))
+def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.joined_pages(given(spark, "sheet_texts", sf_dir), given(spark, "sheet_translations", sf_dir), given(spark, "sheet_failures", sf_dir))
 
 
 _JOINED = """,
 j AS (SELECT page_index, coalesce(source, '') AS s, coalesce(translation, '') AS t, coalesce(layout, '') AS layout, coalesce(failed_reason, '') AS reason
-      FROM pages FULL JOIN translations USING (page_index) FULL JOIN failures USING (page_index)),
+      FROM sheet_texts FULL JOIN sheet_translations USING (page_index) FULL JOIN sheet_failures USING (page_index)),
 m AS (SELECT *, len(regexp_extract_all(s, '[A-Za-z]')) AS sl, len(regexp_extract_all(s, '[A-Za-z]{3,}')) AS sw, len(regexp_extract_all(t, '[A-Za-z]')) AS tl, len(regexp_extract_all(t, '[一-鿿]')) AS tc,
              length(regexp_replace(s, '[ \\t\\r\\n]+', '', 'g')) AS sv, length(regexp_replace(t, '[ \\t\\r\\n]+', '', 'g')) AS tv FROM j),
 f AS (SELECT *, layout <> 'art' AND sv > 0 AND tv > 0 AND NOT contains(s, '[[TOC]]') AS ok FROM m),
@@ -320,14 +320,14 @@ k AS (SELECT *, ok AND sl >= 80 AND sw >= 20 AND tl >= 80 AND tc < greatest(24,
 q AS (SELECT page_index, t, reason, residue, CASE WHEN reason <> '' THEN ['failed'] WHEN tv = 0 THEN ['missing'] WHEN starts_with(ltrim(t), '[Translation failed:') THEN ['failed']
         ELSE list_filter([CASE WHEN untranslated THEN 'untranslated' WHEN incomplete THEN 'incomplete' END, CASE WHEN residue <> '' THEN 'english_residue' END], lambda x: x IS NOT NULL) END AS kinds FROM k)
 """
-_PAGES = with_("pages", "translations", "failures") + _JOINED
+_PAGES = with_("sheet_texts", "sheet_translations", "sheet_failures") + _JOINED
 
 
 @query(_PAGES + """
 SELECT page_index + 1 AS page_num, kind, map {'failed': '翻译失败', 'missing': '没有译文', 'untranslated': '疑似整页未翻译', 'incomplete': '疑似译文截断', 'english_residue': '英文残留较多'}[kind] AS message,
        CASE WHEN kind = 'failed' THEN CASE WHEN reason <> '' THEN reason ELSE t END WHEN kind = 'english_residue' THEN residue ELSE '' END AS detail FROM (SELECT *, unnest(kinds) AS kind FROM q)""")
 def quality_issues(spark, sf_dir):
-    return quality.page_issues(_joined(spark))
+    return quality.page_issues(_joined(spark, sf_dir))
 
 
 @query(_PAGES + """
@@ -335,15 +335,17 @@ SELECT count(*) AS total_pages, count(*) FILTER (trim(t) <> '') AS translated_pa
        count(*) FILTER (list_contains(kinds, 'missing')) AS n_missing, count(*) FILTER (list_contains(kinds, 'untranslated')) AS n_untranslated, count(*) FILTER (list_contains(kinds, 'incomplete')) AS n_incomplete,
        count(*) FILTER (list_contains(kinds, 'english_residue')) AS n_english_residue FROM q""")
 def quality_rollup(spark, sf_dir):
-    return quality.roll_up(_joined(spark))
+    return quality.roll_up(_joined(spark, sf_dir))
 
 
-@query(with_("leaks") + """
-SELECT id, regexp_matches(translation, '[぀-ヿ]') AS kana, regexp_matches(translation, '[\\[(（【]\\s*(\\.{2,}|。{2,}|…+|省略[^\\])）】]*)\\s*[\\])）】]') AS elided, regexp_matches(translation, '(?i)\\[\\s*damaged\\s*\\]') AS damaged,
-       id IN (2, 7) AS leak, CASE WHEN id = 1 THEN 'WARNING' ELSE '' END AS labels, id IN (1, 2, 3, 4, 5, 7, 10) AS unusable FROM leaks""")
+@query(with_("leaks") + f""",
+c AS (SELECT id, source AS s, translation AS t, lower(regexp_replace(translation, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS c, regexp_matches(translation, '[぀-ヿ]') AS kana, regexp_matches(translation, '[\\[(（【]\\s*(\\.{{2,}}|。{{2,}}|…+|省略[^\\])）】]*)\\s*[\\])）】]') AS elided, regexp_matches(translation, '(?i)\\[\\s*damaged\\s*\\]') AS damaged FROM leaks),
+l AS (SELECT *, {" OR ".join(f"contains(c, '{T._plain(x)}')" for x in T.PRIMARY_SIGNATURES)} OR {" + ".join(f"contains(c, '{T._plain(x)}')::INT" for x in T.SECONDARY_SIGNATURES)} >= 2 AS leak,
+  list_sort(list_filter(list_distinct(list_intersect(list_transform(regexp_extract_all(s, '(?m)^[ \\t]*([A-Z][A-Z0-9 _-]*)[ \\t]*:', 1), lambda x: trim(x)), list_transform(regexp_extract_all(t, '(?m)^[ \\t]*([A-Z][A-Z0-9 _-]*)[ \\t]*:', 1), lambda x: trim(x)))), lambda x: NOT list_contains({list(T.KEPT_LABELS)}, x))) AS labels FROM c)
+SELECT id, kana, elided, damaged, leak, array_to_string(labels, ',') AS labels, trim(t) = '' OR leak OR kana OR elided OR damaged OR contains(t, chr(173)) OR len(labels) > 0 AS unusable FROM l""")
 def unusable_translations(spark, sf_dir):
     s, t = F.col("source"), F.col("translation")
-    return given(spark, "leaks").select(
+    return given(spark, "leaks", sf_dir).select(
         "id", T.has_kana(t).alias("kana"), T.has_elision(t).alias("elided"), T.is_damaged(t).alias("damaged"), T.prompt_leak(t).alias("leak"),
         F.array_join(T.copied_labels(s, t), ",").alias("labels"), T.unusable(s, t).alias("unusable"),
     )
@@ -351,71 +353,76 @@ def unusable_translations(spark, sf_dir):
 
 @query(with_("glossary") + "SELECT term, count(DISTINCT target) AS n_targets, min(ord) AS first_ord FROM glossary GROUP BY term HAVING count(DISTINCT target) > 1")
 def glossary_conflicts(spark, sf_dir):
-    return terms.conflicts(given(spark, "glossary"))
+    return terms.conflicts(given(spark, "glossary", sf_dir))
 
 
 @query()
 def term_matches(spark, sf_dir):
-    return terms.matches(given(spark, "chunks"), given(spark, "glossary"))
+    return terms.matches(given(spark, "chunks", sf_dir), given(spark, "glossary", sf_dir))
 
 
 @query()
 def term_longest_match(spark, sf_dir):
-    return terms.selected(terms.matches(given(spark, "chunks"), given(spark, "glossary")))
+    return terms.selected(terms.matches(given(spark, "chunks", sf_dir), given(spark, "glossary", sf_dir)))
 
 
 @query(with_("exact_labels", "label_book") + """
 SELECT id, target FROM exact_labels JOIN label_book ON lower(regexp_replace(text, '^[ \\t\\r\\n|:：]+|[ \\t\\r\\n|:：]+$', '', 'g')) = lower(term)""")
 def exact_label_join(spark, sf_dir):
-    a, b = given(spark, "exact_labels"), given(spark, "label_book")
+    a, b = given(spark, "exact_labels", sf_dir), given(spark, "label_book", sf_dir)
     return a.join(b, T.label_key(F.col("text")) == T.label_key(F.col("term"))).select("id", "target")
 
 
 @query(with_("misread") + ", pairs AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, bs in T.CONFUSED.items() for b in bs) + """) AS t(a, b)),
-c AS (SELECT candidate, target, max_edits, unnest(range(1, length(candidate) + 1)) AS i FROM misread WHERE length(candidate) = length(target)),
-e AS (SELECT candidate, target, max_edits, CASE WHEN lower(candidate[i]) = lower(target[i]) THEN 0 WHEN EXISTS (SELECT 1 FROM pairs WHERE a = candidate[i] AND b = target[i]) THEN 1 ELSE 1000 END AS n FROM c),
-s AS (SELECT candidate, target, max_edits, sum(n) AS n FROM e GROUP BY ALL)
-SELECT m.candidate, m.target, m.max_edits, coalesce(n BETWEEN 1 AND m.max_edits, false) AS matched, CASE WHEN n BETWEEN 1 AND m.max_edits THEN n ELSE 0 END::INT AS edits
-FROM misread m LEFT JOIN s ON s.candidate = m.candidate AND s.target = m.target AND s.max_edits = m.max_edits""")
+c AS (SELECT id, candidate, target, max_edits, unnest(range(1, length(candidate) + 1)) AS i FROM misread WHERE length(candidate) = length(target)),
+e AS (SELECT id, candidate, target, max_edits, CASE WHEN lower(candidate[i]) = lower(target[i]) THEN 0 WHEN EXISTS (SELECT 1 FROM pairs WHERE a = candidate[i] AND b = target[i]) THEN 1 ELSE 1000 END AS n FROM c),
+s AS (SELECT id, sum(n) AS n FROM e GROUP BY ALL)
+SELECT m.id, m.candidate, m.target, m.max_edits, coalesce(n BETWEEN 1 AND m.max_edits, false) AS matched, CASE WHEN n BETWEEN 1 AND m.max_edits THEN n ELSE 0 END::INT AS edits
+FROM misread m LEFT JOIN s ON s.id = m.id""")
 def ocr_fuzzy(spark, sf_dir):
-    df = given(spark, "misread")
+    df = given(spark, "misread", sf_dir)
     n = T.confusions(F.col("candidate"), F.col("target"))
     ok = F.coalesce((n >= 1) & (n <= F.col("max_edits")), F.lit(False))
-    return df.select("candidate", "target", "max_edits", ok.alias("matched"), F.when(ok, n).otherwise(0).alias("edits"))
+    return df.select("id", "candidate", "target", "max_edits", ok.alias("matched"), F.when(ok, n).otherwise(0).alias("edits"))
 
 
-def _pairs(spark: SparkSession) -> DataFrame:
-    return given(spark, "pages").join(given(spark, "translations"), "page_index")
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return given(spark, "sheet_texts", sf_dir).join(given(spark, "sheet_translations", sf_dir), "page_index")
 
 
-@query(with_("pages", "translations") + """,
-p AS (SELECT * FROM pages JOIN translations USING (page_index) WHERE source <> '' AND translation <> ''),
+@query(with_("sheet_texts", "sheet_translations") + """,
+p AS (SELECT * FROM sheet_texts JOIN sheet_translations USING (page_index) WHERE source <> '' AND translation <> ''),
 s AS (SELECT page_index, translation, '骰子' AS kind, unnest(regexp_extract_all(source, '\\b\\d+[dD]\\d+\\b')) AS symbol FROM p
       UNION SELECT page_index, translation, '损失', unnest(regexp_extract_all(source, '(?i)\\b\\d+/\\d+[dD]\\d+\\s+SAN\\b')) FROM p
       UNION SELECT page_index, translation, '属性', unnest(regexp_extract_all(source, '\\b(STR|CON|DEX|INT|POW|CHA|SIZ|APP|EDU)\\b')) FROM p
       UNION SELECT page_index, translation, '数值', unnest(regexp_extract_all(source, '\\b(SAN|HP|WP)\\b')) FROM p)
 SELECT page_index + 1 AS page_num, kind, symbol FROM s WHERE NOT regexp_matches(translation, '(^|[^A-Za-z0-9])' || symbol || '($|[^A-Za-z0-9])')""")
 def rule_symbols_missing(spark, sf_dir):
-    return rules.missing_symbols(_pairs(spark))
+    return rules.missing_symbols(_pairs(spark, sf_dir))
 
 
-@query(with_("pages", "translations") + """
-SELECT 1 AS page_num, '护甲' AS kind, '3' AS value UNION ALL SELECT 1, '射程', '20'""")
+@query(with_("sheet_texts", "sheet_translations") + """,
+p AS (SELECT page_index, regexp_replace(source, '[ \\t\\r\\n\\x0b\\f]+', ' ', 'g') AS s, translation AS t FROM sheet_texts JOIN sheet_translations USING (page_index) WHERE source <> '' AND translation <> ''),
+v AS (SELECT page_index, t, '百分比' AS kind, unnest(regexp_extract_all(s, '(?:^|[^\\d.])(\\d{1,3})\\s*%', 1)) AS value FROM p UNION ALL SELECT page_index, t, '伤害修正', unnest(regexp_extract_all(s, '\\d+\\s*[dD]\\s*\\d+\\s*[+\\-]\\s*(\\d+)', 1)) FROM p
+  UNION ALL SELECT page_index, t, '护甲', unnest(regexp_extract_all(s, '(?i)\\bArmou?r\\b\\s*:?\\s*(\\d+)', 1)) FROM p UNION ALL SELECT page_index, t, '致死率', unnest(regexp_extract_all(s, '(?i)\\bLethality\\b\\s*:?\\s*(\\d{1,3})', 1)) FROM p
+  UNION ALL SELECT page_index, t, '射程', unnest(regexp_extract_all(s, '(?i)(?:^|[^\\d.])(\\d+)\\s*(?:m|km|ft|yd|meters?|metres?|kilometers?|kilometres?|feet|yards?)(?:[^A-Za-z]|$)', 1)) FROM p
+  UNION ALL SELECT page_index, t, '技能值', unnest(regexp_extract_all(s, '\\b(?:""" + "|".join(rules.SKILLS) + """)\\b\\s*:?\\s*(\\d{1,3})', 1)) FROM p)
+SELECT DISTINCT page_index + 1 AS page_num, kind, value FROM v WHERE NOT regexp_matches(t, '(^|\\D)' || value || '(\\D|$)')""")
 def rule_values_missing(spark, sf_dir):
-    return rules.missing_values(_pairs(spark))
+    return rules.missing_values(_pairs(spark, sf_dir))
 
 
-@query(with_("pages", "translations") + """
-SELECT page_index + 1 AS page_num, 'STR' AS symbol, '力量' AS word FROM pages JOIN translations USING (page_index) WHERE contains(upper(source), 'STR') AND contains(translation, '力量') AND NOT contains(translation, 'STR')
-UNION ALL SELECT page_index + 1, 'DEX', '敏捷' FROM pages JOIN translations USING (page_index) WHERE contains(upper(source), 'DEX') AND contains(translation, '敏捷') AND NOT contains(translation, 'DEX')""")
+@query(with_("sheet_texts", "sheet_translations") + """
+SELECT page_index + 1 AS page_num, 'STR' AS symbol, '力量' AS word FROM sheet_texts JOIN sheet_translations USING (page_index) WHERE contains(upper(source), 'STR') AND contains(translation, '力量') AND NOT contains(translation, 'STR')
+UNION ALL SELECT page_index + 1, 'DEX', '敏捷' FROM sheet_texts JOIN sheet_translations USING (page_index) WHERE contains(upper(source), 'DEX') AND contains(translation, '敏捷') AND NOT contains(translation, 'DEX')""")
 def abbreviation_translated(spark, sf_dir):
-    return rules.translated_abbreviations(_pairs(spark))
+    return rules.translated_abbreviations(_pairs(spark, sf_dir))
 
 
-@query(with_("pages", "translations") + """, k AS (SELECT unnest(['""" + "', '".join(rules.SKILLS) + """']) AS symbol)
-SELECT page_index + 1 AS page_num, symbol FROM pages JOIN translations USING (page_index) JOIN k ON regexp_matches(source, '(^|[^A-Za-z])' || symbol || '($|[^A-Za-z])') AND regexp_matches(translation, '(^|[^A-Za-z])' || symbol || '($|[^A-Za-z])')""")
+@query(with_("sheet_texts", "sheet_translations") + """, k AS (SELECT unnest(['""" + "', '".join(rules.SKILLS) + """']) AS symbol)
+SELECT page_index + 1 AS page_num, symbol FROM sheet_texts JOIN sheet_translations USING (page_index) JOIN k ON regexp_matches(source, '(^|[^A-Za-z])' || symbol || '($|[^A-Za-z])') AND regexp_matches(translation, '(^|[^A-Za-z])' || symbol || '($|[^A-Za-z])')""")
 def skill_residue(spark, sf_dir):
-    return rules.kept_skills(_pairs(spark))
+    return rules.kept_skills(_pairs(spark, sf_dir))
 
 
 @query(with_("sentences") + """,
@@ -423,54 +430,65 @@ s AS (SELECT page_index + 1 AS page_num, unnest(string_split(regexp_replace(CASE
 m AS (SELECT page_num, event, regexp_extract(event, '(\\bD[-+]\\d+\\b|\\bDay\\s+\\d+\\b|\\bNight\\s+\\d+\\b|\\b\\d{1,2}:\\d{2}\\s*(AM|PM|am|pm)?\\b|\\b(Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday)\\b|\\b(midnight|noon|dawn|dusk|sunrise|sunset)\\b|第\\s*(\\d+|一|二|三|四|五|六|七|八|九|十|十一|十二)\\s*天|午夜|正午|黎明|黄昏|日出|日落|清晨|傍晚|深夜)', 1) AS marker FROM s)
 SELECT DISTINCT page_num, marker, event FROM m WHERE marker <> ''""")
 def timeline_events(spark, sf_dir):
-    return rules.timeline(given(spark, "sentences")).select("page_num", "marker", "event")
+    return rules.timeline(given(spark, "sentences", sf_dir)).select("page_num", "marker", "event")
 
 
 @query(with_("heads") + """
-SELECT page_index, coalesce(last_value(CASE WHEN layout <> 'toc' AND heading <> '' THEN heading END IGNORE NULLS) OVER (ORDER BY page_index), '') AS running FROM heads""")
+SELECT doc, page_index, coalesce(last_value(CASE WHEN layout <> 'toc' AND heading <> '' THEN heading END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY page_index), '') AS running FROM heads""")
 def running_header(spark, sf_dir):
-    df = given(spark, "heads").withColumn("doc", F.lit(1))
-    return ordered.carried_heading(df, ["doc"], "page_index", "heading", F.col("layout") != "toc").select("page_index", "running")
+    df = given(spark, "heads", sf_dir)
+    return ordered.carried_heading(df, ["doc"], "page_index", "heading", F.col("layout") != "toc").select("doc", "page_index", "running")
 
 
-@query(with_("lines") + """
-SELECT * FROM (VALUES (0, 1, '# Title'), (0, 2, 'one two three中文行'), (0, 3, '- item'), (0, 4, 'tail'), (1, 1, 'x')) AS t(page_index, block, text)""")
+@query(with_("lines") + """,
+h AS (SELECT *, (structural OR coalesce(lag(structural) OVER w, true))::INT AS head, lag(line) OVER w AS before FROM lines WINDOW w AS (PARTITION BY page_index ORDER BY line_no)),
+b AS (SELECT *, sum(head) OVER (PARTITION BY page_index ORDER BY line_no) AS block FROM h)
+SELECT page_index, block::INT AS block, string_agg(CASE WHEN head = 1 OR regexp_matches(before, '[一-鿿]$') OR regexp_matches(line, '^[一-鿿]') THEN '' ELSE ' ' END || line, '' ORDER BY line_no) AS text FROM b GROUP BY page_index, block""")
 def soft_wrap_merge(spark, sf_dir):
-    return ordered.joined_lines(given(spark, "lines"), ["page_index"], "line_no", "line", F.col("structural")).select("page_index", F.col("block").cast("int").alias("block"), "text")
+    return ordered.joined_lines(given(spark, "lines", sf_dir), ["page_index"], "line_no", "line", F.col("structural")).select("page_index", F.col("block").cast("int").alias("block"), "text")
 
 
 @query(with_("answers") + r"""
 , n AS (SELECT id, response, unnest(range(0, 10)) AS k FROM answers), b AS (SELECT id, k::INT AS block, regexp_extract(response, '(?s)\[BLOCK ' || k || '\]\s*(.*?)\s*\[/BLOCK ' || k || '\]', 1) AS text FROM n)
 SELECT id, block, text FROM b WHERE text <> ''""")
 def block_parse(spark, sf_dir):
-    return segments.parsed_blocks(given(spark, "answers"))
+    return segments.parsed_blocks(given(spark, "answers", sf_dir))
 
 
 @query(with_("cards") + """
 SELECT id, (generate_subscripts(b, 1) - 1)::INT AS pos, trim(unnest(b), ' ' || chr(10)) AS body FROM (SELECT id, regexp_extract_all(text, '(?ms)^\\[CARD\\]\\s*(.*?)^\\[/CARD\\]', 1) AS b FROM cards)""")
 def marked_blocks(spark, sf_dir):
-    return segments.marked(given(spark, "cards"), "CARD")
+    return segments.marked(given(spark, "cards", sf_dir), "CARD")
 
 
 @query(with_("marks") + """,
 l AS (SELECT id, (generate_subscripts(t, 1) - 1)::INT AS line, trim(unnest(t)) AS t FROM (SELECT id, string_split(text, chr(10)) AS t FROM marks))
 SELECT id, line, length(regexp_extract(t, '^(#+)', 1))::INT AS level, regexp_replace(trim(regexp_extract(t, '^#+[ \\t]+(.*)$', 1)), ' +', ' ', 'g') AS title FROM l WHERE regexp_matches(t, '^#{1,4}[ \\t]+\\S')""")
 def heading_lines(spark, sf_dir):
-    return segments.headings(given(spark, "marks"))
+    return segments.headings(given(spark, "marks", sf_dir))
 
 
-@query("SELECT * FROM (VALUES (1, '卡片', 'one'), (1, '卡片', 'two'), (3, '数据块', 'STR 10'), (3, '规则', 'Roll 1d6.'), (3, '规则', 'Lose SAN!')) AS t(id, kind, name)")
+@query(with_("cards") + """,
+l AS (SELECT id, trim(unnest(string_split(text, chr(10)))) AS t FROM cards), c AS (SELECT id, trim(unnest(regexp_extract_all(text, '(?ms)^\\[CARD\\]\\s*(.*?)^\\[/CARD\\]', 1)), ' ' || chr(10)) AS b FROM cards), d AS (SELECT id, trim(unnest(regexp_extract_all(text, '(?ms)^\\[STAT_BLOCK\\]\\s*(.*?)^\\[/STAT_BLOCK\\]', 1)), ' ' || chr(10)) AS b FROM cards),
+s AS (SELECT id, unnest(t) AS e, generate_subscripts(t, 1) AS pos FROM (SELECT id, string_split(regexp_replace(regexp_replace(text, '([。.!?！？])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)) AS t FROM cards)),
+r AS (SELECT id, arg_min(trim(regexp_replace(e, '\\s+', ' ', 'g')), pos) AS name FROM s WHERE regexp_matches(e, '(?i)\\b\\d+d\\d+\\b|\\bSAN\\b|\\bHP\\b|\\bWP\\b|检定|技能|损失|roll|test') GROUP BY id, lower(trim(regexp_replace(e, '\\s+', ' ', 'g'))))
+SELECT id, '标题' AS kind, regexp_extract(t, '^#+\\s+(.*)$', 1) AS name FROM l WHERE regexp_matches(t, '^#{1,4}\\s+\\S') UNION ALL SELECT id, '数据块', trim(string_split(b, chr(10))[1]) FROM d UNION ALL SELECT id, '卡片', trim(string_split(b, chr(10))[1]) FROM c UNION ALL SELECT id, '规则', name FROM r""")
 def module_structure(spark, sf_dir):
-    return segments.module_structure(given(spark, "cards"))
-
-
-@query("""SELECT * FROM (VALUES (1, true, true, false, false, false, false, false), (2, false, true, false, false, false, false, false), (3, false, true, false, false, false, false, false), (4, false, true, true, false, false, false, false),
- (5, false, true, false, true, false, false, false), (6, false, true, true, false, true, false, false), (7, false, true, false, false, true, true, false), (8, false, false, false, false, false, false, true),
- (9, false, false, false, false, false, false, false), (10, false, true, false, false, false, false, false), (11, false, false, true, false, false, false, false), (12, false, false, false, false, false, false, false),
- (13, false, false, false, false, false, false, true), (14, false, false, false, false, false, false, false), (15, false, false, false, false, false, false, false)) AS t(id, heading, structural, plain_heading, soft_subheading, table_row, separator, stats)""")
+    return segments.module_structure(given(spark, "cards", sf_dir))
+
+
+@query(with_("line_kinds") + """,
+a AS (SELECT id, line, trim(line, ' ' || chr(9) || chr(10) || chr(13)) AS s FROM line_kinds),
+b AS (SELECT *, regexp_replace(regexp_replace(s, '\\*\\*(.+?)\\*\\*', '\\1', 'g'), '\\*(.+?)\\*', '\\1', 'g') AS p, trim(regexp_replace(regexp_extract(s, '^(?:[-*+•]|\\d+[.)、])\\s+(.*)$', 1), '\\s+', ' ', 'g')) AS item, regexp_replace(s, '^(?:>\\s*)+', '') AS u FROM a),
+c AS (SELECT *, length(regexp_replace(p, '\\s+', '', 'g')) AS n, list_transform(string_split(trim(trim(u), '|'), '|'), lambda x: trim(x)) AS cells FROM b),
+d AS (SELECT *, regexp_matches(p, '[一-鿿]') AND item = '' AND NOT regexp_matches(p, '^[\\[#|>`]') AND n BETWEEN 5 AND 28 AND NOT regexp_matches(p, '[。；：，、（）【】《》"“”]$') AND regexp_matches(p, '[？?：:]$') AS soft,
+  NOT (p IN ('[CARD]', '[/CARD]') OR regexp_matches(p, '^(#|-|•|//|——|“|")')) AND n BETWEEN 4 AND 18 AND NOT regexp_matches(p, '[一-鿿]') AND NOT regexp_matches(p, '[。！？!?；;：:，,、（）()《》"“”\\d]') AS plain, """ + " + ".join(f"regexp_matches(upper(line), '\\b{a}\\s*\\d+')::INT" for a in ("STR", "CON", "DEX", "INT", "POW", "CHA")) + """ AS hits FROM c)
+SELECT id, regexp_matches(s, '^#{1,6}\\s+') AS heading, s = '' OR s = '[CARD]' OR regexp_matches(s, '^(#|-|•|\\||>|```)') OR item <> '' OR soft OR length(regexp_replace(s, '\\s+', '', 'g')) <= 10 AND plain AS structural, plain AS plain_heading, soft AS soft_subheading,
+  contains(u, '|') AND len(cells) >= 2 AND len(list_filter(cells, lambda x: x <> '')) > 0 AS table_row, contains(u, '|') AND len(list_filter(cells, lambda x: NOT regexp_full_match(x, ':?-{3,}:?'))) = 0 AS separator,
+  hits >= 4 OR hits >= 2 AND regexp_matches(upper(line), '\\b(?:HP|WP|SAN)\\s*\\d+') OR hits >= 1 AND regexp_matches(line, '(?i)(?:SKILLS|ATTACKS|ARMOR|DISORDER|技能|攻击|护甲|障碍)\\s*[：:]') AS stats FROM d""")
 def line_kinds(spark, sf_dir):
     c = F.col("line")
-    return given(spark, "line_kinds").select(
+    return given(spark, "line_kinds", sf_dir).select(
         "id", B.is_heading(c).alias("heading"), B.is_structural(c).alias("structural"), B.is_plain_heading(c).alias("plain_heading"), B.is_soft_subheading(c).alias("soft_subheading"),
         B.is_table_row(c).alias("table_row"), B.is_table_separator(c).alias("separator"), B.is_stat_block(c).alias("stats"),
     )
@@ -495,32 +513,32 @@ p AS (SELECT id, unnest(list_filter(regexp_split_to_array(spec, '[, ，、]+'),
 e AS (SELECT id, string_split(part, '-')[1]::INT AS a, string_split(part, '-')[-1]::INT AS b FROM p)
 SELECT DISTINCT id, unnest(range(least(a, b), greatest(a, b) + 1))::INT - 1 AS page_index FROM e""")
 def page_selection(spark, sf_dir):
-    return ordered.page_selection(given(spark, "specs"))
+    return ordered.page_selection(given(spark, "specs", sf_dir))
 
 
 @query(with_("meta_expected", "meta_stored") + "SELECT e.key, e.value, s.value AS stored FROM meta_expected e LEFT JOIN meta_stored s ON s.key = e.key WHERE e.value IS DISTINCT FROM s.value")
 def metadata_diff(spark, sf_dir):
-    return state.metadata_diff(given(spark, "meta_expected"), given(spark, "meta_stored"))
+    return state.metadata_diff(given(spark, "meta_expected", sf_dir), given(spark, "meta_stored", sf_dir))
 
 
-@query(with_("state", "changes") + "SELECT * FROM state WHERE id NOT IN (SELECT id FROM changes) UNION ALL SELECT * FROM changes")
+@query(with_("state_rows", "state_changes") + "SELECT * FROM state_rows WHERE id NOT IN (SELECT id FROM state_changes) UNION ALL SELECT * FROM state_changes")
 def upsert(spark, sf_dir):
-    return state.upserted(given(spark, "state"), given(spark, "changes"), ["id"])
+    return state.upserted(given(spark, "state_rows", sf_dir), given(spark, "state_changes", sf_dir), ["id"])
 
 
-def _done(spark: SparkSession) -> DataFrame:
-    return given(spark, "done_blocks").select("block_id", F.when(F.col("text") == "*", "*").otherwise(T.source_hash(F.col("text"))).alias("src_hash"))
+def _done(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return given(spark, "done_blocks", sf_dir).select("block_id", F.when(F.col("text") == "*", "*").otherwise(T.source_hash(F.col("text"))).alias("src_hash"))
 
 
 @query(with_("blocks", "done_blocks") + """
 SELECT block_id FROM blocks b WHERE trim(text) <> '' AND NOT EXISTS (SELECT 1 FROM done_blocks d WHERE d.block_id = b.block_id AND d.text IN (b.text, '*'))""")
 def pending_blocks(spark, sf_dir):
-    return state.pending(given(spark, "blocks"), _done(spark)).select("block_id")
+    return state.pending(given(spark, "blocks", sf_dir), _done(spark, sf_dir)).select("block_id")
 
 
 @query(with_("blocks", "done_blocks") + "SELECT unit_id, bool_and(d.block_id IS NOT NULL) AS complete FROM blocks b LEFT JOIN done_blocks d ON d.block_id = b.block_id GROUP BY unit_id")
 def complete_units(spark, sf_dir):
-    return state.complete_units(given(spark, "blocks"), _done(spark))
+    return state.complete_units(given(spark, "blocks", sf_dir), _done(spark, sf_dir))
 
 
 @query(with_("usage", "prices") + """
@@ -529,25 +547,27 @@ SELECT u.model, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::B
        round(sum((greatest(0, input_tokens - cached_tokens) * input_per_m + output_tokens * output_per_m + cached_tokens * cached_per_m) / 1000000)::DOUBLE, 9) AS cost
 FROM usage u LEFT JOIN prices p ON p.model = u.model GROUP BY u.model""")
 def token_cost(spark, sf_dir):
-    df = given(spark, "usage").join(F.broadcast(given(spark, "prices")), "model", "left")  # a price list of three rows
+    df = given(spark, "usage", sf_dir).join(given(spark, "prices", sf_dir), "model", "left")
     cost = (F.greatest(F.lit(0), F.col("input_tokens") - F.col("cached_tokens")) * F.col("input_per_m") + F.col("output_tokens") * F.col("output_per_m") + F.col("cached_tokens") * F.col("cached_per_m")) / 1_000_000
     names = ("input_tokens", "output_tokens", "cached_tokens", "api_calls")
     rate = F.coalesce(F.try_divide(F.sum("cached_tokens"), F.sum("input_tokens")), F.lit(0.0))
     return df.groupBy("model").agg(*(F.sum(n).cast("bigint").alias(n) for n in names), F.round(rate, 6).alias("cache_rate"), F.round(F.sum(cost.cast("double")), 9).alias("cost"))
 
 
-@query(with_("issues") + """
+@query(with_("issues") + """,
+d AS (SELECT doc_id, lang, n_chars, [CASE WHEN doc_id % 5 = 0 THEN '未提取到正文' END, CASE WHEN contains(text, '?') THEN ' ' END, CASE WHEN n_chars % 3 = 0 THEN '卡片标记不成对' END] AS r FROM documents),
+k AS (SELECT *, list_filter(r, lambda x: x IS NOT NULL AND trim(x) <> '') AS k FROM d)
 SELECT page_num, coalesce(map {'failed': '翻译失败', 'missing': '无译文', 'glossary_miss': '术语冲突'}[kind], '质量问题') AS category, message AS title, detail, true AS retryable FROM issues WHERE page_num > 0
-UNION ALL SELECT * FROM (VALUES (2, '提取风险', '疑似表格未结构化', '版面：single；文本量：10；图片：0', true), (4, '提取风险', '未提取到正文；卡片标记不成对', '版面：art；文本量：0；图片：2', false)) AS t(page_num, category, title, detail, retryable)""")
+UNION ALL SELECT doc_id + 1, '提取风险', array_to_string(k, '；'), '版面：' || lang || '；文本量：' || n_chars || '；图片：' || doc_id % 3, NOT list_contains(k, '未提取到正文') FROM k WHERE len(k) > 0""")
 def risk_union(spark, sf_dir):
-    rows = [(1, ["疑似表格未结构化"], "single", 10, 0), (3, ["未提取到正文", "卡片标记不成对"], "art", 0, 2), (5, [], "single", 5, 0), (6, [" "], "single", 5, 0)]
-    seen = spark.createDataFrame(rows, "page int, risks array<string>, layout string, text_length int, image_count int")
-    return quality.risk_items(given(spark, "issues"), seen)
+    risks = F.array(F.when(F.col("doc_id") % 5 == 0, "未提取到正文"), F.when(F.contains("text", F.lit("?")), " "), F.when(F.col("n_chars") % 3 == 0, "卡片标记不成对"))
+    seen = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), F.filter(risks, lambda x: x.isNotNull()).alias("risks"), F.col("lang").alias("layout"), F.col("n_chars").alias("text_length"), (F.col("doc_id") % 3).alias("image_count"))
+    return quality.risk_items(given(spark, "issues", sf_dir), seen)
 
 
-@query(with_("review") + "SELECT coalesce(page_num, 0) AS page_num, category, title, row_number() OVER (ORDER BY review.page_num ASC NULLS LAST, category, title)::INT AS ord FROM review")
+@query(with_("review") + "SELECT report, coalesce(page_num, 0) AS page_num, category, title, row_number() OVER (PARTITION BY report ORDER BY review.page_num ASC NULLS LAST, category, title)::INT AS ord FROM review")
 def review_items(spark, sf_dir):
-    return orders.ranked(given(spark, "review"), orders.review_order()).withColumn("page_num", F.coalesce("page_num", F.lit(0)))
+    return orders.numbered(given(spark, "review", sf_dir), ["report"], orders.review_order()).withColumn("page_num", F.coalesce("page_num", F.lit(0)))
 
 
 @query(with_("texts", "images") + """,
@@ -555,17 +575,20 @@ c AS (SELECT t.id, max(greatest(least(t.x1, i.x1) - greatest(t.x0, i.x0), 0) * g
       FROM texts t JOIN images i ON i.page = t.page AND i.seq > t.seq GROUP BY t.id)
 SELECT t.id, round(coalesce(c, 0), 6)::DOUBLE AS covered FROM texts t LEFT JOIN c ON c.id = t.id""")
 def bbox_occlusion(spark, sf_dir):
-    return layout.occlusion(given(spark, "texts"), given(spark, "images")).select("id", F.round(F.col("covered").cast("double"), 6).alias("covered"))
+    return layout.occlusion(given(spark, "texts", sf_dir), given(spark, "images", sf_dir)).select("id", F.round(F.col("covered").cast("double"), 6).alias("covered"))
 
 
-@query("SELECT 1 AS id")
+@query(with_("texts", "images") + """,
+c AS (SELECT t.id, max(greatest(least(t.x1, i.x1) - greatest(t.x0, i.x0), 0) * greatest(least(t.y1, i.y1) - greatest(t.y0, i.y0), 0) / ((t.x1 - t.x0) * (t.y1 - t.y0))) AS c FROM texts t JOIN images i ON i.page = t.page AND i.seq > t.seq GROUP BY t.id),
+n AS (SELECT t.id, page, regexp_replace(text, '\\s+', '', 'g') AS norm, coalesce(c, 0) AS c FROM texts t LEFT JOIN c ON c.id = t.id)
+SELECT id FROM n WHERE length(norm) >= 5 QUALIFY count(*) OVER (PARTITION BY page, norm) > 1 AND c >= 0.85 AND min(c) OVER (PARTITION BY page, norm) < 0.85""")
 def hidden_duplicates(spark, sf_dir):
-    return layout.hidden_duplicates(given(spark, "texts"), given(spark, "images"))
+    return layout.hidden_duplicates(given(spark, "texts", sf_dir), given(spark, "images", sf_dir))
 
 
 @query(with_("texts") + "SELECT page, min(x0)::DOUBLE AS x0, min(y0)::DOUBLE AS y0, max(x1)::DOUBLE AS x1, max(y1)::DOUBLE AS y1 FROM texts GROUP BY page")
 def union_boxes(spark, sf_dir):
-    return layout.union_boxes(given(spark, "texts"), "page").select("page", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
+    return layout.union_boxes(given(spark, "texts", sf_dir), "page").select("page", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
 
 
 @query(with_("texts") + """
@@ -573,28 +596,30 @@ SELECT a.id AS a, b.id AS b, round(greatest(least(a.x1, b.x1) - greatest(a.x0, b
        round(degrees(atan2(b.y0 - a.y0, b.x0 - a.x0)), 6)::DOUBLE AS angle, round((b.x1 - a.x0) * 96 / 72, 6)::DOUBLE AS px FROM texts a JOIN texts b ON a.page = b.page AND a.id < b.id""")
 def box_measures(spark, sf_dir):
     cols = ("x0", "y0", "x1", "y1")
-    a = given(spark, "texts").select("page", F.col("id").alias("a"), *(F.col(c).cast("double").alias(f"a{c}") for c in cols))
-    b = given(spark, "texts").select("page", F.col("id").alias("b"), *(F.col(c).cast("double").alias(f"b{c}") for c in cols))
+    a = given(spark, "texts", sf_dir).select("page", F.col("id").alias("a"), *(F.col(c).cast("double").alias(f"a{c}") for c in cols))
+    b = given(spark, "texts", sf_dir).select("page", F.col("id").alias("b"), *(F.col(c).cast("double").alias(f"b{c}") for c in cols))
     p, q = G.box("a"), G.box("b")
     df = a.join(b, "page").where("a < b")
     return df.select("a", "b", F.round(G.overlap_of_smaller(p, q), 6).alias("share"), F.round(G.angle(q[0] - p[0], q[1] - p[1]), 6).alias("angle"), F.round(G.pixels(q[2] - p[0]), 6).alias("px"))
 
 
-@query("SELECT * FROM (VALUES (1, 1), (3, 2), (4, 3), (2, 4), (5, 5), (7, 6), (6, 7)) AS t(id, rank)")
+@query(with_("boxes") + """,
+w AS (SELECT *, x1 - x0 >= 360 AS wide FROM boxes), s AS (SELECT *, sum(wide::INT) OVER (PARTITION BY page ORDER BY y0, x0, id) AS section, CASE WHEN wide THEN 0 WHEN (x0 + x1) / 2 < 300 THEN 1 ELSE 2 END AS side FROM w)
+SELECT id, row_number() OVER (PARTITION BY page ORDER BY section, side, y0, x0, id)::INT AS rank FROM s""")
 def column_order(spark, sf_dir):
-    return layout.column_order(given(spark, "boxes"), 600.0).select("id", "rank")
+    return layout.column_order(given(spark, "boxes", sf_dir), 600.0).select("id", "rank")
 
 
 @query(with_("spans") + """
 SELECT line, CASE WHEN sum(length(text)) > 0 THEN round((sum(font_size * length(trim(text))) / sum(length(trim(text))))::DOUBLE, 6) ELSE 11.0 END AS font_size FROM spans GROUP BY line""")
 def weighted_size(spark, sf_dir):
-    return layout.weighted_size(given(spark, "spans"), "line").select("line", F.round(F.col("font_size").cast("double"), 6).alias("font_size"))
+    return layout.weighted_size(given(spark, "spans", sf_dir), "line").select("line", F.round(F.col("font_size").cast("double"), 6).alias("font_size"))
 
 
 @query(with_("spans") + """, s AS (SELECT line, font, sum(length(trim(text))) AS n, min(span_no) AS f FROM spans GROUP BY line, font)
 SELECT line, font FROM s QUALIFY row_number() OVER (PARTITION BY line ORDER BY n DESC, f) = 1""")
 def dominant_font(spark, sf_dir):
-    return layout.dominant_font(given(spark, "spans"), "line")
+    return layout.dominant_font(given(spark, "spans", sf_dir), "line")
 
 
 @query(with_("covered", "sizes") + """,
@@ -602,24 +627,26 @@ u AS (SELECT id, begin, stop FROM covered UNION ALL SELECT id, n, n FROM sizes),
 g AS (SELECT id, coalesce(max(stop) OVER (PARTITION BY id ORDER BY begin, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f, begin FROM u)
 SELECT id, f::INT AS begin, begin::INT AS stop FROM g WHERE begin > f""")
 def uncovered_regions(spark, sf_dir):
-    return ordered.gaps(given(spark, "covered"), given(spark, "sizes"))
+    return ordered.gaps(given(spark, "covered", sf_dir), given(spark, "sizes", sf_dir))
 
 
 @query(with_("base_layout", "semantic_layout") + """
 SELECT page_index, CASE WHEN b.layout IN ('toc', 'art', 'handout', 'credits', 'document', 'character') THEN b.layout WHEN s.layout IN ('single', 'columns', 'three_columns', 'art') THEN s.layout ELSE coalesce(b.layout, 'columns') END AS layout
 FROM base_layout b FULL JOIN semantic_layout s USING (page_index)""")
 def layout_merge(spark, sf_dir):
-    return layout.merged_layout(given(spark, "base_layout"), given(spark, "semantic_layout"))
+    return layout.merged_layout(given(spark, "base_layout", sf_dir), given(spark, "semantic_layout", sf_dir))
 
 
-@query("SELECT * FROM (VALUES (1, 4), (2, 12), (3, 1994), (4, 3)) AS t(id, value)")
+@query(with_("labels_seen") + """,
+v AS (SELECT id, label, list_transform(string_split(upper(label), ''), lambda c: map {'I': 1, 'V': 5, 'X': 10, 'L': 50, 'C': 100, 'D': 500, 'M': 1000}[c]) AS v FROM labels_seen)
+SELECT id, list_sum(list_transform(v, lambda x, i: CASE WHEN i < len(v) AND x < v[i + 1] THEN -x ELSE x END))::INT AS value FROM v""")
 def roman_labels(spark, sf_dir):
-    return given(spark, "labels_seen").select("id", T.roman_value(F.col("label")).alias("value"))
+    return given(spark, "labels_seen", sf_dir).select("id", T.roman_value(F.col("label")).alias("value"))
 
 
 @query(with_("review") + "SELECT category, count(*) AS n FROM review GROUP BY category")
 def category_histogram(spark, sf_dir):
-    return given(spark, "review").groupBy("category").agg(F.count("*").alias("n"))
+    return given(spark, "review", sf_dir).groupBy("category").agg(F.count("*").alias("n"))
 
 
 @query("SELECT l_orderkey, l_linenumber, coalesce(l_linenumber - lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber), 0)::INT AS pitch FROM lineitem")
@@ -628,23 +655,33 @@ def line_pitch(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.coalesce(F.col("l_linenumber") - F.lag("l_linenumber").over(w), F.lit(0)).cast("int").alias("pitch"))
 
 
-@query("SELECT * FROM (VALUES (0, 'art', 'art'), (1, 'cover', 'single'), (2, 'columns', 'columns'), (3, 'mixed', 'columns'), (4, 'single', 'single'), (5, 'single', 'single')) AS t(page, page_type, layout)")
+@query(with_("sheets", "regions") + """,
+r AS (SELECT s.page, (x0 + x1) / 2 AS m, x1 - x0 > 390 AS wide, y1 - y0 >= 160 AS tall FROM sheets s JOIN regions g ON g.page = s.page),
+k AS (SELECT *, NOT wide AND m < 252 AS l, NOT wide AND m > 348 AS r FROM r),
+n AS (SELECT s.page, image_coverage AS c, count(k.page) AS n, count(*) FILTER (abs(m - 300) < 90) AS mid, count(*) FILTER (l) AS nl, count(*) FILTER (r) AS nr, count(*) FILTER (NOT l AND NOT r) AS nf, coalesce(bool_or(l AND tall), false) AND coalesce(bool_or(r AND tall), false) AS tall FROM sheets s LEFT JOIN k ON k.page = s.page GROUP BY ALL),
+t AS (SELECT *, nl > 0 AND nr > 0 AND (nl + nr >= 3 OR tall) AS two FROM n),
+p AS (SELECT page, CASE WHEN c > 0.5 AND n <= 2 OR c > 0.3 AND n <= 1 THEN 'art' WHEN n <= 1 THEN 'single' WHEN n <= 3 AND mid >= n * 0.6 THEN 'cover' WHEN two AND nf > 0 THEN 'mixed' WHEN two THEN 'columns' ELSE 'single' END AS page_type FROM t)
+SELECT page, page_type, CASE page_type WHEN 'art' THEN 'art' WHEN 'columns' THEN 'columns' WHEN 'mixed' THEN 'columns' ELSE 'single' END AS layout FROM p""")
 def page_types(spark, sf_dir):
-    df = pages.page_types(given(spark, "regions"), given(spark, "sheets"))
+    df = pages.page_types(given(spark, "regions", sf_dir), given(spark, "sheets", sf_dir))
     return df.select("page", "page_type", pages.layout_label(F.col("page_type"), F.lit(2)).alias("layout"))
 
 
-@query("SELECT * FROM (VALUES (1, 'header', 0), (2, 'footer', 0), (3, 'subtitle', 2), (4, 'title', 1), (5, 'footnote', 0), (6, 'list', 0), (7, 'body_column', 4), (8, 'body_column', 0)) AS t(id, role, level)")
+@query(with_("roles") + """,
+s AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t, size / 10 AS ratio, string_split(text, chr(10)) AS ls FROM roles), k AS (SELECT *, length(replace(t, ' ', '')) AS n FROM s)
+SELECT id, CASE WHEN y0 < 100 AND y1 < 150 THEN 'header' WHEN y0 > 900 THEN 'footer' WHEN accent AND size >= 9.5 THEN 'subtitle' WHEN size >= 15 THEN 'title' WHEN y0 > 800 AND size < 8.5 THEN 'footnote'
+    WHEN len(ls) >= 3 AND len(list_filter(ls, lambda x: contains(trim(x), '   '))) >= 0.6 * len(ls) THEN 'table' WHEN len(ls) >= 2 AND len(list_filter(ls, lambda x: regexp_matches(trim(x), '^(\\d+[.)]\\s|[-•●◦▪]\\s|[a-zA-Z][.)]\\s)'))) >= 0.5 * len(ls) THEN 'list' ELSE 'body_column' END AS role,
+  CASE WHEN n NOT BETWEEN 2 AND 70 OR regexp_matches(t, '^(#|-|•|//|\\||>|\\[|`)') OR regexp_matches(t, '[.!?。！？；;]$') AND ratio < 1.75 THEN 0 WHEN accent AND ratio >= 1.35 THEN 2 WHEN ratio >= 2.55 THEN 1 WHEN ratio >= 1.75 THEN 3 WHEN bold AND ratio >= 1.18 THEN 4 WHEN t = upper(t) AND t <> lower(t) AND ratio >= 1.08 THEN 4 ELSE 0 END AS level FROM k""")
 def region_roles(spark, sf_dir):
     c = F.col
     role = pages.region_role(c("y0"), c("y1"), F.lit(1000.0), c("size"), F.lit(10.0), c("accent"), c("text"))
-    return given(spark, "roles").select("id", role.alias("role"), F.coalesce(pages.heading_level(c("text"), c("size"), F.lit(10.0), c("bold"), c("accent")), F.lit(0)).alias("level"))
+    return given(spark, "roles", sf_dir).select("id", role.alias("role"), F.coalesce(pages.heading_level(c("text"), c("size"), F.lit(10.0), c("bold"), c("accent")), F.lit(0)).alias("level"))
 
 
 @query(with_("roles") + "SELECT id, CASE WHEN id % 4 = 0 THEN 'fixed_art' WHEN id % 4 = 1 THEN 'full_width_hero' WHEN id % 3 < 2 THEN 'single_source_flow' WHEN bold THEN 'line_track_columns' ELSE 'source_columns' END AS template FROM roles")
 def templates(spark, sf_dir):
     kind = F.when(F.col("id") % 4 == 0, "cover").otherwise("columns")
-    return given(spark, "roles").select("id", pages.template(kind, F.col("id") % 4 == 1, F.col("id") % 3, F.col("bold")).alias("template"))
+    return given(spark, "roles", sf_dir).select("id", pages.template(kind, F.col("id") % 4 == 1, F.col("id") % 3, F.col("bold")).alias("template"))
 
 
 @query("""
@@ -653,9 +690,16 @@ def median_advance(spark, sf_dir):
     return pages.line_pitch(table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").alias("y0")), "l_orderkey")
 
 
-@query("SELECT * FROM (VALUES (0, 0, 45.8, 401.9, 530.0, 443.6, 3), (0, 1, 45.8, 500.0, 200.0, 510.0, 1), (0, 2, 45.8, 511.0, 200.0, 540.0, 1)) AS t(page, grp, x0, y0, x1, y1, n)")
+@query("""WITH RECURSIVE """ + with_("flowing")[5:] + """,
+n AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY pos) AS r FROM flowing),
+f AS (SELECT page, r, 0 AS grp, x0, y0, x1, y1, 1 AS n, size, pitch, x0 AS lft FROM n WHERE r = 1
+  UNION ALL SELECT page, r, CASE WHEN ok THEN grp ELSE grp + 1 END, CASE WHEN ok THEN least(a, x0) ELSE x0 END, CASE WHEN ok THEN least(b, y0) ELSE y0 END, CASE WHEN ok THEN greatest(c, x1) ELSE x1 END, CASE WHEN ok THEN greatest(d, y1) ELSE y1 END, CASE WHEN ok THEN k + 1 ELSE 1 END,
+    CASE WHEN ok THEN psize ELSE size END, CASE WHEN ok THEN ppitch ELSE pitch END, CASE WHEN ok THEN least(lft, x0) ELSE x0 END
+  FROM (SELECT n.*, f.grp, f.x0 AS a, f.y0 AS b, f.x1 AS c, f.y1 AS d, f.n AS k, f.size AS psize, f.pitch AS ppitch, f.lft,
+    abs(f.size - n.size) <= 0.12 * greatest(f.size, n.size) AND least(f.x1, n.x1) > greatest(f.x0, n.x0) AND n.x0 >= f.lft - 0.8 * f.size AND n.y0 - f.y1 >= 0 AND n.y0 - f.y1 <= 0.6 * f.pitch AS ok FROM f JOIN n ON n.page = f.page AND n.r = f.r + 1))
+SELECT page, grp, round(max(x0) FILTER (n = m), 1) AS x0, round(max(y0) FILTER (n = m), 1) AS y0, round(max(x1) FILTER (n = m), 1) AS x1, round(max(y1) FILTER (n = m), 1) AS y1, max(m)::INT AS n FROM (SELECT *, max(n) OVER (PARTITION BY page, grp) AS m FROM f) GROUP BY page, grp""")
 def merged_regions(spark, sf_dir):
-    df = pages.merged_regions(given(spark, "flowing"))
+    df = pages.merged_regions(given(spark, "flowing", sf_dir))
     return df.select("page", "grp", *(F.round(c, 1).alias(c) for c in ("x0", "y0", "x1", "y1")), "n")
 
 
@@ -692,54 +736,66 @@ def best_headings(spark, sf_dir):
 @query(with_("terms_now", "decisions") + """
 SELECT term, coalesce(d.target, g.target) AS target FROM terms_now g FULL JOIN (SELECT * FROM decisions WHERE action <> 'ignore') d USING (term)""")
 def glossary_review(spark, sf_dir):
-    return review.reviewed(given(spark, "terms_now"), given(spark, "decisions"))
+    return review.reviewed(given(spark, "terms_now", sf_dir), given(spark, "decisions", sf_dir))
 
 
 @query(with_("terms_now", "decisions") + "SELECT term, target FROM terms_now WHERE term NOT IN (SELECT term FROM decisions) UNION ALL SELECT term, target FROM decisions")
 def glossary_overlay(spark, sf_dir):
-    return review.overlaid(given(spark, "terms_now"), given(spark, "decisions").select("term", "target"))
+    return review.overlaid(given(spark, "terms_now", sf_dir), given(spark, "decisions", sf_dir).select("term", "target"))
 
 
 @query(with_("owners_expected", "owners") + """, f AS (SELECT block_id, count(*) AS n, min(page) AS p FROM owners GROUP BY block_id),
 w AS (SELECT CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'multiple' WHEN p <> page THEN 'wrong page' END AS problem, e.block_id FROM owners_expected e LEFT JOIN f ON f.block_id = e.block_id)
 SELECT problem, block_id FROM w WHERE problem IS NOT NULL""")
 def render_ownership(spark, sf_dir):
-    return review.ownership(given(spark, "owners_expected"), given(spark, "owners"))
+    return review.ownership(given(spark, "owners_expected", sf_dir), given(spark, "owners", sf_dir))
 
 
-@query("SELECT * FROM (VALUES (1, 'iii-v, 1-2, 4'), (2, 'A1, A2, x')) AS t(doc, ranges)")
+@query(with_("page_labels") + """,
+k AS (SELECT *, CASE WHEN regexp_matches(label, '\\d+$') THEN 'number' WHEN regexp_full_match(label, '[ivxlcdmIVXLCDM]+') THEN 'roman' END AS kind, regexp_extract(label, '^(.*?)(\\d+)$', 1) AS prefix, coalesce(try_cast(regexp_extract(label, '(\\d+)$', 1) AS INT), map {'iii': 3, 'iv': 4, 'v': 5, 'vi': 6, 'vii': 7, 'x': 10}[label]) AS v FROM page_labels),
+n AS (SELECT *, NOT coalesce(lag(page) OVER w + 1 = page AND lag(kind) OVER w = kind AND lag(prefix) OVER w = prefix AND lag(v) OVER w + 1 = v, false) AS new FROM k WINDOW w AS (PARTITION BY doc ORDER BY page)),
+g AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc ORDER BY page) AS g FROM n), r AS (SELECT doc, g, CASE WHEN count(*) = 1 THEN min(label) ELSE arg_min(label, page) || '-' || arg_max(label, page) END AS t FROM g GROUP BY doc, g)
+SELECT doc, string_agg(t, ', ' ORDER BY g) AS ranges FROM r GROUP BY doc""")
 def labelled_ranges(spark, sf_dir):
-    return review.labelled_ranges(given(spark, "page_labels"), ["doc"])
+    return review.labelled_ranges(given(spark, "page_labels", sf_dir), ["doc"])
 
 
 @query(with_("overprinted") + """, g AS (SELECT *, sum(CASE WHEN text IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY pos) AS g FROM (SELECT *, lag(text) OVER (PARTITION BY id ORDER BY pos) AS p FROM overprinted))
 SELECT id, pos FROM g QUALIFY row_number() OVER (PARTITION BY id, g ORDER BY luminance DESC, pos DESC) = 1""")
 def overprint_dedupe(spark, sf_dir):
-    return review.kept_overprints(given(spark, "overprinted"))
+    return review.kept_overprints(given(spark, "overprinted", sf_dir))
 
 
 @query(with_("diary") + """, d AS (SELECT *, regexp_matches(text, '^\\d{1,2} [A-Z][a-z]+ \\d{4}$') AS d FROM diary), e AS (SELECT *, sum(d::INT) OVER (PARTITION BY id ORDER BY pos) AS entry FROM d)
 SELECT id, entry::BIGINT AS entry, max(text) FILTER (d) AS date, coalesce(string_agg(text, ' ' ORDER BY pos) FILTER (NOT d), '') AS text FROM e WHERE entry > 0 GROUP BY id, entry""")
 def date_groups(spark, sf_dir):
-    return review.date_groups(given(spark, "diary"), F.col("text").rlike("^\\d{1,2} [A-Z][a-z]+ \\d{4}$"))
+    return review.date_groups(given(spark, "diary", sf_dir), F.col("text").rlike("^\\d{1,2} [A-Z][a-z]+ \\d{4}$"))
 
 
 @query(with_("runs") + """
 SELECT run, coalesce(cached_tokens / nullif(input_tokens, 0), 0)::DOUBLE AS cache_hit_rate, round(coalesce(cost_usd / nullif(translated_pages, 0), 0)::DOUBLE, 9) AS cost_per_page, printf('$%.3f', cost_usd::DOUBLE) AS cost FROM runs""")
 def run_effect(spark, sf_dir):
-    df = given(spark, "runs").withColumn("cost_usd", F.col("cost_usd").cast("double"))
+    df = given(spark, "runs", sf_dir).withColumn("cost_usd", F.col("cost_usd").cast("double"))
     cost = df.select("run", review.cost_text(F.col("cost_usd")).alias("cost"))
     return review.run_effect(df).withColumn("cost_per_page", F.round(F.coalesce("cost_per_page", F.lit(0.0)), 9)).join(cost, "run")
 
 
-@query("SELECT * FROM (VALUES (1, 'a<b>b</b><bi>c</bi>'), (2, 'xy')) AS t(id, text)")
+@query(with_("styled") + """,
+f AS (SELECT *, bold IS DISTINCT FROM first_value(bold) OVER w OR italic IS DISTINCT FROM first_value(italic) OVER w AS other FROM styled WINDOW w AS (PARTITION BY id ORDER BY pos)),
+m AS (SELECT *, bool_or(other) OVER (PARTITION BY id) AS mixed, CASE WHEN bold AND italic THEN 'bi' WHEN bold THEN 'b' WHEN italic THEN 'i' END AS tag FROM f)
+SELECT id, string_agg(CASE WHEN mixed AND tag IS NOT NULL THEN '<' || tag || '>' || text || '</' || tag || '>' ELSE text END, '' ORDER BY pos) AS text FROM m GROUP BY id""")
 def run_markers(spark, sf_dir):
-    return review.marked_runs(given(spark, "styled"))
+    return review.marked_runs(given(spark, "styled", sf_dir))
 
 
-@query("SELECT * FROM (VALUES (1, ''), (2, 'open strong'), (3, 'unpaired em'), (4, 'tag u')) AS t(id, error)")
+@query("""WITH RECURSIVE """ + with_("tagged")[5:] + """,
+t AS (SELECT id, regexp_extract_all(text, '<(/?)([a-zA-Z]+)[^>]*>', 1) AS close, regexp_extract_all(text, '<(/?)([a-zA-Z]+)[^>]*>', 2) AS name FROM tagged),
+f AS (SELECT id, 0 AS i, []::VARCHAR[] AS open, NULL::VARCHAR AS error FROM t
+  UNION ALL SELECT f.id, i + 1, CASE WHEN close[i + 1] = '' THEN list_append(open, name[i + 1]) ELSE open[:-2] END,
+    CASE WHEN name[i + 1] NOT IN ('strong', 'em') THEN 'tag ' || name[i + 1] WHEN close[i + 1] <> '' AND (len(open) = 0 OR open[-1] <> name[i + 1]) THEN 'unpaired ' || name[i + 1] END FROM f JOIN t ON t.id = f.id WHERE error IS NULL AND i < len(name))
+SELECT id, coalesce(error, CASE WHEN len(open) > 0 THEN 'open ' || open[-1] ELSE '' END) AS error FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY i DESC) = 1""")
 def emphasis_errors(spark, sf_dir):
-    return review.checked_emphasis(given(spark, "tagged"))
+    return review.checked_emphasis(given(spark, "tagged", sf_dir))
 
 
 @query("SELECT doc_id, lang, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) <= 12")
