@@ -17,10 +17,15 @@ NO_NAMES = (
     "A An And Are As At Be But By For From He Her His If In Into Is It Its Of On Or She "
     "The Their They This To Was Were When With You Chapter Page Table Figure"
 ).split()
+#: Fixed value: the pattern of a name.
 NAME_PATTERN = r"\b(?:[A-Z][A-Za-z''.-]+)(?:\s+(?:of|the|and|&|[A-Z][A-Za-z''.-]+))*\b"
+#: Fixed value: an article before a name.
+ARTICLE = "^(The|A|An)[ \\t\\r\\n]+"
 
 
 WORD = "[\\p{L}\\p{N}]+"
+#: First words of surfaces that are sent to all tasks at most (some 10 MB).
+HEADS = 200_000
 
 
 def _blanks(text: Column) -> Column:
@@ -43,24 +48,30 @@ def surfaces(glossary: DataFrame, forms: bool = True) -> DataFrame:
     return df.where("n_words > 0")
 
 
-def matches(texts: DataFrame, glossary: DataFrame, longest: int | None = None, forms: bool = True) -> DataFrame:
+def matches(texts: DataFrame, glossary: DataFrame, longest: int | None = None, forms: bool = True, heads_at_most: int = HEADS) -> DataFrame:
     """All occurrences at word borders: id, start (word), n_words, term, target, kind; texts has id and text, words being runs of letters and digits.
 
     Sequences have the lengths of the dictionary's surfaces (up to longest, if given). A surface is found where it
-    is written in the text sign by sign, but for case and the width of white space.
+    is written in the text sign by sign, but for case and the width of white space. The first words of the surfaces
+    are broadcast if there are at most `heads_at_most`; the surfaces themselves are joined by their words either way.
     """
     known = surfaces(glossary, forms).withColumn("core", F.expr("substring(surface, length(lead) + 1, length(surface) - length(lead) - length(tail))"))
     known = known.where(F.col("n_words") <= longest) if longest else known
-    text = T.some(F.col("text"))
-    gaps = F.transform(F.split(text, WORD, -1), _blanks)  # one more than words
-    words = texts.select("id", _words(text).alias("w"), gaps.alias("gaps")).where(F.size("w") > 0)
-    words = words.crossJoin(F.broadcast(known.agg(F.array_sort(F.collect_set("n_words")).alias("sizes"))))  # one row
-    pieces = F.zip_with("w", F.slice("gaps", 2, F.size("w")), lambda x, y: F.concat(x, y))
-    words = words.select("id", "w", "gaps", "sizes", pieces.alias("pieces")).select("id", "w", "gaps", "sizes", "pieces", F.posexplode("w").alias("start", "first"))
-    grams = words.select("id", "w", "gaps", "pieces", "start", F.explode("sizes").alias("n_words")).where(F.col("start") + F.col("n_words") <= F.size("w"))
+    text = _blanks(T.some(F.col("text")))
+    words = texts.select("id", _words(text).alias("w"), F.split(text, WORD, -1).alias("gaps"))  # one gap more than words
+    at = words.select("id", "w", "gaps", F.posexplode("w").alias("start", "first")).withColumn("first", F.lower("first"))
+    # Only places where the first word of a surface stands are looked at; what stands between their words is cut out for those alone.
+    heads = known.groupBy(F.get(_words(F.col("core")), F.lit(0)).alias("first")).agg(F.collect_set("n_words").alias("sizes"))
+    if heads.limit(heads_at_most + 1).count() <= heads_at_most:
+        at = at.join(F.broadcast(heads), "first")
+    else:  # too many to send to all tasks: every length of a surface is tried everywhere, and joined below
+        sizes = [r.n_words for r in known.select("n_words").distinct().collect()]  # a few numbers
+        at = at.withColumn("sizes", F.array(*(F.lit(n) for n in sorted(sizes))))
+    at = at.withColumn("n_words", F.explode("sizes")).where(F.col("start") + F.col("n_words") <= F.size("w"))
     end = F.col("start") + F.col("n_words")
-    core = F.concat(F.array_join(F.slice("pieces", F.col("start") + 1, F.col("n_words") - 1), ""), F.element_at("w", end))
-    grams = grams.select("id", "start", "n_words", core.alias("written"), F.element_at("gaps", F.col("start") + 1).alias("before"), F.element_at("gaps", end + 1).alias("after"), (F.col("start") == 0).alias("opens"), (end == F.size("w")).alias("ends"))
+    inner = F.zip_with(F.slice("w", F.col("start") + 1, F.col("n_words") - 1), F.slice("gaps", F.col("start") + 2, F.col("n_words") - 1), lambda x, y: F.concat(x, y))
+    core = F.concat(F.array_join(inner, ""), F.element_at("w", end))
+    grams = at.select("id", "start", "n_words", core.alias("written"), F.element_at("gaps", F.col("start") + 1).alias("before"), F.element_at("gaps", end + 1).alias("after"), (F.col("start") == 0).alias("opens"), (end == F.size("w")).alias("ends"))
     hit = grams.withColumn("core", F.lower("written")).join(known, ["core", "n_words"])
     # Signs of the surface itself stand at its words, and no letter or digit right beside them.
     beside = lambda sign, gap, edge, at: (F.col(sign) == "") | (at(F.col(gap), F.col(sign)) & (F.col(edge) | (F.col(gap) != F.col(sign))))
@@ -91,7 +102,7 @@ def candidates(texts: DataFrame, known: DataFrame | None = None, least: int = 2)
     """Capitalised phrases in at least `least` texts that the dictionary does not know: term, n, n_texts."""
     raw = F.explode(F.regexp_extract_all(T.some(F.col("text")), F.lit(f"({NAME_PATTERN})"), F.lit(1)))
     df = texts.select("id", raw.alias("term"))
-    df = df.select("id", F.regexp_replace(F.btrim("term", F.lit(" -.,:;!?()[]{}\"")), "^(The|A|An)[ \\t\\r\\n]+", "").alias("term"))
+    df = df.select("id", F.regexp_replace(F.btrim("term", F.lit(" -.,:;!?()[]{}\"")), ARTICLE, "").alias("term"))
     short = F.col("term").rlike("^[^a-z]*$") & (F.length("term") <= 6)
     df = df.where((F.length("term") >= 3) & ~F.col("term").isin(NO_NAMES) & ~short)
     if known is not None:

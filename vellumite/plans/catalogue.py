@@ -123,15 +123,6 @@ def _part_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(F.col("term").alias("ord"), "term", F.col("term").alias("target"))
 
 
-@query("""
-WITH d AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS term FROM part),
-w AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+'))) AS term FROM documents)
-SELECT term, count(*)::BIGINT AS n_docs FROM w JOIN d USING (term) GROUP BY term""")
-def term_document_frequency(spark, sf_dir):
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return terms.document_frequency(terms.matches(texts, _part_terms(spark, sf_dir), longest=1, forms=False))
-
-
 @query("""
 WITH d AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS t FROM part)
 SELECT t AS term, f AS form FROM (SELECT t, unnest(list_filter([
@@ -143,16 +134,17 @@ def plural_variants(spark, sf_dir):
     return _part_terms(spark, sf_dir).select("term", F.explode(T.variants(F.col("term"))).alias("form"))
 
 
-@query()
+@query(f"""  -- a digit stands for other letters: they end no word, and no name has one
+WITH r AS (SELECT doc_id AS id, unnest(regexp_extract_all(regexp_replace(text, '[\\x{{80}}-\\x{{10FFFF}}]', '0', 'g'), '{terms.NAME_PATTERN.replace("'", "''")}')) AS t FROM documents),
+t AS (SELECT id, regexp_replace(trim(t, ' -.,:;!?()[]{{}}"'), '^(The|A|An)[ \\t\\r\\n]+', '') AS term FROM r)
+SELECT term, count(*) AS n, count(DISTINCT id) AS n_texts FROM t WHERE length(term) >= 3 AND NOT list_contains({list(terms.NO_NAMES)}, term) AND NOT (regexp_full_match(term, '[^a-z]*') AND length(term) <= 6) GROUP BY term HAVING count(DISTINCT id) >= 2""")
 def proper_noun_candidates(spark, sf_dir):
     return terms.candidates(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-@query("""
-WITH s AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b\\d+[dD]\\d+\\b')) AS symbol FROM documents)
-SELECT doc_id, '骰子' AS kind, symbol FROM s GROUP BY ALL""")
+@query(with_("sheet_texts") + """, s AS (SELECT page_index, unnest(regexp_extract_all(source, '\\b\\d+[dD]\\d+\\b')) AS symbol FROM sheet_texts) SELECT page_index, '骰子' AS kind, symbol FROM s GROUP BY ALL""")
 def dice_symbols(spark, sf_dir):
-    return rules.symbol_profile(table(spark, sf_dir, "documents")).where("kind = '骰子'").select("doc_id", "kind", "symbol")
+    return rules.symbol_profile(given(spark, "sheet_texts", sf_dir), "source").where("kind = '骰子'").select("page_index", "kind", "symbol")
 
 
 @query("""
@@ -356,14 +348,39 @@ def glossary_conflicts(spark, sf_dir):
     return terms.conflicts(given(spark, "glossary", sf_dir))
 
 
-@query()
+_W = "[\\p{L}\\p{N}]+"
+_FOUND = with_("bench_terms") + f""",
+w AS (SELECT id, regexp_extract_all(t, '{_W}') AS w, regexp_split_to_array(t, '{_W}') AS g FROM (SELECT doc_id AS id, regexp_replace(text, '[\\s\\x0b\\p{{Z}}]+', ' ', 'g') AS t FROM documents)),
+d AS (SELECT ord, term, target, raw, lower(raw) AS s, regexp_extract_all(lower(raw), '{_W}') AS dw, regexp_split_to_array(lower(raw), '{_W}') AS dg FROM (SELECT *, trim(regexp_replace(term, '[\\s\\x0b\\p{{Z}}]+', ' ', 'g')) AS raw FROM bench_terms)),
+k AS (SELECT *, substring(s, length(l) + 1, length(s) - length(l) - length(r)) AS core FROM (SELECT *, len(dw) AS n, dg[1] AS l, dg[-1] AS r FROM d WHERE len(dw) > 0)),
+p AS (SELECT id, w, g, unnest(range(len(w))) AS start, lower(unnest(w)) AS first FROM w),
+h AS (SELECT id, start, k.*, array_to_string(list_transform(list_zip(w[start + 1:start + n - 1], g[start + 2:start + n]), lambda x: x[1] || x[2]), '') || w[start + n] AS written, g[start + 1] AS before, g[start + n + 1] AS after, start = 0 AS opens, start + n = len(w) AS ends FROM p JOIN k ON first = dw[1] WHERE start + n <= len(w)),
+m AS (SELECT * FROM h WHERE lower(written) = core AND (l = '' OR suffix(before, l) AND (opens OR before <> l)) AND (r = '' OR prefix(after, r) AND (ends OR after <> r))),
+found AS (SELECT id, start::INT AS start, n::INT AS n_words, term, target, 'exact' AS kind FROM m QUALIFY row_number() OVER (PARTITION BY id, start, n ORDER BY length(s) DESC, (l || written || r <> raw)::INT, ord) = 1)"""
+
+
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.matches(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), given(spark, "bench_terms", sf_dir), forms=False)
+
+
+@query(_FOUND + "SELECT * FROM found")
 def term_matches(spark, sf_dir):
-    return terms.matches(given(spark, "chunks", sf_dir), given(spark, "glossary", sf_dir))
+    return _found(spark, sf_dir)
 
 
-@query()
+@query("WITH RECURSIVE " + _FOUND[5:] + """,
+o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n_words DESC, start, term) AS r FROM found),
+f AS (SELECT id, r, start, n_words, term, true AS ok, [{'s': start, 'n': n_words}] AS taken FROM o WHERE r = 1
+  UNION ALL SELECT o.id, o.r, o.start, o.n_words, o.term, len(list_filter(taken, lambda y: o.start < y.s + y.n AND y.s < o.start + o.n_words)) = 0,
+    CASE WHEN len(list_filter(taken, lambda y: o.start < y.s + y.n AND y.s < o.start + o.n_words)) = 0 THEN list_append(taken, {'s': o.start, 'n': o.n_words}) ELSE taken END FROM f JOIN o ON o.id = f.id AND o.r = f.r + 1)
+SELECT id, start, n_words, term, (row_number() OVER (PARTITION BY id ORDER BY r) - 1)::INT AS match_rank FROM f WHERE ok""")
 def term_longest_match(spark, sf_dir):
-    return terms.selected(terms.matches(given(spark, "chunks", sf_dir), given(spark, "glossary", sf_dir)))
+    return terms.selected(_found(spark, sf_dir))
+
+
+@query(_FOUND + "SELECT term, count(DISTINCT id) AS n_docs FROM found GROUP BY term")
+def term_document_frequency(spark, sf_dir):
+    return terms.document_frequency(_found(spark, sf_dir))
 
 
 @query(with_("exact_labels", "label_book") + """

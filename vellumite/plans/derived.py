@@ -41,6 +41,8 @@ RELATIONS = {
     "leaks": f"""SELECT conv_id * 100 + turn AS id, {pick("(conv_id + turn) % 3", "'WARNING: ' || text", "'STR: ' || text", "text")} AS source, {pick("(conv_id * 3 + turn) % 11", "'WARNING: 留下'", f"'翻译规则如下：' || {_TURN}", f"{_TURN} || 'かな'", "'他说【……】走了'",
         "'[ Damaged ]'", "'STR: 1'", "'严格遵循术语表，保持上下文'", "'严格遵循术语表'", _TURN, "''", "'（省略三行）' || text")} AS translation FROM conversations""",
     "glossary": f"SELECT o_orderkey AS ord, {pick('o_orderkey % 5', *_words('特工', '探员', '绿色', '实体', '手表'))} AS target, 'term ' || {_text('o_custkey % 700')} || o_orderstatus AS term FROM orders",
+    "bench_terms": f"""SELECT item_id AS ord, {pick("item_id % 5", "split_part(text, ' ', 2)", "split_part(text, ' ', 2) || '  ' || split_part(text, ' ', 3)", "upper(split_part(text, ' ', 4)) || ' ' || split_part(text, ' ', 5) || ' ' || split_part(text, ' ', 6)", "'(' || split_part(text, ' ', 5) || ')'",
+        "split_part(text, ' ', 3) || ' ' || split_part(text, ' ', 4)")} AS term, 't' || {_text("item_id")} AS target FROM benchmark""",
     "exact_labels": f"SELECT l_orderkey * 10 + l_linenumber AS id, {pick('l_suppkey % 5', *_words(' | ', '', ': ', '：', ' '))} || {pick('l_quantity % 2', 'upper(l_returnflag)', 'lower(l_returnflag)')} || {_text('l_partkey % 300')} || {pick('l_linenumber % 4', *_words(' ', ':', '|', ''))} AS text FROM lineitem",
     "label_book": f"SELECT 'r' || {_text('p_partkey')} AS term, p_name AS target FROM part UNION ALL SELECT 'A' || {_text('p_partkey')}, p_name FROM part WHERE p_partkey % 3 = 0",
     "misread": f"""SELECT doc_id AS id, substr(text, 1, 12) AS target, {pick("doc_id % 4", "replace(substr(text, 1, 12), 'o', '0')", "replace(replace(substr(text, 1, 12), 'e', '3'), 'l', '1')", "replace(substr(text, 1, 12), 'S', '5')", "substr(text, 2, 12)")} AS candidate, CAST(doc_id % 3 AS INT) AS max_edits FROM documents""",
