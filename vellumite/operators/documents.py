@@ -22,7 +22,7 @@ def _exploded(df: DataFrame, fn: Callable[[str], Sequence[tuple]], names: str, k
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             made = [(i, *r) for i, t in zip(pdf["id"], pdf["text"], strict=True) for r in fn(t or "")]
-            yield pd.DataFrame(made, columns=["id", *names.split()])
+            yield pd.DataFrame(made, columns=["id", *names.split()], dtype=object)
 
     return df.select("id", "text").mapInPandas(run, f"id {df.schema['id'].dataType.simpleString()}, {kinds}")
 
@@ -60,7 +60,15 @@ def chunked(text: str) -> list[tuple[int, str]]:
 
 
 def chunks(df: DataFrame) -> DataFrame:
-    return _exploded(df, chunked, "chunk text", "chunk int, text string")
+    """id, chunk, text, error: the chunks of each text; a text whose marks do not pair has one row with an error and no chunk."""
+
+    def rows(text: str) -> list[tuple]:
+        try:
+            return [(*c, None) for c in chunked(text)]
+        except ValueError as e:
+            return [(None, None, str(e))]
+
+    return _exploded(df, rows, "chunk text error", "chunk int, text string, error string")
 
 
 def joined_headings(text: str) -> str:

@@ -156,3 +156,9 @@ def cost_text(c: Column) -> Column:
 def age_days(modified: Column, now: Column) -> Column:
     """Days since a time in seconds, not below zero."""
     return F.greatest(F.lit(0.0), now - modified) / 86_400
+
+
+def labels_follow(left: Column, right: Column) -> Column:
+    """Is the right page label of the kind and prefix of the left one, and the next in number?"""
+    a, b = label_key(left), label_key(right)
+    return F.coalesce((a["kind"] == b["kind"]) & (a["prefix"] == b["prefix"]) & (b["value"] == a["value"] + 1), F.lit(False))

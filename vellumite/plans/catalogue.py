@@ -826,13 +826,26 @@ def ages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", review.age_days((F.col("page_id") * 86_400).cast("double"), F.lit(2_000_000_000.0)).alias("age"))
 
 
-@query()
+@query("WITH RECURSIVE " + with_("chunked")[5:] + """,
+l AS (SELECT id, generate_subscripts(t, 1) AS i, unnest(t) AS line FROM (SELECT id, string_split(text, chr(10)) AS t FROM chunked)),
+m AS (SELECT *, trim(line) AS mark, trim(line) IN ('[CARD]', '[STAT_BLOCK]', '[IMAGE]', '[FULL_WIDTH_TITLE]') AS opens, trim(line) IN ('[/CARD]', '[/STAT_BLOCK]', '[/IMAGE]', '[/FULL_WIDTH_TITLE]') AS closes FROM l),
+f AS (SELECT id, 0::BIGINT AS i, '' AS close, 0 AS grp, false AS marked, false AS loose, NULL::VARCHAR AS error FROM chunked
+  UNION ALL SELECT m.id, m.i, CASE WHEN close <> '' THEN CASE WHEN mark = close THEN '' ELSE close END WHEN opens THEN replace(mark, '[', '[/') ELSE '' END,
+    CASE WHEN close <> '' OR loose AND NOT opens THEN grp ELSE grp + 1 END, close <> '' OR opens, close = '' AND NOT opens,
+    CASE WHEN close <> '' AND mark <> close AND (opens OR closes) THEN close || ' expected, ' || mark || ' found' WHEN close = '' AND closes THEN mark || ' closes nothing' END FROM f JOIN m ON m.id = f.id AND m.i = f.i + 1 WHERE error IS NULL),
+e AS (SELECT id, coalesce(max(error), max(CASE WHEN close <> '' THEN close || ' is missing' END)) AS error FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i DESC) AS r FROM f) WHERE r = 1 GROUP BY id),
+g AS (SELECT f.id, grp, f.marked, string_agg(CASE WHEN f.marked AND (opens OR closes) THEN mark ELSE line END, chr(10) ORDER BY m.i) AS t FROM f JOIN m ON m.id = f.id AND m.i = f.i GROUP BY ALL),
+c AS (SELECT id, grp, generate_subscripts(p, 1) AS k, unnest(p) AS t FROM (SELECT id, grp, CASE WHEN marked THEN [t] ELSE list_filter(list_transform(string_split_regex(t, '\\n\\s*\\n'), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '') END AS p FROM g))
+SELECT c.id, (row_number() OVER (PARTITION BY c.id ORDER BY grp, k) - 1)::INT AS chunk, t AS text, NULL AS error FROM c JOIN e ON e.id = c.id WHERE error IS NULL UNION ALL SELECT id, NULL, NULL, error FROM e WHERE error IS NOT NULL""")
 def marker_chunks(spark, sf_dir):
-    df = documents.chunks(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
-    return df.groupBy("id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
+    return documents.chunks(given(spark, "chunked", sf_dir))
 
 
-@query()
+@query("WITH RECURSIVE " + with_("headed")[5:] + """,
+p AS (SELECT id, generate_subscripts(p, 1) AS i, trim(unnest(p), ' ' || chr(10)) AS t FROM (SELECT id, list_filter(string_split_regex(text, '\\n\\s*\\n'), lambda x: trim(x, ' ' || chr(10)) <> '') AS p FROM headed)),
+f AS (SELECT id, 1::BIGINT AS i, [t] AS o FROM p WHERE i = 1
+  UNION ALL SELECT p.id, p.i, CASE WHEN regexp_matches(t, '^#{1,4}\\s+.+$') AND regexp_extract(t, '^(#{1,4})\\s+.+$', 1) = regexp_extract(o[-1], '^(#{1,4})\\s+.+$', 1) AND NOT regexp_matches(o[-1], '[.!?。！？；;]$') THEN list_append(o[:-2], o[-1] || ' ' || trim(regexp_extract(t, '^#{1,4}\\s+(.+)$', 1))) ELSE list_append(o, t) END
+  FROM f JOIN p ON p.id = f.id AND p.i = f.i + 1)
+SELECT id, array_to_string(arg_max(o, i), chr(10) || chr(10)) AS text FROM f GROUP BY id""")
 def joined_headings(spark, sf_dir):
-    df = documents.with_joined_headings(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
-    return df.select("id", F.length("text").alias("n_chars"))
+    return documents.with_joined_headings(given(spark, "headed", sf_dir))

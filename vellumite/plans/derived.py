@@ -59,6 +59,11 @@ first
     "marks": f"SELECT doc_id AS id, {pick('doc_id % 4', *_words('# ', ' ##   ', '#', '##### '))} || source || '  x' || chr(10) || lang || chr(10) || '#### ' || {_text('doc_id')} AS text FROM documents",
     "line_kinds": f"""SELECT conv_id * 100 + turn AS id, {pick("(conv_id * 7 + turn) % 17", "'# **' || substr(text, 1, 6) || '** ## title'", "'[CARD]'", f"'- ' || {_TURN}", "substr(text, 1, 10)", "'这里有' || substr(text, 1, 4) || '吗？'", "'| a | ' || substr(text, 1, 5) || ' |'", "'> | --- | :---: |'",
         f"'STR 10 CON ' || {_text('turn')} || ' HP 12'", "text", "''", "'CONTENTS // CONTENTS'", "'| --- |'", f"'技能：隐匿 STR ' || {_text('turn')}", "'12 STR 标题'", _text("conv_id"), "'1. ' || substr(text, 1, 8)", "'| |'")} AS line FROM conversations""",
+    "line_forms": f"""SELECT conv_id * 100 + turn AS id, {pick("(conv_id * 5 + turn) % 16", _text("turn"), "'d10'", "'iv – ix.'", "' [卡片] '", "'[/图片]'", "'WROTH HEADNG；' || substr(text, 1, 9)", "'BADLY READ  [原文损坏] x'", "'**甲乙。**化名：丙 年龄：3 职业：' || role", "'甲乙：化名：丙 年龄'", "text",
+        "substr(text, 1, 20)", "role || '_timeline.md'", "role || '.pdf'", "''", "'1234'", "'x - 2'")} AS line, {pick("turn % 5", *_words("header", "footer", "title", "body", "footer"))} AS role, {pick("conv_id % 4", *_words("body", "running_header", "section", "body"))} AS font_role, conv_id % 3 = 0 AS accent FROM conversations""",
+    "chunked": f"""SELECT doc_id AS id, 'intro' || chr(10) || ' ' || chr(10) || substr(text, 1, 40) || chr(10) || {pick("doc_id % 9", "''", "'[/CARD]'", "'[CARD]' || chr(10) || 'a'", "' [STAT_BLOCK] ' || chr(10) || 'STR ' || source || chr(10) || chr(10) || 'x' || chr(10) || '[/STAT_BLOCK]'",
+        "'[CARD]' || chr(10) || '[IMAGE]' || chr(10) || '[/CARD]'", "'[CARD]' || chr(10) || '[/CARD]' || chr(10) || '[IMAGE]' || chr(10) || lang || chr(10) || '[/IMAGE]'", "lang", "'p' || chr(10) || chr(10) || chr(10) || 'q'", "'[CARD]' || chr(10) || 'z' || chr(10) || '[/IMAGE]'")} || chr(10) || 'end' AS text FROM documents""",
+    "headed": f"""SELECT doc_id AS id, '# One' || chr(10) || chr(10) || {pick("doc_id % 5", "'# ' || lang", "'## ' || lang", "substr(text, 1, 20)", "'# Ends.'", "''")} || chr(10) || ' ' || chr(10) || '# ' || source || chr(10) || chr(10) || 'body' || chr(10) || chr(10) || '### a' || chr(10) || chr(10) || '### b' AS text FROM documents""",
     "specs": f"SELECT o_orderkey AS id, {pick('o_orderkey % 4', *(f'{_text(a)} || {b}' for a, b in (('1 + o_custkey % 9', _words(', 12-15')[0]), ('5 + o_custkey % 3', _words('-3 3')[0]), ('1 + o_custkey % 4', _words('，2、4')[0]), ('9', _words('')[0]))))} AS spec, 20 AS total FROM orders",
     "state_rows": "SELECT o_orderkey AS id, o_orderstatus AS value FROM orders WHERE o_orderkey % 3 > 0",
     "state_changes": f"SELECT o_orderkey AS id, o_orderstatus || {_text('o_custkey')} AS value FROM orders WHERE o_orderkey % 3 < 2",

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellumite.functions import blocks as B
-from vellumite.operators import documents, orders, pages, review, segments, state, terms
+from vellumite.functions import lines as L
+from vellumite.operators import columns, documents, orders, pages, review, segments, state, terms
 from vellumite.plans.catalogue import _FOUND, _found, query
 from vellumite.plans.derived import given, with_
 from vellumite.plans.layouts import _BLOCKS, _ROWS, _TITLE, _blocks, _rows
@@ -262,3 +263,83 @@ def stored_translations(spark, sf_dir):
     t = F.when(F.col("turn") % 4 == 0, " ").otherwise(F.concat("role", F.col("conv_id").cast("string")))
     doc = F.concat(F.lit('{"schema_version": 2, "translations": {"'), F.col("turn").cast("string"), F.lit('": "'), t, F.lit('"}}'))
     return readers.translations(readers.parsed_json(table(spark, sf_dir, "conversations").select(doc.alias("j")), "j", readers.PROGRESS, 2))
+
+
+_REGIONS = f"{_ROWS}, g AS (SELECT l_partkey AS page, line_no AS id, 600.0::DOUBLE AS pw, 20.0::DOUBLE + l_suppkey % 2 * 290 + l_orderkey % 40 AS x0, (l_orderkey * 53 % 700)::DOUBLE AS y0, 20.0::DOUBLE + l_suppkey % 2 * 290 + l_orderkey % 40 + CASE WHEN l_linenumber = 7 THEN 450 ELSE 190 + l_quantity END AS x1, (l_orderkey * 53 % 700)::DOUBLE + 20 AS y1, CASE l_linenumber WHEN 1 THEN 'subsection' WHEN 2 THEN 'display' ELSE 'body' END AS font_role, CASE WHEN l_suppkey % 9 = 0 THEN 'header' ELSE 'body_column' END AS role FROM r)"
+_GUTTER = """
+s AS (SELECT page, CASE WHEN x1 - x0 <= 390 AND (x0 + x1) / 2 < 252 THEN 0 WHEN x1 - x0 <= 390 AND (x0 + x1) / 2 > 348 THEN 1 END AS side, x0, x1 FROM g),
+m AS (SELECT page, count(*) AS n, list_sort(list(x1) FILTER (side = 0)) AS l, list_sort(list(x0) FILTER (side = 1)) AS r FROM s GROUP BY page),
+u AS (SELECT page, CASE WHEN n >= 3 AND r[len(r) // 2 + 1] > l[len(l) // 2 + 1] THEN (l[len(l) // 2 + 1] + r[len(r) // 2 + 1]) / 2 END AS gutter FROM m)"""
+
+
+def _column_regions(spark, sf_dir):
+    k, s, n = F.col("l_orderkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    x0, y0 = s % 2 * 290 + k % 40 + 20.0, (k * 53 % 700).cast("double")
+    return _rows(spark, sf_dir).select(
+        "page", F.col("line_no").alias("id"), F.lit(600.0).alias("page_width"), x0.alias("x0"), y0.alias("y0"), (x0 + F.when(n == 7, 450.0).otherwise(F.col("l_quantity") + 190)).alias("x1"), (y0 + 20).alias("y1"),
+        F.when(n == 1, "subsection").when(n == 2, "display").otherwise("body").alias("font_role"), F.when(s % 9 == 0, "header").otherwise("body_column").alias("role"), F.when(F.col("page") % 4 == 0, "single").otherwise("columns").alias("page_type"),
+    )
+
+
+@query(f"WITH {_REGIONS}, {_GUTTER} SELECT page, gutter FROM u")
+def page_gutters(spark, sf_dir):
+    return columns.gutters(_column_regions(spark, sf_dir), "page")
+
+
+@query(f"""
+WITH {_REGIONS}, {_GUTTER},
+c AS (SELECT g.*, CASE WHEN font_role = 'display' OR font_role = 'subsection' AND abs((x0 + x1) / 2 - 300) <= 48 OR gutter IS NULL OR x1 - x0 >= 390 THEN NULL WHEN (x0 + x1) / 2 < gutter THEN 'left' ELSE 'right' END AS side FROM g JOIN u ON u.page = g.page WHERE g.page % 4 > 0 AND role <> 'header')
+SELECT page, side, count(*) AS n, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM c WHERE side IS NOT NULL GROUP BY page, side""")
+def column_boxes(spark, sf_dir):
+    r = _column_regions(spark, sf_dir)
+    return columns.column_boxes(r, columns.gutters(r, "page"), "page")
+
+
+@query(f"""
+WITH {_REGIONS}, i AS (SELECT page, y0, y1 + 200 AS y1 FROM (SELECT page, x0 + 100 AS x0, y0, x1 + 100 AS x1, y1 FROM g WHERE id <= 3) WHERE x1 - x0 >= 108 AND y1 + 200 - y0 >= 144 AND NOT (x1 - x0 >= 540 AND y1 + 200 - y0 >= 720) AND x0 < 300 AND x1 > 300 AND y0 > 32 AND y1 + 200 < 768)
+SELECT DISTINCT g.page, g.id FROM g JOIN i ON i.page = g.page WHERE role = 'body_column' AND g.id % 5 > 0 AND greatest(least(g.y1, i.y1) - greatest(g.y0, i.y0), 0) / least(g.y1 - g.y0, i.y1 - i.y0) >= 0.12""")
+def blocks_beside_images(spark, sf_dir):
+    r = _column_regions(spark, sf_dir).withColumn("layout_mode", F.when(F.col("id") % 5 > 0, "paragraph").otherwise("positioned"))
+    images = r.where("id <= 3").select("page", "page_width", F.lit(800.0).alias("page_height"), (F.col("x0") + 100).alias("x0"), "y0", (F.col("x1") + 100).alias("x1"), (F.col("y1") + 200).alias("y1"))
+    return columns.beside_images(r, images, "page")
+
+
+@query(f"""
+WITH {_ROWS}, b AS (SELECT l_partkey AS page, line_no AS pos, 'b' || line_no AS id, CASE WHEN l_suppkey % 3 = 0 THEN 'display' ELSE 'body' END AS font_role, CASE WHEN l_suppkey % 7 = 1 THEN 'quote' ELSE 'body_column' END AS role, CASE l_linenumber % 4 WHEN 0 THEN 'T' WHEN 1 THEN 'he end' WHEN 2 THEN ' é ' ELSE 'and so ' END AS text,
+    40.0::DOUBLE + l_orderkey % 3 AS x0, line_no * 12.0::DOUBLE + l_quantity % 6 AS y0, 200.0::DOUBLE + l_quantity AS x1, line_no * 12.0::DOUBLE + 10 AS y1 FROM r),
+l AS (SELECT *, coalesce(font_role = 'display' AND regexp_full_match(trim(text), '\\p{{L}}') AND lead(font_role) OVER w = 'body' AND regexp_matches(lead(text) OVER w, '^\\p{{Ll}}') AND x0 <= lead(x0) OVER w AND y0 <= lead(y0) OVER w + 2, false) AS leads FROM b WINDOW w AS (PARTITION BY page ORDER BY pos)),
+f AS (SELECT *, coalesce(lag(leads) OVER w, false) OR NOT leads AND coalesce(font_role = 'body' AND role = 'body_column' AND y0 - lag(y1) OVER w <= 4, false) AS goes FROM l WINDOW w AS (PARTITION BY page ORDER BY pos)),
+g AS (SELECT *, sum((NOT goes)::INT) OVER (PARTITION BY page ORDER BY pos) AS grp FROM f), c AS (SELECT *, first_value(leads) OVER (PARTITION BY page, grp ORDER BY pos) AS cap FROM g)
+SELECT page, min(pos) AS pos, arg_min(id, pos) AS id, cap AS drop_cap, count(*) AS n, CASE WHEN cap THEN max(trim(text)) FILTER (leads) || string_agg(trim(text), ' ' ORDER BY pos) FILTER (NOT leads) ELSE first(text) END AS text,
+  min(x0) FILTER (NOT (cap AND leads)) AS x0, min(y0) FILTER (NOT (cap AND leads)) AS y0, max(x1) FILTER (NOT (cap AND leads)) AS x1, max(y1) FILTER (NOT (cap AND leads)) AS y1 FROM c GROUP BY page, CASE WHEN cap THEN grp ELSE -pos END, cap""")
+def drop_caps(spark, sf_dir):
+    n, s, i = F.col("l_linenumber"), F.col("l_suppkey"), F.col("line_no")
+    text = F.when(n % 4 == 0, "T").when(n % 4 == 1, "he end").when(n % 4 == 2, " é ").otherwise("and so ")
+    blocks = _rows(spark, sf_dir).select(
+        "page", i.alias("pos"), F.concat(F.lit("b"), i.cast("string")).alias("id"), F.when(s % 3 == 0, "display").otherwise("body").alias("font_role"), F.when(s % 7 == 1, "quote").otherwise("body_column").alias("role"), text.alias("text"),
+        (F.col("l_orderkey") % 3 + 40.0).alias("x0"), (i * 12.0 + F.col("l_quantity") % 6).alias("y0"), (F.col("l_quantity") + 200.0).alias("x1"), (i * 12.0 + 10).alias("y1"),
+    )
+    return columns.with_drop_caps(blocks, "page")
+
+
+@query(with_("line_forms") + """,
+s AS (SELECT *, trim(line) AS s, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS q FROM line_forms), d AS (SELECT *, trim(regexp_replace(q, '^[A-Z�][A-Za-z�\\-\\]\\s]{3,}[一-鿿]{0,4}[；;]\\s*', '')) AS d1, regexp_replace(regexp_replace(s, '\\*\\*(.+?)\\*\\*', '\\1', 'g'), '\\s+', '', 'g') AS e FROM s)
+SELECT id, regexp_full_match(line, '\\s*(?:\\d{1,3}|[dD]\\d+|[ivxlcdmIVXLCDM]+)(?:\\s*[-–—]\\s*(?:\\d{1,3}|[ivxlcdmIVXLCDM]+))?[.)、:]?\\s*') AS roll, role = 'header' OR font_role = 'running_header' AS header, role = 'footer' AND regexp_full_match(s, '\\p{Nd}+') AS number,
+  role IN ('title', 'subtitle') OR font_role IN ('display', 'section', 'subsection', 'callout') OR q <> '' AND length(q) <= 48 AND accent AS heading, coalesce(map {'[卡片]': '[CARD]', '[/图片]': '[/IMAGE]', '[属性块]': '[STAT_BLOCK]'}[s], s) AS marker,
+  trim(regexp_replace(d1, '^[A-Z�][A-Za-z�\\-\\]\\s]{3,}?(\\s*\\[原文损坏\\])', '\\1')) AS mended, regexp_matches(e, '^[一-鿿A-Za-z·.'' -]{2,32}[。.:：]化名[：:]') AND contains(e, '年龄') AND (contains(e, '职业') OR contains(e, '外貌特征')) AS dossier,
+  regexp_matches(line, '\\.(pdf|html|docx|zip|md)$') AND NOT regexp_matches(line, '_(extraction_report|glossary_report|glossary_candidates|quality_report|risk_workbench|rule_symbols|timeline|word_review|prep_checklist|module_structure|run_report)\\.md$') AS result FROM d""")
+def line_forms(spark, sf_dir):
+    c = F.col("line")
+    return given(spark, "line_forms", sf_dir).select(
+        "id", L.is_roll_marker(c).alias("roll"), L.is_running_header(F.col("role"), F.col("font_role")).alias("header"), L.is_page_number(F.col("role"), c).alias("number"), L.is_short_heading(F.col("role"), F.col("font_role"), c, F.col("accent")).alias("heading"),
+        L.canonical_marker(c).alias("marker"), L.without_damage(c).alias("mended"), L.is_dossier_entry(c).alias("dossier"), L.is_result_file(c).alias("result"),
+    )
+
+
+@query(with_("page_labels") + """,
+k AS (SELECT doc, page, label, CASE WHEN regexp_matches(label, '\\d+$') THEN 'n' WHEN regexp_full_match(label, '[ivxlcdm]+') THEN 'r' END AS kind, regexp_extract(label, '^(.*?)(\\d+)$', 1) AS p, coalesce(try_cast(regexp_extract(label, '(\\d+)$', 1) AS INT), map {'iii': 3, 'iv': 4, 'v': 5, 'vi': 6, 'vii': 7, 'x': 10}[label]) AS v FROM page_labels)
+SELECT a.doc, a.page, coalesce(a.kind = b.kind AND a.p = b.p AND b.v = a.v + 1, false) AS follows FROM k a JOIN k b ON b.doc = a.doc AND b.page = a.page + 1""")
+def labels_follow(spark, sf_dir):
+    df = given(spark, "page_labels", sf_dir)
+    after = df.select("doc", (F.col("page") - 1).alias("page"), F.col("label").alias("after"))
+    return df.join(after, ["doc", "page"]).select("doc", "page", review.labels_follow(F.col("label"), F.col("after")).alias("follows"))
