@@ -187,3 +187,22 @@ def test_report_and_preserved_markdown(spark):
     with pytest.raises(Exception, match="no translation"):
         sinks.preserved_markdown(blocks, done.where("false")).collect()
     assert rows(sinks.json_lines(items)) == [('{"page_num":1,"title":"a"}',), ('{"page_num":2,"title":"b|c"}',)]
+
+
+def test_word_text_boxes(spark, tmp_path):
+    from vellumite.sources import word
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    box = "<w:p><w:r><w:pict><w:txbxContent><w:p><w:r><w:rPr><w:b/><w:sz w:val='21'/><w:rFonts w:ascii='A'/><w:color w:val='FF0000'/></w:rPr><w:t> in </w:t></w:r><w:r><w:t>side</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>two</w:t></w:r></w:p></w:txbxContent></w:pict></w:r></w:p>"
+    for name, body in (("a.docx", box * 2), ("sub/b.docx", "<w:p><w:r><w:t>none</w:t></w:r></w:p>"), ("c.docx", box)):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
+    (tmp_path / "note.txt").write_text("no Word file")
+    df = word.word_text_boxes(spark, f"file://{tmp_path}")
+    got = sorted((r.path.rsplit("/", 1)[1], r.block, r.textbox, r.para, r.text) for r in df.collect())
+    assert got == [("a.docx", 0, 0, 0, "in side"), ("a.docx", 1, 0, 2, "two"), ("a.docx", 2, 1, 0, "in side"), ("a.docx", 3, 1, 2, "two"), ("c.docx", 0, 0, 0, "in side"), ("c.docx", 1, 0, 2, "two")]
+    first = df.where("block = 0").first().runs[0]
+    assert (first.text, first.bold, first.italic, first.font, first.size, first.color) == (" in ", True, False, "A", 10.5, "FF0000")
+    assert df.rdd.getNumPartitions() == 1
+    assert spark.read.format("word_textboxes").option("filesPerPartition", 1).load(f"file://{tmp_path}").rdd.getNumPartitions() == 3

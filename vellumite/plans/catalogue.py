@@ -836,9 +836,9 @@ f AS (SELECT id, 0::BIGINT AS i, '' AS close, 0 AS grp, false AS marked, false A
 e AS (SELECT id, coalesce(max(error), max(CASE WHEN close <> '' THEN close || ' is missing' END)) AS error FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i DESC) AS r FROM f) WHERE r = 1 GROUP BY id),
 g AS (SELECT f.id, grp, f.marked, string_agg(CASE WHEN f.marked AND (opens OR closes) THEN mark ELSE line END, chr(10) ORDER BY m.i) AS t FROM f JOIN m ON m.id = f.id AND m.i = f.i GROUP BY ALL),
 c AS (SELECT id, grp, generate_subscripts(p, 1) AS k, unnest(p) AS t FROM (SELECT id, grp, CASE WHEN marked THEN [t] ELSE list_filter(list_transform(string_split_regex(t, '\\n\\s*\\n'), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '') END AS p FROM g))
-SELECT c.id, (row_number() OVER (PARTITION BY c.id ORDER BY grp, k) - 1)::INT AS chunk, t AS text, NULL AS error FROM c JOIN e ON e.id = c.id WHERE error IS NULL UNION ALL SELECT id, NULL, NULL, error FROM e WHERE error IS NOT NULL""")
+SELECT c.id, (row_number() OVER (PARTITION BY c.id ORDER BY grp, k) - 1)::INT AS chunk, t AS text, NULL AS error FROM c JOIN e ON e.id = c.id WHERE error IS NULL UNION ALL SELECT id, -1, NULL, error FROM e WHERE error IS NOT NULL""")
 def marker_chunks(spark, sf_dir):
-    return documents.chunks(given(spark, "chunked", sf_dir))
+    return documents.chunks(given(spark, "chunked", sf_dir)).withColumn("chunk", F.coalesce("chunk", F.lit(-1)))
 
 
 @query("WITH RECURSIVE " + with_("headed")[5:] + """,

@@ -128,14 +128,14 @@ WITH {_ROWS}, o AS (SELECT l_partkey AS page, line_no, l_linestatus AS side, l_r
 u AS (SELECT DISTINCT page, line_no, side, font, round(p.x, 3) AS x, round(p.y, 3) AS y FROM (SELECT *, unnest(o) AS p FROM o)),
 m AS (SELECT a.page, a.line_no AS span, b.line_no AS trace, count(*) AS n_shared FROM u a JOIN u b USING (page, font, x, y) JOIN o p ON p.page = a.page AND p.line_no = a.line_no JOIN o q ON q.page = b.page AND q.line_no = b.line_no
   WHERE a.side = 'F' AND b.side = 'O' AND p.flags // 2 = q.flags // 2 GROUP BY ALL)
-SELECT o.page, o.line_no AS span, trace, coalesce(n_shared, 0) AS n_shared, CASE WHEN o.o IS NULL THEN 'no glyph origins' WHEN trace IS NULL THEN 'no matching trace' END AS error
+SELECT o.page, o.line_no AS span, coalesce(trace, -1) AS trace, coalesce(n_shared, 0) AS n_shared, CASE WHEN o.o IS NULL THEN 'no glyph origins' WHEN trace IS NULL THEN 'no matching trace' END AS error
 FROM o LEFT JOIN m ON m.page = o.page AND m.span = o.line_no WHERE side = 'F'""")
 def glyph_traces(spark, sf_dir):
     s, q, n = F.col("l_suppkey"), F.col("l_quantity"), F.col("l_linenumber")
     at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     origins = F.when(s % 9 > 0, F.array(at(s % 5 + 0.5002, q % 4), at(s % 5 + 0.4998, q % 4), at(q, n + 0.25), at(n, F.lit(0.0))))
     df = _rows(spark, sf_dir).select("page", "line_no", "l_linestatus", F.col("l_returnflag").alias("font"), F.floor(n / 2).cast("int").alias("flags"), origins.alias("origins"))
-    return identity.trace_matches(df.where("l_linestatus = 'F'").withColumnRenamed("line_no", "span"), df.where("l_linestatus = 'O'").withColumnRenamed("line_no", "trace"), "page")
+    return identity.trace_matches(df.where("l_linestatus = 'F'").withColumnRenamed("line_no", "span"), df.where("l_linestatus = 'O'").withColumnRenamed("line_no", "trace"), "page").withColumn("trace", F.coalesce("trace", F.lit(-1)))
 
 
 @query(f"""
@@ -145,7 +145,7 @@ k AS (SELECT DISTINCT l_partkey AS page, md5((l_suppkey % 4)::VARCHAR) AS source
 c AS (SELECT a.page, a.line_no AS block, b.* EXCLUDE (page, source) FROM i a JOIN i b ON b.page = a.page AND b.transform = a.transform AND b.width = a.width AND b.height IS NOT DISTINCT FROM a.height
   WHERE a.side = 'F' AND b.side = 'O' AND CASE WHEN EXISTS (SELECT 1 FROM k WHERE k.page = a.page AND k.source = a.source) THEN EXISTS (SELECT 1 FROM k WHERE k.page = a.page AND k.source = a.source AND k.xref = b.xref) ELSE b.digest = a.digest END),
 n AS (SELECT page, block, min(line_no) AS info, count(DISTINCT (xref, digest, meta)) AS kinds FROM c GROUP BY page, block)
-SELECT i.page, i.line_no AS block, CASE WHEN kinds = 1 THEN info END AS info, CASE WHEN info IS NULL THEN 'no record' WHEN kinds > 1 THEN 'conflicting records' END AS error FROM i LEFT JOIN n ON n.page = i.page AND n.block = i.line_no WHERE side = 'F'""")
+SELECT i.page, i.line_no AS block, CASE WHEN kinds = 1 THEN info ELSE -1 END AS info, CASE WHEN info IS NULL THEN 'no record' WHEN kinds > 1 THEN 'conflicting records' END AS error FROM i LEFT JOIN n ON n.page = i.page AND n.block = i.line_no WHERE side = 'F'""")
 def image_records(spark, sf_dir):
     s, n = F.col("l_suppkey"), F.col("l_linenumber")
     digest = lambda c: F.md5(c.cast("string").cast("binary"))
@@ -155,7 +155,7 @@ def image_records(spark, sf_dir):
         digest(n % 3).alias("digest"), F.when(s % 5 > 0, digest(s % 4)).alias("source_digest"), n.alias("xref"), F.col("l_returnflag").alias("meta"),
     )
     references = base.where((F.col("l_returnflag") == "A") & (s % 4 < 2)).select("page", digest(s % 4).alias("source_digest"), n.alias("xref"))
-    return identity.image_matches(df.where("l_linestatus = 'F'").withColumnRenamed("line_no", "block"), df.where("l_linestatus = 'O'").withColumnRenamed("line_no", "info"), references, "page", ["meta"])
+    return identity.image_matches(df.where("l_linestatus = 'F'").withColumnRenamed("line_no", "block"), df.where("l_linestatus = 'O'").withColumnRenamed("line_no", "info"), references, "page", ["meta"]).withColumn("info", F.coalesce("info", F.lit(-1)))
 
 
 @query(f"""
@@ -339,7 +339,7 @@ o AS (SELECT *, CASE WHEN tab AND most >= 2 THEN first ELSE pos END AS oa, CASE
 g AS (SELECT page, part, kind, CASE WHEN kind = 'cell' THEN row ELSE -1 END AS row, CASE WHEN kind = 'cell' THEN col ELSE pos END AS key, min((oa, ob, pos)) AS o, arg_min(region, (oa, ob, pos)) AS region, min(col) AS col, count(*) AS n,
   CASE WHEN count(*) > 1 THEN string_agg(trim(text), ' ' ORDER BY oa, ob, pos) ELSE first(text) END AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM o GROUP BY ALL),
 f AS (SELECT *, CASE WHEN kind = 'cell' THEN min(o) OVER (PARTITION BY page, part, kind, row) ELSE o END AS top, CASE WHEN kind = 'cell' THEN first_value(region) OVER (PARTITION BY page, part, kind, row ORDER BY o) ELSE region END AS reg FROM g)
-SELECT page, row_number() OVER (PARTITION BY page ORDER BY part, top, coalesce(CASE WHEN kind <> 'plain' THEN col END, -1), o) - 1 AS place, kind, reg AS region, CASE WHEN kind = 'cell' THEN col END AS col, n, text, x0, y0, x1, y1 FROM f""")
+SELECT page, row_number() OVER (PARTITION BY page ORDER BY part, top, coalesce(CASE WHEN kind <> 'plain' THEN col END, -1), o) - 1 AS place, kind, reg AS region, CASE WHEN kind = 'cell' THEN col ELSE -1 END AS col, n, text, x0, y0, x1, y1 FROM f""")
 def assembled_cells(spark, sf_dir):
     k = F.col("l_orderkey")
     x0, y0 = k % 3 * 120 + 50.0, F.col("line_no") * 10.0
@@ -347,7 +347,7 @@ def assembled_cells(spark, sf_dir):
         "page", F.col("line_no").alias("pos"), F.concat(F.lit("r"), F.floor((F.col("line_no") + F.col("page")) / 3).cast("string")).alias("region"), F.when(F.col("l_suppkey") % 9 > 0, "table").otherwise("body").alias("role"),
         F.concat(F.lit(" c"), F.col("l_linenumber").cast("string"), F.lit(" ")).alias("text"), x0.alias("x0"), y0.alias("y0"), (x0 + F.col("l_quantity") * 4).alias("x1"), (y0 + 9).alias("y1"),
     )
-    return tables.assembled_cells(blocks, "page").withColumn("place", F.col("place").cast("bigint")).withColumn("col", F.col("col").cast("bigint"))
+    return tables.assembled_cells(blocks, "page").withColumn("place", F.col("place").cast("bigint")).withColumn("col", F.coalesce(F.col("col"), F.lit(-1)).cast("bigint"))
 
 
 #: Words of blocks (parts): lines of three or four, the first ones of some blocks are titles or rules.

@@ -10,7 +10,7 @@ from vellumite.operators import columns, documents, orders, pages, review, segme
 from vellumite.plans.catalogue import _FOUND, _found, query
 from vellumite.plans.derived import given, with_
 from vellumite.plans.layouts import _BLOCKS, _ROWS, _TITLE, _blocks, _rows
-from vellumite.sources import readers, sinks
+from vellumite.sources import readers, sinks, word
 from vellumite.tables import table
 
 
@@ -343,3 +343,36 @@ def labels_follow(spark, sf_dir):
     df = given(spark, "page_labels", sf_dir)
     after = df.select("doc", (F.col("page") - 1).alias("page"), F.col("label").alias("after"))
     return df.join(after, ["doc", "page"]).select("doc", "page", review.labels_follow(F.col("label"), F.col("after")).alias("follows"))
+
+
+_DOCX = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>outside</w:t></w:r></w:p>{}</w:body></w:document>'
+
+
+def _word_files(parts):
+    """Word files (path, content) out of their paragraphs' XML (path, xml)."""
+    import io
+    import zipfile
+
+    for pdf in parts:
+        made = []
+        for xml in pdf["xml"]:
+            with zipfile.ZipFile(buffer := io.BytesIO(), "w") as z:
+                z.writestr("word/document.xml", _DOCX.format(xml))
+            made.append(buffer.getvalue())
+        yield pdf[["path"]].assign(content=made)
+
+
+@query("""
+WITH b AS (SELECT conv_id, turn, dense_rank() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS box FROM conversations),
+p AS (SELECT conv_id, box, 0 AS para, 'role ' || turn AS text, turn % 2 = 0 AS bold FROM b UNION ALL SELECT conv_id, box, 2, 'end' || turn, NULL FROM b WHERE turn % 3 > 0)
+SELECT 'c' || conv_id || '.docx' AS path, (row_number() OVER (PARTITION BY conv_id ORDER BY box, para) - 1)::INT AS block, box::INT AS textbox, para::INT AS para, text, bold FROM p""")
+def word_boxes(spark, sf_dir):
+    t = F.col("turn").cast("string")
+    run = lambda x, style="": F.concat(F.lit(f"<w:r>{style}<w:t xml:space='preserve'>"), x, F.lit("</w:t></w:r>"))
+    bold = F.when(F.col("turn") % 2 == 0, "<w:rPr><w:b/></w:rPr>").otherwise("<w:rPr><w:sz w:val='21'/></w:rPr>")
+    first = F.concat(F.lit("<w:p><w:r>"), bold, F.lit("<w:t xml:space='preserve'> role </w:t></w:r>"), run(t), F.lit("</w:p><w:p/>"))
+    last = F.when(F.col("turn") % 3 > 0, F.concat(F.lit("<w:p>"), run(F.concat(F.lit("end"), t)), F.lit("</w:p>"))).otherwise("<w:p> </w:p>")
+    box = F.concat(F.lit("<w:p><w:r><w:pict><w:txbxContent>"), first, last, F.lit("</w:txbxContent></w:pict></w:r></w:p>"))
+    xml = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", box.alias("x")))), lambda x: x["x"]), "")
+    files = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(xml.alias("xml")).select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".docx")).alias("path"), "xml").mapInPandas(_word_files, "path string, content binary")
+    return word.text_boxes(files).withColumn("bold", F.get("runs", F.lit(0))["bold"]).drop("runs")
