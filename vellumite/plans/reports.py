@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vellumite.functions import blocks as B
 from vellumite.functions import lines as L
-from vellumite.operators import columns, documents, orders, pages, review, segments, state, terms
+from vellumite.operators import columns, documents, hints, orders, pages, review, segments, state, terms
 from vellumite.plans.catalogue import _FOUND, _found, query
 from vellumite.plans.derived import given, with_
 from vellumite.plans.layouts import _BLOCKS, _ROWS, _TITLE, _blocks, _rows
@@ -376,3 +376,76 @@ def word_boxes(spark, sf_dir):
     xml = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", box.alias("x")))), lambda x: x["x"]), "")
     files = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(xml.alias("xml")).select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".docx")).alias("path"), "xml").mapInPandas(_word_files, "path string, content binary")
     return word.text_boxes(files).withColumn("bold", F.get("runs", F.lit(0))["bold"]).drop("runs")
+
+
+@query(f"""
+WITH {_ROWS}, l AS (SELECT l_partkey AS page, line_no, CASE l_orderkey % 7 WHEN 0 THEN ' 12 ' WHEN 1 THEN 'MAY 12 (night)' WHEN 2 THEN 'june 3' WHEN 3 THEN repeat('long ', 12) ELSE 'Line' END AS t, 6.0::DOUBLE + l_suppkey % 20 AS size, l_linenumber % 2 = 0 AS bold, l_suppkey % 8 = 0 AS accent, CASE WHEN l_linenumber = 3 THEN 5.0 END AS angle,
+  (l_orderkey * 53 % 790)::DOUBLE AS y0, (l_orderkey * 53 % 790)::DOUBLE + 10 AS y1, (l_orderkey * 37 % 400)::DOUBLE AS x0, (l_orderkey * 37 % 400)::DOUBLE + 100 AS x1 FROM r),
+k AS (SELECT *, CASE WHEN y1 <= 68 AND abs(coalesce(angle, 0)) < 1 THEN 'running_header/header' WHEN y0 >= 720 AND regexp_full_match(trim(t), '\\d+') THEN 'footer/footer' WHEN size >= 25 * 0.85 AND size >= 15.5 THEN 'display/title' WHEN accent AND (size >= 11.5 OR length(trim(t)) <= 48 AND bold) THEN 'section/subtitle'
+  WHEN bold AND regexp_full_match(trim(t), '(?i)(?:JANUARY|FEBRUARY|MARCH|APRIL|MAY|JUNE|JULY|AUGUST|SEPTEMBER|OCTOBER|NOVEMBER|DECEMBER)\\s+\\d{{1,2}}(?:\\s+\\([^)]+\\))?') THEN 'subsection/subtitle' WHEN size >= 17.5 THEN 'section/subtitle'
+  WHEN size >= 11.5 AND length(trim(t)) <= 72 AND bold THEN CASE WHEN y0 >= 600 AND abs((x0 + x1) / 2 - 300) <= 60 THEN 'callout/subtitle' ELSE 'subsection/subtitle' END ELSE 'body/body_column' END AS k FROM l)
+SELECT page, line_no, k AS kind FROM k""")
+def line_classes(spark, sf_dir):
+    k, s = F.col("l_orderkey"), F.col("l_suppkey")
+    text = F.when(k % 7 == 0, " 12 ").when(k % 7 == 1, "MAY 12 (night)").when(k % 7 == 2, "june 3").when(k % 7 == 3, "long " * 12).otherwise("Line")
+    x0, y0 = (k * 37 % 400).cast("double"), (k * 53 % 790).cast("double")
+    df = _rows(spark, sf_dir).withColumns({"x0": x0, "y0": y0, "x1": x0 + 100, "y1": y0 + 10, "page_width": F.lit(600.0), "page_height": F.lit(800.0), "median_size": F.lit(10.0), "max_size": F.lit(25.0)})
+    kind = hints.line_class(text, s % 20 + 6.0, F.col("l_linenumber") % 2 == 0, s % 8 == 0, F.when(F.col("l_linenumber") == 3, 5.0), usual_accents=False)
+    return df.select("page", "line_no", kind.alias("k")).select("page", "line_no", F.concat_ws("/", "k.font_role", "k.role").alias("kind"))
+
+
+@query(f"""
+WITH {_ROWS}, l AS (SELECT l_partkey AS block, line_no, CASE l_suppkey % 8 WHEN 0 THEN ' • Title ' || l_linenumber WHEN 1 THEN l_orderkey % 900 || '' WHEN 2 THEN 'Chapter ' || l_returnflag || ' ....... ' || l_orderkey % 90 WHEN 3 THEN 'Joined' || l_orderkey % 90 WHEN 4 THEN 'CONTENTS' WHEN 5 THEN ' ' WHEN 6 THEN '- Some  title' ELSE 'dashes---- 7' END AS line FROM r),
+c AS (SELECT block, line_no, trim(regexp_replace(regexp_replace(line, '^[\\s•*\\-]+', ''), '\\s+', ' ', 'g')) AS t FROM l),
+d AS (SELECT *, CASE WHEN regexp_full_match(t, '\\d{{1,4}}') THEN 'number' WHEN regexp_full_match(t, '(.+?)(?:\\.{{3,}}|-{{3,}}|\\s{{2,}}|\\s+)(\\d{{1,4}})') THEN 'inline' WHEN regexp_full_match(t, '(.*[A-Za-z][^\\d]*?)(\\d{{1,4}})') THEN 'compact' ELSE 'plain' END AS kind FROM c WHERE t NOT IN ('', 'CONTENTS')),
+e AS (SELECT *, lag(kind) OVER w AS bk, lag(t) OVER w AS bt, lead(kind) OVER w AS ak FROM d WINDOW w AS (PARTITION BY block ORDER BY line_no)),
+f AS (SELECT block, line_no, CASE kind WHEN 'number' THEN CASE WHEN bk = 'plain' THEN bt || ' ........ ' || t ELSE t END WHEN 'plain' THEN CASE WHEN coalesce(ak, '') <> 'number' THEN t END
+  WHEN 'inline' THEN trim(regexp_replace(regexp_extract(t, '^(.+?)(?:\\.{{3,}}|-{{3,}}|\\s{{2,}}|\\s+)(\\d{{1,4}})$', 1), '[.\\-]{{3,}}\\s*$', ''), ' -') || ' ........ ' || regexp_extract(t, '(\\d{{1,4}})$', 1) ELSE trim(regexp_extract(t, '^(.*[A-Za-z][^\\d]*?)(\\d{{1,4}})$', 1), ' -') || ' ........ ' || regexp_extract(t, '^(.*[A-Za-z][^\\d]*?)(\\d{{1,4}})$', 2) END AS e FROM e)
+SELECT block, coalesce(string_agg(e, chr(10) ORDER BY line_no), '') AS entries FROM f GROUP BY block""")
+def contents_blocks(spark, sf_dir):
+    k, s, n = F.col("l_orderkey"), F.col("l_suppkey") % 8, F.col("l_linenumber").cast("string")
+    text = lambda c: c.cast("string")
+    line = F.when(s == 0, F.concat(F.lit(" • Title "), n)).when(s == 1, text(k % 900)).when(s == 2, F.concat(F.lit("Chapter "), "l_returnflag", F.lit(" ....... "), text(k % 90))).when(s == 3, F.concat(F.lit("Joined"), text(k % 90)))
+    line = line.when(s == 4, "CONTENTS").when(s == 5, " ").when(s == 6, "- Some  title").otherwise("dashes---- 7")
+    return hints.contents_entries(_rows(spark, sf_dir).select(F.col("page").alias("block"), "line_no", line.alias("line")), "block")
+
+
+@query(f"""
+WITH {_ROWS}, c AS (SELECT DISTINCT l_partkey AS page, c.col, CASE WHEN c.col = 'left' THEN 20.0 ELSE 310.0 END::DOUBLE AS x0, 50.0::DOUBLE AS y0, CASE WHEN c.col = 'left' THEN 290.0 ELSE 580.0 END::DOUBLE AS x1, 760.0::DOUBLE AS y1 FROM lineitem, (VALUES ('left'), ('right')) AS c(col)),
+b AS (SELECT l_partkey AS page, CASE WHEN l_suppkey % 2 = 0 THEN 'left' ELSE 'right' END AS col, line_no, (l_orderkey * 53 % 700 + 40)::DOUBLE AS y0, (l_orderkey * 53 % 700 + 40)::DOUBLE + l_quantity AS y1 FROM r WHERE l_linenumber < 6),
+p AS (SELECT l_partkey AS page, (l_orderkey * 37 % 500)::DOUBLE AS x0, (l_orderkey * 53 % 700 + 40)::DOUBLE AS y0, (l_orderkey * 37 % 500)::DOUBLE + l_quantity * 3 AS x1, (l_orderkey * 53 % 700 + 40)::DOUBLE + 30 AS y1 FROM r WHERE l_linenumber >= 6),
+o AS (SELECT c.page, c.col, p.y0, p.y1, row_number() OVER (PARTITION BY c.page, c.col ORDER BY p.y0, p.y1) - 1 AS section FROM c JOIN p ON p.page = c.page AND p.y1 > c.y0 AND p.y0 < c.y1 AND least(c.x1, p.x1) - greatest(c.x0, p.x0) >= least(c.x1 - c.x0, p.x1 - p.x0) * 0.2),
+s AS (SELECT b.*, (SELECT count(*) FROM o WHERE o.page = b.page AND o.col = b.col AND (b.y0 + b.y1) / 2 >= o.y1) AS section FROM b),
+g AS (SELECT page, col, section, count(*) AS n, min(y0) AS top, max(y1) AS low FROM s GROUP BY ALL),
+e AS (SELECT g.page, g.col, g.section::INT AS section, n, c.x0, greatest(c.y0, top) AS y0, c.x1, least(c.y1, greatest(low, coalesce(o.y0, c.y1) - 3)) AS y1 FROM g JOIN c ON c.page = g.page AND c.col = g.col LEFT JOIN o ON o.page = g.page AND o.col = g.col AND o.section = g.section)
+SELECT *, CASE WHEN y1 <= y0 THEN 'no height' END AS error FROM e""")
+def column_sections(spark, sf_dir):
+    k, q, n = F.col("l_orderkey"), F.col("l_quantity"), F.col("l_linenumber")
+    rows = _rows(spark, sf_dir)
+    left = F.col("col") == "left"
+    cols = rows.select("page").distinct().select("page", F.explode(F.array(F.lit("left"), F.lit("right"))).alias("col")).select("page", "col", F.when(left, 20.0).otherwise(310.0).alias("x0"), F.lit(50.0).alias("y0"), F.when(left, 290.0).otherwise(580.0).alias("x1"), F.lit(760.0).alias("y1"))
+    x0, y0 = (k * 37 % 500).cast("double"), (k * 53 % 700 + 40).cast("double")
+    blocks = rows.where("l_linenumber < 6").select("page", F.when(F.col("l_suppkey") % 2 == 0, "left").otherwise("right").alias("col"), x0.alias("x0"), y0.alias("y0"), (x0 + 10).alias("x1"), (y0 + q).alias("y1"))
+    return hints.column_sections(cols, blocks, rows.where(n >= 6).select("page", x0.alias("x0"), y0.alias("y0"), (x0 + q * 3).alias("x1"), (y0 + 30).alias("y1")), "page")
+
+
+@query("""
+WITH b AS (SELECT conv_id AS page, CASE WHEN conv_id % 2 = 0 THEN 'columns' ELSE 'single' END AS page_type, turn AS id, text <> '' AS translatable FROM conversations)
+SELECT page, CASE WHEN page % 3 = 0 AND page % 6 > 0 THEN 'art' ELSE page_type END AS page_type, id, row_number() OVER (PARTITION BY page ORDER BY CASE WHEN page % 4 = 1 AND id % 2 = 0 THEN 100 - id END NULLS LAST, id) - 1 AS place, translatable AND NOT (page % 5 = 2 AND id % 3 = 1) AS translatable FROM b""")
+def hinted_pages(spark, sf_dir):
+    c, t = F.col("page"), F.col("id")
+    b = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page"), F.when(F.col("conv_id") % 2 == 0, "columns").otherwise("single").alias("page_type"), F.col("turn").alias("id"), F.col("turn").alias("pos"), (F.col("text") != "").alias("translatable"))
+    page_hints = b.where(c % 3 == 0).select("page", F.when(c % 6 > 0, "art").alias("page_type")).distinct()
+    return hints.hinted_pages(b, page_hints, b.where((c % 5 == 2) & (t % 3 == 1)), b.where((c % 4 == 1) & (t % 2 == 0)).select("page", "id", (100 - t).alias("pos")), "page").withColumn("place", F.col("place").cast("bigint"))
+
+
+@query(f"""
+WITH {_ROWS}, m AS (SELECT l_partkey AS page, 'c' || l_suppkey % 3 AS col, line_no AS id, l_linenumber AS region FROM r),
+g AS (SELECT l_partkey AS page, l_linenumber AS region, min(l_quantity) AS x0, min(l_orderkey % 700)::DOUBLE AS y0, max(l_quantity) + 100 AS x1, max(l_orderkey % 700)::DOUBLE + 20 AS y1 FROM r WHERE l_linenumber < 7 GROUP BY ALL)
+SELECT m.page, col, count(*) AS n, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, 'no box of block ' || min(CASE WHEN x0 IS NULL THEN id::VARCHAR END) AS error FROM m LEFT JOIN g ON g.page = m.page AND g.region = m.region GROUP BY m.page, col""")
+def hinted_columns(spark, sf_dir):
+    rows, k = _rows(spark, sf_dir), F.col("l_orderkey") % 700
+    blocks = rows.select("page", F.col("line_no").alias("id"), F.col("l_linenumber").alias("region_id"))
+    members = rows.select("page", F.concat(F.lit("c"), (F.col("l_suppkey") % 3).cast("string")).alias("col"), F.col("line_no").alias("id"))
+    regions = rows.where("l_linenumber < 7").groupBy("page", F.col("l_linenumber").alias("region_id")).agg(F.min("l_quantity").alias("x0"), F.min(k.cast("double")).alias("y0"), (F.max("l_quantity") + 100).alias("x1"), (F.max(k.cast("double")) + 20).alias("y1"))
+    return hints.hinted_columns(members, blocks, regions, "page")
