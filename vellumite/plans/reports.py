@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from vellumite.functions import blocks as B
 from vellumite.functions import lines as L
-from vellumite.operators import columns, documents, hints, orders, pages, review, segments, state, terms
+from vellumite.operators import columns, documents, hints, images, orders, pages, review, segments, state, terms
 from vellumite.plans.catalogue import _FOUND, _found, query
 from vellumite.plans.derived import given, with_
-from vellumite.plans.layouts import _BLOCKS, _ROWS, _TITLE, _blocks, _rows
+from vellumite.plans.layouts import _BLOCKS, _ROWS, _TITLE, _blocks, _merging, _rows
 from vellumite.sources import readers, sinks, word
 from vellumite.tables import table
 
@@ -449,3 +449,71 @@ def hinted_columns(spark, sf_dir):
     members = rows.select("page", F.concat(F.lit("c"), (F.col("l_suppkey") % 3).cast("string")).alias("col"), F.col("line_no").alias("id"))
     regions = rows.where("l_linenumber < 7").groupBy("page", F.col("l_linenumber").alias("region_id")).agg(F.min("l_quantity").alias("x0"), F.min(k.cast("double")).alias("y0"), (F.max("l_quantity") + 100).alias("x1"), (F.max(k.cast("double")) + 20).alias("y1"))
     return hints.hinted_columns(members, blocks, regions, "page")
+
+
+_IMAGES = f"""{_ROWS}, t AS (SELECT l_partkey AS page, line_no AS id, (l_orderkey * 37 % 560)::DOUBLE AS x0, (l_orderkey * 53 % 760)::DOUBLE AS y0, (l_orderkey * 37 % 560)::DOUBLE + l_quantity AS x1, (l_orderkey * 53 % 760)::DOUBLE + 12 AS y1, repeat('w', l_linenumber::INT * l_linenumber::INT - 1) AS text, l_suppkey % 5 AS s FROM r WHERE line_no > 6),
+i AS (SELECT l_partkey AS page, (l_orderkey * 37 % 400)::DOUBLE AS x0, (l_orderkey * 53 % 600)::DOUBLE AS y0, (l_orderkey * 37 % 400)::DOUBLE + l_quantity * 5 + 100 AS x1, (l_orderkey * 53 % 600)::DOUBLE + l_quantity * 4 + 60 AS y1, line_no FROM r WHERE line_no <= 6)"""
+_AREA, _OVER = "greatest({0}.x1 - {0}.x0, 0) * greatest({0}.y1 - {0}.y0, 0)", "greatest(least({0}.x1, {1}.x1) - greatest({0}.x0, {1}.x0), 0) * greatest(least({0}.y1, {1}.y1) - greatest({0}.y0, {1}.y0), 0)"
+
+
+def _images(spark, sf_dir):
+    k, q, n = F.col("l_orderkey"), F.col("l_quantity"), F.col("l_linenumber")
+    rows, sheet = _rows(spark, sf_dir), [F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height")]
+    x, y = (k * 37 % 560).cast("double"), (k * 53 % 760).cast("double")
+    texts = rows.where("line_no > 6").select("page", F.col("line_no").alias("id"), x.alias("x0"), y.alias("y0"), (x + q).alias("x1"), (y + 12).alias("y1"), F.repeat(F.lit("w"), (n * n - 1).cast("int")).alias("text"), F.col("l_suppkey").alias("s"))
+    u, v = (k * 37 % 400).cast("double"), (k * 53 % 600).cast("double")
+    return texts, rows.where("line_no <= 6").select("page", *sheet, u.alias("x0"), v.alias("y0"), (u + q * 5 + 100).alias("x1"), (v + q * 4 + 60).alias("y1"), "line_no")
+
+
+@query(f"""
+WITH {_IMAGES} SELECT DISTINCT t.page, id FROM t JOIN i ON i.page = t.page WHERE s <> 1 AND length(text) BETWEEN 1 AND 3 AND {_AREA.format('i')} > 9600 AND {_AREA.format('i')} < 432000 AND {_OVER.format('t', 'i')} / ({_AREA.format('t')}) >= 0.35
+UNION SELECT page, id FROM t WHERE s = 2""")
+def overlay_texts(spark, sf_dir):
+    texts, pictures = _images(spark, sf_dir)
+    texts = texts.withColumn("text", F.when(F.length("text") == 3, F.lit("xy")).otherwise(F.col("text"))).withColumn("role", F.when(F.col("s") % 5 == 1, "title").otherwise("body_column"))
+    return images.overlay_texts(texts.withColumn("layout_mode", F.when(F.col("s") % 5 == 2, "image_overlay_text")), pictures, "page")
+
+
+@query(f"""
+WITH RECURSIVE {_IMAGES}, f AS (SELECT DISTINCT page, x0, y0, x1, y1 FROM i WHERE line_no > 1 AND {_AREA.format('i')} BETWEEN 12000 AND 264000 AND x1 - x0 >= 120 AND y1 - y0 >= 64 AND NOT ((x0 <= 2 OR y0 <= 2 OR x1 >= 598 OR y1 >= 798) AND {_AREA.format('i')} > 28800)),
+k AS (SELECT page, x0, y0, x1 - 60 AS x1, y1 FROM i WHERE line_no = 1 AND page % 3 = 0),
+o AS (SELECT f.page, f.x0, f.y0, f.x1, f.y1, count(*) FILTER (h) AS n, coalesce(sum(length(text)) FILTER (h), 0) AS chars, sum(c) AS over, coalesce(sum(length(text)) FILTER (c > 0 AND c / greatest(ta, 1) >= 0.15), 0) AS lying
+  FROM (SELECT f.page, f.x0, f.y0, f.x1, f.y1, text, (t.x0 + t.x1) / 2 >= f.x0 AND (t.x0 + t.x1) / 2 < f.x1 AND (t.y0 + t.y1) / 2 >= f.y0 AND (t.y0 + t.y1) / 2 < f.y1 AS h, {_OVER.format('t', 'f')} AS c, {_AREA.format('t')} AS ta FROM f JOIN t ON t.page = f.page WHERE text <> '') f GROUP BY ALL),
+b AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.page = f.page AND {_OVER.format('f', 'k')} / greatest(least({_AREA.format('f')}, {_AREA.format('k')}), 1) > 0.2)
+  AND NOT EXISTS (SELECT 1 FROM o WHERE o.page = f.page AND o.x0 = f.x0 AND o.y0 = f.y0 AND o.x1 = f.x1 AND o.y1 = f.y1 AND (n >= 3 AND chars >= 240 OR over / greatest({_AREA.format('o')}, 1) >= 0.25 AND lying >= 120))), {_merging("b", 8)}
+SELECT m.page, m.x0, m.y0, m.x1, m.y1, count(*) AS n FROM m JOIN b ON b.page = m.page AND b.x0 >= m.x0 AND b.y0 >= m.y0 AND b.x1 <= m.x1 AND b.y1 <= m.y1 GROUP BY ALL""")
+def picture_regions(spark, sf_dir):
+    texts, pictures = _images(spark, sf_dir)
+    cards = pictures.where("line_no = 1 AND page % 3 = 0").withColumn("x1", F.col("x1") - 60)
+    return images.picture_regions(pictures.where("line_no > 1"), cards, texts, "page")
+
+
+@query("""
+WITH s AS (SELECT conv_id * 100 + turn AS id, repeat('[IMAGE]x[/IMAGE]', (turn % 4)::INT) || role AS source, CASE WHEN turn % 5 = 1 THEN '[IMAGE] ' ELSE '' END || text || ' ' || chr(10) AS t FROM conversations),
+m AS (SELECT *, turn_marks - CASE WHEN t LIKE '[IMAGE]%' THEN 1 ELSE 0 END AS n FROM (SELECT *, (length(source) - length(replace(source, '[IMAGE]', ''))) // 7 AS turn_marks FROM s))
+SELECT id, CASE WHEN n > 0 THEN rtrim(t, ' ' || chr(10)) || repeat(chr(10) || chr(10) || '[IMAGE]' || chr(10) || 'Illustration placeholder' || chr(10) || '[/IMAGE]', n::INT) ELSE t END AS text FROM m""")
+def image_placeholders(spark, sf_dir):
+    t = F.col("turn")
+    c = table(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 100 + t)
+    sources = c.select("id", F.concat(F.repeat(F.lit("[IMAGE]x[/IMAGE]"), (t % 4).cast("int")), "role").alias("source"))
+    return images.with_placeholders(c.select("id", F.concat(F.when(t % 5 == 1, "[IMAGE] ").otherwise(""), "text", F.lit(" \n")).alias("text")), sources, "id")
+
+
+@query("SELECT o_orderkey AS block_id, o_custkey % 60 AS page FROM orders WHERE o_orderkey % 5 > 0 AND o_custkey % 4 > 0 AND o_orderkey % 3 > 0 AND o_orderkey % 7 > 1")
+def rendered_blocks(spark, sf_dir):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    o = table(spark, sf_dir, "orders")
+    blocks = o.select(k.alias("block_id"), (c % 60).alias("page"), (k % 5 > 0).alias("translatable"), F.when(c % 4 > 0, "t").otherwise("").alias("translated"), F.when(k % 3 == 0, "hidden_source_text").when(k % 2 == 0, "paragraph").alias("layout_mode"))
+    return images.rendered_blocks(blocks, o.where(k % 7 <= 1).select(k.alias("block_id")))
+
+
+@query("""
+WITH b AS (SELECT conv_id AS doc, turn // 4 AS reading_page, turn AS pos, CASE WHEN turn % 8 > 3 THEN 'single' END AS layout, turn + conv_id % 2 * (turn % 2) AS source_page, text FROM conversations),
+d AS (SELECT DISTINCT doc, reading_page, source_page + 1 AS p FROM b), g AS (SELECT *, p - row_number() OVER (PARTITION BY doc, reading_page ORDER BY p) AS g FROM d), r AS (SELECT doc, reading_page, min(p) AS a, max(p) AS z FROM g GROUP BY doc, reading_page, g),
+s AS (SELECT doc, reading_page, string_agg(CASE WHEN a = z THEN a::VARCHAR ELSE a || '-' || z END, ', ' ORDER BY a) AS ranges FROM r GROUP BY ALL)
+SELECT b.doc, b.reading_page, '<!-- Reading Page ' || (b.reading_page + 1) || '; Layout: ' || coalesce(arg_min_null(layout, pos), 'columns') || '; Source PDF Pages: ' || ranges || ' -->' || chr(10) || chr(10) || string_agg(text || chr(10) || chr(10), '' ORDER BY pos) || '---' || chr(10) || chr(10) AS text
+FROM b JOIN s ON s.doc = b.doc AND s.reading_page = b.reading_page GROUP BY b.doc, b.reading_page, ranges""")
+def reading_pages_markdown(spark, sf_dir):
+    c, t = F.col("conv_id"), F.col("turn")
+    blocks = table(spark, sf_dir, "conversations").select(c.alias("doc"), F.floor(t / 4).alias("reading_page"), t.alias("pos"), F.when(t % 8 > 3, "single").alias("layout"), (t + c % 2 * (t % 2)).alias("source_page"), "text")
+    return images.reading_markdown(blocks, "doc")
