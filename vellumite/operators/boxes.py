@@ -24,7 +24,7 @@ def marginal(text: Column, y0: Column, y1: Column, height: Column, band: float =
     title = F.regexp_replace(F.upper(line), "[^A-Z0-9 ]+", "")
     above, below = y1 < height * band, y0 > height * (1 - band)
     named = title.rlike("|".join(RUNNING_TITLES)) | F.contains(line, F.lit("//"))
-    return (line == "") | line.rlike("^\\d{1,4}$") | ((above | below) & named) | (below & (F.length(line) <= 80))
+    return (line == "") | line.rlike("^\\d{1,4}$") | ((above | below) & named) | (below & (F.length(T.stripped(text)) <= 80))
 
 
 def one_width(fonts: Column) -> Column:

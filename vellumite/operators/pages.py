@@ -106,10 +106,10 @@ def contents(headings: DataFrame) -> DataFrame:
     return headings.groupBy("doc").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias("text"))
 
 
-def is_title_card(text: Column, size: Column, median: Column, x0: Column, y0: Column, x1: Column, width: Column, height: Column) -> Column:
-    """A short line of twice the median size that stands centred near the top, or begins at the left of the top band."""
+def is_title_card(text: Column, size: Column, median: Column, x0: Column, y0: Column, x1: Column, width: Column, height: Column, longest: int | None = 120) -> Column:
+    """A line of up to `longest` characters (None: any) and twice the median size that stands centred near the top, or begins at the left of the top band."""
     s = T.stripped(F.regexp_replace(T.stripped(text), "^#\\s*", ""))
-    fits = (s != "") & (F.length(s) <= 120) & ~s.rlike("[.!?。！？]$") & (size >= median * 2.0)
+    fits = (s != "") & ((F.length(s) <= longest) if longest else F.lit(True)) & ~s.rlike("[.!?。！？]$") & (size >= median * 2.0)
     centred = (F.abs((x0 + x1) / 2 - width / 2) <= width * 0.16) & (x0 <= width * 0.42) & (x1 >= width * 0.58)
     return fits & (((y0 < height * 0.22) & centred) | ((y0 < height * 0.13) & (x0 <= width * 0.20) & (x1 >= width * 0.50)))
 

@@ -19,9 +19,9 @@ from vellumite.operators import boxes, pages
 SERIFS = ("Sabon", "Times", "Garamond", "Minion", "Caslon")
 
 
-def title_card() -> Column:
+def title_card(longest: int | None = 120) -> Column:
     c = F.col
-    return F.coalesce(pages.is_title_card(c("text"), c("font_size"), c("median_size"), c("x0"), c("y0"), c("x1"), c("page_width"), c("page_height")), F.lit(False))
+    return F.coalesce(pages.is_title_card(c("text"), c("font_size"), c("median_size"), c("x0"), c("y0"), c("x1"), c("page_width"), c("page_height"), longest), F.lit(False))
 
 
 def starts_lower(c: Column) -> Column:
@@ -34,9 +34,9 @@ def ends_sentence(c: Column) -> Column:
     return T.stripped(T.some(c)).rlike("[.!?。！？”\"’')\\]]$")
 
 
-def three_columns(blocks: DataFrame, page: str) -> DataFrame:
+def three_columns(blocks: DataFrame, page: str, longest_title: int | None = 120) -> DataFrame:
     """page: those with three columns of narrow blocks that have three lines each and lie 0.42 page widths apart."""
-    narrow = blocks.where(~title_card())
+    narrow = blocks.where(~title_card(longest_title))
     member = boxes.column_clusters(narrow, page).join(narrow.select(page, "id", "x0", "x1", "page_width", "n_lines"), [page, "id"])
     column = member.groupBy(page, "cluster").agg(F.sum(F.greatest("n_lines", F.lit(1))).alias("lines"), F.avg(boxes.centre(F.col("x0"), F.col("x1"))).alias("c"), F.max("page_width").alias("w"))
     whole = column.where("lines >= 3").groupBy(page).agg(F.count("*").alias("n"), (F.max("c") - F.min("c")).alias("span"), F.max("w").alias("w"))
@@ -144,7 +144,7 @@ def stitched(items: DataFrame, key: str, order: str) -> DataFrame:
     return parts.select(key, done.alias("paragraphs"))
 
 
-def page_layouts(blocks: DataFrame, sheets: DataFrame, page: str) -> DataFrame:
+def page_layouts(blocks: DataFrame, sheets: DataFrame, page: str, longest_title: int | None = 120) -> DataFrame:
     """page, layout: toc, art, handout, credits, document, character, three_columns, columns or single, the first that holds.
 
     sheets: page, width, height, n_drawings, n_images. blocks also have fonts (array); without blocks a page is art or columns.
@@ -166,7 +166,7 @@ def page_layouts(blocks: DataFrame, sheets: DataFrame, page: str) -> DataFrame:
         F.bool_or(F.col("n_lines") >= 3).alias("body"), F.bool_or((w <= F.col("width") * 0.55) & (F.col("n_lines") >= 3) & F.exists("fonts", lambda f: f != "")).alias("body_font"),
         F.bool_or(F.exists("fonts", lambda f: f.rlike("|".join(SERIFS)))).alias("serif"),
     )
-    three = three_columns(c.withColumn("page_width", F.col("width")).withColumn("page_height", F.col("height")), page).withColumn("three", F.lit(True))
+    three = three_columns(c.withColumn("page_width", F.col("width")).withColumn("page_height", F.col("height")), page, longest_title).withColumn("three", F.lit(True))
     df = sheets.join(n, page, "left").join(top, page, "left").join(three, page, "left")
     no = lambda k: F.coalesce(k, F.lit(False))
     two, three_, body = (F.col("left") > 0) & (F.col("right") > 0), no(F.col("three")), no(F.col("body"))
