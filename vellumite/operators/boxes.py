@@ -18,13 +18,13 @@ def centre(x0: Column, x1: Column) -> Column:
     return (x0 + x1) / 2
 
 
-def marginal(text: Column, y0: Column, y1: Column, height: Column, band: float = 0.08) -> Column:
-    """Is a block a header or a footer: blank, a page number, or marginal by its place and words?"""
+def marginal(text: Column, y0: Column, y1: Column, height: Column, band: float = 0.08, compact: bool = True) -> Column:
+    """Is a block a header or a footer: blank, a page number, or marginal by its place and words? Its length counts runs of white space once if compact."""
     line = T.squeezed(T.some(text))
     title = F.regexp_replace(F.upper(line), "[^A-Z0-9 ]+", "")
     above, below = y1 < height * band, y0 > height * (1 - band)
     named = title.rlike("|".join(RUNNING_TITLES)) | F.contains(line, F.lit("//"))
-    return (line == "") | line.rlike("^\\d{1,4}$") | ((above | below) & named) | (below & (F.length(T.stripped(text)) <= 80))
+    return (line == "") | line.rlike("^\\d{1,4}$") | ((above | below) & named) | (below & (F.length(line if compact else T.stripped(text)) <= 80))
 
 
 def one_width(fonts: Column) -> Column:

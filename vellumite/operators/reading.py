@@ -144,7 +144,7 @@ def stitched(items: DataFrame, key: str, order: str) -> DataFrame:
     return parts.select(key, done.alias("paragraphs"))
 
 
-def page_layouts(blocks: DataFrame, sheets: DataFrame, page: str, longest_title: int | None = 120) -> DataFrame:
+def page_layouts(blocks: DataFrame, sheets: DataFrame, page: str, longest_title: int | None = 120, compact: bool = True) -> DataFrame:
     """page, layout: toc, art, handout, credits, document, character, three_columns, columns or single, the first that holds.
 
     sheets: page, width, height, n_drawings, n_images. blocks also have fonts (array); without blocks a page is art or columns.
@@ -155,7 +155,7 @@ def page_layouts(blocks: DataFrame, sheets: DataFrame, page: str, longest_title:
     top = d.withColumn("_k", F.row_number().over(W.partitionBy(page).orderBy("y0", "x0", "id"))).where("_k <= 3").groupBy(page).agg(F.bool_or(B.is_contents_title(F.col("text"))).alias("contents"))
     lines = F.slice(F.split(T.some(F.col("text")), "\n"), 1, 3)
     listed = F.exists(lines, lambda x: B.is_contents_title(T.squeezed(F.regexp_replace(x, "^[\\s•*\\-]+", "")))) | B.has_leaders(F.col("text"))
-    c = d.where(~boxes.marginal(F.col("text"), F.col("y0"), F.col("y1"), F.col("height")))
+    c = d.where(~boxes.marginal(F.col("text"), F.col("y0"), F.col("y1"), F.col("height"), compact=compact))
     w, mid, h = F.col("x1") - F.col("x0"), boxes.centre(F.col("x0"), F.col("x1")), F.greatest(F.col("y1") - F.col("y0"), F.lit(0.0))
     across = (w >= F.col("width") * 0.72) & (F.col("x0") <= F.col("width") * 0.20) & (F.col("x1") >= F.col("width") * 0.80)
     side = ~across & (w <= F.col("width") * 0.62)

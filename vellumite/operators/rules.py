@@ -16,12 +16,14 @@ SKILLS = (
     "Drive", "Firearms", "First Aid", "Forensics", "Heavy Machinery", "History", "HUMINT", "Law", "Medicine", "Melee Weapons", "Navigate", "Occult",
     "Persuade", "Pharmacy", "Psychotherapy", "Ride", "Science", "Search", "SIGINT", "Stealth", "Surgery", "Survival", "Swim", "Unarmed Combat", "Unnatural",
 )
+#: A border of words of ASCII letters, digits and underscores; \b also counts other letters in some versions of Java.
+EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 #: Kind of symbol and its pattern.
 SYMBOLS = {
-    "骰子": r"\b\d+[dD]\d+\b",
-    "损失": r"(?i)\b\d+/\d+[dD]\d+\s+SAN\b",
-    "属性": r"\b(?:" + "|".join(ATTRIBUTES) + r")\b",
-    "数值": r"\b(?:" + "|".join(SECONDARY) + r")\b",
+    "骰子": EDGE + r"\d+[dD]\d+" + EDGE,
+    "损失": "(?i)" + EDGE + r"\d+/\d+[dD]\d+[ \t\r\n\f]+SAN" + EDGE,
+    "属性": EDGE + "(?:" + "|".join(ATTRIBUTES) + ")" + EDGE,
+    "数值": EDGE + "(?:" + "|".join(SECONDARY) + ")" + EDGE,
 }
 #: Kind of rule value and the pattern whose group is the value.
 VALUES = {
@@ -58,18 +60,20 @@ def symbol_profile(df: DataFrame, column: str = "text") -> DataFrame:
     return df.select("*", F.explode(F.concat(*rows)).alias("s")).select("*", "s.kind", "s.symbol").drop("s")
 
 
-def present(symbol: Column, text: Column) -> Column:
-    """Does the text have the symbol, not inside a longer run? Dice are found in either case."""
+def present(symbol: Column, text: Column, any_case: bool = True) -> Column:
+    """Does the text have the symbol, not inside a longer run of ASCII letters and digits? Dice are found in either case, between words, unless any_case is false."""
     quoted = F.concat(F.lit("\\Q"), symbol, F.lit("\\E"))
     dice = symbol.rlike("^(\\d+[dD]\\d+|(?i)\\d+/\\d+[dD]\\d+\\s+SAN)$")
-    pattern = F.when(dice, F.concat(F.lit("(?i)\\b"), quoted, F.lit("\\b"))).otherwise(F.concat(F.lit("(?<![A-Za-z0-9])"), quoted, F.lit("(?![A-Za-z0-9])")))
+    pattern = F.concat(F.lit("(?<![A-Za-z0-9])"), quoted, F.lit("(?![A-Za-z0-9])"))
+    if any_case:
+        pattern = F.when(dice, F.concat(F.lit("(?i)" + EDGE), quoted, F.lit(EDGE))).otherwise(pattern)
     return F.regexp_like(text, pattern)
 
 
-def missing_symbols(pairs: DataFrame) -> DataFrame:
-    """Symbols of the source that the translation lost: page_num, kind, symbol."""
+def missing_symbols(pairs: DataFrame, any_case: bool = True) -> DataFrame:
+    """Symbols of the source that the translation lost (dice in either case are kept, if any_case): page_num, kind, symbol."""
     df = symbol_profile(pairs.where("source <> '' AND translation <> ''"), "source")
-    return df.where(~present(F.col("symbol"), F.col("translation"))).select((F.col("page_index") + 1).alias("page_num"), "kind", "symbol")
+    return df.where(~present(F.col("symbol"), F.col("translation"), any_case)).select((F.col("page_index") + 1).alias("page_num"), "kind", "symbol")
 
 
 def missing_values(pairs: DataFrame) -> DataFrame:
