@@ -29,6 +29,8 @@ ARTICLE = "^(The|A|An)[ \\t\\r\\n]+"
 
 
 WORD = "[\\p{L}\\p{N}]+"
+#: Words of a text that are looked at together, at least.
+PIECE = 64
 #: First words of surfaces that are sent to all tasks at most (some 10 MB).
 HEADS = 200_000
 
@@ -62,27 +64,37 @@ def matches(texts: DataFrame, glossary: DataFrame, longest: int | None = None, f
     """
     known = surfaces(glossary, forms).withColumn("core", F.expr("substring(surface, length(lead) + 1, length(surface) - length(lead) - length(tail))"))
     known = known.where(F.col("n_words") <= longest) if longest else known
+    # Of terms that are written alike but for the width of white space only the first can win.
+    alike = ["core", "n_words", "lead", "tail", "surface", "kind", F.trim(_blanks(F.col("term"))).alias("raw")]
+    known = known.groupBy(*alike).agg(F.min("ord").alias("ord"), F.min_by(F.struct("term", "target"), "ord").alias("x")).select("*", "x.term", "x.target").drop("x")
+    sizes = sorted(r.n_words for r in known.select("n_words").distinct().collect())  # a few numbers
+    most = max(sizes, default=1)
+    # Words and what stands between them in turn, in pieces: a row of a place carries its piece, not the text.
     text = _blanks(T.some(F.col("text")))
-    words = texts.select("id", _words(text).alias("w"), F.split(text, WORD, -1).alias("gaps"))  # one gap more than words
-    at = words.select("id", "w", "gaps", F.posexplode("w").alias("start", "first")).withColumn("first", F.lower("first"))
+    runs = F.regexp_extract_all(text, F.lit(f"({WORD}|[^\\p{{L}}\\p{{N}}]+)"), F.lit(1))
+    texts = texts.select("id", runs.alias("t"), text.rlike(f"^{WORD}").alias("at_first"), text.rlike(f"{WORD}\\z").alias("at_last"))
+    edge = lambda c: F.when(F.col(c), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    texts = texts.where(F.size("t") > 0).select("id", F.concat(edge("at_first"), "t", edge("at_last")).alias("t")).withColumn("n", ((F.size("t") - 1) / 2).cast("int")).where("n > 0")
+    long = max(PIECE, most)
+    piece = F.transform(F.sequence(F.lit(0), F.col("n") - 1, F.lit(long)), lambda i: F.struct(i.alias("from"), F.slice("t", i * 2 + 1, 2 * (long + most) - 1).alias("t"), (F.col("n") - i).alias("left")))
+    places = texts.select("id", F.explode(piece).alias("p")).select("id", "p.*")
+    at = places.select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(long), F.col("left")) - 1)).alias("k")).withColumn("first", F.lower(F.element_at("t", F.col("k") * 2 + 2)))
     # Only places where the first word of a surface stands are looked at; what stands between their words is cut out for those alone.
     heads = known.groupBy(F.get(_words(F.col("core")), F.lit(0)).alias("first")).agg(F.collect_set("n_words").alias("sizes"))
     if heads.limit(heads_at_most + 1).count() <= heads_at_most:
         at = at.join(F.broadcast(heads), "first")
     else:  # too many to send to all tasks: every length of a surface is tried everywhere, and joined below
-        sizes = [r.n_words for r in known.select("n_words").distinct().collect()]  # a few numbers
-        at = at.withColumn("sizes", F.array(*(F.lit(n) for n in sorted(sizes))))
-    at = at.withColumn("n_words", F.explode("sizes")).where(F.col("start") + F.col("n_words") <= F.size("w"))
-    end = F.col("start") + F.col("n_words")
-    inner = F.zip_with(F.slice("w", F.col("start") + 1, F.col("n_words") - 1), F.slice("gaps", F.col("start") + 2, F.col("n_words") - 1), lambda x, y: F.concat(x, y))
-    core = F.concat(F.array_join(inner, ""), F.element_at("w", end))
-    grams = at.select("id", "start", "n_words", core.alias("written"), F.element_at("gaps", F.col("start") + 1).alias("before"), F.element_at("gaps", end + 1).alias("after"), (F.col("start") == 0).alias("opens"), (end == F.size("w")).alias("ends"))
+        at = at.withColumn("sizes", F.array(*(F.lit(n) for n in sizes)))
+    at = at.withColumn("n_words", F.explode("sizes")).where(F.col("k") + F.col("n_words") <= F.col("left"))
+    end = F.col("k") + F.col("n_words")
+    core = F.array_join(F.slice("t", F.col("k") * 2 + 2, F.col("n_words") * 2 - 1), "")
+    grams = at.select("id", (F.col("from") + F.col("k")).alias("start"), "n_words", core.alias("written"), F.element_at("t", F.col("k") * 2 + 1).alias("before"), F.element_at("t", end * 2 + 1).alias("after"), (F.col("from") + F.col("k") == 0).alias("opens"), (end == F.col("left")).alias("ends"))
     hit = grams.withColumn("core", F.lower("written")).join(known, ["core", "n_words"])
     # Signs of the surface itself stand at its words, and no letter or digit right beside them.
     beside = lambda sign, gap, edge, at: (F.col(sign) == "") | (at(F.col(gap), F.col(sign)) & (F.col(edge) | (F.col(gap) != F.col(sign))))
     hit = hit.where(beside("lead", "before", "opens", F.endswith) & beside("tail", "after", "ends", F.startswith))
     # Of terms with one surface the one written as in the text wins, then the first.
-    as_written = F.concat("lead", "written", "tail") != F.trim(_blanks(F.col("term")))
+    as_written = F.concat("lead", "written", "tail") != F.col("raw")
     best = W.partitionBy("id", "start", "n_words").orderBy((F.col("kind") != "exact").cast("int"), F.desc(F.length("surface")), as_written.cast("int"), "ord")
     return hit.withColumn("r", F.row_number().over(best)).where("r = 1").select("id", "start", "n_words", "term", "target", "kind")
 
