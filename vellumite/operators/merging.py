@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellumite.stages import Rounds
@@ -26,12 +29,12 @@ def _in_cells(boxes: DataFrame, cell: float, more: float = 0.0) -> DataFrame:
 
 
 def nearest_of(boxes: DataFrame, page: str, tolerance: float, number: int, cell: float = CELL) -> DataFrame:
-    """page, id, target: of each box and those that touch it the one that comes first in this round's order."""
-    order = F.struct(F.xxhash64("id", F.lit(number)).alias("o"), F.col("id"))
-    a = _in_cells(boxes, cell, tolerance).select(page, "cx", "cy", "id", *(F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")))
-    b = _in_cells(boxes, cell).select(page, "cx", "cy", order.alias("o"), *(F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")))
-    near = a.join(b, [page, "cx", "cy"]).where(touches("a", "b", tolerance))
-    return near.groupBy(page, "id").agg(F.min("o").alias("o")).select(page, "id", F.col("o.id").alias("target"))
+    """page, id, target: of each box that others touch, and of those, the one that comes first in this round's order."""
+    order = lambda c: F.struct(F.xxhash64(c, F.lit(number)).alias("o"), F.col(c).alias("id"))
+    side = lambda p: _in_cells(boxes, cell, tolerance).select(page, "cx", "cy", *(F.col(c).alias(f"{p}{c}") for c in ("id", "x0", "y0", "x1", "y1")))
+    near = side("a").join(side("b"), [page, "cx", "cy"]).where(touches("a", "b", tolerance) & (F.col("aid") != F.col("bid")))  # both sides alike, so that one shuffle serves both
+    first = near.groupBy(page, F.col("aid").alias("id")).agg(F.min(order("bid")).alias("o"))
+    return first.select(page, "id", F.least(F.col("o"), order("id"))["id"].alias("target"))
 
 
 def merged_boxes(boxes: DataFrame, page: str, tolerance: float = 8.0, cell: float = CELL) -> DataFrame:
@@ -40,22 +43,26 @@ def merged_boxes(boxes: DataFrame, page: str, tolerance: float = 8.0, cell: floa
     The result does not depend on the order of the steps. In each round every box looks in its grid cells for the
     first of the boxes that touch it, in an order drawn anew; those that are first around themselves take in all
     that chose them. As the first box of all that touch others is always among these, rounds end, usually after the
-    logarithm of the longest chain. Equal boxes are counted together before. Boxes without a coordinate are left out.
+    logarithm of the longest chain. A page on which nothing touched in a round is done and takes part in no other; of
+    each round its done pages stay in the shared folder as the result. Equal boxes are counted together before. Boxes without a coordinate are left out.
     """
     rounds = Rounds(boxes.sparkSession, "merged_boxes")
     corners = ("x0", "y0", "x1", "y1")
     df = boxes.select(page, *(F.col(c).cast("double").alias(c) for c in corners)).dropna(subset=list(corners)).groupBy(page, *corners).agg(F.count("*").alias("n"))
     df = rounds.step(df.withColumn("id", F.monotonically_increasing_id()))
-    left = df.count()
+    done = []
     while True:
         chosen = nearest_of(df, page, tolerance, rounds.number, cell)
         heads = chosen.where("id = target").select(page, F.col("id").alias("target"), F.lit(True).alias("head"))
         into = chosen.join(heads, [page, "target"], "left").select(page, "id", F.when(F.col("head"), F.col("target")).otherwise(F.col("id")).alias("into"))
-        joined = df.join(into, [page, "id"]).groupBy(page, F.col("into").alias("id"))
-        df = rounds.step(joined.agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum("n").alias("n")).select(page, *corners, "n", "id"))
-        before, left = left, df.count()
-        if left == before:
-            return df.drop("id")
+        moved = df.join(into, [page, "id"], "left").withColumn("moves", F.col("into").isNotNull()).withColumn("into", F.coalesce("into", "id")).drop("id")
+        joined = moved.repartition(page).groupBy(page, F.col("into").alias("id"))  # one shuffle for these groups and the window
+        joined = joined.agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum("n").alias("n"), F.bool_or("moves").alias("moves"))
+        table = rounds.step(joined.select(page, *corners, "n", "id", F.max("moves").over(W.partitionBy(page)).alias("busy")), keep=True)
+        done.append(table.where("not busy").select(page, *corners, "n"))
+        df = table.where("busy").drop("busy")
+        if df.isEmpty():
+            return reduce(DataFrame.unionByName, done)
 
 
 def card_regions(shapes: DataFrame, blocks: DataFrame, page: str) -> DataFrame:

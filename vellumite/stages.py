@@ -31,10 +31,11 @@ class Rounds:
         self.spark, self.folder, self.last = spark, f"{shared_dir(spark)}/vellumite/{name}-{uuid.uuid4().hex}", None
         self.number = 0
 
-    def step(self, df: DataFrame) -> DataFrame:
+    def step(self, df: DataFrame, keep: bool = False) -> DataFrame:
+        """The table as written; one to keep is not dropped by the next step."""
         path = f"{self.folder}/{self.number}"
         df.write.parquet(path)
-        self.number, before, self.last = self.number + 1, self.last, path
+        self.number, before, self.last = self.number + 1, self.last, None if keep else path
         if before:
             self._drop(before)
         return self.spark.read.schema(df.schema).parquet(path)
