@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellumite.functions import blocks as B
 from vellumite.functions import text as T
-from vellumite.operators.ordered import fold_groups
 
 
 def page_types(regions: DataFrame, pages: DataFrame) -> DataFrame:
@@ -102,7 +100,7 @@ def chapters(lines: DataFrame) -> DataFrame:
 def contents(headings: DataFrame) -> DataFrame:
     """doc, text: an indented Markdown list of each document's headings."""
     line = F.concat(F.repeat(F.lit("  "), F.col("level") - 1), F.lit("- ["), F.col("title"), F.lit("](#page-"), (F.col("page") + 1).cast("string"), F.lit(")"))
-    parts = F.array_sort(F.collect_list(F.struct("page", "pos", line.alias("t"))))
+    parts = F.sort_array(F.collect_list(F.struct("page", "pos", line.alias("t"))))
     return headings.groupBy("doc").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias("text"))
 
 
@@ -132,7 +130,7 @@ def background(drawings: DataFrame, pages: DataFrame) -> DataFrame:
 def role_notes(blocks: DataFrame) -> DataFrame:
     """page, roles: how many blocks of each role a page has, as "body=3, title=1"."""
     n = blocks.groupBy("page", "role").count()
-    parts = F.array_sort(F.collect_list(F.concat("role", F.lit("="), F.col("count").cast("string"))))
+    parts = F.sort_array(F.collect_list(F.concat("role", F.lit("="), F.col("count").cast("string"))))
     return n.groupBy("page").agg(F.array_join(parts, ", ").alias("roles"))
 
 
@@ -151,28 +149,31 @@ def dominant_angle(lines: DataFrame, *keys: str) -> DataFrame:
 
 
 def merged_regions(regions: DataFrame) -> DataFrame:
-    """Regions (page, pos, size, pitch, x0, y0, x1, y1) in painting order with those that go on a paragraph joined to the one before: page, grp, boxes' union, n."""
-
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        for r in g.itertuples():
-            p = out[-1] if out else None
-            if p and _goes_on(p, r):
-                p.update(x0=min(p["x0"], r.x0), y0=min(p["y0"], r.y0), x1=max(p["x1"], r.x1), y1=max(p["y1"], r.y1), n=p["n"] + 1, left=min(p["left"], r.x0))
-            else:
-                out.append({"page": r.page, "grp": len(out), "x0": r.x0, "y0": r.y0, "x1": r.x1, "y1": r.y1, "n": 1, "size": r.size, "pitch": r.pitch, "left": r.x0})
-        return pd.DataFrame(out)[["page", "grp", "x0", "y0", "x1", "y1", "n"]]
-
-    numbers = (F.col(c).cast("double").alias(c) for c in ("size", "pitch", "x0", "y0", "x1", "y1"))
-    return fold_groups(regions.select("page", "pos", *numbers), ["page"], ["pos"], fold, "page int, grp int, x0 double, y0 double, x1 double, y1 double, n int")
-
-
-def _goes_on(p: dict, r) -> bool:
-    if p["size"] <= 0 or r.size <= 0 or abs(p["size"] - r.size) > 0.12 * max(p["size"], r.size):
-        return False
-    if min(p["x1"], r.x1) <= max(p["x0"], r.x0) or r.x0 < p["left"] - 0.8 * p["size"]:
-        return False
-    pitch = p["pitch"] or r.pitch or 1.6 * p["size"]
-    return 0 <= r.y0 - p["y1"] <= 0.6 * pitch
-
+    """Regions (page, pos, size, pitch, x0, y0, x1, y1) in painting order with those that go on a paragraph joined to the one before: page, grp, boxes' union, n.
 
+    Whether a region goes on depends on the box joined so far, so a page's regions are folded.
+    """
+    region = F.struct("pos", *(F.col(c).cast("double").alias(c) for c in ("size", "pitch", "x0", "y0", "x1", "y1")))
+    kind = "struct<x0:double,y0:double,x1:double,y1:double,n:int,size:double,pitch:double,left:double>"
+    begin = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(None).cast(kind).alias("now"))
+    state = lambda done, now: F.struct(done.alias("done"), now.alias("now"))
+    made = lambda *c: F.struct(*(x.alias(k) for x, k in zip(c, ("x0", "y0", "x1", "y1", "n", "size", "pitch", "left"), strict=True)))
+
+    def fold(a: Column, r: Column) -> Column:
+        p = a["now"]
+        one = made(r["x0"], r["y0"], r["x1"], r["y1"], F.lit(1), r["size"], r["pitch"], r["x0"])
+        both = made(F.least(p["x0"], r["x0"]), F.least(p["y0"], r["y0"]), F.greatest(p["x1"], r["x1"]), F.greatest(p["y1"], r["y1"]), p["n"] + 1, p["size"], p["pitch"], F.least(p["left"], r["x0"]))
+        return F.when(p.isNull(), state(a["done"], one)).when(_goes_on(p, r), state(a["done"], both)).otherwise(state(F.array_append(a["done"], p), one))
+
+    pages = regions.groupBy("page").agg(F.aggregate(F.sort_array(F.collect_list(region)), begin, fold, lambda a: F.array_append(a["done"], a["now"])).alias("g"))
+    found = pages.select(F.col("page").cast("int").alias("page"), F.posexplode("g").alias("grp", "g"))
+    return found.select("page", "grp", *(f"g.{c}" for c in ("x0", "y0", "x1", "y1", "n")))
+
+
+def _goes_on(p: Column, r: Column) -> Column:
+    """Does a region go on the paragraph so far? Unknown sizes and sides do not part them, unknown heights and pitches do."""
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    sized = no((p["size"] <= 0) | (r["size"] <= 0)) & no(F.abs(p["size"] - r["size"]) > F.greatest(p["size"], r["size"]) * 0.12)
+    beside = no(F.least(p["x1"], r["x1"]) <= F.greatest(p["x0"], r["x0"])) & no(r["x0"] < p["left"] - p["size"] * 0.8)
+    pitch = F.when(p["pitch"] != 0, p["pitch"]).when((p["pitch"] == 0) & (r["pitch"] != 0), r["pitch"]).when((p["pitch"] == 0) & (r["pitch"] == 0), p["size"] * 1.6)
+    return sized & beside & F.coalesce((r["y0"] - p["y1"]).between(F.lit(0.0), pitch * 0.6), F.lit(False))
