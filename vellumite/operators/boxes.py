@@ -59,9 +59,12 @@ def sharing_column(boxes: DataFrame, page: str, width: str = "page_width") -> Da
 
 
 def nearest_column(boxes: DataFrame, columns: DataFrame, page: str) -> DataFrame:
-    """page, id, column: the column of the page whose centre is nearest, the first of equally near ones. columns: page, column, centre."""
-    away = F.abs(F.col("centre") - centre(F.col("x0"), F.col("x1")))
-    return boxes.join(columns, page).groupBy(page, "id").agg(F.min(F.struct(away.alias("d"), F.col("column"))).alias("m")).select(page, "id", "m.column")
+    """page, id, column: the column of the page whose centre is nearest, the first of equally near ones, of all boxes of one id together. columns: page, column, centre."""
+    of_page = columns.groupBy(page).agg(F.collect_list(F.struct("column", "centre")).alias("_columns"))
+    middle = centre(F.col("x0"), F.col("x1"))
+    away = F.transform("_columns", lambda c: F.struct(F.abs(c["centre"] - middle).alias("d"), c["column"].alias("column")))
+    best = boxes.select(page, "id", "x0", "x1").join(of_page, page).select(page, "id", F.array_min(away).alias("m"))
+    return best.groupBy(page, "id").agg(F.min("m").alias("m")).select(page, "id", "m.column")
 
 
 def column_clusters(boxes: DataFrame, page: str, gap: float = 0.13, widest: float = 0.46, least: int = 3) -> DataFrame:
@@ -69,20 +72,31 @@ def column_clusters(boxes: DataFrame, page: str, gap: float = 0.13, widest: floa
 
     Pages of fewer than `least` narrow boxes have no clusters.
     """
-    narrow = boxes.where(F.col("x1") - F.col("x0") <= F.col("page_width") * widest)
-    narrow = narrow.withColumn("n", F.count("*").over(W.partitionBy(page))).where(F.col("n") >= least)
-    item = F.struct(centre(F.col("x0"), F.col("x1")).alias("c"), F.col("id"), (F.col("page_width") * gap).alias("far"))
-    kind = f"array<struct<id:{boxes.schema['id'].dataType.simpleString()},cluster:int>>"
-    begin = F.struct(F.lit(0).alias("number"), F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.array().cast(kind).alias("out"))
+    return with_clusters(boxes, [page], F.col("x1") - F.col("x0") <= F.col("page_width") * widest, gap, least).where("cluster IS NOT NULL").select(page, "id", "cluster")
+
+
+def with_clusters(boxes: DataFrame, keys: list[str], narrow: Column, gap: float = 0.13, least: int = 3) -> DataFrame:
+    """boxes with cluster (see column_clusters), null for those that are not narrow and where the keys have fewer than `least` narrow ones.
+
+    Rows travel with their box through the fold, so that nothing is joined to them afterwards.
+    """
+    own = boxes.columns
+    item = F.struct(F.coalesce(narrow, F.lit(False)).alias("narrow"), centre(F.col("x0"), F.col("x1")).alias("c"), F.col("id"), (F.col("page_width") * gap).alias("far"), F.struct(*own).alias("row"))
+    begin = F.struct(F.lit(0).alias("number"), F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
 
     def fold(a: Column, x: Column) -> Column:
         new = (a["n"] > 0) & (F.abs(x["c"] - a["total"] / a["n"]) >= x["far"])
         number = F.when(new, a["number"] + 1).otherwise(a["number"])
         total, n = F.when(new, x["c"]).otherwise(a["total"] + x["c"]), F.when(new, 1).otherwise(a["n"] + 1)
-        return F.struct(number.alias("number"), total.alias("total"), n.alias("n"), F.array_append(a["out"], F.struct(x["id"].alias("id"), number.alias("cluster"))).alias("out"))
-
-    pages = narrow.groupBy(page).agg(F.array_sort(F.collect_list(item)).alias("i"))
-    return pages.select(page, F.explode(F.aggregate("i", begin, fold, lambda a: a["out"])).alias("x")).select(page, "x.*")
+        return F.struct(number.alias("number"), total.alias("total"), n.alias("n"), F.array_append(a["out"], number).alias("out"))
+
+    # Narrow boxes come last in their list, as their flag is true.
+    groups = boxes.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("i"), F.count_if(F.coalesce(narrow, F.lit(False))).cast("int").alias("k"))
+    rest = F.size("i") - F.col("k")
+    numbers = F.when(F.col("k") >= least, F.aggregate(F.transform(F.slice("i", rest + 1, F.col("k")), lambda x: F.struct(x["c"].alias("c"), x["far"].alias("far"))), begin, fold, lambda a: a["out"]))
+    dealt = groups.select("i", rest.alias("rest"), numbers.alias("numbers"), *keys).select(*keys, "rest", "numbers", F.posexplode("i").alias("p", "x"))
+    others = [c for c in own if c not in keys]
+    return dealt.select(*keys, *(F.col("x.row")[c].alias(c) for c in others), F.when(F.col("p") >= F.col("rest"), F.get("numbers", F.col("p") - F.col("rest"))).alias("cluster"))
 
 
 def line_style(spans: DataFrame, *keys: str) -> DataFrame:

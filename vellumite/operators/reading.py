@@ -36,15 +36,28 @@ def ends_sentence(c: Column) -> Column:
 
 def three_columns(blocks: DataFrame, page: str, longest_title: int | None = 120) -> DataFrame:
     """page: those with three columns of narrow blocks that have three lines each and lie 0.42 page widths apart."""
-    narrow = blocks.where(~title_card(longest_title))
-    member = boxes.column_clusters(narrow, page).join(narrow.select(page, "id", "x0", "x1", "page_width", "n_lines"), [page, "id"])
+    narrow = blocks.where((F.col("x1") - F.col("x0") <= F.col("page_width") * 0.46) & ~title_card(longest_title)).select(page, "id", "x0", "x1", "page_width", "n_lines")
+    member = boxes.with_clusters(narrow, [page], F.lit(True)).where("cluster IS NOT NULL")
     column = member.groupBy(page, "cluster").agg(F.sum(F.greatest("n_lines", F.lit(1))).alias("lines"), F.avg(boxes.centre(F.col("x0"), F.col("x1"))).alias("c"), F.max("page_width").alias("w"))
     whole = column.where("lines >= 3").groupBy(page).agg(F.count("*").alias("n"), (F.max("c") - F.min("c")).alias("span"), F.max("w").alias("w"))
     return whole.where((F.col("n") >= 3) & (F.col("span") >= F.col("w") * 0.42)).select(page)
 
 
-def _two_columns(df: DataFrame, page: str) -> DataFrame:
-    """page, id, section, a, b, c: sort keys of blocks in two columns, the left one first.
+def _with_many(df: DataFrame, page: str) -> DataFrame:
+    """df with many: has the page of a block three columns (see three_columns)?"""
+    narrow = F.col("is_text") & ~F.col("title_card") & (F.col("x1") - F.col("x0") <= F.col("page_width") * 0.46)
+    member = F.col("cluster").isNotNull()
+    column, place = W.partitionBy(page, "cluster"), W.partitionBy(page, "cluster").orderBy("id")
+    df = boxes.with_clusters(df, [page], narrow)
+    df = df.withColumn("_c", F.avg(boxes.centre(F.col("x0"), F.col("x1"))).over(column)).withColumn("_w", F.max("page_width").over(column))
+    df = df.withColumn("_whole", member & (F.sum(F.greatest("n_lines", F.lit(1))).over(column) >= 3)).withColumn("_first", F.row_number().over(place) == 1)
+    whole, of_page = (lambda c: F.when(F.col("_whole"), F.col(c))), W.partitionBy(page)
+    n, span = F.count_if(F.col("_whole") & F.col("_first")).over(of_page), F.max(whole("_c")).over(of_page) - F.min(whole("_c")).over(of_page)
+    return df.withColumn("many", F.coalesce((n >= 3) & (span >= F.max(whole("_w")).over(of_page) * 0.42), F.lit(False))).drop("cluster", "_c", "_w", "_whole", "_first")
+
+
+def _with_two_columns(df: DataFrame, page: str) -> DataFrame:
+    """df with k (place in the own column of the section) and into: sort keys of blocks in two columns, the left one first.
 
     Where a left block breaks off and a heading follows it, blocks of the right column that go on with a small
     letter are read before the heading, if they stand above it. Only the right column's beginning can be taken, up to
@@ -52,31 +65,18 @@ def _two_columns(df: DataFrame, page: str) -> DataFrame:
     """
     df = df.withColumn("right", F.col("narrow") & (boxes.centre(F.col("x0"), F.col("x1")) >= F.col("page_width") / 2)).withColumn("left", F.col("narrow") & ~F.col("right"))
     part = [page, "section"]
-    place = ["y0", "x0", "id"]
-    own = W.partitionBy(*part, "left", "right").orderBy(*place)
-    df = df.withColumn("k", F.row_number().over(own)).withColumn("next_y", F.lead("y0").over(own)).withColumn("next_heading", F.lead("heading").over(own))
+    own = W.partitionBy(*part, "left", "right").orderBy("y0", "x0", "id")
+    df = df.withColumn("k", F.row_number().over(own)).withColumn("_next_y", F.lead("y0").over(own)).withColumn("_next_heading", F.lead("heading").over(own))
     low = F.when(F.col("right"), ~F.col("lower"))
-    df = df.withColumn("goes_on", F.col("right") & ~F.coalesce(F.bool_or(low).over(own.rowsBetween(W.unboundedPreceding, W.currentRow)), F.lit(False)))
-    gate = F.col("left") & F.coalesce("next_heading", F.lit(False)) & ~F.col("ends")
-    # Places of gates (at the heading's top) among the right blocks; at one height the gate comes first and takes nothing.
-    marks = df.where(gate).select(*part, F.col("next_y").alias("y"), F.lit(0).alias("kind"), F.lit(0).alias("j"), F.col("k").alias("gate"), F.lit(None).cast(df.schema["id"].dataType).alias("id"))
-    taken = df.where("goes_on").select(*part, F.col("y0").alias("y"), F.lit(1).alias("kind"), F.col("k").alias("j"), F.lit(None).cast("int").alias("gate"), "id")
-    below = W.partitionBy(*part).orderBy("y", "kind", "j").rowsBetween(1, W.unboundedFollowing)
-    into = marks.union(taken).withColumn("into", F.min("gate").over(below)).where("kind = 1 AND into IS NOT NULL").select(page, "id", "into")
-    df = df.join(into, [page, "id"], "left")
-    first = F.when(F.col("left") | ~F.col("right"), F.col("k")).otherwise(F.coalesce("into", F.lit(1 << 30)))
-    return df.select(page, "id", "section", first.alias("a"), F.col("right").cast("int").alias("b"), F.col("k").alias("c"))
-
-
-def _many_columns(df: DataFrame, page: str) -> DataFrame:
-    """page, id, section, a, b, c: sort keys of blocks in three and more columns: one after the other, then the rest from the top."""
-    part = F.struct(F.col(page).alias("page"), F.col("section").alias("section"))
-    narrow = df.where("narrow").withColumn("part", part)
-    member = boxes.column_clusters(narrow, "part", widest=0.52)
-    member = member.withColumn("n", F.max("cluster").over(W.partitionBy("part")) + 1).where("n >= 3").select(F.col("part.page").alias(page), "id", "cluster")
-    df = df.join(member, [page, "id"], "left")
-    in_part = F.row_number().over(W.partitionBy(page, "section").orderBy("y0", "x0", "id"))
-    return df.select(page, "id", "section", F.coalesce("cluster", F.lit(1 << 30)).alias("a"), F.lit(0).alias("b"), in_part.alias("c"))
+    goes_on = F.col("two") & F.col("right") & ~F.coalesce(F.bool_or(low).over(own.rowsBetween(W.unboundedPreceding, W.currentRow)), F.lit(False))
+    df = df.withColumn("_goes_on", goes_on)
+    gate = F.col("two") & F.col("left") & F.coalesce("_next_heading", F.lit(False)) & F.coalesce(~F.col("ends"), F.lit(False))
+    # A block that is a gate stands a second time at the heading's top; at one height the gate comes first and takes nothing.
+    df = df.withColumn("_block", F.explode(F.when(gate, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(True)))))
+    df = df.withColumn("_y", F.when(F.col("_block"), F.col("y0")).otherwise(F.col("_next_y"))).withColumn("_gate", F.when(~F.col("_block"), F.col("k")))
+    below = W.partitionBy(*part).orderBy("_y", "_block", "k").rowsBetween(1, W.unboundedFollowing)
+    df = df.withColumn("into", F.min("_gate").over(below)).where("_block").withColumn("into", F.when(F.col("_goes_on"), F.col("into")))
+    return df.drop("_next_y", "_next_heading", "_goes_on", "_block", "_y", "_gate")
 
 
 def reading_order(blocks: DataFrame, page: str) -> DataFrame:
@@ -84,28 +84,36 @@ def reading_order(blocks: DataFrame, page: str) -> DataFrame:
 
     From the top down; wide blocks and title cards stand by themselves and end what is above them, the blocks between
     two of them are read by columns: three and more where the page has them, else a left and a right one. Pages
-    of two columns leave images out; pages of one column are read from the top down.
+    of two columns leave images out; pages of one column are read from the top down. Every step keeps the rows of a page
+    together and nothing is joined, so that they are shuffled once.
     """
-    flagged = blocks.select(
+    df = blocks.select(
         page, "id", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1", "page_width", "page_height")), "n_lines", "is_text", (F.col("is_text") & title_card()).alias("title_card"),
         starts_lower(F.col("text")).alias("lower"), ends_sentence(F.col("text")).alias("ends"), F.coalesce(pages.is_heading_block(F.col("text"), F.col("font_size"), F.col("median_size")), F.lit(False)).alias("heading"),
     )
-    many = three_columns(blocks.where("is_text"), page).withColumn("many", F.lit(True))
+    df = _with_many(df, page)
     wide = F.coalesce(F.col("x1") - F.col("x0") > F.col("page_width") * 0.6, F.lit(False))
-    df = flagged.join(many, page, "left").withColumn("many", F.coalesce("many", F.lit(False)))
     df = df.withColumn("narrow", F.col("is_text") & ~wide & ~F.col("title_card"))
     on_left = boxes.centre(F.col("x0"), F.col("x1")) < F.col("page_width") / 2
     whole = W.partitionBy(page)
     df = df.withColumn("two", ~F.col("many") & (F.count_if(F.col("narrow") & on_left).over(whole) > 0) & (F.count_if(F.col("narrow") & ~on_left).over(whole) > 0))
     df = df.where(F.col("is_text") | ~F.col("two"))
-    # Each block that stands by itself is a section; what lies between two of them is one.
+    # Each block that stands by itself is a section; what lies between two of them is one, and so is a page of one column.
     down = W.partitionBy(page).orderBy("y0", "x0", "id")
-    alone = ~F.col("narrow")
-    df = df.withColumn("section", F.sum(F.when(alone, 2).otherwise(0)).over(down) - alone.cast("int"))
-    keys = _two_columns(df.where("two"), page).union(_many_columns(df.where("many"), page))
-    single = df.where("NOT two AND NOT many").select(page, "id", F.lit(0).cast("bigint").alias("section"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.row_number().over(down).alias("c"))
+    alone, columns = ~F.col("narrow"), F.col("two") | F.col("many")
+    section = F.sum(F.when(alone, 2).otherwise(0)).over(down) - alone.cast("int")
+    df = df.withColumn("section", F.when(columns, section).otherwise(F.lit(0).cast("bigint")))
+    df = _with_two_columns(df, page)
+    # Three columns and more: one after the other, then the rest from the top.
+    narrow = F.col("many") & F.col("narrow") & (F.col("x1") - F.col("x0") <= F.col("page_width") * 0.52)
+    df = boxes.with_clusters(df, [page, "section"], narrow)
+    part = W.partitionBy(page, "section")
+    df = df.withColumn("cluster", F.when(F.max("cluster").over(part) >= 2, F.col("cluster"))).withColumn("in_part", F.row_number().over(part.orderBy("y0", "x0", "id")))
+    last, two, right = F.lit(1 << 30), F.col("two"), F.col("right")
+    a = F.when(two, F.when(right, F.coalesce("into", last)).otherwise(F.col("k"))).when(F.col("many"), F.coalesce("cluster", last)).otherwise(0)
+    df = df.withColumn("a", a).withColumn("b", F.when(two, right.cast("int")).otherwise(0)).withColumn("c", F.when(two, F.col("k")).otherwise(F.col("in_part")))
     order = W.partitionBy(page).orderBy("section", "a", "b", "c")
-    return keys.union(single).withColumn("place", F.row_number().over(order) - 1).join(df.select(page, "id", "title_card"), [page, "id"]).select(page, "id", "place", "title_card")
+    return df.withColumn("place", F.row_number().over(order) - 1).select(page, "id", "place", "title_card")
 
 
 def stitched(items: DataFrame, key: str, order: str) -> DataFrame:
@@ -139,7 +147,7 @@ def stitched(items: DataFrame, key: str, order: str) -> DataFrame:
             .otherwise(apart)
         )
 
-    parts = items.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("i"))
+    parts = items.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("i"))
     done = F.aggregate("i", begin, fold, lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.array_append(a["done"], a["now"])))
     return parts.select(key, done.alias("paragraphs"))
 
