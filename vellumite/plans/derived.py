@@ -9,7 +9,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumite.tables import table
+from vellumite.tables import dealt, table
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
 _HAN = "特工们慢慢地穿过废弃的车站，远处的雷声滚过山谷，没有人回答。"
@@ -107,7 +107,10 @@ def given(spark: SparkSession, name: str, sf_dir: str) -> DataFrame:
     used = [t for t in TABLES if re.search(rf"\bFROM {t}\b", sql)]
     for t in used:
         sql = re.sub(rf"\bFROM {t}\b", f"FROM {{{t}}}", sql)
-    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in used})
+    tables = {t: table(spark, sf_dir, t) for t in used}
+    if _ROWS in RELATIONS[name]:
+        tables["lineitem"] = dealt(tables["lineitem"], "l_partkey")
+    return spark.sql(sql, **tables)
 
 
 def with_(*names: str) -> str:

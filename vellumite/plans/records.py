@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellumite.operators import boxes, records
 from vellumite.plans.catalogue import query
-from vellumite.tables import table
+from vellumite.tables import dealt, table
 
 _BOXES = """b AS (SELECT l_orderkey AS page, l_linenumber AS id, 600.0::DOUBLE AS page_width, 800.0::DOUBLE AS page_height, (l_partkey * 37 % 400)::DOUBLE AS x0, (l_suppkey * 53 % 760)::DOUBLE AS y0,
   (l_partkey * 37 % 400)::DOUBLE + l_quantity::DOUBLE * 6 AS x1, (l_suppkey * 53 % 760)::DOUBLE + 10 + l_partkey % 40 AS y1 FROM lineitem)"""
@@ -15,7 +15,7 @@ _BOXES = """b AS (SELECT l_orderkey AS page, l_linenumber AS id, 600.0::DOUBLE A
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     x0, y0 = (F.col("l_partkey") * 37 % 400).cast("double"), (F.col("l_suppkey") * 53 % 760).cast("double")
-    return table(spark, sf_dir, "lineitem").select(
+    return dealt(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
         F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("id"), F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"), x0.alias("x0"), y0.alias("y0"),
         (x0 + F.col("l_quantity").cast("double") * 6).alias("x1"), (y0 + 10 + F.col("l_partkey") % 40).alias("y1"),
     )
