@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from vellumite.functions import text as T
 
+#: Characters of the texts whose blocks a task hands on at once.
+CUT_CHARS = 1 << 20
+
 _BLOCK = "(?s)\\[BLOCK (\\d+)\\]\\s*(.*?)\\s*\\[/BLOCK \\1\\]"
 
 
@@ -31,7 +34,7 @@ def parsed_blocks(df: DataFrame, on_duplicate: str = "first") -> DataFrame:
 def built_blocks(df: DataFrame) -> DataFrame:
     """Blocks (id, block, text) to one marked text for each id."""
     one = F.concat(F.lit("[BLOCK "), F.col("block").cast("string"), F.lit("]\n"), F.col("text"), F.lit("\n[/BLOCK "), F.col("block").cast("string"), F.lit("]"))
-    parts = F.array_sort(F.collect_list(F.struct("block", one.alias("t"))))
+    parts = F.sort_array(F.collect_list(F.struct("block", one.alias("t"))))
     return df.groupBy("id").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n\n").alias("request"))
 
 
@@ -169,13 +172,22 @@ def markdown_rows(text: str) -> list[tuple[int, str, str, int, int]]:
     return out
 
 
-def markdown_blocks(df: DataFrame) -> DataFrame:
-    """id, block, kind, content, line_start, line_end: the blocks of each text, which together are the whole of it."""
+def cut_texts(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The blocks of the texts in frames of id and text; a frame of many characters leaves in parts of some CUT_CHARS."""
+    columns = ["id", "block", "kind", "content", "line_start", "line_end"]
+    for pdf in rows:
+        made, size = [], 0
+        for i, t in zip(pdf["id"], pdf["text"], strict=True):
+            made += ((i, *b) for b in markdown_rows(t))
+            size += len(t or "")
+            if size >= CUT_CHARS:
+                yield pd.DataFrame(made, columns=columns)
+                made, size = [], 0
+        if made:
+            yield pd.DataFrame(made, columns=columns)
 
-    def cut(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            made = [(i, *b) for i, t in zip(pdf["id"], pdf["text"], strict=True) for b in markdown_rows(t)]
-            yield pd.DataFrame(made, columns=["id", "block", "kind", "content", "line_start", "line_end"])
 
+def markdown_blocks(df: DataFrame) -> DataFrame:
+    """id, block, kind, content, line_start, line_end: the blocks of each text, which together are the whole of it."""
     kind = df.schema["id"].dataType.simpleString()
-    return df.select("id", "text").mapInPandas(cut, f"id {kind}, block int, kind string, content string, line_start int, line_end int")
+    return df.select("id", "text").mapInPandas(cut_texts, f"id {kind}, block int, kind string, content string, line_start int, line_end int")
