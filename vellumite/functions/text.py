@@ -63,7 +63,7 @@ def some(c: Column) -> Column:
 
 
 def stripped(c: Column) -> Column:
-    return F.regexp_replace(some(c), f"^{SPACES}|{SPACES}$", "")
+    return F.btrim(some(c), F.lit(" \t\r\n\x0b\f"))
 
 
 def squeezed(c: Column) -> Column:

@@ -83,7 +83,7 @@ def banded(blocks: DataFrame, page: str) -> DataFrame:
         return _let(first, lambda k: F.when(k.isNull(), F.array_append(bands, fresh)).otherwise(F.transform(bands, lambda g, i: F.when(i == k, grown(g)).otherwise(g))))
 
     df = blocks.dropna(subset=list(_CORNERS)).select(page, "id", "page_height", *(F.col(c).cast("double").alias(c) for c in _CORNERS))
-    pages = df.groupBy(page).agg(F.array_sort(F.collect_list(item)).alias("i"))
+    pages = df.groupBy(page).agg(F.sort_array(F.collect_list(item)).alias("i"))
     bands = pages.select(page, F.posexplode(F.aggregate("i", F.array().cast(kind), fold)).alias("band", "g"))
     return bands.select(page, "band", F.explode("g.ids").alias("id")).select(page, "id", "band")
 
@@ -97,7 +97,7 @@ def stat_groups(blocks: DataFrame, page: str) -> DataFrame:
     """
     item = F.struct("y0", "x0", "id", "y1", "x1", "text", "is_stat", (F.col("is_stat") | F.col("is_stat_title")).alias("leads"), (F.col("is_stat") | F.col("goes_on")).alias("follows"))
     df = blocks.dropna(subset=list(_CORNERS)).select(page, "id", T.some(F.col("text")).alias("text"), "is_stat", "is_stat_title", "goes_on", "page_width", "page_height", *(F.col(c).cast("double").alias(c) for c in _CORNERS))
-    pages = df.groupBy(page).agg(F.array_sort(F.collect_list(item)).alias("all"), F.max("page_width").alias("w"), F.max("page_height").alias("h"))
+    pages = df.groupBy(page).agg(F.sort_array(F.collect_list(item)).alias("all"), F.max("page_width").alias("w"), F.max("page_height").alias("h"))
     ids = f"array<{blocks.schema['id'].dataType.simpleString()}>"
     begin = F.struct(F.array().cast(ids).alias("taken"), F.array().cast(f"array<{ids}>").alias("groups"))
     last = lambda a: F.coalesce(F.array_max(a), F.lit(-1))

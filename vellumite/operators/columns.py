@@ -88,7 +88,7 @@ def with_drop_caps(blocks: DataFrame, page: str) -> DataFrame:
     df = df.withColumn("cap", F.first("leads").over(W.partitionBy(page, "grp").orderBy("pos")))
     df = df.withColumn("grp", F.when(F.col("cap"), F.col("grp")).otherwise(-F.col("pos").cast("long") - 1))
     body = ~F.col("leads")
-    rest = F.filter(F.array_sort(F.collect_list(F.when(body, F.struct("pos", T.stripped(T.some(F.col("text"))).alias("t"))))), lambda x: x.isNotNull())
+    rest = F.filter(F.sort_array(F.collect_list(F.when(body, F.struct("pos", T.stripped(T.some(F.col("text"))).alias("t"))))), lambda x: x.isNotNull())
     joined = F.array_join(F.transform(rest, lambda x: x["t"]), " ")
     return df.groupBy(page, "grp", "cap").agg(
         F.min("pos").alias("pos"), F.min_by("id", "pos").alias("id"), F.count("*").alias("n"), F.when(F.col("cap"), F.concat(F.max(F.when(F.col("leads"), letter)), joined)).otherwise(F.first("text")).alias("text"),

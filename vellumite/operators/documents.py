@@ -128,7 +128,7 @@ def missing_emphasis(runs: DataFrame, blocks: DataFrame) -> DataFrame:
     seen = F.trim("text") != ""
     styles = runs.groupBy("block_id").agg(
         F.count_if(seen).alias("n"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "").alias("joined"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "").alias("joined"),
         (F.bool_or(F.when(seen, F.col("italic"))) & ~F.bool_and(F.when(seen, F.col("italic")))).alias("mixed_i"),
         (F.bool_or(F.when(seen, F.col("bold"))) & ~F.bool_and(F.when(seen, F.col("bold")))).alias("mixed_b"),
     )

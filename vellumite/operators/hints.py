@@ -60,7 +60,7 @@ def contents_entries(lines: DataFrame, *keys: str) -> DataFrame:
         .when(F.col("kind") == "compact", paired(COMPACT))
         .when(F.coalesce(F.col("after") != "number", F.lit(True)), F.col("t"))
     )
-    parts = F.array_sort(F.collect_list(F.when(F.col("entry").isNotNull(), F.struct("line_no", "entry"))))
+    parts = F.sort_array(F.collect_list(F.when(F.col("entry").isNotNull(), F.struct("line_no", "entry"))))
     return df.withColumn("entry", entry).groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x["entry"]), "\n").alias("entries"))
 
 

@@ -89,7 +89,7 @@ def rendered_blocks(blocks: DataFrame, hidden: DataFrame) -> DataFrame:
 def reading_markdown(blocks: DataFrame, key: str) -> DataFrame:
     """key, reading_page, text: blocks (key, reading_page, pos, layout, source_page, text) of each reading page under a comment with its number, layout and source pages."""
     ranges = page_ranges(blocks, [key, "reading_page"], "source_page", 1)
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", T.some(F.col("text")).alias("t")))), lambda x: F.concat(x["t"], F.lit("\n\n")))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("pos", T.some(F.col("text")).alias("t")))), lambda x: F.concat(x["t"], F.lit("\n\n")))
     body = blocks.groupBy(key, "reading_page").agg(F.array_join(parts, "").alias("body"), F.min_by("layout", "pos").alias("layout")).join(ranges, [key, "reading_page"])
     head = F.concat(F.lit("<!-- Reading Page "), (F.col("reading_page") + 1).cast("string"), F.lit("; Layout: "), F.coalesce("layout", F.lit("columns")), F.lit("; Source PDF Pages: "), F.col("ranges"), F.lit(" -->\n\n"))
     return body.select(key, "reading_page", F.concat(head, "body", F.lit("---\n\n")).alias("text"))

@@ -27,7 +27,7 @@ def page_ranges(df: DataFrame, keys: Sequence[str], page: str, shift: int = 0) -
     islands = df.select(*keys, (F.col(page) + shift).alias("p")).distinct().withColumn("g", F.col("p") - F.row_number().over(w))
     runs = islands.groupBy(*keys, "g").agg(F.min("p").alias("a"), F.max("p").alias("b"))
     name = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat_ws("-", F.col("a").cast("string"), F.col("b").cast("string")))
-    parts = F.array_sort(F.collect_list(F.struct("a", name.alias("t"))))
+    parts = F.sort_array(F.collect_list(F.struct("a", name.alias("t"))))
     return runs.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x["t"]), ", ").alias("ranges"))
 
 
@@ -74,7 +74,7 @@ def joined_lines(df: DataFrame, keys: Sequence[str], order: str, line: str, stru
     df = df.select(*keys, order, F.col(line).alias("line"), structural.alias("s"))
     df = df.withColumn("head", (F.col("s") | F.coalesce(F.lag("s").over(w), F.lit(True))).cast("int"))
     df = df.withColumn("block", F.sum("head").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct(order, "line"))), lambda x: x["line"])
+    parts = F.transform(F.sort_array(F.collect_list(F.struct(order, "line"))), lambda x: x["line"])
     han = "[\\x{4e00}-\\x{9fff}]"
     tight = lambda a, b: a.rlike(f"{han}$") | b.rlike(f"^{han}")
     text = F.aggregate(parts, F.lit(""), lambda a, b: F.when(a == "", b).when(tight(a, b), F.concat(a, b)).otherwise(F.concat(a, F.lit(" "), b)))

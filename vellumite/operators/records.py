@@ -103,7 +103,7 @@ def signature(*parts: Column) -> Column:
 
 def group_signatures(blocks: DataFrame, keys: Sequence[str], block: str, order: str, text: str, target: str) -> DataFrame:
     """keys, cache_key: of each group's blocks in order, of the hashes of their texts, and of the layout target."""
-    item = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(block).cast("string").alias("b"), F.sha2(T.some(F.col(text)), 256).alias("h"))))
+    item = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(block).cast("string").alias("b"), F.sha2(T.some(F.col(text)), 256).alias("h"))))
     df = blocks.groupBy(*keys).agg(item.alias("i"), F.min(target).alias("target_signature"))
     ids, hashes = F.transform("i", lambda x: x["b"]).alias("block_ids"), F.transform("i", lambda x: x["h"]).alias("source_hashes")
     return df.select(*keys, signature(ids, hashes, F.col("target_signature")).alias("cache_key"))

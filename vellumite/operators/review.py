@@ -36,7 +36,7 @@ def prompt_terms(relevant: DataFrame, core: DataFrame) -> DataFrame:
     """id, section: lines of the relevant terms (id, match_rank, term, target) that are not in the core list already."""
     df = relevant.join(core.select("term"), "term", "left_anti")
     line = F.concat(F.lit("- "), F.col("term"), F.lit(" -> "), F.col("target"))
-    parts = F.array_sort(F.collect_list(F.struct("match_rank", line.alias("l"))))
+    parts = F.sort_array(F.collect_list(F.struct("match_rank", line.alias("l"))))
     return df.groupBy("id").agg(F.array_join(F.transform(parts, lambda x: x["l"]), "\n").alias("section"))
 
 
@@ -74,7 +74,7 @@ def labelled_ranges(df: DataFrame, keys: list[str]) -> DataFrame:
     df = df.withColumn("g", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
     runs = df.groupBy(*keys, "g").agg(F.min_by("label", "page").alias("a"), F.max_by("label", "page").alias("b"), F.count("*").alias("n"))
     name = F.when(F.col("n") == 1, F.col("a")).otherwise(F.concat_ws("-", "a", "b"))
-    parts = F.array_sort(F.collect_list(F.struct("g", name.alias("t"))))
+    parts = F.sort_array(F.collect_list(F.struct("g", name.alias("t"))))
     return runs.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x["t"]), ", ").alias("ranges"))
 
 
@@ -113,7 +113,7 @@ def marked_runs(df: DataFrame) -> DataFrame:
     b, i = F.coalesce("bold", F.lit(False)), F.coalesce("italic", F.lit(False))
     tag = F.when(b & i, "bi").when(b, "b").when(i, "i")
     made = F.when((F.col("mixed") == 1) & tag.isNotNull(), F.concat(F.lit("<"), tag, F.lit(">"), "text", F.lit("</"), tag, F.lit(">"))).otherwise(F.col("text"))
-    parts = F.array_sort(F.collect_list(F.struct("pos", made.alias("t"))))
+    parts = F.sort_array(F.collect_list(F.struct("pos", made.alias("t"))))
     return df.groupBy("id").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "").alias("text"))
 
 
@@ -129,7 +129,7 @@ def date_groups(lines: DataFrame, is_date: Column) -> DataFrame:
     """Timeline entries of lines (id, pos, text): a date line begins one, the rest describes it: id, entry, date, text."""
     w = W.partitionBy("id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
     df = lines.withColumn("d", is_date).withColumn("entry", F.sum(F.col("d").cast("int")).over(w)).where("entry > 0")
-    rest = F.array_sort(F.collect_list(F.when(~F.col("d"), F.struct("pos", "text"))))
+    rest = F.sort_array(F.collect_list(F.when(~F.col("d"), F.struct("pos", "text"))))
     return df.groupBy("id", "entry").agg(F.max(F.when(F.col("d"), F.col("text"))).alias("date"), F.array_join(F.transform(rest, lambda x: x["text"]), " ").alias("text"))
 
 
@@ -139,7 +139,7 @@ def first_owner_groups(issues: DataFrame) -> DataFrame:
     kind = "struct<owned:array<string>,kept:array<struct<ord:int,blocks:array<string>>>>"
     start = F.struct(F.array().cast("array<string>").alias("owned"), F.array().cast("array<struct<ord:int,blocks:array<string>>>").alias("kept")).cast(kind)
     step = lambda a, x: F.when(F.arrays_overlap(a["owned"], x["blocks"]), a).otherwise(F.struct(F.array_union(a["owned"], x["blocks"]).alias("owned"), F.array_append(a["kept"], x).alias("kept")).cast(kind))
-    lists = issues.groupBy("doc").agg(F.array_sort(F.collect_list(item)).alias("all"))
+    lists = issues.groupBy("doc").agg(F.sort_array(F.collect_list(item)).alias("all"))
     return lists.select("doc", F.explode(F.aggregate("all", start, step)["kept"]).alias("k")).select("doc", "k.*")
 
 

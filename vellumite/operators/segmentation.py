@@ -80,7 +80,7 @@ def segmented(lines: DataFrame, *keys: str) -> DataFrame:
         steps = F.when(new, F.array().cast("array<double>")).when(x["y"] > a["y"], F.array_append(a["steps"], x["y"] - a["y"])).otherwise(a["steps"])
         return _let(a["n"] + new.cast("int"), lambda n: F.struct(n.alias("n"), x["y"].alias("y"), steps.alias("steps"), F.array_append(a["out"], F.struct(x["line_no"].alias("line_no"), n.alias("n"))).alias("out")))
 
-    parts = df.groupBy(*keys, "_part").agg(F.array_sort(F.collect_list(item)).alias("i"))
+    parts = df.groupBy(*keys, "_part").agg(F.sort_array(F.collect_list(item)).alias("i"))
     dealt = parts.select(*keys, "_part", F.explode(F.aggregate("i", begin, fold, lambda a: a["out"])).alias("x")).select(*keys, "_part", "x.line_no", "x.n")
     number = F.dense_rank().over(W.partitionBy(*keys).orderBy("_part", "n"))
     return df.join(dealt.select(*keys, "line_no", number.alias("segment")), [*keys, "line_no"]).drop("_part")
@@ -90,7 +90,7 @@ def paragraphs(lines: DataFrame, *keys: str) -> DataFrame:
     """One row per segment: its styles, box, text, number of lines, indent of its first line and median advance of its lines."""
     w = W.partitionBy(*keys, "segment").orderBy("line_no")
     df = segmented(lines, *keys).withColumn("_step", F.col("y0") - F.lag("y0").over(w))
-    shown = F.transform(F.array_sort(F.collect_list(F.struct("line_no", T.stripped(T.some(F.col("text"))).alias("t")))), lambda x: x["t"])
+    shown = F.transform(F.sort_array(F.collect_list(F.struct("line_no", T.stripped(T.some(F.col("text"))).alias("t")))), lambda x: x["t"])
     head = F.min_by("x0", "line_no")
     return df.groupBy(*keys, "segment").agg(
         F.first("font_role").alias("font_role"), F.first("role").alias("role"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),

@@ -86,7 +86,7 @@ def assembled_cells(blocks: DataFrame, page: str) -> DataFrame:
     df = df.withColumn("anchor", F.min(F.when(F.col("size") == F.col("most"), F.col("first"))).over(part))
     df = df.withColumn("cells", F.col("table") & (F.col("most") >= 2) & (F.col("first") >= F.col("anchor")))
     middle = (F.col("x0") + F.col("x1")) / 2
-    heads = df.where(F.col("cells") & (F.col("first") == F.col("anchor"))).groupBy(page, "part").agg(F.array_sort(F.collect_list(F.struct("x0", "pos", middle.alias("c")))).alias("heads"), F.min("x0").alias("tx0"), F.max("x1").alias("tx1"))
+    heads = df.where(F.col("cells") & (F.col("first") == F.col("anchor"))).groupBy(page, "part").agg(F.sort_array(F.collect_list(F.struct("x0", "pos", middle.alias("c")))).alias("heads"), F.min("x0").alias("tx0"), F.max("x1").alias("tx1"))
     df = df.join(heads, [page, "part"], "left")
     away = F.transform("heads", lambda h, i: F.struct(F.abs(h["c"] - middle).alias("d"), i.alias("i")))
     df = df.withColumn("col", F.when(F.col("cells"), F.array_min(away)["i"])).withColumn("wide", F.col("cells") & (F.col("size") == 1) & (F.col("x1") - F.col("x0") >= (F.col("tx1") - F.col("tx0")) * 0.5))
@@ -101,7 +101,7 @@ def assembled_cells(blocks: DataFrame, page: str) -> DataFrame:
     # Lines before the columns are known keep the order of their regions; so do the blocks of a line, from the left.
     in_line = F.when(F.col("table") & (F.col("most") >= 2), F.struct(F.col("first").alias("a"), F.col("x0").alias("b"), F.col("pos").alias("c"))).otherwise(F.struct(F.col("pos").alias("a"), F.lit(0.0).alias("b"), F.col("pos").alias("c")))
     key = F.when(F.col("cell"), F.struct(F.col("row").cast("bigint").alias("r"), F.col("col").cast("bigint").alias("k"))).otherwise(F.struct(F.lit(-1).cast("bigint").alias("r"), F.col("pos").cast("bigint").alias("k")))
-    shown = F.filter(F.transform(F.array_sort(F.collect_list(F.struct(in_line.alias("o"), F.col("text")))), lambda x: T.stripped(T.some(x["text"]))), lambda x: x != "")
+    shown = F.filter(F.transform(F.sort_array(F.collect_list(F.struct(in_line.alias("o"), F.col("text")))), lambda x: T.stripped(T.some(x["text"]))), lambda x: x != "")
     out = df.groupBy(page, "part", "kind", key.alias("key")).agg(
         F.min(in_line).alias("o"), F.min_by("region", in_line).alias("region"), F.min("row").alias("row"), F.min("col").alias("col"), F.count("*").alias("n"),
         F.when(F.count("*") > 1, F.array_join(shown, " ")).otherwise(F.first("text")).alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
@@ -135,7 +135,7 @@ def aligned_tables(words: DataFrame, key: str) -> DataFrame:
     14. Blocks of fewer than four words, two columns or two rows are no tables and have no row here.
     """
     order = F.struct("x", "word_no")
-    shown = lambda col: F.array_join(F.transform(F.array_sort(F.collect_list(col)), lambda x: x["text"]), " ")
+    shown = lambda col: F.array_join(F.transform(F.sort_array(F.collect_list(col)), lambda x: x["text"]), " ")
     lines = words.groupBy(key, "line_no").agg(T.stripped(shown(F.struct(order.alias("o"), F.col("text")))).alias("line"))
     lines = lines.where(~F.col("line").rlike("^[_+\\-\\s|]+$") & (F.col("line") != ""))
     named = lines.where(F.col("line").startswith(">>")).groupBy(key).agg(F.min_by("line", "line_no").alias("title"), F.min("line_no").alias("title_line"))
@@ -151,7 +151,7 @@ def aligned_tables(words: DataFrame, key: str) -> DataFrame:
     cells = w.groupBy(key, "title", "n_columns", "row", "col").agg(shown(F.col("t")).alias("cell"))
     rows = cells.groupBy(key, "title", "n_columns", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "cell"))).alias("m"))
     line = F.concat(F.lit("| "), F.array_join(F.transform(F.sequence(F.lit(0), F.col("n_columns") - 1), lambda i: F.coalesce(F.col("m")[i], F.lit(""))), " | "), F.lit(" |"))
-    made = rows.groupBy(key, "title", "n_columns").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", line.alias("t")))), lambda x: x["t"]).alias("r")).where(F.size("r") >= 2)
+    made = rows.groupBy(key, "title", "n_columns").agg(F.transform(F.sort_array(F.collect_list(F.struct("row", line.alias("t")))), lambda x: x["t"]).alias("r")).where(F.size("r") >= 2)
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.col("n_columns")), " | "), F.lit(" |"))
     text = F.concat_ws("\n", F.get("r", F.lit(0)), rule, F.array_join(F.slice("r", 2, F.size("r")), "\n"))
     return made.select(key, "title", F.size("r").alias("n_rows"), "n_columns", F.concat(F.coalesce(F.concat("title", F.lit("\n\n")), F.lit("")), text).alias("markdown"))
@@ -165,10 +165,10 @@ def aligned_grids(words: DataFrame, key: str) -> DataFrame:
     w = W.partitionBy(key, "line_no").orderBy("x", "word_no")
     df = words.withColumn("_gap", (F.col("x") - F.lag("x1").over(w) >= 24).cast("int"))
     length = F.length("text")
-    lines = df.groupBy(key, "line_no").agg(F.count("*").alias("n"), F.sum("_gap").alias("gaps"), (F.sum(length) + F.count("*") - 1).alias("long"), F.max(length).alias("widest"), F.array_sort(F.collect_list(F.struct("x", "word_no"))).alias("i"))
+    lines = df.groupBy(key, "line_no").agg(F.count("*").alias("n"), F.sum("_gap").alias("gaps"), (F.sum(length) + F.count("*") - 1).alias("long"), F.max(length).alias("widest"), F.sort_array(F.collect_list(F.struct("x", "word_no"))).alias("i"))
     lines = lines.where((F.col("n") >= 3) & (F.col("gaps") >= 2))
     item = F.struct("line_no", F.transform("i", lambda x: x["x"].cast("double")).alias("x"))
-    rows = lines.groupBy(key).agg(F.count("*").alias("rows"), F.count_if((F.col("long") <= 120) & (F.col("widest") <= 48)).alias("compact"), F.array_sort(F.collect_list(item)).alias("lines")).where("rows >= 2")
+    rows = lines.groupBy(key).agg(F.count("*").alias("rows"), F.count_if((F.col("long") <= 120) & (F.col("widest") <= 48)).alias("compact"), F.sort_array(F.collect_list(item)).alias("lines")).where("rows >= 2")
     flat = F.flatten(F.transform("lines", lambda r, i: F.transform(r["x"], lambda x: F.struct(i.alias("row"), x.alias("x")))))
     none = F.array().cast("array<struct<c:double,row:int,hits:int>>")
 

@@ -102,7 +102,7 @@ def matches(texts: DataFrame, glossary: DataFrame, longest: int | None = None, f
 def selected(found: DataFrame) -> DataFrame:
     """Longest matches first, then leftmost, none overlapping one taken before: id, start, n_words, term, match_rank."""
     item = F.struct((-F.col("n_words")).alias("neg"), "start", "n_words", "term")
-    lists = found.groupBy("id").agg(F.array_sort(F.collect_list(item)).alias("m"))
+    lists = found.groupBy("id").agg(F.sort_array(F.collect_list(item)).alias("m"))
     kind = "array<struct<neg:int,start:int,n_words:int,term:string>>"
     clash = lambda a, x: F.exists(a, lambda y: (x["start"] < y["start"] + y["n_words"]) & (y["start"] < x["start"] + x["n_words"]))
     taken = F.aggregate("m", F.array().cast(kind), lambda a, x: F.when(clash(a, x), a).otherwise(F.array_append(a, x)))
