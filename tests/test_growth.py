@@ -1,11 +1,13 @@
 """What keeps a task's rows, memory and shuffles bounded as tables grow."""
 
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from vellumite import tables
-from vellumite.operators import boxes, pages, reading, segments
+from vellumite import stages, tables
+from vellumite.operators import boxes, merging, pages, reading, segments
 from vellumite.plans import layouts, records
 from vellumite.plans.derived import given
 
@@ -57,3 +59,18 @@ def test_markdown_leaves_in_parts():
     parts = list(segments.cut_texts(iter([frame])))
     assert max(p["content"].str.len().sum() for p in parts) <= 2 * segments.CUT_CHARS and len(parts) == 3
     assert list(pd.concat(parts)["id"].unique()) == list(range(6))
+
+
+def test_small_pages_merge_without_rounds(spark, monkeypatch):
+    """Pages of few boxes went through rounds in grid cells before, with a row shuffled for each cell of a box."""
+    seen, step = [], stages.Rounds.step
+    monkeypatch.setattr(stages.Rounds, "step", lambda self, df, **k: [seen.append(_nodes(df, "Exchange")), step(self, df, **k)][1])
+    rng = random.Random(3)
+    data = [(p, *(lambda x, y: (x, y, x + rng.randrange(300), y + rng.randrange(9)))(rng.randrange(400), rng.randrange(200))) for p in range(40) for _ in range(rng.randrange(merging.ROW_BOXES))]
+    data += [(50, 12 * i, 0, 12 * i + 5, 5) for i in reversed(range(20))] + [(51, 0, 0, 5, 5)] * 100 + [(None, 1, 1, 2, 2)]
+    df = spark.createDataFrame([(p, *map(float, b)) for p, *b in data], "page int, x0 double, y0 double, x1 double, y1 double")
+    small = sorted(map(tuple, merging.merged_boxes(df.repartition(4, "page"), "page").collect()))
+    assert seen == [1]  # the one that deals the rows by page
+    monkeypatch.setattr(merging, "ROW_BOXES", 0)
+    assert small == sorted(map(tuple, merging.merged_boxes(df, "page").collect())) and len(seen) > 2
+    assert small[-2:] == [(50, 0.0, 0.0, 233.0, 5.0, 20), (51, 0.0, 0.0, 5.0, 5.0, 100)]
