@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellumite import stages, tables
-from vellumite.operators import boxes, merging, pages, reading, segments
+from vellumite.operators import boxes, images, merging, pages, reading, segments
 from vellumite.plans import layouts, records
 from vellumite.plans.derived import given
 
@@ -74,3 +74,20 @@ def test_small_pages_merge_without_rounds(spark, monkeypatch):
     monkeypatch.setattr(merging, "ROW_BOXES", 0)
     assert small == sorted(map(tuple, merging.merged_boxes(df, "page").collect())) and len(seen) > 2
     assert small[-2:] == [(50, 0.0, 0.0, 233.0, 5.0, 20), (51, 0.0, 0.0, 5.0, 5.0, 100)]
+
+
+def test_pictures_are_shuffled_once_by_page(spark, monkeypatch):
+    """Three relations by page need three exchanges; what is on cards or under texts was shuffled by page and box before."""
+    got = []
+    monkeypatch.setattr(images, "merged_boxes", lambda df, page, tolerance: got.append(_nodes(df, "Exchange")) or df)
+    box = "x0 double, y0 double, x1 double, y1 double"
+    sheet = [(p, 600.0, 800.0, 100.0, 100.0, 300.0, 400.0) for p in range(5)]
+    pictures = spark.createDataFrame(sheet, f"page int, page_width double, page_height double, {box}")
+    held = spark.createDataFrame([(1, 90.0, 100.0, 300.0, 400.0), (2, 290.0, 100.0, 500.0, 400.0)], f"page int, {box}")
+    texts = spark.createDataFrame([(3, 100.0, y, 300.0, y + 30, "x" * 80) for y in (120.0, 160.0, 200.0)] + [(4, 100.0, 120.0, 300.0, 140.0, "x" * 240)], f"page int, {box}, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        left = images.picture_regions(*(d.repartition(4, "page") for d in (pictures, held, texts)), "page")
+        assert sorted(r.page for r in left.collect()) == [0, 2, 4] and got == [3]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -54,19 +54,22 @@ def picture_regions(images: DataFrame, cards: DataFrame, blocks: DataFrame, page
     w, h, sheet = c("x1") - c("x0"), c("y1") - c("y0"), c("page_width") * c("page_height")
     edge = (c("x0") <= 2) | (c("y0") <= 2) | (c("x1") >= c("page_width") - 2) | (c("y1") >= c("page_height") - 2)
     fits = (w * h >= sheet * 0.025) & (w * h <= sheet * 0.55) & (w >= c("page_width") * 0.20) & (h >= c("page_height") * 0.08) & ~(edge & (w * h > sheet * 0.06))
-    i = _boxes(images.where(fits), page, "i").distinct()
+    i = _boxes(images.where(fits), page, "i")
     key = [page, *(f"i{c}" for c in _CORNERS)]
-    on_card = i.join(_boxes(cards, page, "k"), page).where(_common("i", "k") / F.greatest(F.least(_area("i"), _area("k")), F.lit(1.0)) > 0.20).select(key).distinct()
+    # Joined and grouped by the page alone, so that rows that are dealt by page are shuffled no more.
+    share = _common("i", "k") / F.greatest(F.least(_area("i"), _area("k")), F.lit(1.0))
+    met = i.join(_boxes(cards, page, "k").withColumn("k", F.lit(True)), page, "left")  # least and greatest pass over nulls, so k says whether there is a card
+    free = met.groupBy(key).agg(F.coalesce(F.bool_or(c("k") & (share > 0.20)), F.lit(False)).alias("on_card")).where("NOT on_card").drop("on_card")
     text = T.stripped(T.some(F.col("text")))
     b = _boxes(blocks.where(text != "").withColumn("chars", F.length(text)), page, "b", "chars")
     x, y = (c("bx0") + c("bx1")) / 2, (c("by0") + c("by1")) / 2
     inside = (x >= c("ix0")) & (x < c("ix1")) & (y >= c("iy0")) & (y < c("iy1"))
     lies = (_common("b", "i") > 0) & (_common("b", "i") / F.greatest(_area("b"), F.lit(1.0)) >= 0.15)
-    laid = i.join(b, page).groupBy(key).agg(
-        F.count_if(inside).alias("n"), F.coalesce(F.sum(F.when(inside, c("chars"))), F.lit(0)).alias("chars"), F.sum(_common("b", "i")).alias("over"), F.coalesce(F.sum(F.when(lies, c("chars"))), F.lit(0)).alias("lying")
+    laid = free.join(b, page, "left").groupBy(key).agg(
+        F.count_if(inside).alias("n"), F.coalesce(F.sum(F.when(inside, c("chars"))), F.lit(0)).alias("chars"), F.sum(F.when(c("chars").isNotNull(), _common("b", "i"))).alias("over"), F.coalesce(F.sum(F.when(lies, c("chars"))), F.lit(0)).alias("lying")
     )
-    texts = laid.where(((c("n") >= 3) & (c("chars") >= 240)) | ((c("over") / F.greatest(_area("i"), F.lit(1.0)) >= 0.25) & (c("lying") >= 120))).select(key)
-    left = i.join(on_card, key, "left_anti").join(texts, key, "left_anti")
+    texts = ((c("n") >= 3) & (c("chars") >= 240)) | ((c("over") / F.greatest(_area("i"), F.lit(1.0)) >= 0.25) & (c("lying") >= 120))
+    left = laid.where(~F.coalesce(texts, F.lit(False)))
     return merged_boxes(left.select(page, *(F.col(f"i{c}").alias(c) for c in _CORNERS)), page, 8.0)
 
 
