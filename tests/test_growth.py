@@ -1,13 +1,14 @@
 """What keeps a task's rows, memory and shuffles bounded as tables grow."""
 
 import random
+import re
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from vellumite import stages, tables
-from vellumite.operators import boxes, images, merging, pages, reading, segments
+from vellumite.operators import boxes, collectors, images, merging, pages, reading, segments
 from vellumite.plans import layouts, records
 from vellumite.plans.derived import given
 
@@ -91,3 +92,52 @@ def test_pictures_are_shuffled_once_by_page(spark, monkeypatch):
         assert sorted(r.page for r in left.collect()) == [0, 2, 4] and got == [3]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _plain_tables(lines: list[str]) -> list[tuple]:
+    def cells(line):
+        bare = re.sub(r"^(?:>\s*)+", "", line).strip()
+        return [c.strip() for c in bare.strip("|").split("|")] if "|" in bare else []
+
+    out, table, is_open, head = [], 0, False, None
+    for i, line in enumerate(x.strip() for x in lines):
+        c = cells(line)
+        row, rule = len(c) >= 2 and any(c), bool(c) and all(re.fullmatch(r":?-{3,}:?", x) for x in c)
+        if is_open and row or head and rule and not is_open:
+            if not is_open:
+                table, is_open = table + 1, True
+                out.append((table, *head))
+            out.append((table, i, line))
+            head = None
+            continue
+        is_open, head = False, (i, line) if row else None
+    return out
+
+
+def _plain_dossiers(lines: list[str]) -> list[tuple]:
+    out, number, is_open = [], 0, False
+    for i, line in enumerate(x.strip() for x in lines):
+        named = re.match(r"\*\*[^*]+?\*\*[。.:：]", line)
+        entry = "岛屿" not in line if named else re.match("(?:年龄|职业)[：:]", line)
+        if is_open and (not line or entry):
+            out += [(number, i, line)] if line else []
+            continue
+        is_open = re.sub(r"^#{1,6}\s*", "", line) == "目标档案"
+        number += is_open
+        out += [(number, i, "目标档案")] if is_open else []
+    return out
+
+
+_LINES = ["| a | b |", "|---|", "| --- | :---: |", "|---|", "no", "> > | x | y", "  | | ", "> --- | ---", "|", "||", "", "\u3000| c\x1f|d |\xa0", ">| :--- |", "| -- | --- |"]
+_NOTES = ["## 目标档案", "**甲。乙**：话", "年龄：4", "", "职业:x", "**丙**：岛屿", "text", "目标档案\u3000", "# 年龄：1", "#目标档案", " \x1c", "**a*b**.", "####### 目标档案"]
+
+
+@pytest.mark.parametrize("collected, plain, kinds", [(collectors.strict_tables, _plain_tables, _LINES), (collectors.dossiers, _plain_dossiers, _NOTES)])
+def test_collectors_need_no_python(spark, collected, plain, kinds):
+    """Each line went through a Python table function before."""
+    rng = random.Random(7)
+    texts = [[rng.choice(kinds[: rng.choice((4, len(kinds)))]) for _ in range(rng.randrange(60))] for _ in range(300)]
+    df = spark.createDataFrame([(k, i, x) for k, t in enumerate(texts) for i, x in enumerate(t)], "id int, line_no int, line string").repartition(3, "id")
+    got = collected(df)
+    assert _nodes(got, "Python") == _nodes(got, "UDTF") == 0 and _nodes(got, "Exchange") == 1
+    assert sorted(map(tuple, got.collect())) == sorted((k, *x) for k, t in enumerate(texts) for x in plain(t))
