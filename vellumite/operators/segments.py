@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from vellumite.functions import text as T
 
-#: Characters of the texts whose blocks a task hands on at once.
+#: Characters in the blocks that a task hands on at once, and the most blocks.
 CUT_CHARS = 1 << 20
+CUT_BLOCKS = 1 << 18
 
 _BLOCK = "(?s)\\[BLOCK (\\d+)\\]\\s*(.*?)\\s*\\[/BLOCK \\1\\]"
 
@@ -101,22 +102,34 @@ def is_prose(c: Column, least: int = 30) -> Column:
     return F.regexp_count(html_text(c), F.lit("\\p{L}")) > least
 
 
-_HEADING = re.compile(r"^(#{1,6})\s+(.*)$")
-_LIST = re.compile(r"^(\s*)([-*+]|\d+[.)])\s+(.*)$")
+_LINE_END = re.compile("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+_HEADING = re.compile(r"^(#{1,6})\s+(.+)$")
+_LIST = re.compile(r"^(\s*)([-*+]|\d+\.)\s+(.+)$")
+_QUOTE = re.compile(r"^(\s*>+\s?)(.*)")
 _IMAGE = re.compile(r"^!\[[^\]]*\]\([^)]+\)\s*$")
+_FENCE = re.compile(r"^\s*(```|~~~)")
+_TABLE = re.compile(r"^\|.")
 #: Tags that open a block.
 _TAGS = "div table pre p ul ol dl fieldset form h1 h2 h3 h4 h5 h6 hr blockquote address article aside details figcaption figure footer header hgroup main nav section summary".split()
 _HTML = re.compile(r"^<(" + "|".join(_TAGS) + r")\b", re.IGNORECASE)
-_RULE = re.compile(r"^\s*([-*_])(?:\s*\1){2,}\s*$")
+#: Three marks and no more, as in the reference; a longer rule is text.
+_RULE = re.compile(r"^\s*([-*_])\s*\1\s*\1\s*$")
+#: What ends a list item or a paragraph without an empty line.
+_ENDS_ITEM = (_HEADING, _RULE, _FENCE, _IMAGE)
+_ENDS_PARAGRAPH = (*_ENDS_ITEM, _TABLE, _LIST, _QUOTE, _HTML)
 
 
 def markdown_rows(text: str) -> list[tuple[int, str, str, int, int]]:
     """Blocks of a Markdown text: number, kind, content, first and last line."""
-    out: list[tuple[int, str, str, int, int]] = []
-    lines, i = (text or "").split("\n"), 0
+    return list(_markdown_rows(text))
 
-    def put(kind: str, first: int, last: int) -> None:
-        out.append((len(out), kind, "\n".join(lines[first : last + 1]), first, last))
+
+def _markdown_rows(text: str) -> Iterator[tuple[int, str, str, int, int]]:
+    """What follows the last line end is a line too, if only an empty one."""
+    *lines, rest = _LINE_END.split(text or "")
+    if rest:
+        lines.append(rest)
+    n = i = 0
 
     def run(first: int, test) -> int:
         last = first
@@ -124,70 +137,85 @@ def markdown_rows(text: str) -> list[tuple[int, str, str, int, int]]:
             last += 1
         return last
 
+    def closing(first: int, test) -> int:
+        return min(run(first, lambda x: not test(x)) + 1, len(lines) - 1)
+
     while i < len(lines):
-        line = lines[i]
+        line, last = lines[i], i
         if not line.strip():
-            last = i
-            put("empty_line", i, i)
+            kind = "empty_line"
         elif i == 0 and line.rstrip() == "---":
-            last = i + 1
-            while last < len(lines) and lines[last].strip() and lines[last].rstrip() != "---":
-                last += 1
-            last = min(last, len(lines) - 1)
-            if last > i and not lines[last].strip():
-                last -= 1
-            put("front_matter", i, last)
+            kind, last = "front_matter", closing(i, lambda x: x.rstrip() == "---")
+        elif m := _FENCE.match(line):
+            mark = m[1]
+            kind, last = "code_block", closing(i, lambda x: x.strip().startswith(mark) and not x.strip().rstrip("`~"))
+        elif _RULE.match(line):
+            kind = "hr"
         elif _IMAGE.match(line):
-            last = i
-            put("image", i, i)
-        elif line.lstrip().startswith(("```", "~~~")):
-            mark, last = line.lstrip()[:3], i + 1
-            while last < len(lines) and not lines[last].lstrip().startswith(mark):
-                last += 1
-            last = min(last, len(lines) - 1)
-            put("code_block", i, last)
+            kind = "image"
         elif _HEADING.match(line):
-            last = i
-            put("heading", i, i)
-        elif _RULE.match(line):
-            last = i
-            put("hr", i, i)
-        elif line.lstrip().startswith("|"):
-            last = run(i, lambda x: x.lstrip().startswith("|"))
-            put("table", i, last)
-        elif line.lstrip().startswith(">"):
-            last = run(i, lambda x: x.lstrip().startswith(">"))
-            put("blockquote", i, last)
-        elif _LIST.match(line):
-            last = run(i, lambda x: x.startswith(("  ", "\t")) and x.strip() and not _LIST.match(x))
-            put("list_item", i, last)
-        elif _HTML.match(line):
-            last = run(i, lambda x: x.strip())
-            put("html_block", i, last)
+            kind = "heading"
+        elif _TABLE.match(line) and (last := run(i, _TABLE.match)) > i:
+            kind = "table"
+        elif _QUOTE.match(line):
+            kind, last = "blockquote", run(i, _QUOTE.match)
+        elif m := _LIST.match(line):
+            indent, inner = len(m[1]), len(m[1]) + len(m[2]) + 1
+            within = lambda x: (m := _LIST.match(x)) is None or len(m[1]) >= inner
+            kind, last = "list_item", run(i, lambda x: x.strip() and len(x) - len(x.lstrip()) > indent and within(x) and not any(p.match(x) for p in _ENDS_ITEM))
+        elif m := _HTML.match(line):
+            kind, tag = "html_block", f"</{m[1]}"
+            if tag not in line.lower():
+                last = run(i, lambda x: x.strip() and tag not in x.lower())
+                last += last + 1 < len(lines) and tag in lines[last + 1].lower()
         else:
-            stop = lambda x: not x.strip() or any(p.match(x) for p in (_HEADING, _LIST, _RULE, _IMAGE, _HTML)) or x.lstrip().startswith(("|", ">", "```", "~~~"))
-            last = run(i, lambda x: not stop(x))
-            put("paragraph", i, last)
-        i = last + 1
-    return out
+            kind, last = "paragraph", run(i, lambda x: x.strip() and not any(p.match(x) for p in _ENDS_PARAGRAPH))
+        yield n, kind, "\n".join(lines[i : last + 1]), i, last
+        n, i = n + 1, last + 1
+    if not rest:
+        yield n, "empty_line", "", i, i
+
+
+def markdown_text(kind: str, content: str) -> tuple[str, bool, str, str]:
+    """Of a block: the text to translate, whether there is one, and the marks and the indent that were taken off it."""
+    if kind == "heading":
+        m = _HEADING.match(content)
+        return m[2].strip(), True, f"{m[1]} ", ""
+    if kind == "list_item":
+        first, *more = content.split("\n")
+        m = _LIST.match(first)
+        return " ".join([m[3].strip(), *(x.lstrip() for x in more)]), True, f"{m[2]} ", m[1]
+    if kind == "blockquote":
+        return "\n".join(_QUOTE.match(x)[2] for x in content.split("\n")), True, "> ", ""
+    if kind in ("paragraph", "table") or kind == "html_block" and _letters(content) > 30:
+        return content, True, "", ""
+    return "", False, "", ""
+
+
+def _letters(html: str) -> int:
+    """Letters outside of tags; behind the last > is no tag, and a search for one would go to the end from each <."""
+    end = html.rfind(">") + 1
+    return sum(c.isalpha() for part in (re.sub("<[^>]+>", " ", html[:end]), html[end:]) for c in part)
 
 
 def cut_texts(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The blocks of the texts in frames of id and text; a frame of many characters leaves in parts of some CUT_CHARS."""
-    columns = ["id", "block", "kind", "content", "line_start", "line_end"]
+    """The blocks of the texts in frames of id and text, in parts of some CUT_CHARS and at most CUT_BLOCKS."""
+    columns = ["id", "block", "kind", "content", "text", "translatable", "prefix", "indent", "line_start", "line_end"]
     for pdf in rows:
         made, size = [], 0
         for i, t in zip(pdf["id"], pdf["text"], strict=True):
-            made += ((i, *b) for b in markdown_rows(t))
-            size += len(t or "")
-            if size >= CUT_CHARS:
-                yield pd.DataFrame(made, columns=columns)
-                made, size = [], 0
+            for n, kind, content, first, last in _markdown_rows(t):
+                made.append((i, n, kind, content, *markdown_text(kind, content), first, last))
+                size += len(content) + 1
+                if size >= CUT_CHARS or len(made) >= CUT_BLOCKS:
+                    yield pd.DataFrame(made, columns=columns)
+                    made, size = [], 0
         if made:
             yield pd.DataFrame(made, columns=columns)
 
 
 def markdown_blocks(df: DataFrame) -> DataFrame:
-    """id, block, kind, content, line_start, line_end: the blocks of each text, which together are the whole of it."""
+    """id, block, kind, content, text, translatable, prefix, indent, line_start, line_end: the blocks of each text, which together are the whole of it."""
     kind = df.schema["id"].dataType.simpleString()
-    return df.select("id", "text").mapInPandas(cut_texts, f"id {kind}, block int, kind string, content string, line_start int, line_end int")
+    block = "block int, kind string, content string, text string, translatable boolean, prefix string, indent string, line_start int, line_end int"
+    return df.select("id", "text").mapInPandas(cut_texts, f"id {kind}, {block}")
